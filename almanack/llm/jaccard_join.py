@@ -44,32 +44,50 @@ def _finish(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Words(dict):
-    """Word -> 64-bit hash; emptied when it holds `most` words."""
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+class Words:
+    """64-bit hashes of a text's words: sums of a random number per byte times a power of an odd base, by running sums."""
+
+    def __init__(self):
+        rng = np.random.default_rng(20240229)
+        self.of_byte = rng.integers(0, 1 << 64, 256, np.uint64)
+        self.base = int(rng.integers(1 << 60, 1 << 63)) | 1
+        self.inverse = pow(self.base, -1, 1 << 64)
+        self.space = np.zeros(256, bool)
+        self.space[[32, 9, 10, 11, 12, 13]] = True
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.up) <= n:
+            n = max(2 * n, 1 << 14)
+            self.up = np.cumprod(np.append(np.uint64(1), np.full(n, self.base, np.uint64)))
+            self.down = np.cumprod(np.append(np.uint64(1), np.full(n, self.inverse, np.uint64)))
+
+    def hashes(self, raw: bytes) -> np.ndarray:
+        b = np.frombuffer(raw.lower(), np.uint8)
+        if not len(b):
+            return _EMPTY
+        self._powers(len(b))
+        inside = np.zeros(len(b) + 2, bool)
+        np.logical_not(self.space[b], out=inside[1:-1])
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = edge[::2], edge[1::2]
+        run = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(self.of_byte[b] * self.up[: len(b)], out=run[1:])
+        return _finish((run[end] - run[start]) * self.down[start])
 
 
 def shingle_set(raw: bytes, words: Words, width: int = 5) -> np.ndarray:
     """Sorted 64-bit hashes of a text's distinct shingles; of the whole word sequence if that is shorter."""
-    found = raw.lower().split()
-    if not found:
+    w = words.hashes(raw)
+    n = len(w)
+    if not n:
         return _EMPTY
-    n = len(found)
-    w = np.fromiter(map(words.__getitem__, found), np.uint64, n)
     k = min(n, width)
     s = w[: n - k + 1] * _C[0]
     for i in range(1, k):
         s += w[i : n - k + 1 + i] * _C[i % 5]
-    return np.unique(_finish(s + np.uint64(k)))
+    s = np.sort(_finish(s + np.uint64(k)))
+    return s[np.concatenate(([True], s[1:] != s[:-1]))]
 
 
 def _need(n: int, percent: int) -> int:
@@ -128,9 +146,10 @@ def count_prefixes(hot, width: int, percent: int):
                 first = s[: len(s) - _need(len(s), percent) + 1]
                 if hot is None:
                     out.append(first)
-                elif _member(first, hot.value).any():
-                    cold, _ = prefix(s, hot.value, percent)
-                    out.append(cold[cold > first[-1]])
+                elif k := int(_member(first, hot.value).sum()):
+                    # what the prefix will reach if the rest is as hot, and half as much again
+                    p = len(first)
+                    out.append(s[p : p + (3 * k * p) // (2 * (p - k)) + 16] if k < p else s[p:])
             yield _counted(out)
 
     return run
@@ -224,6 +243,14 @@ def _links(pairs: DataFrame, docs: DataFrame, width: int, percent: int, most_ids
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(verify(width, percent), "a long, b long")
 
 
+def _stars(pairs: DataFrame, sets: DataFrame, percent: int, most: int = 2) -> DataFrame:
+    """Of the pairs (a: a bucket's representative, b, n2) each b's `most` that share most buckets with it."""
+    common = pairs.filter("a != b").groupBy("a", "b", "n2").agg(F.count(F.lit(1)).alias("common"))
+    common = common.join(sets.select(F.col("doc").alias("a"), F.col("n").alias("n1")), "a").filter(_similar_size(percent))
+    best = common.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct(-F.col("common"), "a"))), 1, most).alias("x"))
+    return best.select(F.explode("x.a").alias("a"), "b")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, hot: int = 24, most_hot: int = 1 << 20, most_ids: int = 1 << 20) -> DataFrame:
     """Near-duplicate classes of documents: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 
@@ -268,30 +295,50 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     close = written(expanded.select(F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b")), "close")
 
     # buckets that may be large: a hot shingle's groups, and a group's own members
-    hot_rows = rows.filter("is_hot = 1").select(F.col("shingle").alias("bucket"), "grp").distinct().join(member, "grp").select("bucket", "doc")
+    hot_rows = rows.filter("is_hot = 1").select(F.col("shingle").alias("bucket"), "grp").distinct().join(member, "grp").select("bucket", "doc", F.lit(False).alias("own"))
     several = sets.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    own_rows = sets.join(several, "grp").select(F.col("grp").alias("bucket"), "doc")
-    buckets = written(hot_rows.union(own_rows).join(sets.select("doc", "n"), "doc").select("bucket", "doc", "n"), "buckets")
+    own_rows = sets.join(several, "grp").select(F.col("grp").alias("bucket"), "doc", F.lit(True).alias("own"))
+    # weight: prefix shingles in common that the bucket stands for; most: prefix shingles that any bucket can stand for
+    whole = F.expr("if(own, n, 1)").alias("weight"), F.expr("if(own, n, n_hot)").alias("most")
+    buckets = written(hot_rows.union(own_rows).join(sets.select("doc", "n", "n_hot"), "doc").select("bucket", "doc", "n", *whole), "buckets")
     heads = buckets.groupBy("bucket").agg(F.min("doc").alias("h1"), F.min_by("doc", F.xxhash64("doc")).alias("h2"))
-    stars = buckets.join(heads, "bucket").select(F.explode(F.array_distinct(F.array("h1", "h2"))).alias("a"), F.col("doc").alias("b"), F.col("n").alias("n2")).filter("a != b").distinct()
-    stars = stars.join(sets.select(F.col("doc").alias("a"), F.col("n").alias("n1")), "a").filter(_similar_size(percent)).select("a", "b")
+    stars = _stars(buckets.join(heads, "bucket").select(F.explode(F.array_distinct(F.array("h1", "h2"))).alias("a"), F.col("doc").alias("b"), F.col("n").alias("n2")), sets, percent)
 
     spanning = close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = written(_links(spanning.union(stars).distinct(), docs, width, percent, most_ids), "links")
     merged = written(components(links), "merged")
 
-    label = lambda d, k: d.join(merged.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}")), k, "left").withColumn(f"c_{k}", F.coalesce(f"c_{k}", k))
+    def label(d: DataFrame, k: str) -> DataFrame:
+        return d.join(merged.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}")), k, "left").withColumn(f"c_{k}", F.coalesce(f"c_{k}", k))
+
+    def joined(more: DataFrame) -> DataFrame:
+        heads = merged.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a != b")
+        return written(components(heads.union(more)), "merged")
+
+    def mixed_rows() -> DataFrame:
+        """Rows of the buckets that hold several classes."""
+        placed = label(buckets, "doc")
+        mixed = placed.groupBy("bucket").agg((F.min("c_doc") != F.max("c_doc")).alias("mixed")).filter("mixed").select("bucket")
+        return written(placed.join(mixed, "bucket"), "mixed")
+
+    placed = mixed_rows()
+    if placed.limit(1).count():
+        # those outside a bucket's largest class try two other members of it before all pairs are made
+        sizes = placed.groupBy("bucket", "c_doc").agg(F.count(F.lit(1)).alias("k"), F.min_by("doc", F.xxhash64("doc", F.lit(1))).alias("h1"), F.min_by("doc", F.xxhash64("doc", F.lit(2))).alias("h2"))
+        largest = sizes.groupBy("bucket").agg(F.max_by(F.struct("c_doc", "h1", "h2"), F.struct("k", -F.col("c_doc"))).alias("top"))
+        tries = placed.join(largest, "bucket").filter("c_doc != top.c_doc").select(F.explode(F.array_distinct(F.array("top.h1", "top.h2"))).alias("a"), F.col("doc").alias("b"), F.col("n").alias("n2"))
+        merged = joined(_links(_stars(tries, sets, percent), docs, width, percent, most_ids))
+        placed = mixed_rows()
     left = label(label(close.join(spanning, ["a", "b"], "left_anti"), "a"), "b").filter("c_a != c_b").select("a", "b")
-    placed = label(buckets, "doc")
-    mixed = placed.groupBy("bucket").agg((F.min("c_doc") != F.max("c_doc")).alias("mixed")).filter("mixed").select("bucket")
-    placed = placed.join(mixed, "bucket")
-    x, y = (placed.select("bucket", *(F.col(c).alias(f"{c}{i}") for c in ("doc", "n", "c_doc"))) for i in (1, 2))
-    across = x.join(y, "bucket").filter("doc1 < doc2 and c_doc1 != c_doc2").filter(_similar_size(percent)).select(F.col("doc1").alias("a"), F.col("doc2").alias("b"))
-    left = written(left.union(across).distinct().join(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "left")
+    # pairs with a cold shingle in common are among the close ones if they can be links; the others need enough hot ones
+    x, y = (placed.select("bucket", *(F.col(c).alias(f"{c}{i}") for c in ("doc", "n", "c_doc", "weight", "most"))) for i in (1, 2))
+    rest = f"greatest(ceil(n1 * {percent} / 100), ceil(n2 * {percent} / 100)) - 1"
+    can = lambda common: F.expr(f"{100 + percent} * ({common} + {rest}) >= {percent} * (n1 + n2)")
+    across = x.join(y, "bucket").filter("doc1 < doc2 and c_doc1 != c_doc2").filter(_similar_size(percent)).filter(can("least(most1, most2)"))
+    across = across.groupBy(F.col("doc1").alias("a"), F.col("doc2").alias("b"), "n1", "n2").agg(F.sum("weight1").alias("common")).filter(can("common")).select("a", "b")
+    left = written(left.union(across).distinct(), "left")
     if left.limit(1).count():
-        more = _links(left, docs, width, percent, most_ids)
-        heads = merged.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a != b")
-        merged = components(heads.union(more))
+        merged = joined(_links(left, docs, width, percent, most_ids))
     by_set = sets.select("n", "name", "doc").join(merged.select(F.col("node").alias("doc"), "component"), "doc", "left").select("n", "name", F.coalesce("component", "doc").alias("component"))
     return nodes.join(by_set, ["n", "name"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
