@@ -1,25 +1,25 @@
 """Removal of repeated byte strings across documents: suffix buckets refined by the bucket identifiers of later offsets.
 
-The suffixes that start at each byte are put into buckets by their first 16 bytes. A bucket is refined by the bucket
-identifiers of later offsets, and the refined identifiers are used again: 16 + 16 bytes make buckets of depth 32, and
-those with depth 32 at 18 bytes further on make buckets of depth 50. Two suffixes have one bucket of depth 50 exactly
+The suffixes that start at each byte are put into buckets by their first 20 bytes. A bucket is refined by the bucket
+identifiers of later offsets, and the refined identifiers are used again: 20 + 20 bytes make buckets of depth 40, and
+those with the bucket at 30 bytes further on make buckets of depth 50. Two suffixes have one bucket of depth 50 exactly
 if their first 50 bytes agree. Buckets are named by 64-bit mixes of the identifiers they were refined from instead of
 by rank, so that names agree between machines without a global sort; two strings are taken as equal if 64 bits of name
 agree (n strings: n * n / 2**65 expected errors).
 
 As in bucket-pointer refinement, only buckets that hold more than one document are refined further:
 
-1. Each string of 50 bytes has 35 inner offsets at which 16 bytes fit. The least of their 16-byte identifiers is the
-   string's key. Strings that start at successive offsets mostly share a key: such a run (35 starts at most) is a
-   *piece*. Equal strings have equal keys, so only keys that two documents hold can hold a repeat.
+1. Each string of 50 bytes has 31 inner offsets at which 20 bytes fit. The least of their 20-byte identifiers is the
+   string's key (48 bits of it: keys only select). Strings that start at successive offsets mostly share a key: such a
+   run (31 starts at most) is a *piece*. Equal strings have equal keys, so only keys that two documents hold can hold a repeat.
 2. Pieces with such keys are refined to the identifier of their whole span (depth 50 at its first and last start). A
    piece whose span occurs in an earlier document is wholly repeated.
 3. What remains, where a key has several spans, is refined to depth 50 at every start: the edges of repeats.
 
 Documents lie in chunks, which are ranges of doc_id, so a smaller chunk holds smaller doc_ids only. Each chunk asks
 about each identifier once, however many of its documents hold it, and is answered once: a passage in a third of all
-documents makes as many rows as there are chunks, not as there are documents. Texts are shuffled once; the later steps
-reuse that exchange.
+documents makes as many rows as there are chunks, not as there are documents. Texts are shuffled once,
+compressed one by one; the later steps reuse that exchange.
 """
 
 from __future__ import annotations
@@ -28,13 +28,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions
 
 #: Length of a repeated string, of the first buckets, and the offsets within a string at which a first bucket fits.
-DEPTH, GRAM = 50, 16
+DEPTH, GRAM = 50, 20
 INNER = DEPTH - GRAM + 1
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -49,17 +50,17 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _grams(raw: bytes) -> np.ndarray:
-    """Identifiers of the first buckets: the 16 bytes from each offset."""
+    """Identifiers of the first buckets: the 20 bytes from each offset, as words at 0, 8 and 12."""
     v = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
-    x = v[:-8] * _A
-    x += v[8:] * _B
+    x = v[: 8 - GRAM] * _A
+    x += v[8 : 16 - GRAM] * _C
+    x += v[GRAM - 8 :] * _B
     return x
 
 
 def _deep(g: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Identifiers of depth 50 at the given offsets: depth 16 to 32, then those at 18 bytes further on."""
-    a, b, c, d = g[at], g[at + GRAM], g[at + DEPTH - 2 * GRAM], g[at + DEPTH - GRAM]
-    return _mix(_mix(a, b), _mix(c, d))
+    """Identifiers of depth 50 at the given offsets: depth 20 to 40, then with the bucket at 30 bytes further on."""
+    return _mix(_mix(g[at], g[at + GRAM]), g[at + DEPTH - GRAM])
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -93,7 +94,7 @@ class Pieces:
                 ends = np.repeat(starts + lengths, more)
                 starts = np.repeat(starts, more) + INNER * _spread(np.zeros(len(more), np.int64), more)
                 lengths = np.minimum(ends - starts, INNER)
-            keys.append(key[starts])
+            keys.append(key[starts] >> np.uint64(16))
             firsts.append(starts)
             counts.append(lengths)
             docs.append(np.full(len(starts), number))
@@ -182,23 +183,23 @@ class Chunk:
         span, at = np.unique(self.pieces.spans(rows), return_index=True)
         return self.pieces.key[rows][at], span
 
-    def _resolved(self, told_keys, earlier, several) -> tuple[np.ndarray, np.ndarray]:
+    def _resolved(self, earlier, several) -> tuple[np.ndarray, np.ndarray]:
         """(pieces that are wholly repeated, pieces to refine further). Told: spans in an earlier chunk, spans whose key has several."""
-        rows = self._shared(told_keys)
-        uniq, least, _, inverse = _first_order(self.pieces.spans(rows), self.order[rows])
+        rows = np.arange(len(self.pieces.key))
+        uniq, least, _, inverse = _first_order(self.pieces.spans(rows), self.order)
         if not len(uniq):
             return rows, rows
-        done = _among(uniq, earlier)[inverse] | (least[inverse] < self.order[rows])
+        done = _among(uniq, earlier)[inverse] | (least[inverse] < self.order)
         return rows[done], rows[~done & _among(uniq, several)[inverse]]
 
-    def ask_starts(self, told_keys, earlier, several) -> np.ndarray:
+    def ask_starts(self, earlier, several) -> np.ndarray:
         """Depth-50 identifiers at every start of the pieces to refine, each once."""
-        return np.unique(self.pieces.starts(self._resolved(told_keys, earlier, several)[1])[2])
+        return np.unique(self.pieces.starts(self._resolved(earlier, several)[1])[2])
 
-    def removed(self, told_keys, earlier, several, told_starts) -> list[np.ndarray]:
+    def removed(self, earlier, several, told_starts) -> list[np.ndarray]:
         """By document, in ascending doc_id: a mask of the bytes to remove."""
         p = self.pieces
-        done, rest = self._resolved(told_keys, earlier, several)
+        done, rest = self._resolved(earlier, several)
         doc, at, _ = p.starts(done, names=False)
         d2, a2, name = p.starts(rest)
         uniq, least, _, inverse = _first_order(name, p.ordinal[d2])
@@ -228,11 +229,12 @@ def _column(t: pa.Table, name: str, kind: int) -> np.ndarray:
 
 
 def _chunk(t: pa.Table) -> Chunk:
-    return Chunk(t.column("doc_id").to_pylist(), [x or b"" for x in t.column("text").cast(pa.binary()).to_pylist()])
+    unpack = zstandard.ZstdDecompressor().decompress
+    return Chunk(t.column("doc_id").to_pylist(), [unpack(x) if x else b"" for x in t.column("text").to_pylist()])
 
 
 def _answers(t: pa.Table) -> list[np.ndarray]:
-    return [_column(t, "name", k) for k in range(4)]
+    return [_column(t, "name", k) for k in (1, 2, 3)]
 
 
 def _rows(chunk: int, **columns) -> pa.Table:
@@ -245,12 +247,12 @@ def _step_keys(key, docs):
 
 
 def _step_spans(key, docs, told):
-    k, s = _chunk(docs).ask_spans(_answers(told)[0])
+    k, s = _chunk(docs).ask_spans(_column(told, "name", 0))
     return _rows(key[0].as_py(), key=k, name=s)
 
 
 def _step_starts(key, docs, told):
-    return _rows(key[0].as_py(), name=_chunk(docs).ask_starts(*_answers(told)[:3]))
+    return _rows(key[0].as_py(), name=_chunk(docs).ask_starts(*_answers(told)[:2]))
 
 
 def _final(with_kept: bool):
@@ -280,12 +282,15 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> tu
     bounds = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000 + 10 * n)).first()[0] if n > 1 else []
     bounds = np.unique(np.array(bounds or [], np.int64))
 
-    @F.pandas_udf("long")
-    def place(ids):
-        at = np.searchsorted(bounds, ids.to_numpy("float64", na_value=-np.inf) if ids.isna().any() else ids.to_numpy(), side="right")
-        return ids.__class__(at.astype("int64"))
+    def place(batches):
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            ids = batch.column(0)
+            at = np.searchsorted(bounds, ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="right")
+            texts = [pack(x) if x else None for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.binary()), pa.array(at, pa.int64())], names=["doc_id", "text", "chunk"])
 
-    return rows.withColumn("chunk", place("doc_id")), n
+    return rows.mapInArrow(place, "doc_id long, text binary, chunk long"), n
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 16 << 20, with_kept: bool = True) -> DataFrame:
@@ -304,8 +309,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     spans = by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_step_spans, "chunk long, key long, name long")
     k = Window.partitionBy("key")
     seen = spans.withColumns({"several": F.min("name").over(k) != F.max("name").over(k), "earlier": F.min("chunk").over(Window.partitionBy("key", "name")) < F.col("chunk")})
-    kinds = F.filter(F.array(F.when(F.col("earlier"), F.lit(1)), F.when(F.col("several"), F.lit(2))), lambda x: x.isNotNull())
-    told = told.unionByName(seen.filter("several or earlier").select("chunk", F.explode(kinds).alias("kind"), "name"))
+    # a span that an earlier chunk has is settled, so it needs no other answer
+    told = seen.filter("several or earlier").select("chunk", F.when(F.col("earlier"), 1).otherwise(2).alias("kind"), "name")
     starts = by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_step_starts, "chunk long, name long")
     found = starts.withColumn("least", F.min("chunk").over(w)).filter("least < chunk").select("chunk", F.lit(3).alias("kind"), "name")
     told = told.unionByName(found)
