@@ -1,0 +1,303 @@
+"""Operators of the llm subpackage against brute force, on small tables with nulls, empty texts, ties and repeats."""
+
+import base64
+import gzip
+import hashlib
+import json
+import random
+import re
+
+import numpy as np
+import pytest
+
+from almanack.llm import bpe, decontaminate, jaccard_join, pii, quality_classifier, quality_rules, queries, secrets, suffix_dedup, url_filter, warc
+from almanack.llm.common import fresh_path
+
+from ..oracle import connect, rows
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, chunk long, rule string"
+
+
+@pytest.fixture(scope="module")
+def texts():
+    r = random.Random(5)
+    words = "the of and ing tion ha ere ou nd st".split()
+    say = lambda n: " ".join(r.choice(words) for _ in range(n))
+    base = [say(60) for _ in range(6)]
+    out = [None, "", " \n\t", "one", "one", "word " * 400, "é" * 70, say(3000)]
+    for b in base:
+        w = b.split()
+        w[7] = "CHANGED"
+        out += [b, b, b.upper(), " ".join(w), b + " " + say(10), say(30) + b, b[:90]]
+    return list(enumerate(out)) + [(None, base[0]), (9, base[1])]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    return spark.createDataFrame([(i, t, None, "s", None, "clash", 7, "x") for i, t in texts], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_suffix_dedup(docs, texts, none):
+    n, seen, want = suffix_dedup.DEPTH, {}, []
+    known = sorted((x for x in texts if x[0] is not None), key=lambda x: x[0])
+    for i, t in known:
+        b = (t or "").encode()
+        for k in range(len(b) - n + 1):
+            seen[b[k : k + n]] = min(seen.get(b[k : k + n], i), i)
+    for i, t in texts:
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - n + 1):
+            if i is not None and seen[b[k : k + n]] < i:
+                gone[k : k + n] = True
+        runs = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (len(gone) and gone[0]))
+        want.append((i, len(b), int(gone.sum()), runs, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()))
+    got = [tuple(r)[:5] for r in suffix_dedup.dedup(docs, chunk_bytes=2000).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert suffix_dedup.dedup(none).count() == 0
+
+
+@pytest.mark.parametrize("hot", [24, 1])
+def test_jaccard_join(docs, texts, none, hot):
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    sets = [(i, shingles(t)) for i, t in texts if i != 9]
+    group = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            x, y = sets[a][1], sets[b][1]
+            if x and y and 100 * len(x & y) >= 75 * len(x | y):
+                group = [group[a] if g == group[b] else g for g in group]
+    least = {}
+    for g, (i, _) in zip(group, sets, strict=True):
+        if i is not None:
+            least[g] = min(least.get(g, i), i)
+    want = [(i, len(s), least.get(g) if s else i) for g, (i, s) in zip(group, sets, strict=True)]
+    got = [tuple(r) for r in jaccard_join.classes(docs.filter("doc_id is null or doc_id != 9"), hot=hot).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert jaccard_join.classes(docs, hot=hot).count() == len(texts)
+    assert jaccard_join.classes(none).count() == 0
+
+
+def test_prefix_keeps_every_link():
+    r = np.random.default_rng(1)
+    for _ in range(300):
+        a = np.unique(r.integers(0, 60, 40, np.uint64))
+        b = np.unique(np.concatenate((a[: r.integers(5, len(a))], r.integers(0, 60, 6, np.uint64))))
+        hot = np.unique(r.integers(0, 60, 20, np.uint64))
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= 75 * (len(a) + len(b) - both):
+            x, y = (set(np.concatenate(jaccard_join.prefix(s, hot, 75)).tolist()) for s in (a, b))
+            assert x & y
+
+
+def test_decontaminate(spark, docs, texts, none):
+    items = [(1, texts[8][1][:80]), (2, "one"), (3, None), (4, "absent words here"), (2, "one")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    windows = [(i, w[k : k + 10]) for i, t in items if (w := words(t)) for k in range(max(1, len(w) - 9))]
+    want = []
+    for i, t in texts:
+        w, hit, ids = words(t), set(), set()
+        for item, x in windows:
+            for k in range(len(w) - len(x) + 1):
+                if w[k : k + len(x)] == x:
+                    hit |= set(range(k, k + len(x)))
+                    ids.add(item)
+        want.append((i, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest(), bool(hit)))
+    for size in (1 << 20, 1):
+        got = [tuple(r)[:6] for r in decontaminate.scan(docs, bench, block_bytes=size).collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert decontaminate.scan(docs, bench.limit(0)).filter("contaminated").count() == 0
+    assert decontaminate.clean(docs, bench).count() == sum(not w[5] for w in want)
+    assert decontaminate.scan(none, bench).count() == 0
+
+
+def _der(tag, *parts):
+    body = b"".join(parts)
+    n = len(body)
+    return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2)) + body
+
+
+def test_secret_structures():
+    rsa = _der(0x30, _der(2, b"\0"), *(_der(2, bytes([k + 1]) * 40) for k in range(8)))
+    key = base64.b64encode(rsa).decode()
+    ssh = base64.b64encode(b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4) + x for x in (b"none", b"none", b"")) + (1).to_bytes(4) + b"".join(len(x).to_bytes(4) + x for x in (b"p" * 30, b"q" * 60))).decode()
+    b = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    token = f"{b({'alg': 'HS256'})}.{b({'sub': '1'})}.c2ln"
+    kinds = lambda t: {k for k, _, _ in secrets.find(t)[1]}
+    assert kinds(f"x {key} y") == {"der"} and kinds("\n".join(re.findall(".{1,64}", key)) + "\nword") == {"der"}
+    assert kinds(rsa.hex()) == {"der"} and kinds(ssh) == {"openssh"} and kinds(f"({token})") == {"token"}
+    assert not kinds(base64.b64encode(rsa[:-1] + b"xx").decode()) and not kinds(f"{b({'typ': 1})}.{b({})}.x")
+    assert secrets.redacted("é password = 'abcdefghijkl' z") == "é <secret>' z"
+    assert [s[0] for s in secrets.find("ſecret=abcdefghijklm AKIA23456789012345 0123456789abcdef")[0]] == ["access", "hex"]
+
+
+def test_secret_scan_rows(docs, texts, none):
+    got = secrets.scan(docs).collect()
+    assert len(got) == len(texts) and all(r.n_assign == r.n_access == r.n_hex == 0 for r in got)
+    assert secrets.scan(none).count() == 0 and secrets.redact(docs).schema == docs.schema
+
+
+def test_bpe_like_the_library(spark, none):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    r = random.Random(3)
+    letters = list("aAbB'sSdD tT0123 \t\n\x1c\x85\xa0éÉßİıΣσςÀ̀日本語—👍🏽") + ["<|endoftext|>", "'ll", "Σ "]
+    given = [(i, "".join(r.choice(letters) for _ in range(r.randint(0, 60)))) for i in range(400)] + [(None, None), (1, "x" * 5000)]
+    got = bpe.encode(spark.createDataFrame(given, "doc_id long, text string"), path).collect()
+    for (_, t), row in zip(given, got, strict=True):
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        assert row.ids == ids and row.n_tokens == len(ids)
+        assert row.decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        assert row.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    assert bpe.encode(none, path).count() == 0
+
+
+def test_lexicon_is_exact_and_shares_suffixes(tmp_path):
+    words = {w.encode(): [k, k + 1] for k, w in enumerate(["walking", "talking", "walk", "talk", "king", "é"])}
+    (tmp_path / "x").write_bytes(bpe.compile_lexicon(words))
+    lex = bpe.Lexicon(str(tmp_path / "x"))
+    found = lex.find([*words, b"walkin", b"kings", b""])
+    assert [lex.ids_of(n) for n in found[:6]] == list(words.values()) and list(found[6:]) == [-1, -1, -1]
+    assert len(lex.final) < sum(map(len, words)) // 2
+
+
+def test_pii(spark, none):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+
+    def luhn(d):
+        v = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(d))]
+        return sum(x - 9 if x > 9 else x for x in v) % 10 == 0
+
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(digits(m)) <= 15),
+    }
+    r = random.Random(2)
+    parts = list("0123456789..--  ++()@@abA_%é\n") + ["4111 1111 1111 1111", "a@b.c", "1.2.3.4", "+1 (555) 555-1234"]
+    given = [(i, "".join(r.choice(parts) for _ in range(r.randint(0, 50)))) for i in range(300)] + [(900, None), (901, "1 " * 9000), (902, "a@b.c " * 300)]
+    got = {x.doc_id: x for x in pii.scan(spark.createDataFrame(given, "doc_id long, text string")).collect()}
+    for i, t in given:
+        spans = [f"{k}:{m.start()}:{m.end()}" for k, (p, ok) in kinds.items() for m in re.finditer(p, t or "") if ok(m.group())]
+        assert got[i].base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest() and got[i].spans.startswith(",".join(spans))
+    assert pii.scan(none).count() == 0
+
+
+def test_pii_context(spark):
+    given = [(i, f"so account number +1555000{i:04d} then") for i in range(20)] + [(50, "my account number 998877665 here"), (51, "in total 1234567 seen")]
+    got = {x.doc_id: x.spans for x in pii.scan(spark.createDataFrame(given, "doc_id long, text string")).collect()}
+    assert got[50] == "context:18:27" and got[51] == ""
+
+
+def test_quality_rules(docs, texts, none):
+    got = {(r.doc_id, r.n_words): r for r in quality_rules.judge(docs.filter("doc_id is null or doc_id != 9")).collect()}
+    for i, t in texts:
+        if i == 9:
+            continue
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        at = {}
+        for k in range(len(w) - 2):
+            at.setdefault(tuple(w[k : k + 3]), []).append(k)
+        n = len({p for v in at.values() if len(v) > 1 for k in v for p in (k, k + 1, k + 2)})
+        row = got[i, len(w)]
+        assert (row.n_repeat_words, row.word_chars) == (n, sum(map(len, w))) and row.base_failed == (len(w) < 50 or 100 * n > 50 * len(w))
+    assert quality_rules.judge(none).count() == 0
+
+
+def test_url_filter(spark):
+    urls = [None, "", "no scheme", "http://EXAMPLE.org/es/x?q", "https://a.example.org/en/12", "http://example.org/en/2", "http://org", "http://x.com/fr/", "http://notexample.org/es/", "ftp://a.b.com/de/#y", "http://com/fr/a", "http://x.org?/es/"] * 2
+    pages = spark.createDataFrame([(None if i == 3 else i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    rules = spark.createDataFrame(url_filter.RULES, "verdict string, host string, path string")
+    got = url_filter.judge(pages, rules).collect()
+
+    def want(u):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host = re.match(r"[^/?#]*", rest)[0].lower()
+        path = re.match(r"[^/?#]*([^?#]*)", rest)[1]
+        fit = [(h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return (host, path, *max(fit, key=lambda x: len(x[0]), default=(None, "allow")))
+
+    assert sorted(map(repr, (tuple(r)[1:] for r in got))) == sorted(map(repr, map(want, urls)))
+    assert url_filter.judge(pages, rules.limit(0), default="block").filter("verdict = 'block'").count() == len(urls)
+
+
+def test_warc(spark):
+    given = [(i, f"http://h{i % 3}.example.com/{i}", ["same", None, "", f"x{i}\r\n\r\nWARC/1.1"][i % 4]) for i in range(40)] + [(100, None, "same")]
+    pages = spark.createDataFrame(given, "page_id long, url string, html string")
+    path = fresh_path(spark, "warc")
+    warc.write(pages, path, records_per_file=7)
+    got = warc.read(spark, path, rows_per_range=5).orderBy("range_no", "position").collect()
+    assert len(got) == 41 and [(r.urlkey, r.ts, r.page_id) for r in got] == sorted((r.urlkey, r.ts, r.page_id) for r in got)
+    first = {}
+    for i, _, h in given:
+        first.setdefault(h or "", i)
+    for r in got:
+        h = next(x for i, _, x in given if i == r.page_id) or ""
+        assert (r.payload_bytes, r.payload_digest) == (len(h), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode())
+        assert (r.record_type, r.refers_to) == (("response", None) if first[h] == r.page_id else ("revisit", first[h]))
+    path = fresh_path(spark, "warc")
+    warc.write(pages, path, min_bytes=1)
+    assert warc.read(spark, path).filter("payload_bytes = 0 and record_type = 'revisit'").count() == 0
+    with pytest.raises(warc.Broken):
+        list(warc.records(gzip.GzipFile(fileobj=__import__("io").BytesIO(gzip.compress(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort")))))
+
+
+def test_loser_tree():
+    r = random.Random(1)
+    for k in range(9):
+        runs = [sorted(r.randint(0, 30) for _ in range(r.randint(0, 9))) for _ in range(k)]
+        assert list(warc.LoserTree(runs, lambda x: x)) == sorted(x for run in runs for x in run)
+
+
+def test_classifier_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    m = quality_classifier.fit(docs, labels.filter("hash(doc_id) % 2 = 0"))
+    held = quality_classifier.judge(docs, m).join(labels.filter("hash(doc_id) % 2 != 0"), "doc_id").toPandas()
+    good, bad = held[held.quality == 1].kept, held[held.quality == 0].kept
+    assert good.mean() > 0.97 and bad.mean() < 0.25
+
+
+def test_classifier_edges(spark, docs, none):
+    labels = spark.createDataFrame([(None, 1), (1, None), (999, 0)], "doc_id long, quality long")
+    m = quality_classifier.fit(docs, labels)
+    assert quality_classifier.judge(docs, m).filter("not kept").count() == 3
+    assert quality_classifier.keep(docs, m).schema == docs.schema and quality_classifier.judge(none, m).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_queries_match_sql(spark, name):
+    assert rows(queries.QUERIES[name](spark, SF).toPandas()) == rows(connect(SF).execute(queries.ORACLE[name]).df())
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as p
+
+    got = {r.doc_id: r for r in p.run(spark, SF).collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = quality_classifier.keep(docs, quality_classifier.fit(docs, spark.read.parquet(f"{SF}/labels.parquet")))
+    kept = {r.doc_id: r.text for r in kept.collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for i, t in kept.items() if (w := t.encode().lower().split())}
+    comp = {i: i for i in kept}
+    for a in sets:
+        for b in sets:
+            n = len(sets[a] & sets[b]) if a < b else 0
+            if n and 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+                x, y = sorted((comp[a], comp[b]))
+                comp = {k: x if v == y else v for k, v in comp.items()}
+    m = decontaminate.Matcher([tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()])
+    want = {i for i, c in comp.items() if c == i and not m.find(decontaminate.words_of(kept[i].encode()))[0]}
+    assert set(got) == want and all(r.n_tokens for r in got.values())
