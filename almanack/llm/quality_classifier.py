@@ -99,15 +99,22 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Scale and offset that make z a log-odds: Newton steps, with targets drawn in so that sure data stay finite."""
     pos, neg = y.sum(), len(y) - y.sum()
     t = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
+
+    def loss(a: float, b: float) -> float:
+        u = a * z + b
+        return float((np.logaddexp(0, u) - t * u).sum() + 0.05 * ((a - 1) ** 2 + b * b))
+
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
         s = p * (1 - p)
-        g = np.array([((p - t) * z).sum() + 1e-3 * (a - 1), (p - t).sum()])
-        h = np.array([[(s * z * z).sum() + 1e-3, (s * z).sum()], [(s * z).sum(), s.sum() + 1e-6]])
-        d = np.linalg.solve(h, g)
-        a, b = a - d[0], b - d[1]
-        if abs(d).max() < 1e-6:
+        g = np.array([((p - t) * z).sum() + 0.1 * (a - 1), (p - t).sum() + 0.1 * b])
+        h = np.array([[(s * z * z).sum() + 0.1, (s * z).sum()], [(s * z).sum(), s.sum() + 0.1]])
+        d, step, now = np.linalg.solve(h, g), 1.0, loss(a, b)
+        while step > 1e-4 and loss(a - step * d[0], b - step * d[1]) > now:  # Newton's step can overshoot
+            step /= 2
+        a, b = a - step * d[0], b - step * d[1]
+        if step * abs(d).max() < 1e-6:
             break
     return float(a), float(b)
 
@@ -168,11 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labe
                 fit_for = [k for k in order if (p[k] if label else 1 - p[k]) >= sure and pool[k] not in more[other]][:each]
                 more[other].update({int(pool[k]): label for k in fit_for})
     ca, cb = (_platt(_raw(x[held], fitted[n]).astype(float), y[held]) for n, x in (("a", a), ("b", b)))
-    m = Model(fitted["a"], fitted["b"], ca, cb)
-    # keep good documents: the threshold is one half, or lower if over one good held-out document in two hundred would go
-    good = m.scores(a[held], b[held])[2][y[held] == 1]
-    m.threshold = float(min(0.5, np.quantile(good, 0.005)))
-    return m
+    return Model(fitted["a"], fitted["b"], ca, cb)
 
 
 def _score(model):
