@@ -178,13 +178,15 @@ def describe(hot, width: int, percent: int):
     return run
 
 
-def prefixes(hot, width: int, percent: int):
-    """The prefix shingles of each group of the batch."""
+def prefixes(hot, width: int, percent: int, most_seen: int = 1 << 18):
+    """The prefix shingles of each group, once for each `most_seen` groups of a task."""
 
     def run(batches):
-        words = Words()
+        words, seen = Words(), set()
         for batch in batches:
-            seen, rows = set(), []
+            rows = []
+            if len(seen) > most_seen:
+                seen.clear()
             for _, raw in _texts(batch):
                 s = shingle_set(raw, words, width)
                 if len(s):
@@ -285,7 +287,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     rows = docs.mapInArrow(prefixes(known, width, percent), "shingle long, grp long, n long, n_hot long, is_hot long")
 
     # groups that share cold shingles
-    cold = rows.filter("is_hot = 0").select("shingle", "grp", "n", "n_hot").distinct().repartition("shingle")
+    cold = rows.filter("is_hot = 0").select("shingle", "grp", "n", "n_hot").repartition("shingle").distinct()
     x, y = (cold.select("shingle", *(F.col(c).alias(f"{c}{i}") for c in ("grp", "n", "n_hot"))) for i in (1, 2))
     rest = f"greatest(ceil(n1 * {percent} / 100), ceil(n2 * {percent} / 100)) - 1 + least(n_hot1, n_hot2)"
     pairs = x.join(y, "shingle").filter("grp1 < grp2").filter(_similar_size(percent)).groupBy("grp1", "grp2", "n1", "n2", "n_hot1", "n_hot2").agg(F.count(F.lit(1)).alias("common"))
