@@ -31,7 +31,7 @@ def query(sql: str | None = None):
     return add
 
 
-EV = "(SELECT event_id AS doc_id, CAST(ts AS DATE) AS date, CASE WHEN event_id % 10 <> 0 THEN hour(ts) * 60 + minute(ts) END AS tm, event_type AS topic, value, ts, user_id, props FROM events)"
+EV = "(SELECT event_id AS doc_id, CAST(ts AS DATE) AS date, CASE WHEN event_type <> 'error' THEN hour(ts) * 60 + minute(ts) END AS tm, event_type AS topic, value, ts, user_id, props FROM events)"
 OR = "(SELECT o_orderkey AS doc_id, CAST(o_orderdate AS DATE) AS date, o_orderpriority AS topic, o_orderstatus AS mood, c_name AS person, n_name AS location, c_mktsegment AS tag, o_totalprice AS value, o_custkey AS person_id FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"
 TITLE = r"substr(trim(coalesce(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1], '')), 1, 50)"
 ABSTRACT = r"substr(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')), 1, 100)"
@@ -318,12 +318,12 @@ def j3_j24_backlinks(spark, d):
     return r.groupBy(F.col("t").alias("target")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda x: x.cast("string")), ",").alias("backlinks"))
 
 
-@query("SELECT event_id, n_name AS name FROM events JOIN nation ON lower(n_name) = lower((SELECT n_name FROM nation WHERE n_nationkey = user_id % 25)) AND n_nationkey = user_id % 25")
+@query("SELECT c_custkey AS id, b.n_name AS name FROM customer JOIN nation a ON c_nationkey = a.n_nationkey JOIN nation b ON lower(a.n_name) = lower(b.n_name)")
 def j4_g1_name_lookup(spark, d):
-    n = D.table(spark, d, "nation")
+    n, c = D.table(spark, d, "nation"), D.table(spark, d, "customer")
     lookup = n.select(F.lower("n_name").alias("key"), F.col("n_name").alias("name"))
-    e = D.table(spark, d, "events").join(F.broadcast(n), (F.col("user_id") % 25) == F.col("n_nationkey")).select("event_id", F.lower("n_name").alias("key"))
-    return e.join(F.broadcast(lookup), "key").select("event_id", "name")
+    mentions = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), F.lower("n_name").alias("key"))
+    return mentions.join(lookup, "key").select("id", "name")
 
 
 EDGES = "e0 AS (SELECT 'nation-' || n_nationkey AS source, 'member_of' AS relation, 'region-' || n_regionkey AS target FROM nation UNION ALL SELECT 'supplier-' || s_suppkey, 'lives_in', 'nation-' || s_nationkey FROM supplier)"
@@ -346,10 +346,11 @@ for _k in (1, 2, 3):
     _hops(_k)
 
 
-@query(f"WITH {EDGES} SELECT source, relation, target FROM e0 WHERE target NOT IN (SELECT 'nation-' || n_nationkey FROM nation WHERE n_regionkey < 3) AND relation = 'lives_in'")
+@query("SELECT 'order-' || o_orderkey AS source, 'ships' AS relation, 'lines-' || o_orderkey AS target FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def j12_g4_dangling(spark, d):
-    few = D.table(spark, d, "nation").filter("n_regionkey < 3").select(F.concat(F.lit("nation-"), F.col("n_nationkey").cast("string")).alias("id"))
-    return G.dangling(D.edges(spark, d).filter("relation = 'lives_in'"), few).select("source", "relation", "target")
+    key = lambda p, c: F.concat(F.lit(f"{p}-"), F.col(c).cast("string"))
+    links = D.table(spark, d, "orders").select(key("order", "o_orderkey").alias("source"), F.lit("ships").alias("relation"), key("lines", "o_orderkey").alias("target"))
+    return G.dangling(links, D.table(spark, d, "lineitem").select(key("lines", "l_orderkey").alias("id"))).select("source", "relation", "target")
 
 
 @query("SELECT lower(p_name) AS name, count(DISTINCT p_partkey) AS n, min(p_partkey) AS first_id FROM part GROUP BY 1 HAVING n > 1")
@@ -357,10 +358,9 @@ def q13_duplicate_alias(spark, d):
     return G.duplicate_names(D.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
 
 
-@query("WITH p AS (SELECT c_custkey AS id, lower(c_name) AS name FROM customer WHERE c_custkey <= 400) SELECT a.id AS id1, b.id AS id2 FROM p a JOIN p b ON a.id < b.id AND abs(length(a.name) - length(b.name)) <= 1 AND levenshtein(a.name, b.name) <= 1")
+@query("WITH p AS (SELECT c_custkey AS id, lower(c_name) AS name FROM customer) SELECT a.id AS id1, b.id AS id2 FROM p a JOIN p b ON a.id < b.id AND abs(length(a.name) - length(b.name)) <= 1 AND levenshtein(a.name, b.name) <= 1")
 def j10_near_names(spark, d):
-    c = D.table(spark, d, "customer").filter("c_custkey <= 400")
-    return G.near_names(c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")))
+    return G.near_names(D.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")))
 
 
 @query(f"WITH d AS (SELECT DISTINCT user_id, date, topic FROM {EV}) SELECT a.topic AS a, b.topic AS b, count(*) AS n_groups, round(least(1.0::DOUBLE, count(*) / 5), 4) AS confidence, CASE WHEN count(*) >= 3 THEN 'confirm' WHEN count(*) = 2 THEN 'review' ELSE 'low' END AS action FROM d a JOIN d b ON a.user_id = b.user_id AND a.date = b.date AND a.topic < b.topic GROUP BY 1, 2")
@@ -386,10 +386,10 @@ def a13_g5_entity_stats(spark, d):
     return G.stats(D.entities(spark, d), D.edges(spark, d))
 
 
-@query("SELECT CAST(n AS VARCHAR) AS name, f AS frequency FROM (SELECT user_id AS n, count(*) AS f FROM events WHERE event_type IN ('click', 'purchase') GROUP BY 1 HAVING f >= 2) WHERE n NOT IN (SELECT c_custkey FROM customer WHERE c_custkey <= 50)")
+@query("SELECT CAST(n AS VARCHAR) AS name, f AS frequency FROM (SELECT user_id AS n, count(*) AS f FROM events WHERE event_type IN ('click', 'purchase') GROUP BY 1 HAVING f >= 2) WHERE n NOT IN (SELECT s_suppkey FROM supplier)")
 def a15_a16_seed_frequency(spark, d):
     n = D.table(spark, d, "events").filter("event_type in ('click', 'purchase')").groupBy("user_id").agg(F.count(F.lit(1)).alias("frequency")).filter("frequency >= 2")
-    known = D.table(spark, d, "customer").filter("c_custkey <= 50").select(F.col("c_custkey").alias("user_id"))
+    known = D.table(spark, d, "supplier").select(F.col("s_suppkey").alias("user_id"))
     return n.join(known, "user_id", "left_anti").select(F.col("user_id").cast("string").alias("name"), "frequency")
 
 
@@ -405,8 +405,8 @@ def a18_t9_search_diagnostics(spark, d):
     return D.table(spark, d, "events").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.expr("percentile_disc(0.95) within group (order by value)").alias("p95"), F.count_if(F.col("value") > 100).alias("n_slow"), F.count_if(F.col("event_type") == "error").alias("n_error"))
 
 
-QREL = "q AS (SELECT item_id AS query_id, doc_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text))"
-RUN = "r0 AS (SELECT query_id, doc_id, CAST(n_chars % 100 AS DOUBLE) AS score FROM (SELECT DISTINCT query_id FROM q), documents WHERE doc_id % 7 = query_id % 7 UNION SELECT query_id, doc_id, 99.0 FROM q)"
+QREL = "q AS (SELECT source || ' ' || lang AS query_id, doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1)"
+RUN = "r0 AS (SELECT source || ' ' || lang AS query_id, doc_id, CAST(n_chars AS DOUBLE) AS score FROM documents)"
 
 
 @query(f"""WITH {QREL}, {RUN}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM r0 QUALIFY r <= 5),
@@ -415,18 +415,15 @@ z AS (SELECT query_id, count(*) AS size FROM t GROUP BY 1), n AS (SELECT query_i
 SELECT query_id, n_relevant, round(coalesce(1 / f, 0), 4) AS mrr, round(coalesce(hits / n_relevant, 0), 4) AS recall, round(coalesce(hits / size, 0), 4) AS prec,
 round(coalesce(dcg / list_sum(list_transform(range(1, CAST(least(n_relevant, 5) AS BIGINT) + 1), lambda i: 1 / log2(i + 1))), 0), 4) AS ndcg FROM n LEFT JOIN h USING (query_id) LEFT JOIN z USING (query_id)""")
 def a19_a20_j18_ir_metrics(spark, d):
-    docs, b = D.table(spark, d, "documents"), D.table(spark, d, "benchmark")
-    q = docs.select("doc_id", F.col("text").alias("body")).join(F.broadcast(b), F.col("body").contains(F.col("text"))).select(F.col("item_id").alias("query_id"), "doc_id")
-    ids = q.select("query_id").distinct()
-    run = docs.select("doc_id", (F.col("n_chars") % 100).cast("double").alias("score"), (F.col("doc_id") % 7).alias("m")).join(ids.withColumn("m", F.col("query_id") % 7), "m").select("query_id", "doc_id", "score")
-    run = run.unionByName(q.select("query_id", "doc_id", F.lit(99.0).alias("score"))).distinct()
-    return E.per_query(run, q)
+    docs = D.table(spark, d, "documents").select(F.concat_ws(" ", "source", "lang").alias("query_id"), "doc_id", F.col("n_chars").cast("double").alias("score"))
+    good = D.table(spark, d, "labels").filter("quality = 1").select("doc_id")
+    return E.per_query(docs, docs.join(good, "doc_id").select("query_id", "doc_id"))
 
 
-@query("SELECT coalesce(a.k, b.k) AS query_id, CASE WHEN a.p IS NULL THEN 'new_in_candidate' WHEN b.p IS NULL THEN 'missing_from_candidate' WHEN a.p AND b.p THEN 'still_passing' WHEN NOT a.p AND b.p THEN 'fixed' WHEN a.p THEN 'regressed' ELSE 'still_failing' END AS status FROM (SELECT doc_id AS k, quality = 1 AS p FROM labels WHERE doc_id % 5 <> 0) a FULL JOIN (SELECT doc_id AS k, toxic = 0 AS p FROM labels WHERE doc_id % 4 <> 0) b ON a.k = b.k")
+@query("SELECT coalesce(a.k, b.k) AS query_id, CASE WHEN a.p IS NULL THEN 'new_in_candidate' WHEN b.p IS NULL THEN 'missing_from_candidate' WHEN a.p AND b.p THEN 'still_passing' WHEN NOT a.p AND b.p THEN 'fixed' WHEN a.p THEN 'regressed' ELSE 'still_failing' END AS status FROM (SELECT doc_id AS k, quality = 1 AS p FROM labels) a FULL JOIN (SELECT doc_id AS k, n_chars >= 500 AS p FROM documents) b ON a.k = b.k")
 def a31_j20_run_compare(spark, d):
-    t = D.table(spark, d, "labels")
-    return E.compare(t.filter("doc_id % 5 <> 0").select(F.col("doc_id").alias("query_id"), (F.col("quality") == 1).alias("passed")), t.filter("doc_id % 4 <> 0").select(F.col("doc_id").alias("query_id"), (F.col("toxic") == 0).alias("passed")))
+    base = D.table(spark, d, "labels").select(F.col("doc_id").alias("query_id"), (F.col("quality") == 1).alias("passed"))
+    return E.compare(base, D.table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), (F.col("n_chars") >= 500).alias("passed")))
 
 
 @query("SELECT lang AS category, count(*) AS n, count(*) FILTER (quality = 1) AS n_pass, round(avg(CAST(quality AS DOUBLE)), 4) AS pass_rate FROM labels JOIN documents USING (doc_id) GROUP BY lang")
@@ -503,13 +500,15 @@ def q8_q9_q10_text_checks(spark, d):
     return Q.text_flags(D.table(spark, d, "documents"))
 
 
-OLD = "(SELECT doc_id, md5(text) AS hash FROM documents WHERE doc_id % 10 <> 3)"
-NEW = "(SELECT doc_id, md5(CASE WHEN doc_id % 10 = 5 THEN text || '!' ELSE text END) AS hash FROM documents WHERE doc_id % 10 <> 7)"
+OLD = "(SELECT o_orderkey AS doc_id, md5(o_orderstatus) AS hash FROM orders)"
+NEW = "(SELECT l_orderkey AS doc_id, md5(CASE WHEN min(l_linestatus) <> max(l_linestatus) THEN 'P' ELSE min(l_linestatus) END) AS hash FROM lineitem GROUP BY 1)"
 
 
 def _versions(spark, d):
-    t = D.table(spark, d, "documents").select("doc_id", "text")
-    return t.filter("doc_id % 10 <> 3").select("doc_id", F.md5("text").alias("hash")), t.filter("doc_id % 10 <> 7").select("doc_id", F.md5(F.when(F.col("doc_id") % 10 == 5, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("hash"))
+    """Orders' states as recorded, and as their lines have them."""
+    low, high = F.min("l_linestatus"), F.max("l_linestatus")
+    lines = D.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.md5(F.when(low != high, "P").otherwise(low)).alias("hash"))
+    return D.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.md5("o_orderstatus").alias("hash")), lines
 
 
 @query(f"SELECT doc_id, CASE WHEN a.hash IS NULL THEN 'added' WHEN b.hash IS NULL THEN 'removed' WHEN a.hash <> b.hash THEN 'updated' ELSE 'same' END AS change FROM {OLD} a FULL JOIN {NEW} b USING (doc_id)")

@@ -13,12 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def event_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as dated entries; every tenth has no time of day."""
+    """Events as dated entries; errors have no time of day."""
     e = table(spark, sf_dir, "events")
     return e.select(
         F.col("event_id").alias("doc_id"),
         F.to_date("ts").alias("date"),
-        F.when(F.col("event_id") % 10 != 0, F.hour("ts") * 60 + F.minute("ts")).alias("time_minutes"),
+        F.when(F.col("event_type") != "error", F.hour("ts") * 60 + F.minute("ts")).alias("time_minutes"),
         F.col("event_type").alias("topic"),
         F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("person"),
         "value", "props", "ts", "user_id",

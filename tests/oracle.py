@@ -21,6 +21,12 @@ def rows(df: pd.DataFrame) -> list:
     return sorted(repr([one(v) for v in r]) for r in df.astype(object).where(df.notna(), None).itertuples(index=False))
 
 
+def python_rows(names: list[str], found: list) -> list:
+    """Rows of Python values in order of column name: whole numbers stay whole beside nulls."""
+    by = sorted(range(len(names)), key=lambda i: names[i])
+    return sorted(repr([r[i].isoformat() if hasattr(r[i], "isoformat") else r[i] for i in by]) for r in found)
+
+
 def connect(sf_dir: str):
     con = duckdb.connect()
     for t in TABLES:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from almanack.functions import text as T
 from almanack.operators import aggregate as A
+from almanack.operators import changes as C
 from almanack.operators import evaluate as E
 from almanack.operators import graph as G
 from almanack.operators import search as S
@@ -110,3 +111,15 @@ def test_stream_keeps_the_latest(spark, tmp_path):
 def test_sessions(spark):
     e = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:10:00"), (1, "2024-01-01 02:00:00")], "user_id long, t string").withColumn("ts", F.to_timestamp("t"))
     assert sorted(r.n for r in I.sessions(e).collect()) == [1, 2]
+
+
+def test_change_set_and_run_comparison_name_every_case(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "doc_id long, hash string")
+    new = spark.createDataFrame([(2, "b"), (3, "x"), (4, "d")], "doc_id long, hash string")
+    assert {r.doc_id: r.change for r in C.change_set(old, new).collect()} == {1: "removed", 2: "same", 3: "updated", 4: "added"}
+    assert {r.doc_id: r.reason for r in C.freshness(old, new).collect()} == {1: "scope_missing", 2: "fresh", 3: "source_hash_mismatch", 4: "removed_scope"}
+    schema = "query_id long, passed boolean"
+    a = spark.createDataFrame([(1, True), (2, True), (3, False), (4, False), (5, True)], schema)
+    b = spark.createDataFrame([(1, True), (2, False), (3, True), (4, False), (6, True)], schema)
+    want = {1: "still_passing", 2: "regressed", 3: "fixed", 4: "still_failing", 5: "missing_from_candidate", 6: "new_in_candidate"}
+    assert {r.query_id: r.status for r in E.compare(a, b).collect()} == want

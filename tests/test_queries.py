@@ -4,7 +4,7 @@ import pytest
 
 from almanack.plans import registry
 
-from .oracle import connect, rows
+from .oracle import connect, python_rows
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,9 +16,10 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_matches_sql(spark, con, name):
-    mine, theirs = registry.QUERIES[name](spark, SF).toPandas(), con.execute(registry.ORACLE[name]).df()
-    assert sorted(mine.columns) == sorted(theirs.columns)
-    assert rows(mine) == rows(theirs)
+    mine, theirs = registry.QUERIES[name](spark, SF), con.execute(registry.ORACLE[name])
+    names = [x[0] for x in theirs.description]
+    assert sorted(mine.columns) == sorted(names)
+    assert python_rows(mine.columns, mine.collect()) == python_rows(names, theirs.fetchall())
 
 
 def test_entry_and_registry(spark):
