@@ -253,14 +253,15 @@ def _stars(pairs: DataFrame, sets: DataFrame, percent: int, most: int = 2) -> Da
     return best.select(F.explode("x.a").alias("a"), "b")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, hot: int = 24, most_hot: int = 1 << 20, most_ids: int = 1 << 20) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, hot: int = 24, most_hot: int = 1 << 20, most_ids: int = 1 << 20, carried: int = 64) -> DataFrame:
     """Near-duplicate classes of documents: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; a text of fewer words than `width` has its whole
     sequence as one shingle; one without words, or null, has none and no link. Ids should be unique; rows with equal ids
     are kept, each with its own set, and a row with a null id gets the class of its equals (null if it has none). Shingles are
     compared by 64-bit hashes. `most_hot` bounds what is broadcast of hot shingles: where more are found, the count from
-    which one is hot is raised. `most_ids` bounds the ids broadcast to pick texts; beyond it they are joined.
+    which one is hot is raised. `most_ids` bounds the ids broadcast to pick texts; beyond it they are joined. `carried` is how many hot shingles go with a
+    document to make each pair once; with more, a pair may be made in several buckets, and counts once all the same.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -297,12 +298,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     close = written(expanded.select(F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b")), "close")
 
     # buckets that may be large: a hot shingle's groups, and a group's own members
-    hot_rows = rows.filter("is_hot = 1").select(F.col("shingle").alias("bucket"), "grp").distinct().join(member, "grp").select("bucket", "doc", F.lit(False).alias("own"))
+    hots = written(rows.filter("is_hot = 1").groupBy("grp").agg(F.sort_array(F.collect_set("shingle")).alias("hots")).join(member, "grp").select("doc", "hots"), "hots")
+    hot_rows = hots.select(F.explode("hots").alias("bucket"), "doc", F.lit(False).alias("own"))
     several = sets.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     own_rows = sets.join(several, "grp").select(F.col("grp").alias("bucket"), "doc", F.lit(True).alias("own"))
-    # weight: prefix shingles in common that the bucket stands for; most: prefix shingles that any bucket can stand for
-    whole = F.expr("if(own, n, 1)").alias("weight"), F.expr("if(own, n, n_hot)").alias("most")
-    buckets = written(hot_rows.union(own_rows).join(sets.select("doc", "n", "n_hot"), "doc").select("bucket", "doc", "n", *whole), "buckets")
+    # most: prefix shingles that two members of the bucket can have in common
+    buckets = written(hot_rows.union(own_rows).join(sets.select("doc", "n", "n_hot", "grp"), "doc").select("bucket", "own", "doc", "grp", "n", F.expr("if(own, n, n_hot)").alias("most")), "buckets")
     heads = buckets.groupBy("bucket").agg(F.min("doc").alias("h1"), F.min_by("doc", F.xxhash64("doc")).alias("h2"))
     stars = _stars(buckets.join(heads, "bucket").select(F.explode(F.array_distinct(F.array("h1", "h2"))).alias("a"), F.col("doc").alias("b"), F.col("n").alias("n2")), sets, percent)
 
@@ -333,11 +334,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         placed = mixed_rows()
     left = label(label(close.join(spanning, ["a", "b"], "left_anti"), "a"), "b").filter("c_a != c_b").select("a", "b")
     # pairs with a cold shingle in common are among the close ones if they can be links; the others need enough hot ones
-    x, y = (placed.select("bucket", *(F.col(c).alias(f"{c}{i}") for c in ("doc", "n", "c_doc", "weight", "most"))) for i in (1, 2))
+    # each pair is made in one bucket: that of its group, or else of the first hot shingle that both have in common
+    placed = placed.join(hots.select("doc", F.slice("hots", 1, carried).alias("first")), "doc", "left")
+    x, y = (placed.select("bucket", "own", *(F.col(c).alias(f"{c}{i}") for c in ("doc", "grp", "n", "c_doc", "most", "first"))) for i in (1, 2))
     rest = f"greatest(ceil(n1 * {percent} / 100), ceil(n2 * {percent} / 100)) - 1"
     can = lambda common: F.expr(f"{100 + percent} * ({common} + {rest}) >= {percent} * (n1 + n2)")
-    across = x.join(y, "bucket").filter("doc1 < doc2 and c_doc1 != c_doc2").filter(_similar_size(percent)).filter(can("least(most1, most2)"))
-    across = across.groupBy(F.col("doc1").alias("a"), F.col("doc2").alias("b"), "n1", "n2").agg(F.sum("weight1").alias("common")).filter(can("common")).select("a", "b")
+    both = "array_intersect(first1, first2)"
+    pair = x.join(y, ["bucket", "own"]).filter("doc1 < doc2 and c_doc1 != c_doc2").filter(_similar_size(percent)).filter(can("least(most1, most2)"))
+    once = F.expr(f"own or (grp1 != grp2 and coalesce(get({both}, 0) >= bucket, true))")
+    across = pair.filter(once).filter(F.expr(f"own or greatest(most1, most2) > {carried}") | can(f"size({both})")).select(F.col("doc1").alias("a"), F.col("doc2").alias("b"))
     left = written(left.union(across).distinct(), "left")
     if left.limit(1).count():
         merged = joined(_links(left, docs, width, percent, most_ids))
