@@ -23,7 +23,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, hadoop_path, table
+from .common import fresh_path, hadoop_path, pieces, table
 
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 
@@ -295,7 +295,7 @@ def _encode(name: str, spec, with_ids: bool):
             _open.clear()
             _open[name] = Encoder(Model(spec.value), Lexicon(SparkFiles.get(name)))
         encoder = _open[name]
-        for batch in batches:
+        for batch in pieces(batches):
             counts, own, back, lists = [], [], [], []
             texts, group, size = batch.column(1).to_pylist(), [], 0
             for k, text in enumerate(texts, 1):

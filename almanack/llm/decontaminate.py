@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import pieces, table
 
 WINDOW = 10
 _KEEP = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
@@ -155,7 +155,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id
 
     def keep(matcher):
         def run(batches):
-            for batch in batches:
+            for batch in pieces(batches):
                 raw = batch.column(batch.schema.names.index(text_col)).cast(pa.binary()).to_pylist()
                 yield batch.filter(pa.array([not matcher.value.find(words_of(x or b""))[0] for x in raw], pa.bool_()))
 

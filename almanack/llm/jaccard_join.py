@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, table, written
+from .common import fresh_path, pieces, table, written
 from .components import components
 
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -119,7 +119,8 @@ def prefix(s: np.ndarray, hot: np.ndarray, percent: int) -> tuple[np.ndarray, np
 
 
 def _texts(batch: pa.RecordBatch):
-    return zip(batch.column(0).to_pylist(), (x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()), strict=True)
+    for part in pieces([batch]):
+        yield from zip(part.column(0).to_pylist(), (x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()), strict=True)
 
 
 def _table(**columns) -> pa.RecordBatch:
@@ -145,11 +146,11 @@ def count_prefixes(hot, width: int, percent: int):
                 seen.add(mark)
                 first = s[: len(s) - _need(len(s), percent) + 1]
                 if hot is None:
-                    out.append(first)
+                    out.append(first.copy())  # a view would keep the whole set
                 elif k := int(_member(first, hot.value).sum()):
                     # what the prefix will reach if the rest is as hot, and half as much again
                     p = len(first)
-                    out.append(s[p : p + (3 * k * p) // (2 * (p - k)) + 16] if k < p else s[p:])
+                    out.append((s[p : p + (3 * k * p) // (2 * (p - k)) + 16] if k < p else s[p:]).copy())
             yield _counted(out)
 
     return run
@@ -193,7 +194,7 @@ def prefixes(hot, width: int, percent: int, most_seen: int = 1 << 18):
                     cold, h = prefix(s, hot.value, percent)
                     if (g := _group(len(s), cold, h)) not in seen:
                         seen.add(g)
-                        rows.append((g, len(s), cold, h))
+                        rows.append((g, len(s), cold.copy(), h))
             count = [len(c) + len(h) for _, _, c, h in rows]
             each = lambda k, v: np.repeat(np.array(v, np.uint64), count)
             yield _table(
@@ -210,7 +211,7 @@ def verify(width: int, percent: int):
 
     def run(batches):
         words, known = Words(), {}
-        for batch in batches:
+        for batch in pieces(batches, 64):
             cols = [batch.column(i).to_pylist() for i in range(2)] + [batch.column(i).cast(pa.binary()).to_pylist() for i in (2, 3)]
             a_out, b_out = [], []
             for a, b, ta, tb in zip(*cols, strict=True):

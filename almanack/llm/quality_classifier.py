@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import pieces, table
 
 TRIGRAMS, CLASSES, META = 2048, 8, 64
 _LINE_END = re.compile(rb"[.!?:;\"')]\s*$")
@@ -69,7 +69,7 @@ def _rows(batch: pa.RecordBatch):
 
 
 def _features(batches):
-    for batch in batches:
+    for batch in pieces(batches):
         a, b = [], []
         for raw, *meta in _rows(batch):
             a.append(text_features(raw).astype(np.float16).tobytes())
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labe
 
 def _score(model):
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             x, y, p, kept = model.value.of(batch)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x), pa.array(y), pa.array(p), pa.array(kept)], names=["doc_id", "text_score", "meta_score", "score", "kept"])
 
@@ -201,7 +201,7 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             yield batch.filter(pa.array(shared.value.of(batch)[3]))
 
     return docs.mapInArrow(run, docs.schema)

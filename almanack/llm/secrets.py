@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import pieces, table
 
 KINDS = ("assign", "access", "hex", "der", "openssh", "token")
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -187,7 +187,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars",
     """docs with secrets replaced in its texts, and lengths to match; all columns and rows stay, null texts too."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             names = batch.schema.names
             old = batch.column(names.index(text_col)).to_pylist()
             new = [x if x is None else redacted(x, mark) for x in old]
