@@ -3,7 +3,8 @@
 Plain patterns find assignments, access keys and hex strings. Beyond them, base64 and hex candidates are decoded and
 reported only if what they hold has the structure of a key or a signed token: DER key encodings whose nested lengths add
 up, OpenSSH private keys with their length-prefixed fields, and three-part tokens whose header and payload are JSON and
-whose header names an algorithm. Texts are scanned whole, partition by partition; nothing is shuffled.
+whose header names an algorithm. A key's lines may be joined by real or escaped line breaks, indentation or literals' quotes.
+Texts are scanned whole, partition by partition; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -25,7 +26,14 @@ _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _HINTS = ("passw", "secret", "token", "apikey", "api_key")
-_ENCODED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:(?P<token>eyJ[A-Za-z0-9_-]+={0,2}\.[A-Za-z0-9_-]+={0,2}\.[A-Za-z0-9_-]*)|(?P<b64>(?:M|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/_-]{30,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2})|(?P<hex>30[0-9A-Fa-f]{62,}))")
+#: Where an encoded candidate starts: not within a run of its characters, unless after a PEM label's dashes, an escaped line break or 0x.
+_START = re.compile(r"[eMb36](?:(?<![A-Za-z0-9+/_-].)|(?<=-----.)|(?<=\\[nrt].)|(?<=0[xX].))(?:(?P<token>(?<=e)yJ[A-Za-z0-9_-]+={0,2}\.[A-Za-z0-9_-]+={0,2}\.[A-Za-z0-9_-]*)|(?P<b64>(?<=M)[A-P][A-Za-z0-9+/_-]{10}|(?<=b)3BlbnNzaC1rZXktdjE)|(?P<hex>(?<=3)0[0-9A-Fa-f]{12}|(?<=6)(?i:f70656e7373682d6b65792d763100)))")
+_RUN = {"b64": re.compile(r"[A-Za-z0-9+/_-]++"), "hex": re.compile(r"[0-9A-Fa-f]++")}
+#: What may stand between the lines of one key: blanks and line breaks, real or escaped, quotes of adjoining literals; JSON's \/ too.
+_JOIN = re.compile(r"""(?:[\x20\t\r\n]|\\+[nrt]|\\+(?=[/\r\n])|["'][\x20\t\r\n]*+\+[\x20\t\r\n]*+["']|["'])++""")
+_PAD = re.compile("={0,2}")
+#: Object identifiers that start a password-based encryption: PKCS#5's and PKCS#12's.
+_PBE = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 _MAGIC = b"openssh-key-v1\0"
 
 
@@ -55,17 +63,22 @@ def _parts(data: bytes, at: int, end: int) -> list[tuple[int, int, int]]:
 
 
 def is_der_key(data: bytes) -> bool:
-    """A private key (RSA, EC or wrapped) whose nested lengths fill the data exactly."""
+    """A private key (RSA, DSA, EC, wrapped or encrypted) whose nested lengths fill the data exactly."""
     try:
         tag, a, b = _tlv(data, 0, len(data))
         if tag != 0x30 or b != len(data):
             return False
         parts = _parts(data, a, b)
-        tags = [t for t, _, _ in parts]
+        tags, sizes = [t for t, _, _ in parts], [y - x for _, x, y in parts]
+        if tags == [0x30, 0x04]:  # encrypted: algorithm with its parameters, octets
+            own = _parts(data, parts[0][1], parts[0][2])
+            return [t for t, _, _ in own] == [0x06, 0x30] and data[own[0][1] : own[0][2]].startswith(_PBE) and sizes[1] >= 8
         if tags[:1] != [0x02]:
             return False
         if len(tags) >= 9 and set(tags[:9]) == {0x02}:  # RSA: version and eight integers
             return True
+        if tags == [0x02] * 6:  # DSA: version, p, q, g, y, x
+            return data[parts[0][1] : parts[0][2]] == b"\0" and sizes[1] >= sizes[2] >= 16 and sizes[5] <= sizes[2] + 1
         if tags[:2] == [0x02, 0x04] and parts[1][2] - parts[1][1] >= 16:  # EC: version, octets
             return data[parts[0][1] : parts[0][2]] == b"\x01"
         if tags[:3] == [0x02, 0x30, 0x04]:  # wrapped: version, algorithm, key
@@ -116,35 +129,95 @@ def is_token(text: str) -> bool:
         return False
 
 
-def confirmed(m: re.Match) -> tuple[str, int, int] | None:
-    """(kind, start, end) of an encoded candidate that holds a key or token."""
-    kind, text = m.lastgroup, m.group()
+def _first(text: str, at: int, n: int, kind: str) -> tuple[bytes, int]:
+    """The n bytes encoded from `at` on, over joins of lines, and their end; ValueError if there are fewer."""
+    need = 2 * n if kind == "hex" else -(-4 * n // 3)
+    if need > len(text) - at:
+        raise ValueError
+    out = []
+    while True:
+        m = _RUN[kind].match(text, at)
+        if not m:
+            raise ValueError
+        at = min(m.end(), at + need)
+        out.append(text[m.start() : at])
+        need -= len(out[-1])
+        if not need:
+            break
+        m = _JOIN.match(text, at)
+        if not m:
+            raise ValueError
+        at = m.end()
+    data = "".join(out)
+    return (bytes.fromhex(data) if kind == "hex" else _b64(data))[:n], at
+
+
+def _der_size(head: bytes) -> int:
+    """Size by the first 7 bytes, a SEQUENCE's head and its first part's tag."""
+    k = head[1] & 0x7F if head[1] & 0x80 else 0
+    if head[0] != 0x30 or k > 4 or head[1] == 0x80 or k and not head[2] or head[2 + k] not in (0x02, 0x30):
+        raise ValueError
+    return 2 + k + (int.from_bytes(head[2 : 2 + k]) if k else head[1])
+
+
+def _openssh_sizes(first) -> list[int]:
+    """Sizes that an OpenSSH key may have by its fields: ciphers with authentication append a tag to the private part."""
+    number = lambda at: int.from_bytes(first(at + 4)[at:])
+    at = len(_MAGIC)
+    cipher = first(at + 4 + number(at))[at + 4 :]
+    for _ in range(3):
+        at += 4 + number(at)
+    count, at = number(at), at + 4
+    if not 1 <= count <= 16:
+        raise ValueError
+    for _ in range(count + 1):
+        at += 4 + number(at)
+    return [at + 16, at] if cipher.endswith((b"gcm@openssh.com", b"poly1305@openssh.com")) else [at]
+
+
+def confirmed(text: str, m: re.Match) -> tuple[str, int, int] | None:
+    """(kind, start, end) of a key or token that starts at m, a match of _START; how far a key goes is told by its own lengths."""
+    kind, start = m.lastgroup, m.start()
     if kind == "token":
-        return ("token", *m.span()) if is_token(text) else None
-    # a base64 block may run on into a following line of plain words: try it whole, then by lines
-    tries = [len(text), *(x.start() for x in reversed(list(re.finditer(r"\r?\n", text))))] if kind == "b64" else [len(text)]
-    for n in tries:
-        try:
-            data = bytes.fromhex(text[:n]) if kind == "hex" else _b64(text[:n])
-        except (ValueError, binascii.Error):
-            continue
-        for name, check in (("der", is_der_key), ("openssh", is_openssh_key)):
-            if check(data):
-                return name, m.start(), m.start() + n
+        return ("token", *m.span()) if is_token(m.group()) else None
+    try:
+        if m.group()[0] in "M3":
+            data, end = _first(text, start, _der_size(_first(text, start, 7, kind)[0]), kind)
+            whole = not _RUN[kind].match(text, end) or text.startswith("-----", end)
+            return ("der", start, _PAD.match(text, end).end()) if whole and is_der_key(data) else None
+        for n in _openssh_sizes(lambda n: _first(text, start, n, kind)[0]):
+            try:
+                data, end = _first(text, start, n, kind)
+            except ValueError:
+                continue
+            if is_openssh_key(data):
+                run = _RUN[kind].match(text, end)
+                end = run.end() if run and not text.startswith("-----", end) else end
+                return "openssh", start, _PAD.match(text, end).end()
+    except ValueError:
+        pass
     return None
 
 
+def _structures(text: str) -> list[tuple[str, int, int]]:
+    out, at = [], 0
+    while m := _START.search(text, at):
+        if s := confirmed(text, m):
+            out.append(s)
+        at = s[2] if s else m.end() if m.lastgroup == "token" else m.start() + 1
+    return out
+
+
 def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, spans of the structural method), each (kind, start, end) in code points."""
-    base, more = [], []
+    base = []
     low = text.lower()
     if any(h in low for h in _HINTS):
         base += [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 12]
     if "AKIA" in text:
         base += [("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
     base += [("hex", *m.span()) for m in _HEX.finditer(text)]
-    more = [s for m in _ENCODED.finditer(text) if (s := confirmed(m))]
-    return base, more
+    return base, _structures(text)
 
 
 def _line(spans: list) -> str:

@@ -141,6 +141,32 @@ def test_secret_structures():
     assert [s[0] for s in secrets.find("ſecret=abcdefghijklm AKIA23456789012345 0123456789abcdef")[0]] == ["access", "hex"]
 
 
+def test_secret_layouts():
+    rsa = _der(0x30, _der(2, b"\0"), *(_der(2, bytes([k + 1]) * 40) for k in range(8)))
+    dsa = _der(0x30, _der(2, b"\0"), *(_der(2, bytes([k + 1]) * n) for k, n in enumerate((256, 20, 256, 256, 20))))
+    oid = lambda h: _der(6, bytes.fromhex(h))
+    locked = _der(0x30, _der(0x30, oid("2a864886f70d01050d"), _der(0x30, _der(4, b"s" * 8))), _der(4, b"k" * 64))
+    digest = _der(0x30, _der(0x30, oid("608648016503040201"), _der(5)), _der(4, b"d" * 32))
+    fields = lambda *v: b"".join(len(x).to_bytes(4) + x for x in v)
+    ssh = b"openssh-key-v1\0" + fields(b"none", b"none", b"") + (1).to_bytes(4) + fields(b"p" * 30, b"q" * 60)
+    gcm = b"openssh-key-v1\0" + fields(b"aes256-gcm@openssh.com", b"bcrypt", b"o" * 24) + (1).to_bytes(4) + fields(b"p" * 30, b"q" * 64) + b"t" * 16
+    for data, kind in ((rsa, "der"), (dsa, "der"), (locked, "der"), (ssh, "openssh"), (gcm, "openssh")):
+        body = base64.b64encode(data).decode()
+        lines = re.findall(".{1,64}", body)
+        layouts = ["\n", "\r\n", "\\n", "\\r\\n", "\\\\n", "\n    ", "\n\t", " ", "", '\\n"\n  "', "\\n' +\n'"]
+        for sep in layouts:
+            text = f'é {{"k": "-----BEGIN PRIVATE KEY-----{sep}{sep.join(lines)}{sep}-----END PRIVATE KEY-----{sep}"}}'
+            (found,) = secrets.find(text)[1]
+            assert found[0] == kind and text[found[1] : found[2]] == sep.join(lines), (kind, sep)
+            assert lines[0] not in secrets.redacted(text) and lines[-1] not in secrets.redacted(text)
+        assert [s[0] for s in secrets.find("MAdescriptionword\n" + "\n".join(lines) + "\nword\n" + body.replace("/", "\\/"))[1]] == [kind] * 2
+        for h in (data.hex(), data.hex().upper(), "0x" + data.hex(), "\n".join(re.findall(".{1,60}", data.hex()))):
+            assert [s[0] for s in secrets.find(f"x {h} y")[1]] == [kind]
+        for bad in (data[:-17], data[:1] + b"\x05" + data[2:], data + b"xx" if kind == "der" else b"x" + data):
+            assert not secrets.find(base64.b64encode(bad).decode())[1] and not secrets.find(bad.hex())[1]
+    assert not secrets.find(base64.b64encode(digest).decode())[1]
+
+
 def test_secret_scan_rows(docs, texts, none):
     got = secrets.scan(docs).collect()
     assert len(got) == len(texts) and all(r.n_assign == r.n_access == r.n_hex == 0 for r in got)
