@@ -1,10 +1,11 @@
 """Personal data by patterns and by bootstrapped context, in DataFrame functions only.
 
 Plain patterns find e-mail addresses, IP addresses, card and phone numbers. These are the seeds. What stands before a
-seed (the two words to its left) is a lexical pattern, and any other long number is a candidate with its own pattern.
-Patterns and the values seen with them make a graph: a pattern scores as the mean of its values' scores, a candidate
-value as the chance that one of its well-supported patterns is right. After a few rounds, candidates behind a pattern
-of high score and enough different seeds are reported as kind `context`.
+seed (the two words to its left) is a lexical pattern, and any other long number, or word of letters and digits, is a
+candidate with its own pattern. Patterns and the values seen with them make a graph: a pattern scores by its seeds against
+its contradicted values, those that occur under patterns without seeds too; values seen under it alone, however many,
+count neither way. A pattern that fails contradicts in turn, until no more fail. Candidates behind a pattern of high
+score and enough different seeds are reported as kind `context`.
 
 Regular expressions are Java's, with possessive quantifiers where nothing that follows could use what was taken, so that
 very long runs neither recurse nor backtrack; a match starts where a run of its first characters starts, or where the
@@ -19,7 +20,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, table
+from .common import fresh_path, table, written
 
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -27,6 +28,8 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Candidates: seven digits or more between word edges, with the separators that numbers have.
 NUMBER = r"(?<![\p{L}\p{N}_@.%+=/-])[0-9][0-9./-]{5,}+(?![\p{L}_@%+=])"
+#: Candidates with letters too: four digits and one letter or more between word edges.
+MIXED = r"(?<![\p{L}\p{N}_@.%+=/-])(?=(?:[A-Za-z/-]*+[0-9]){4})(?=[0-9/-]*+[A-Za-z])[A-Za-z0-9]++(?:[/-][A-Za-z0-9]++)*+(?![\p{L}\p{N}_@%+=])"
 KINDS = ("email", "ip", "card", "phone")
 _CONTEXT = 64
 
@@ -65,7 +68,9 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     none = "cast(array() as array<struct<start:int,end:int,value:string,left:string>>)"
     cols = {k: F.expr(f"if({has}, filter({_spans(p)}, x -> {keep}), {none})") for k, (has, p, keep) in BASE.items()}
-    cols["number"] = F.expr(f"if(text rlike {_sql('[0-9][0-9./-]{5}')}, filter({_spans(NUMBER)}, x -> length({_DIGITS}) >= 7), {none})")
+    number = f"if(text rlike {_sql('[0-9][0-9./-]{5}')}, filter({_spans(NUMBER)}, x -> length({_DIGITS}) >= 7), {none})"
+    mixed = f"if(text rlike {_sql(MIXED)}, filter({_spans(MIXED)}, x -> length(regexp_replace(x.value, '[^0-9A-Za-z]', '')) >= 7), {none})"
+    cols["number"] = F.expr(f"concat({number}, {mixed})")
     return d.select("doc_id", *(c.alias(k) for k, c in cols.items()))
 
 
@@ -75,31 +80,40 @@ def _pattern(left):
     return F.when(words != "", F.regexp_replace(words, r"\s+", " "))
 
 
-def discover(spans: DataFrame, rounds: int = 2, min_seeds: int = 5, min_score: float = 0.8, most_broadcast: int = 100_000) -> DataFrame:
+def discover(spans: DataFrame, min_seeds: int = 5, min_score: float = 0.8, most_broadcast: int = 100_000) -> DataFrame:
     """spans: rows of found() with a row number `row`. Candidates that their patterns confirm: (row, start, end).
 
-    Score of a pattern: mean score of its distinct values, seeds counting 1. Score of a candidate: 1 - product of (1 - score)
-    over its patterns with min_seeds different seeds or more. A pattern with any number of occurrences is summed in parts
-    before the shuffle, and scores join occurrences by broadcast only while there are at most most_broadcast of them.
+    A pattern with min_seeds different seeds or more stands at first; one with no seed and min_seeds different candidates
+    or more contradicts. Score of a standing pattern: seeds / (seeds + those of its candidate values that occur under a
+    contradicting pattern and under no other that stands). Those below min_score contradict in the next round; as none
+    comes back, the rounds end. A pattern with any number of occurrences is summed in parts before the shuffle, and
+    patterns join occurrences by broadcast only while there are at most most_broadcast of them.
     """
+    def kept(df: DataFrame) -> tuple[DataFrame, int]:
+        df = written(df, "patterns")
+        n = df.count()
+        return F.broadcast(df) if n <= most_broadcast else df, n
+
     seeds = reduce(DataFrame.unionByName, (spans.select(F.explode(k).alias("x")).select(_pattern(F.col("x.left")).alias("pattern"), F.concat(F.lit(f"{k}:"), "x.value").alias("value"), F.lit(True).alias("seed")) for k in KINDS))
     taken = F.flatten(F.array(*KINDS))
     free = F.filter("number", lambda c: ~F.exists(taken, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     cand = spans.filter(F.size("number") > 0).select("row", F.explode(free).alias("x")).select("row", "x.start", "x.end", _pattern(F.col("x.left")).alias("pattern"), F.col("x.value").alias("value"))
     edges = seeds.unionByName(cand.select("pattern", F.concat(F.lit("number:"), "value").alias("value"), F.lit(False).alias("seed"))).filter("pattern is not null").distinct()
-    support = edges.groupBy("pattern").agg(F.count_if("seed").alias("seeds"), F.count_if(~F.col("seed")).alias("others")).filter((F.col("seeds") >= min_seeds) & (F.col("others") > 0))
-    open_edges = edges.filter(~F.col("seed")).join(support, "pattern").select("pattern", "value", "seeds", "others")
-    scores = open_edges.withColumn("score", F.col("seeds") / (F.col("seeds") + F.col("others")))
-    for _ in range(rounds):
-        value = scores.groupBy("value").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("own"))
-        both = scores.select("pattern", "value", "seeds", "others").join(value, "value")
-        pattern = both.groupBy("pattern", "seeds", "others").agg(F.sum("own").alias("own")).select("pattern", ((F.col("seeds") + F.col("own")) / (F.col("seeds") + F.col("others"))).alias("score"))
-        scores = scores.select("pattern", "value", "seeds", "others").join(pattern, "pattern")
-    sure = scores.filter(F.col("score") >= min_score).select("pattern").distinct()
-    path = fresh_path(spans.sparkSession, "patterns")
-    sure.write.parquet(path)
-    sure = spans.sparkSession.read.schema("pattern string").parquet(path)
-    return cand.join(F.broadcast(sure) if sure.count() <= most_broadcast else sure, "pattern", "left_semi").select("row", "start", "end")
+    support = edges.groupBy("pattern").agg(F.count_if("seed").alias("seeds"), F.count_if(~F.col("seed")).alias("others"))
+    standing, n = kept(support.filter((F.col("seeds") >= min_seeds) & (F.col("others") > 0)).select("pattern", "seeds"))
+    against, _ = kept(support.filter((F.col("seeds") == 0) & (F.col("others") >= min_seeds)).select("pattern"))
+    values = edges.filter(~F.col("seed")).select("pattern", "value")
+    open_edges = written(values.join(standing, "pattern").select("pattern", "value", F.lit(True).alias("stands")).unionByName(values.join(against, "pattern", "left_semi").withColumn("stands", F.lit(False))), "edges") if n else None
+    while n:
+        alone = open_edges.groupBy("value").agg(F.count_if("stands").alias("pro"), F.count_if(~F.col("stands")).alias("contra"), F.max(F.when(F.col("stands"), F.col("pattern"))).alias("pattern")).filter("pro = 1 and contra > 0")
+        wrong = alone.groupBy("pattern").agg(F.count(F.lit(1)).alias("wrong")).join(standing, "pattern").filter(F.col("seeds") < min_score * (F.col("seeds") + F.col("wrong"))).select("pattern")
+        fallen, less = kept(wrong)
+        if not less:
+            break
+        n -= less
+        standing, _ = kept(standing.join(fallen, "pattern", "left_anti"))
+        open_edges = written(open_edges.join(fallen.withColumn("fell", F.lit(True)), "pattern", "left").select("pattern", "value", (F.col("stands") & F.col("fell").isNull()).alias("stands")), "edges")
+    return cand.join(standing, "pattern", "left_semi").select("row", "start", "end")
 
 
 def _labelled(kind: str, column: str) -> F.Column:

@@ -229,6 +229,19 @@ def test_pii_context(spark):
     assert got[50] == "context:18:27" and got[51] == ""
 
 
+def test_pii_context_of_many_unseen(spark):
+    given = [f"so account number +1555000{i:04d} then" for i in range(10)]  # 10 seeds, 300 unseen values
+    unseen = [f"my account number {(f'AB{100000 + i}C', f'X{1000000 + i}', str(900000000 + i))[i % 3]} here" for i in range(300)]
+    vague = [f"as in all +1555001{i:04d} then" for i in range(10)] + [f"as in all {700000000 + i} here" for i in range(90)]
+    plain = [f"a sum of {700000000 + i} here" for i in range(90)]  # no seeds: contradicts "in all"
+    few = [f"one odd case +1555002{i:04d} then" for i in range(4)] + ["one odd case 123456789 here", "word account number abcdefgh or A123 then"]
+    texts = given + unseen + vague + plain + few
+    got = {x.doc_id: x.spans for x in pii.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        want = f"context:18:{t.index(' here')}" if t in unseen else ""
+        assert want == ",".join(x for x in got[i].split(",") if x.startswith("context")), t
+
+
 def test_quality_rules(docs, texts, none):
     got = {(r.doc_id, r.n_words): r for r in quality_rules.judge(docs.filter("doc_id is null or doc_id != 9")).collect()}
     for i, t in texts:
