@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,3 +68,26 @@ def issues(*frames: tuple[str, str, DataFrame]) -> DataFrame:
     all_of = reduce(DataFrame.unionByName, (f.select(F.lit(c).alias("category"), F.lit(r).alias("risk"), F.col("id")) for c, r, f in frames))
     level = F.when(F.col("risk") == "high", 1).when(F.col("risk") == "medium", 2).otherwise(3)
     return all_of.withColumn("place", F.row_number().over(Window.orderBy(level, "category", "id")).cast("long"))
+
+
+def related(entries: DataFrame, points: dict[str, int], days: int = 30, most: int = 5) -> DataFrame:
+    """doc_id, related, score, place: for each entry the `most` others of highest score, then the nearest, then the greater id.
+
+    entries: doc_id (unique), date (not null) and the columns of `points`. A column with the same value in both adds its
+    points, nulls are never the same; a distance of up to `days` adds 10 less the days, 1 at least; at score 0 there is no
+    relation. Exact without making all pairs: of the entries that share just some set of columns with one, only the `most`
+    nearest can be among its best, so each set of columns is a block, in which an entry sees the greatest ids of its own
+    date and of the `most` dates before and after.
+    """
+    sets = [c for n in range(len(points) + 1) for c in combinations(points, n)]
+    block = lambda c: F.when(reduce(lambda x, y: x & y, (F.col(k).isNotNull() for k in c), F.lit(True)), F.struct(F.lit(sum(points[k] for k in c)).alias("points"), F.to_json(F.struct(F.lit(",".join(c)).alias("of"), *c)).alias("key")))
+    rows = entries.select("doc_id", "date", F.explode(F.array_compact(F.array(*map(block, sets)))).alias("b")).select("doc_id", "date", "b.points", "b.key")
+    top = rows.withColumn("n", F.row_number().over(Window.partitionBy("key", "date").orderBy(F.desc("doc_id")))).filter(F.col("n") <= most + 1)
+    dates = top.groupBy("key", "date").agg(F.collect_list("doc_id").alias("ids"))
+    near = dates.select("key", "date", F.collect_list(F.struct("date", "ids")).over(Window.partitionBy("key").orderBy("date").rowsBetween(-most, most)).alias("near"))
+    seen = F.flatten(F.transform("near", lambda d: F.transform(d["ids"], lambda i: F.struct(F.abs(F.datediff(F.col("date"), d["date"])).alias("dist"), (-i).alias("minus")))))
+    best = F.slice(F.array_sort(F.filter(seen, lambda x: x["minus"] != -F.col("doc_id"))), 1, most)
+    pairs = rows.join(near, ["key", "date"]).select("doc_id", "points", F.explode(best).alias("x")).groupBy("doc_id", (-F.col("x.minus")).alias("related"), F.col("x.dist").alias("dist")).agg(F.max("points").alias("points"))
+    score = F.col("points") + F.when(F.col("dist") <= days, F.greatest(F.lit(1), 10 - F.least("dist", F.lit(9)))).otherwise(0)
+    w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "dist", F.desc("related"))
+    return pairs.select("doc_id", "related", score.cast("long").alias("score"), "dist").filter("score > 0").withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= most).drop("dist")

@@ -381,6 +381,16 @@ def j9_o9_related_entries(spark, d):
     return p.withColumn("place", F.row_number().over(w).cast("long")).filter("place <= 5").drop("dist")
 
 
+@query(f"""WITH o AS (SELECT * FROM {OR}), p AS (SELECT a.doc_id, b.doc_id AS related, abs(a.date - b.date) AS dist, CASE WHEN a.person_id = b.person_id THEN 40 ELSE 0 END + CASE WHEN a.location = b.location THEN 30 ELSE 0 END + CASE WHEN a.topic = b.topic THEN 20 ELSE 0 END + CASE WHEN a.tag = b.tag AND a.mood = b.mood THEN 15 ELSE 0 END
++ CASE WHEN dist <= 30 THEN greatest(1, 10 - least(dist, 9)) ELSE 0 END AS score FROM o a JOIN o b ON a.doc_id <> b.doc_id),
+t AS (SELECT doc_id, unnest(min({{'s': -score, 'dist': dist, 'r': -related}}, 5)) AS x FROM p WHERE score > 0 GROUP BY doc_id)
+SELECT doc_id, -x.r AS related, CAST(-x.s AS BIGINT) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY x.s, x.dist, x.r) AS place FROM t""")
+def j9_related_entries_any_signal(spark, d):
+    """All signals of J9, none required: the customer is the people, the nation the project, segment and status are the tags."""
+    o = D.order_entries(spark, d).select("doc_id", "date", "person_id", F.col("location").alias("project"), "topic", F.struct("tag", "mood").alias("tags"))
+    return G.related(o, {"person_id": 40, "project": 30, "topic": 20, "tags": 15})
+
+
 @query(f"WITH {EDGES}, {NODES} SELECT type, count(*) AS n, CAST(coalesce(sum(o), 0) AS BIGINT) AS n_out, CAST(coalesce(sum(i), 0) AS BIGINT) AS n_in FROM n0 LEFT JOIN (SELECT source AS id, count(*) AS o FROM e0 GROUP BY 1) USING (id) LEFT JOIN (SELECT target AS id, count(*) AS i FROM e0 GROUP BY 1) USING (id) GROUP BY type")
 def a13_g5_entity_stats(spark, d):
     return G.stats(D.entities(spark, d), D.edges(spark, d))

@@ -1,5 +1,6 @@
 """Edge cases by hand."""
 
+import random
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -123,3 +124,21 @@ def test_change_set_and_run_comparison_name_every_case(spark):
     b = spark.createDataFrame([(1, True), (2, False), (3, True), (4, False), (6, True)], schema)
     want = {1: "still_passing", 2: "regressed", 3: "fixed", 4: "still_failing", 5: "missing_from_candidate", 6: "new_in_candidate"}
     assert {r.query_id: r.status for r in E.compare(a, b).collect()} == want
+
+
+def test_related_without_shared_people(spark):
+    r = random.Random(4)
+    given = [(k, date.fromordinal(730000 + r.choice((r.randint(0, 8), r.randint(0, 300)))), *(r.choice((None, "a", "b", "c")) for _ in range(3))) for k in range(150)]
+    points = {"person": 40, "topic": 20, "tags": 15}
+
+    def want(e):
+        out = []
+        for o in given:
+            dist = abs((e[1] - o[1]).days)
+            score = sum(p for p, x, y in zip(points.values(), e[2:], o[2:], strict=True) if x and x == y) + (max(1, 10 - min(dist, 9)) if dist <= 30 else 0)
+            if o[0] != e[0] and score:
+                out.append((-score, dist, -o[0]))
+        return [(e[0], -i, -s, n) for n, (s, _, i) in enumerate(sorted(out)[:5], 1)]
+
+    got = G.related(spark.createDataFrame(given, "doc_id long, date date, person string, topic string, tags string"), points).collect()
+    assert sorted(map(tuple, got)) == sorted(x for e in given for x in want(e))
