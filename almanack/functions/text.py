@@ -75,3 +75,35 @@ def safe_name(col):
 def json_list(col):
     """A JSON array of strings, or else the parts between commas."""
     return F.coalesce(F.from_json(col, "array<string>", {"mode": "PERMISSIVE"}), F.transform(F.split(col, ","), F.trim))
+
+
+#: Python's white space, and the digits that aren't decimal ones (superscripts, circled and so on), for classes of Java and RE2.
+SPACE = r"\t-\r\x1c-\x20\x85\p{Z}"
+DIGIT = r"\p{Nd}\x{b2}-\x{b3}\x{b9}\x{1369}-\x{1371}\x{19da}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}\x{2460}-\x{2468}\x{2474}-\x{247c}\x{2488}-\x{2490}\x{24ea}\x{24f5}-\x{24fd}\x{24ff}\x{2776}-\x{277e}\x{2780}-\x{2788}\x{278a}-\x{2792}\x{10a40}-\x{10a43}\x{10e60}-\x{10e68}\x{11052}-\x{1105a}\x{1f100}-\x{1f10a}"
+NEGATIONS = ("不存在", "不相关", "完全不相关", "随机内容", "无关内容")
+OFF_TOPIC = ("菜谱", "健身", "减肥", "区块链", "养猫", "养狗", "宠物", "旅行攻略", "旅游攻略")
+CANONICAL = "life index"
+
+
+def noise(col):
+    """Why a query is noise, by the first of eight ordered rules that holds, or 'none'; advisory only."""
+    q = F.regexp_replace(F.coalesce(col, F.lit("")), f"^[{SPACE}]+|[{SPACE}]+$", "")
+    solid = F.regexp_replace(q, " ", "")
+    latin = ~q.rlike(r"[\x{4e00}-\x{9fff}]")
+    has = lambda signals: q.rlike("|".join(signals))
+    low = F.lower(q)
+    alike = 1 - F.levenshtein(low, F.lit(CANONICAL)) / F.greatest(F.length(q), F.lit(len(CANONICAL)))
+    near = q.rlike(r"^[\x00-\x7f]+$") & (F.abs(F.length(q) - len(CANONICAL)) <= 2) & (alike >= 0.65) & (alike < 0.85)
+    return (
+        F.when(q == "", "empty_query")
+        .when(q.rlike(rf"^[\p{{P}}{SPACE}]+$"), "pure_symbols")
+        .when(q.rlike(f"^[{DIGIT}]+$"), "pure_digits")
+        .when(F.replace(q, F.substring(q, 1, 1), F.lit("")) == "", "repeated_char")
+        .when(F.length(F.regexp_replace(q, rf"[\p{{P}}{SPACE}]", "")) < 3, "too_short")
+        .when(latin & solid.rlike(r"^[\p{L}\p{N}]+$") & (2 * F.length(F.regexp_replace(solid, f"[^{DIGIT}]", "")) >= F.length(solid)), "alphanumeric_noise")
+        .when(latin & ~q.rlike("[a-zA-Z]{3}"), "no_dictionary_words")
+        .when(has(NEGATIONS), "negation_intent")
+        .when(has(OFF_TOPIC), "ood_topic")
+        .when(near, "typo_near_noise")
+        .otherwise("none")
+    )
