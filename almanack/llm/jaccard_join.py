@@ -354,15 +354,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", most_broadcast: int = 1 << 20, **options) -> DataFrame:
     """The rows of docs without those that are near duplicates of one with a smaller id, with all their columns.
 
-    Rows with a null id stay; of rows that share an id, one stays.
+    Rows with a null id stay. Where ids repeat, each row is judged by its own text: of rows that share an id, those go that
+    are near duplicates of another.
     """
-    found = written(classes(docs, id_col, **options).filter("doc_id is not null"), "classes")
-    if found.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        null = F.col(id_col).isNull()
-        docs = docs.filter(null).unionByName(docs.filter(~null).dropDuplicates([id_col]))
-    gone = written(found.filter("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    if docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").limit(1).count():
+        rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+        named = rows.filter(F.col(id_col).isNotNull())
+        found = written(classes(named, "__row", **options).withColumnRenamed("doc_id", "__gone").join(named.select(F.col("__row").alias("__gone"), F.col(id_col).alias("id")), "__gone"), "classes")
+        first = found.groupBy("component_id").agg(F.min(F.struct("id", "__gone")).alias("first"))
+        gone = written(found.join(first.select(F.col("first.__gone").alias("__gone")), "__gone", "left_anti").select("__gone"), "gone")
+        docs, by = rows, "__row"
+    else:
+        found = written(classes(docs, id_col, **options).filter("doc_id is not null"), "classes")
+        gone, by = written(found.filter("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone"), id_col
     small = gone.count() <= most_broadcast
-    return docs.join(F.broadcast(gone) if small else gone, docs[id_col] == gone["__gone"], "left_anti")
+    return docs.join(F.broadcast(gone) if small else gone, docs[by] == gone["__gone"], "left_anti").drop("__row")
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -242,6 +242,16 @@ def test_pii_context_of_many_unseen(spark):
         assert want == ",".join(x for x in got[i].split(",") if x.startswith("context")), t
 
 
+def test_one_of_each_with_repeated_ids(spark):
+    r = random.Random(8)
+    a, b, c = (" ".join(f"w{r.randint(0, 999)}" for _ in range(80)) for _ in range(3))
+    given = [(2, a + " end"), (1, a), (1, b), (1, a + " end"), (3, c), (None, a), (4, b + " end"), (5, "")]
+    got = jaccard_join.one_of_each(spark.createDataFrame(given, "doc_id long, text string"))
+    assert got.columns == ["doc_id", "text"]
+    rows = sorted(((x.doc_id, x.text.removesuffix(" end")) for x in got.collect()), key=str)
+    assert rows == sorted([(1, a), (1, b), (3, c), (None, a), (5, "")], key=str)
+
+
 def test_quality_rules(docs, texts, none):
     got = {(r.doc_id, r.n_words): r for r in quality_rules.judge(docs.filter("doc_id is null or doc_id != 9")).collect()}
     for i, t in texts:
