@@ -242,6 +242,64 @@ def test_pii_context_of_many_unseen(spark):
         assert want == ",".join(x for x in got[i].split(",") if x.startswith("context")), t
 
 
+def test_pii_bootstraps(spark):
+    """Found numbers teach a second context, which finds a number that no seed stands beside; a right-hand context teaches too."""
+    given = [f"so account number +1555000{i:04d} then" for i in range(20)] + [f"so account number {i}00998877 then" for i in range(1, 7)]
+    given += [f"a badge code {i}00998877 now" for i in range(1, 7)] + ["a badge code 5566778 now", "5566779 is nobody"]
+    given += [f"+1555001{i:04d} is mine and" for i in range(6)] + ["1234509876 is mine and", "12 34 56 78 is mine and"]
+    given += ["a very long-winded " + "x" * 200 + " code 77665544 now"]
+    got = {x.doc_id: x.spans for x in pii.scan(spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")).collect()}
+    found = [i for i, s in got.items() if "context" in s]
+    assert sorted(found) == [*range(20, 33), 40, 41] and got[32] == "context:13:20" and got[41] == "context:0:11"
+
+
+def test_pii_graph_like_brute_force(spark):
+    def plain(edges, least=2, score=0.8):
+        edges, accepted, seeds = dict(edges), set(), {v for (_, v), t in edges.items() if t}
+        while True:
+            by = {}
+            for (p, v), t in edges.items():
+                by.setdefault(p, {})[v] = t
+            by = {p: v for p, v in by.items() if len(v) >= least}
+            pos = {p: sum(v.values()) for p, v in by.items()}
+            stands = {p for p, v in by.items() if len(seeds & set(v)) >= least or (pos[p] >= least and 2 * pos[p] >= len(v))}
+            contra = {p for p in by if not pos[p]}
+            if not stands:
+                return accepted
+            while True:
+                vote = lambda v: (sum(v in by[p] for p in stands), sum(v in by[p] for p in contra))  # noqa: B023, E731
+                fall = set()
+                for p in stands:
+                    s = [vote(v) for v, t in by[p].items() if not t]
+                    s = [a / (a + b) for a, b in s if b]
+                    if pos[p] + sum(s) < score * (pos[p] + len(s)):
+                        fall.add(p)
+                if not fall:
+                    break
+                stands, contra = stands - fall, contra | fall
+            accepted = set(stands)
+            new = {v for p in stands for v, t in by[p].items() if not t and vote(v)[1] <= vote(v)[0]}
+            if not new:
+                return accepted
+            edges = {(p, v): t or v in new for (p, v), t in edges.items()}
+
+    r = random.Random(4)
+    for k in range(3):
+        edges = {}
+        for _ in range(60):
+            v = r.randint(0, 30)
+            edges[f"p{r.randint(0, 9)}", f"v{v}"] = v < 7 + k
+        rows_ = [(p, v, t) for (p, v), t in edges.items()]
+        got = pii.bootstrap(spark.createDataFrame(rows_, "pattern string, value string, trusted boolean"), min_seeds=2, most_broadcast=1000 if k % 2 else 0)
+        assert {x.pattern for x in got.collect()} == plain(edges), k
+
+
+def test_pii_many_matches(spark):
+    given = [(1, "a@b.c " * 100_000), (2, "x " * 200_000 + "1.2.3.4")]
+    got = {x.doc_id: x for x in pii.scan(spark.createDataFrame(given, "doc_id long, text string")).collect()}
+    assert got[1].n_email == 100_000 and got[1].spans.endswith(",email:599994:599999") and got[2].spans == "ip:400000:400007"
+
+
 def test_one_of_each_with_repeated_ids(spark):
     r = random.Random(8)
     a, b, c = (" ".join(f"w{r.randint(0, 999)}" for _ in range(80)) for _ in range(3))
