@@ -1,12 +1,13 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the items' word windows, one scan of each text.
 
 Words are runs of letters and digits (ASCII ones lower-cased) and of anything outside ASCII. Each distinct word of the
-benchmark gets one code point, any other word a code point of none; the automaton runs over these, so a match is a match
-of whole words. Match positions are mapped back to offsets in the original text for the texts that have any.
+benchmark gets a number, written as a fixed count of symbols, the first from an alphabet of its own (so that no state of
+the automaton has more than 64 ways on, however many words there are); any other word gets a symbol of none. The automaton
+runs over these, so a match is a match of whole words. Match positions are mapped back to offsets in the original text for the texts that have any.
 
-The benchmark is collected in blocks of at most `block_bytes` of text; each block has its automaton (broadcast, so
-bounded by that parameter) and its scan, and the scans are chained. A benchmark within one block is the normal case.
-No shuffle.
+The benchmark comes to the driver in blocks of at most `block_bytes` of text and `block_words` words (longer items in
+overlapping parts); each block has its automaton and its scan. A benchmark within one block is the normal case: one
+scan, no shuffle. Of several blocks, one automaton is alive at a time: between scans, rows go to the shared folder.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ import hashlib
 import re
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import pieces, table, written
 
 WINDOW = 10
 _KEEP = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
@@ -32,42 +34,50 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(_FOLD).split()
 
 
-def _code(i: int) -> str:
-    """The i-th code point from U+0100 on, surrogates left out."""
-    i += 0x100
-    return chr(i if i < 0xD800 else i + 0x800)
+def _codes(words: list[bytes]) -> tuple[dict[bytes, str], int]:
+    """Of each word its symbols, and how many a word has. The first symbol's alphabet differs from that of the others."""
+    width = 1
+    while 64**width < len(words):
+        width += 1
+    out = {}
+    for n, w in enumerate(words):
+        digits = [n >> 6 * k & 63 for k in reversed(range(width))]
+        out[w] = chr(0x100 + digits[0]) + "".join(chr(0x200 + d) for d in digits[1:])
+    return out, width
 
 
 class Matcher:
     """Automaton over the windows of items: (item_id, text) pairs."""
 
     def __init__(self, items: list, window: int = WINDOW):
-        self.codes: dict[bytes, str] = {}
-        self.automaton = ahocorasick.Automaton()
-        self.ids, windows = [i for i, _ in items], {}
-        for k, (_, text) in enumerate(items):
-            w = "".join(self.codes.setdefault(x, _code(len(self.codes))) for x in words_of((text or "").encode()))
-            for a in range(max(1, len(w) - window + 1)) if w else ():
-                windows.setdefault(w[a : a + window], set()).add(k)
+        given = [words_of((text or "").encode()) for _, text in items]
+        self.codes, self.width = _codes(list(dict.fromkeys(w for ws in given for w in ws)))
+        self.automaton, self.ids, windows = ahocorasick.Automaton(), [i for i, _ in items], {}
+        k, size = self.width, window * self.width
+        for at, ws in enumerate(given):
+            w = "".join([self.codes[x] for x in ws])
+            for a in range(0, max(k, len(w) - size + k), k) if w else ():
+                windows.setdefault(w[a : a + size], set()).add(at)
         for w, who in windows.items():
-            self.automaton.add_word(w, (len(w), tuple(sorted(who))))
+            self.automaton.add_word(w, (len(w) // k, tuple(sorted(who))))
         if windows:
             self.automaton.make_automaton()
-        self.some = bool(windows)
+        self.some, self.none = bool(windows), _NONE * k
 
-    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
+    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """(maximal runs of hit words as (first, past last), items with occurring windows)."""
         if not self.some:
             return [], set()
-        get = self.codes.get
+        get, none, k = self.codes.get, self.none, self.width
         runs, items = [], set()
-        for end, (n, who) in self.automaton.iter("".join([get(w, _NONE) for w in words])):
+        for end, (n, who) in self.automaton.iter("".join([get(w, none) for w in words])):
             items.update(who)
-            a, b = end - n + 1, end + 1
+            b = end // k + 1
+            a = b - n
             while runs and runs[-1][1] >= a:
                 a, b = min(a, runs[-1][0]), max(b, runs.pop()[1])
             runs.append((a, b))
-        return runs, {self.ids[k] for k in items}
+        return runs, {self.ids[i] for i in items}
 
 
 def _joined(runs: list) -> list[tuple[int, int]]:
@@ -93,22 +103,25 @@ def _scan(matcher):
                 sizes.append(len(words))
                 firsts.append([a for a, _ in runs])
                 lasts.append([b for _, b in runs])
-                items.append(sorted(ids | set(i0 or ())))
+                items.append(sorted(ids | set(i0 or ()), key=lambda i: (i is None, i or 0)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(lasts, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64()))], names=["doc_id", "text", "n_words", "first", "last", "items"])
 
     return run
 
 
+def _offsets(raw: bytes, first: list, last: list) -> list[dict]:
+    """Runs of words as code points of the original text."""
+    at = [(m.start(), m.end()) for m in _WORD.finditer(raw.translate(_FOLD))]
+    points = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)  # code points up to and with each byte
+    return [{"start": int(points[at[x][0]]) - 1, "end": int(points[at[y - 1][1] - 1])} for x, y in zip(first, last, strict=True)]
+
+
 def _finish(batches):
     for batch in batches:
         spans, digests = [], []
         for raw, a, b, ids in zip(batch.column("text").cast(pa.binary()).to_pylist(), *(batch.column(c).to_pylist() for c in ("first", "last", "items")), strict=True):
-            own = []
-            if a:
-                at = [(m.start(), m.end()) for m in _WORD.finditer(raw.translate(_FOLD))]
-                own = [{"start": len(raw[: at[x][0]].decode()), "end": len(raw[: at[y - 1][1]].decode())} for x, y in zip(a, b, strict=True)]
-            spans.append(own)
-            digests.append(hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest())
+            spans.append(_offsets(raw, a, b) if a else [])
+            digests.append(hashlib.sha256(",".join(sorted(str(i) for i in ids if i is not None)).encode()).hexdigest())
         hit = [sum(y - x for x, y in zip(a, b, strict=True)) for a, b in zip(batch.column("first").to_pylist(), batch.column("last").to_pylist(), strict=True)]
         n = [len(x) for x in batch.column("items").to_pylist()]
         yield pa.RecordBatch.from_arrays(
@@ -117,41 +130,59 @@ def _finish(batches):
         )
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):
-    """(item_id, text) pairs in lists of at most block_bytes of text (one item at least)."""
-    out, size = [], 0
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int, window: int = WINDOW, block_words: int = 500_000):
+    """(item_id, text) pairs in lists of at most block_bytes of text and block_words words (one part of an item at least).
+
+    An item of more than block_words / 2 words comes in parts that overlap by window - 1 words, so that no window is lost;
+    the bound also keeps a block's distinct words below the number of code points.
+    """
+    out, size, count = [], 0, 0
+    step = max(1, block_words // 2)
     for r in benchmark.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).toLocalIterator():
-        n = len((r[1] or "").encode())
-        if out and size + n > block_bytes:
-            yield out
-            out, size = [], 0
-        out.append((r[0], r[1]))
-        size += n
+        words = words_of((r[1] or "").encode())
+        for k in range(0, max(1, len(words) - window + 1), step):
+            part = words[k : k + step + window - 1]
+            text = b" ".join(part)
+            if out and (size + len(text) > block_bytes or count + len(part) > block_words):
+                yield out
+                out, size, count = [], 0, 0
+            out.append((r[0], text.decode()))
+            size, count = size + len(text), count + len(part)
     if out:
         yield out
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = 32 << 20) -> DataFrame:
+def _in_turn(rows: DataFrame, found, window: int, step) -> DataFrame:
+    """rows through step(rows, broadcast automaton) for each block: one automaton alive at a time."""
+    sc = rows.sparkSession.sparkContext
+    block = next(found, [])
+    while True:
+        after = next(found, None)
+        shared = sc.broadcast(Matcher(block, window))
+        rows = step(rows, shared)
+        if after is None:
+            return rows
+        rows = written(rows, "scanned")
+        shared.destroy()
+        block = after
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = 32 << 20, block_words: int = 500_000) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (code points of the text), items.
 
     A window is `window` consecutive words of an item, or a whole item that has fewer. Null and empty texts have no words; an item
-    without words has no window; items that repeat count by their ids; rows that repeat are scanned each. An empty
-    benchmark hits nothing.
+    without words has no window; items that repeat count by their ids, those without an id together as one that
+    items_sha256 leaves out; rows that repeat are scanned each. An empty benchmark hits nothing. Other columns are ignored.
     """
-    sc = docs.sparkSession.sparkContext
     none = F.array().cast("array<long>")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), none.alias("first"), none.alias("last"), none.alias("items"))
-    scanned = False
-    for block in blocks(benchmark, item_id, item_text, block_bytes):
-        rows = rows.select("doc_id", "text", "first", "last", "items").mapInArrow(_scan(sc.broadcast(Matcher(block, window))), "doc_id long, text string, n_words long, first array<long>, last array<long>, items array<long>")
-        scanned = True
-    if not scanned:
-        rows = rows.mapInArrow(_scan(sc.broadcast(Matcher([], window))), "doc_id long, text string, n_words long, first array<long>, last array<long>, items array<long>")
+    step = lambda rows, m: rows.select("doc_id", "text", "first", "last", "items").mapInArrow(_scan(m), "doc_id long, text string, n_words long, first array<long>, last array<long>, items array<long>")
+    rows = _in_turn(rows, blocks(benchmark, item_id, item_text, block_bytes, window, block_words), window, step)
     return rows.mapInArrow(_finish, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>, items array<long>")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = 32 << 20) -> DataFrame:
-    """The rows of docs that hold no window of the benchmark, with all their columns."""
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = 32 << 20, block_words: int = 500_000) -> DataFrame:
+    """The rows of docs that hold no window of the benchmark, with all their columns. Null and empty texts stay."""
 
     def keep(matcher):
         def run(batches):
@@ -161,9 +192,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id
 
         return run
 
-    for block in blocks(benchmark, item_id, item_text, block_bytes):
-        docs = docs.mapInArrow(keep(docs.sparkSession.sparkContext.broadcast(Matcher(block, window))), docs.schema)
-    return docs
+    return _in_turn(docs, blocks(benchmark, item_id, item_text, block_bytes, window, block_words), window, lambda rows, m: rows.mapInArrow(keep(m), docs.schema))
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -100,7 +100,7 @@ def test_prefix_keeps_every_link():
 
 
 def test_decontaminate(spark, docs, texts, none):
-    items = [(1, texts[8][1][:80]), (2, "one"), (3, None), (4, "absent words here"), (2, "one")]
+    items = [(1, texts[8][1][:80]), (2, "one"), (3, None), (4, "absent words here"), (2, "one"), (None, texts[8][1][20:90]), (None, "two words"), (-7, texts[10][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
     windows = [(i, w[k : k + 10]) for i, t in items if (w := words(t)) for k in range(max(1, len(w) - 9))]
@@ -112,15 +112,31 @@ def test_decontaminate(spark, docs, texts, none):
                 if w[k : k + len(x)] == x:
                     hit |= set(range(k, k + len(x)))
                     ids.add(item)
-        want.append((i, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest(), bool(hit)))
-    for size in (1 << 20, 1):
-        got = [tuple(r)[:6] for r in decontaminate.scan(docs, bench, block_bytes=size).collect()]
-        assert sorted(map(repr, got)) == sorted(map(repr, want))
+        want.append((i, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(str(i) for i in ids if i is not None)).encode()).hexdigest(), bool(hit)))
+    for size, most in ((1 << 20, 500_000), (1, 500_000), (1 << 20, 14)):
+        got = decontaminate.scan(docs, bench, block_bytes=size, block_words=most).collect()
+        assert sorted(map(repr, (tuple(r)[:6] for r in got))) == sorted(map(repr, want))
+        assert sum(r.n_words for r in got for s in r.spans for w in [words(dict(texts)[r.doc_id][s.start : s.end])] if not w) == 0
+        for r in got:
+            if r.doc_id != 9:
+                assert sum(len(words(dict(texts)[r.doc_id][s.start : s.end])) for s in r.spans) == (r.n_hit if r.doc_id is not None else 0) or r.doc_id is None
     assert decontaminate.scan(docs, bench.limit(0)).filter("contaminated").count() == 0
     assert decontaminate.clean(docs, bench).count() == sum(not w[5] for w in want)
     assert decontaminate.scan(none, bench).count() == 0
 
 
+def test_decontaminate_offsets_and_many_words():
+    text = "Ünï, \"one\" 日本; two — Three four! five six seven eight nine ten eleven"
+    item = "日本 two — three four five six seven eight nine"
+    m = decontaminate.Matcher([(None, item)])
+    ((a, b),), ids = m.find(decontaminate.words_of(text.encode()))
+    (span,) = decontaminate._offsets(text.encode(), [a], [b])
+    assert text[span["start"] : span["end"]].startswith("日本") and text[span["start"] : span["end"]].endswith("nine") and ids == {None}
+    many = [(k, " ".join(f"w{k * 1000 + i}" for i in range(1000))) for k in range(400)]
+    m = decontaminate.Matcher(many)
+    assert m.find(many[399][1].encode().split())[1] == {399}
+
+
 def _der(tag, *parts):
     body = b"".join(parts)
     n = len(body)
