@@ -198,6 +198,7 @@ def test_bpe_like_the_library(spark, none):
     r = random.Random(3)
     letters = list("aAbB'sSdD tT0123 \t\n\x1c\x85\xa0éÉßİıΣσςÀ̀日本語—👍🏽") + ["<|endoftext|>", "'ll", "Σ "]
     given = [(i, "".join(r.choice(letters) for _ in range(r.randint(0, 60)))) for i in range(400)] + [(None, None), (1, "x" * 5000)]
+    given += [(2, "日本語の長い文" * 3000), (3, "".join(r.choice("abcdefghij") for _ in range(20_000))), (4, "straße" * 30 + " " + "naïve" * 9)]
     got = bpe.encode(spark.createDataFrame(given, "doc_id long, text string"), path).collect()
     for (_, t), row in zip(given, got, strict=True):
         ids = lib.encode(t or "", add_special_tokens=False).ids
@@ -207,6 +208,22 @@ def test_bpe_like_the_library(spark, none):
     assert bpe.encode(none, path).count() == 0
 
 
+def test_bpe_lexicon_of_frequent_words(spark):
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        model = bpe.Model(f.read())
+    docs = spark.createDataFrame([(1, "Tokenization tokenization, tokenization! qzxv qzxv the"), (2, None), (3, "qzxv the " * 3 + "y" * 70)], "doc_id long, text string")
+    words = bpe.frequent_words(docs.select("text"), model.special, 3)
+    assert words == [b"qzxv", b"the", b"tokenization"] and len(model.merge(b"qzxv")) > 1
+    for k in range(200):
+        w = bytes(random.Random(k).choices(b"aberst", k=random.Random(-k).randint(1, 40)))
+        assert model.merge(w) == model.merge_many([w])[0].tolist()
+    enc = bpe.Encoder(model, None, most_bytes=10)
+    (packed,) = bpe.Encoder.encode(type("E", (bpe.Encoder,), {"learn": lambda self, c: self.packed.update({x: b"".join(i.to_bytes(4, "little") for i in model.merge(x.encode())) for x in c})})(model, None), ["qzxv the"])
+    assert enc.decode(packed).decode() == bpe.decode(model, np.frombuffer(packed, "<u4").tolist())
+
+
 def test_lexicon_is_exact_and_shares_suffixes(tmp_path):
     words = {w.encode(): [k, k + 1] for k, w in enumerate(["walking", "talking", "walk", "talk", "king", "é"])}
     (tmp_path / "x").write_bytes(bpe.compile_lexicon(words))
@@ -341,6 +358,34 @@ def test_quality_rules(docs, texts, none):
     assert quality_rules.judge(none).count() == 0
 
 
+def test_cascade_order():
+    """A rule that rejects much is worth nothing after one that rejects the same rows for less."""
+    rules = [quality_rules.Rule(n, "true") for n in ("dear", "cheap", "other", "idle")]
+    seen = [((True, True, True, True), 50, (5000.0, 500.0, 2500.0, 50.0)), ((False, False, True, True), 40, (4000.0, 400.0, 2000.0, 40.0)), ((True, True, False, True), 10, (1000.0, 100.0, 500.0, 10.0))]
+    assert [r.name for r, _, _ in quality_rules.cascade(seen, rules)] == ["cheap", "other", "idle", "dear"]
+    assert [round(share, 3) for _, share, _ in quality_rules.cascade(seen, rules)] == [0.4, 0.167, 0.0, 0.0]
+    assert len(quality_rules.cascade([], rules)) == 4
+
+
+def test_quality_cascade_is_measured_and_changes_no_verdict(spark):
+    r = random.Random(6)
+    kinds = [lambda: " ".join("abcdefgh"[: r.randint(2, 8)] + str(i % 40) for i in range(80)), lambda: "# $ % " * 40, lambda: "AAAA BBBB " * 40, lambda: " ".join(f"{i}123" for i in range(90)), lambda: " ".join(r.choice("xyz") * 4 for _ in range(99))]
+    given = [(i, kinds[i % 5](), "w", i, True) for i in range(200)]
+    docs = spark.createDataFrame(given, "doc_id long, text string, words string, n_words long, kept boolean")  # clashing names
+    dear = quality_rules.Rule("dear", "size(array_distinct(transform(sequence(1, 300), k -> md5(concat(text, k))))) > 0")
+    order = quality_rules.ordered(docs, (dear, *quality_rules.RULES))
+    assert order[-1][0].name == "dear" and all(ns > 0 for _, _, ns in order)
+    a = quality_rules.judge(docs, (dear, *quality_rules.RULES))
+    b = quality_rules.judge(docs, tuple(reversed(quality_rules.RULES)))
+    assert sorted(a.collect()) == sorted(b.collect()) and 0 < a.filter("kept").count() < 200
+    for row in b.collect():
+        t = given[row.doc_id][1]
+        w = t.split()
+        chars = sum(map(len, w))
+        plain = not row.base_failed and 2 * len(w) <= chars <= 15 * len(w) and 5 * row.n_symbols <= len(w) and 2 * sum(c.isupper() for c in t) <= chars and 2 * sum(c.isalpha() for c in t) >= chars and len(set(w)) >= 15
+        assert row.kept == plain
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://EXAMPLE.org/es/x?q", "https://a.example.org/en/12", "http://example.org/en/2", "http://org", "http://x.com/fr/", "http://notexample.org/es/", "ftp://a.b.com/de/#y", "http://com/fr/a", "http://x.org?/es/"] * 2
     pages = spark.createDataFrame([(None if i == 3 else i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, host string")
