@@ -1,20 +1,24 @@
-"""BPE encoding and decoding with a word lexicon as a minimal acyclic transducer.
-
-The tokenizer's whole-word entries (its frequent words) are compiled into a minimal acyclic automaton over bytes: equal
-suffixes share states, and counts along the arcs add up to a word's number, which leads to its ids. The automaton is a
-few flat arrays in a file, which Spark ships to each executor and every worker maps into memory. Words that it doesn't
-have are merged by the exact BPE rule. A bounded per-worker table keeps recent words, so that a word is looked up or
-merged once in a while, not at each occurrence. No shuffle; each document is encoded where it is read.
+"""BPE encoding and decoding with a lexicon of the corpus's frequent words as a minimal acyclic transducer.
+
+Words are counted over all documents, and the `lexicon_words` most frequent ones are merged once, on the driver, and
+compiled with their ids (one or several) into a minimal acyclic automaton over bytes: equal suffixes share states, and
+counts along the arcs add up to a word's number, which leads to its ids. The automaton is a few flat arrays in a file,
+which Spark ships to each executor and every worker maps into memory. Words that it doesn't have are merged by the exact
+BPE rule, long ones by a heap of pairs (n log n). A per-worker table, bounded in entries and bytes, keeps recent strings, so
+that a word is looked up or merged once in a while, not at each occurrence. Decoding starts from the ids. The counts are
+the only shuffle (one row per distinct word and task); each document is encoded where it is read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import io
 import json
 import os
 import struct
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -54,39 +58,40 @@ class Model:
         self.rank_ids, self.none = np.array([v[1] for v in self.merges.values()], np.int64), len(by)
         self.inner_ids, self.last_ids = np.array(self.inner, np.int64), np.array(self.last, np.int64)
         self.shown = {i: t.encode() for i, t in self.names.items()}
-        back = {c: i for i, c in enumerate(letters)}
-        self.whole = {bytes(back[c] for c in t[: -len(self.end)]): i for t, i in vocab.items() if t.endswith(self.end) and len(t) > len(self.end)}
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word: the pair of the lowest rank is merged, the leftmost first, until there is none."""
-        ids = [self.inner[b] for b in word]
+        ids: list[int] = [self.inner[b] for b in word]
         ids[-1] = self.last[word[-1]]
-        get, none = self.merges.get, (1 << 40, 0)
-        pairs = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:])]  # noqa: B905
-        while pairs:
-            best = min(pairs)
-            if best is none or best[0] == none[0]:
-                break
-            i = pairs.index(best)
-            ids[i : i + 2] = [best[1]]
-            del pairs[i]
-            if i:
-                pairs[i - 1] = get(ids[i - 1] << 20 | ids[i], none)
-            if i < len(pairs):
-                pairs[i] = get(ids[i] << 20 | ids[i + 1], none)
-        return ids
-
+        n, get = len(ids), self.merges.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := get(ids[i] << 20 | ids[i + 1]))]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b, merged = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != a or j >= n or ids[j] != b:  # one of the two has gone into another pair
+                continue
+            ids[i], ids[j], after[i] = merged, -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y < n and (m := get(ids[x] << 20 | ids[y])):
+                    heapq.heappush(heap, (m[0], x, ids[x], ids[y], m[1]))
+        return [x for x in ids if x >= 0]
 
     def merge_many(self, words: list[bytes]) -> list[np.ndarray]:
-        """merge() of many words at once: in each step every word merges its best pair."""
+        """merge() of many words at once: in each step every word merges its best pair; words of over 256 bytes one by one."""
         out: list[np.ndarray] = [None] * len(words)  # type: ignore[list-item]
         size = np.fromiter(map(len, words), np.int64, len(words))
-        for low, high in ((0, 8), (8, 14), (14, 24)):
+        for low, high in ((0, 8), (8, 14), (14, 24), (24, 64), (64, 256)):
             rows = np.flatnonzero((size > low) & (size <= high))
-            if len(rows):
-                for r, ids in zip(rows, self._merge_rows([words[r] for r in rows], size[rows], high), strict=True):
+            most = (1 << 21) // high
+            for k in range(0, len(rows), most):
+                part = rows[k : k + most]
+                for r, ids in zip(part, self._merge_rows([words[r] for r in part], size[part], high), strict=True):
                     out[r] = ids
-        for r in np.flatnonzero(size > 24):
+        for r in np.flatnonzero(size > 256):
             out[r] = np.array(self.merge(words[r]), np.int64)
         return out
 
@@ -212,17 +217,15 @@ class Lexicon:
         return self.ids[self.at[number] : self.at[number + 1]].tolist()
 
 
-class Encoder:
-    """Encodes texts; keeps the ids of up to `most` recent strings between white space."""
+class Cutter:
+    """Cuts texts into the strings between white space, normalised, special tokens apart, and those into words."""
 
-    def __init__(self, model: Model, lexicon: Lexicon, most: int = 250_000):
-        self.model, self.lexicon, self.most = model, lexicon, most
-        self.packed: dict[str, bytes] = {}
-        self.shown: dict[str, bytes] = {}
-        self.split = regex.compile("(" + "|".join(map(regex.escape, model.special)) + ")") if model.special else None
+    def __init__(self, special):
+        self.special = special
+        self.split = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
 
     def chunks(self, text: str) -> list[str]:
-        """The strings between white space, normalised, special tokens apart. No word crosses them."""
+        """The strings between white space. No word crosses them."""
         parts = self.split.split(text) if self.split and "<|" in text else (text,)
         out: list[str] = []
         for k, part in enumerate(parts):
@@ -237,14 +240,26 @@ class Encoder:
             out += _WORDS.findall(part) if any(c in part for c in "\x1c\x1d\x1e\x1f") else part.split()
         return out
 
+    def words(self, chunk: str) -> list[str]:
+        return [chunk] if chunk in self.special else _WORDS.findall(chunk)
+
+
+class Encoder:
+    """Encodes texts; keeps the ids of recent strings between white space: up to `most` of them and `most_bytes` in all."""
+
+    def __init__(self, model: Model, lexicon: Lexicon, most: int = 250_000, most_bytes: int = 64 << 20):
+        self.model, self.lexicon, self.most, self.most_bytes = model, lexicon, most, most_bytes
+        self.packed: dict[str, bytes] = {}
+        self.held = 0
+        self.cutter = Cutter(model.special)
+
     def learn(self, chunks: set[str]) -> None:
         new = chunks.difference(self.packed)
-        if len(self.packed) + len(new) > self.most:
+        if len(self.packed) + len(new) > self.most or self.held > self.most_bytes:
             self.packed.clear()
-            self.shown.clear()
-            new = chunks
-        special, find = self.model.special, _WORDS.findall
-        words = {c: [c] if c in special else find(c) for c in new}
+            self.held, new = 0, chunks
+        special = self.model.special
+        words = {c: self.cutter.words(c) for c in new}
         distinct = list({w for ws in words.values() for w in ws if w not in special})
         raw = [w.encode() for w in distinct]
         number = self.lexicon.find(raw) if raw else np.empty(0, np.int64)
@@ -252,29 +267,62 @@ class Encoder:
         ids = {distinct[k]: x.tolist() for k, x in zip(rest, self.model.merge_many([raw[k] for k in rest]), strict=True)}
         ids |= {distinct[k]: self.lexicon.ids_of(number[k]) for k in np.flatnonzero(number >= 0)}
         ids |= {w: [i] for w, i in special.items()}
-        show, pack = self.model.shown, struct.pack
+        pack = struct.pack
         for c, ws in words.items():
             own = ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]]
             self.packed[c] = pack(f"<{len(own)}I", *own)
-            self.shown[c] = b" ".join([show[i] for i in own])
+            self.held += 2 * len(c) + 4 * len(own)
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """Of each text: ids as little-endian unsigned 32-bit integers, decoded text in UTF-8."""
-        found = [self.chunks(t) for t in texts]
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Of each text: ids as little-endian unsigned 32-bit integers."""
+        found = [self.cutter.chunks(t) for t in texts]
         self.learn(set().union(*found))
-        packed, shown = self.packed.__getitem__, self.shown.__getitem__
-        # a string between white space has no ids only if it has no words, which can't be: anything else is a word
-        return [(b"".join(map(packed, x)), b" ".join(map(shown, x))) for x in found]
+        return [b"".join(map(self.packed.__getitem__, x)) for x in found]
+
+    def decode(self, packed: bytes) -> bytes:
+        """Ids, packed as by encode(), to text in UTF-8: this tokenizer has no decoder, so tokens are joined by spaces."""
+        return b" ".join(map(self.model.shown.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
 def decode(model: Model, ids) -> str:
-    """Ids back to text: this tokenizer has no decoder, so tokens are joined by spaces."""
+    """Ids to text."""
     return " ".join(model.names[i] for i in ids)
 
 
-def lexicon_file(spark, model: Model, words=None) -> str:
-    """Compile a lexicon (the model's whole words, or the given ones), ship it to all executors, and return its name."""
-    chosen = {w: model.merge(w) for w in (words if words is not None else model.whole) if w}
+def frequent_words(texts: DataFrame, special, most_words: int, most_bytes: int = 64, most_held: int = 200_000) -> list[bytes]:
+    """The most_words most frequent words of a text column (ties in order of the word), counted over all its rows.
+
+    A task holds at most most_held different strings before it hands its counts on; words of over most_bytes bytes are left out.
+    """
+    special = tuple(special)
+
+    def count(batches):
+        cutter, held = Cutter(special), Counter()
+
+        def rows():
+            words: Counter = Counter()
+            for c, n in held.items():
+                for w in cutter.words(c):
+                    words[w] += n
+            held.clear()
+            got = [(b, n) for w, n in words.items() if w not in special and len(b := w.encode()) <= most_bytes]
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.binary()), pa.array([n for _, n in got], pa.int64())], names=["word", "n"])
+
+        for batch in pieces(batches):
+            for text in batch.column(0).to_pylist():
+                held.update(cutter.chunks(text or ""))
+                if len(held) > most_held:
+                    yield rows()
+        yield rows()
+
+    counted = texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [bytes(r.word) for r in counted.orderBy(F.desc("n"), "word").limit(most_words).collect()]
+
+
+def lexicon_file(spark, model: Model, words) -> str:
+    """Compile a lexicon of words (bytes) and their ids, ship it to all executors, and return its name."""
+    distinct = [w for w in dict.fromkeys(words) if w]
+    chosen = {w: ids.tolist() for w, ids in zip(distinct, model.merge_many(distinct), strict=True)}
     path = fresh_path(spark, "lexicon") + ".bin"
     fs, p = hadoop_path(spark, path)
     out = fs.create(p)
@@ -303,10 +351,10 @@ def _encode(name: str, spec, with_ids: bool):
                 size += len(group[-1])
                 if size < 1 << 20 and k < len(texts):
                     continue
-                for packed, shown in encoder.encode(group):
+                for packed in encoder.encode(group):
                     counts.append(len(packed) // 4)
                     own.append(hashlib.sha256(packed).hexdigest())
-                    back.append(hashlib.sha256(shown).hexdigest())
+                    back.append(hashlib.sha256(encoder.decode(packed)).hexdigest())
                     if with_ids:
                         lists.append(np.frombuffer(packed, "<u4").astype(np.int32))
                 group, size = [], 0
@@ -316,17 +364,21 @@ def _encode(name: str, spec, with_ids: bool):
     return run
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", words=None, with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", words=None, lexicon_words: int = 100_000, with_ids: bool = True) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids.
 
     tokenizer: path of the tokenizer's file on the driver. A null text counts as empty: no tokens. Ids are carried only, so null
-    and repeated ids are fine; other columns are ignored. words: words for the lexicon instead of the model's own.
+    and repeated ids are fine; other columns are ignored. The lexicon holds the lexicon_words most frequent words of docs, or
+    the given words (bytes); it changes the work only, never the ids.
     """
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
         text = f.read()
-    name, spec = lexicon_file(spark, Model(text), words), spark.sparkContext.broadcast(text)
+    model = Model(text)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if words is None:
+        words = frequent_words(rows.select("text"), model.special, lexicon_words)
+    name, spec = lexicon_file(spark, model, words), spark.sparkContext.broadcast(text)
     return rows.mapInArrow(_encode(name, spec, with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
