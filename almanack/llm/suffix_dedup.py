@@ -1,25 +1,23 @@
 """Removal of repeated byte strings across documents: suffix buckets refined by the bucket identifiers of later offsets.
 
-The suffixes that start at each byte are put into buckets by their first 20 bytes. A bucket is refined by the bucket
-identifiers of later offsets, and the refined identifiers are used again: 20 + 20 bytes make buckets of depth 40, and
-those with the bucket at 30 bytes further on make buckets of depth 50. Two suffixes have one bucket of depth 50 exactly
-if their first 50 bytes agree. Buckets are named by 64-bit mixes of the identifiers they were refined from instead of
-by rank, so that names agree between machines without a global sort; two strings are taken as equal if 64 bits of name
-agree (n strings: n * n / 2**65 expected errors).
-
-As in bucket-pointer refinement, only buckets that hold more than one document are refined further:
-
-1. Each string of 50 bytes has 31 inner offsets at which 20 bytes fit. The least of their 20-byte identifiers is the
-   string's key (48 bits of it: keys only select). Strings that start at successive offsets mostly share a key: such a
-   run (31 starts at most) is a *piece*. Equal strings have equal keys, so only keys that two documents hold can hold a repeat.
-2. Pieces with such keys are refined to the identifier of their whole span (depth 50 at its first and last start). A
-   piece whose span occurs in an earlier document is wholly repeated.
-3. What remains, where a key has several spans, is refined to depth 50 at every start: the edges of repeats.
-
-Documents lie in chunks, which are ranges of doc_id, so a smaller chunk holds smaller doc_ids only. Each chunk asks
-about each identifier once, however many of its documents hold it, and is answered once: a passage in a third of all
-documents makes as many rows as there are chunks, not as there are documents. Texts are shuffled once,
-compressed one by one; the later steps reuse that exchange.
+A string of 50 bytes is removed where an earlier document has it too. Suffixes go into buckets, and only buckets that
+two documents hold are refined:
+
+1. Each string of 50 bytes has 31 inner offsets at which 20 bytes fit; the least of their 20-byte identifiers (48 bits of
+   it) is the string's key. Keys only select: equal strings have equal keys. Strings that start at successive offsets mostly
+   share a key: such a run (31 starts at most) is a *piece*, of at most 80 bytes. Pieces whose key no other document holds
+   end here.
+2. The other pieces are sent, with their bytes, to the owner of their key. The owner sorts the suffixes of its pieces by
+   bucket-pointer refinement: the first buckets are those of 8-byte grams; a bucket is refined by sorting its suffixes on
+   the bucket pointers found at a later offset, 8 bytes on, then 16, then 18, where each sort reads the pointers that the
+   sort before has updated, so depth goes 8, 16, 32, 50. Suffixes alone in their bucket leave it. What is in one bucket at
+   depth 50 has the same 50 bytes: bytes are compared, not hashes. The least document of each bucket keeps its string.
+3. Keys with more than `hot` pieces aren't gathered: each chunk names their starts by 128 bits of the 50 bytes (n
+   starts: n * n / 2**129 expected errors), each name once, and names are settled one by one.
+
+Documents lie in chunks, which are ranges of doc_id of about `chunk_bytes` of text, so a smaller chunk holds smaller doc_ids
+only. A passage in a third of all documents makes as many rows as there are chunks for each of its starts, not as there
+are documents. Texts are shuffled once, compressed one by one; the later steps reuse that exchange.
 """
 
 from __future__ import annotations
@@ -37,20 +35,14 @@ from .common import partitions
 #: Length of a repeated string, of the first buckets, and the offsets within a string at which a first bucket fits.
 DEPTH, GRAM = 50, 20
 INNER = DEPTH - GRAM + 1
-_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-
-
-def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A 64-bit identifier of the pair."""
-    x = a * _A + b * _B
-    x ^= x >> np.uint64(29)
-    x *= _C
-    x ^= x >> np.uint64(32)
-    return x
+SPAN = DEPTH + INNER - 1
+#: Refinements: from buckets of the first depth, by those so many bytes on.
+STEPS = ((8, 8), (16, 16), (32, 18))
+_A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
 def _grams(raw: bytes) -> np.ndarray:
-    """Identifiers of the first buckets: the 20 bytes from each offset, as words at 0, 8 and 12."""
+    """Identifiers of 20 bytes from each offset, as words at 0, 8 and 12."""
     v = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
     x = v[: 8 - GRAM] * _A
     x += v[8 : 16 - GRAM] * _C
@@ -58,9 +50,20 @@ def _grams(raw: bytes) -> np.ndarray:
     return x
 
 
-def _deep(g: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Identifiers of depth 50 at the given offsets: depth 20 to 40, then with the bucket at 30 bytes further on."""
-    return _mix(_mix(g[at], g[at + GRAM]), g[at + DEPTH - GRAM])
+def _names(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits, as two numbers, of the 50 bytes at each offset of the bytes."""
+    v = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    words = [v[at + k] for k in (0, 8, 16, 24, 32, 40, 42)]
+    out = []
+    for first, by in ((_A, _B), (_C, _D)):
+        x = words[0] * first
+        for w in words[1:]:
+            x ^= x >> np.uint64(31)
+            x = (x + w) * by
+        x ^= x >> np.uint64(29)
+        x *= first
+        out.append(x ^ (x >> np.uint64(32)))
+    return out[0], out[1]
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -105,28 +108,100 @@ class Pieces:
     def order(self) -> np.ndarray:
         return self.ordinal[self.doc]
 
-    def _named(self, doc: np.ndarray, *ats: np.ndarray) -> list[np.ndarray]:
-        """Depth-50 identifiers at offsets of documents (doc ascending)."""
-        out = [np.empty(len(doc), np.uint64) for _ in ats]
-        if len(doc):
-            edge = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1], [True])))
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
-                g = _grams(self.texts[doc[a]])
-                for to, at in zip(out, ats, strict=True):
-                    to[a:b] = _deep(g, at[a:b])
-        return out
-
-    def spans(self, rows: np.ndarray) -> np.ndarray:
-        """Identifiers of the whole span of pieces (rows ascending)."""
+    def places(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The chunk's bytes (with room for a last span), and where in them the given pieces start."""
+        size = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
+        begin = np.cumsum(size) - size
+        return np.frombuffer(b"".join([*self.texts, bytes(SPAN)]), np.uint8), begin[self.doc[rows]] + self.first[rows]
+
+    def spans(self, rows: np.ndarray) -> pa.Array:
+        """The bytes of whole pieces."""
+        raw, at = self.places(rows)
+        size = self.count[rows] + DEPTH - 1
+        inside = np.arange(SPAN) < size[:, None]
+        flat = np.lib.stride_tricks.sliding_window_view(raw, SPAN)[at][inside]
+        offsets = np.append(0, np.cumsum(size)).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+
+    def starts(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each start in pieces: document, offset, 128-bit name."""
         n = self.count[rows]
-        a, b = self._named(self.doc[rows], self.first[rows], self.first[rows] + n - 1)
-        return _mix(_mix(a, b), n.astype(np.uint64))
+        raw, place = self.places(rows)
+        return np.repeat(self.doc[rows], n), _spread(self.first[rows], n), *_names(raw, _spread(place, n))
 
-    def starts(self, rows: np.ndarray, names: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each start in pieces: document, offset, depth-50 identifier."""
-        n = self.count[rows]
-        doc, at = np.repeat(self.doc[rows], n), _spread(self.first[rows], n)
-        return doc, at, self._named(doc, at)[0] if names else at
+
+def _pointers(key: np.ndarray) -> np.ndarray:
+    """Bucket pointers: of each key the place of its bucket's first member in sorted order."""
+    by = np.argsort(key, kind="stable")
+    ordered = key[by]
+    new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+    out = np.empty(len(key), np.int64)
+    out[by] = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+    return out
+
+
+def refined(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Bucket pointers at depth 50 of all starts of spans: rows of SPAN bytes, size of each. -1 where a start is alone in its bucket.
+
+    Bucket-pointer refinement over all offsets at once: buckets of 8-byte grams, then each is sorted on the pointers at a
+    later offset, which are those of the last sort.
+    """
+    n = len(rows)
+    wide = np.zeros((n, SPAN + 8), np.uint8)
+    wide[:, :SPAN] = rows
+    gram = np.lib.stride_tricks.sliding_window_view(wide, 8, axis=1)[:, : SPAN - 7]
+    gram = np.ascontiguousarray(gram).view(">u8")[..., 0].astype(np.uint64)
+    depth, pointer = 8, np.full((n, SPAN), -1, np.int64)
+    live = np.arange(SPAN - 7) + 8 <= size[:, None]
+    at = np.nonzero(live)
+    pointer[at] = _pointers(gram[at])
+    for depth, on in STEPS:
+        deep = depth + on
+        ok = np.zeros((n, SPAN), bool)
+        ok[:, : SPAN - deep + 1] = np.arange(SPAN - deep + 1) + deep <= size[:, None]
+        # a suffix alone in its bucket, or with one alone further on, is alone from here on
+        count = np.bincount(pointer[pointer >= 0], minlength=1) if (pointer >= 0).any() else np.zeros(1, np.int64)
+        alone = (pointer < 0) | (count[np.maximum(pointer, 0)] == 1)
+        later = np.full((n, SPAN), -1, np.int64)
+        later[:, : SPAN - on] = np.where(alone[:, on:], -1, pointer[:, on:])
+        at = np.nonzero(ok & ~alone & (later >= 0))
+        key = pointer[at] << 32 | later[at]
+        pointer = np.full((n, SPAN), -1, np.int64)
+        if len(key):
+            pointer[at] = _pointers(key)
+    out = pointer[:, :INNER]
+    count = np.bincount(out[out >= 0], minlength=1) if (out >= 0).any() else np.zeros(1, np.int64)
+    return np.where((out >= 0) & (count[np.maximum(out, 0)] > 1), out, -1)
+
+
+def settle(key: np.ndarray, order: np.ndarray, spans: pa.Array) -> np.ndarray:
+    """Of each piece a mask of its starts whose 50 bytes a piece of less order has too. Pieces with equal bytes count once."""
+    coded = spans.dictionary_encode()
+    code, values = coded.indices.to_numpy(), coded.dictionary
+    least = np.full(len(values), np.iinfo(np.int64).max)
+    np.minimum.at(least, code, order)
+    size = np.diff(np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, values.offset * 4)).astype(np.int64)
+    whole = (np.int64(1) << (size - DEPTH + 1)) - 1
+    mask = np.where(least[code] < order, whole[code], 0)
+    # the rest: the first holder of each span, where its key has several spans
+    own = np.zeros(len(values), np.uint64)
+    own[code] = key
+    _, inverse, count = np.unique(own, return_inverse=True, return_counts=True)
+    open_ = np.flatnonzero(count[inverse] > 1)
+    if not len(open_):
+        return mask
+    flat = np.frombuffer(values.buffers()[2] or b"", np.uint8)
+    begin = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, values.offset * 4)[:-1].astype(np.int64)
+    rows = np.lib.stride_tricks.sliding_window_view(np.append(flat, np.zeros(SPAN, np.uint8)), SPAN)[begin[open_]]
+    pointer = refined(rows, size[open_])
+    span, start = np.nonzero(pointer >= 0)
+    bucket = pointer[span, start]
+    first = np.full(int(bucket.max()) + 1 if len(bucket) else 1, np.iinfo(np.int64).max)
+    np.minimum.at(first, bucket, least[open_][span])
+    again = first[bucket] < least[open_][span]
+    found = np.zeros(len(values), np.int64)
+    np.bitwise_or.at(found, open_[span[again]], np.int64(1) << start[again])
+    return np.where(mask == 0, found[code], mask)
 
 
 def _first_order(names: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -172,46 +247,43 @@ class Chunk:
         """Keys of the chunk, each once."""
         return np.unique(self.pieces.key)
 
-    def _shared(self, told_keys: np.ndarray) -> np.ndarray:
-        """Pieces whose key more than one document holds, here or (told) in another chunk."""
+    def ask_keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the chunk, each once, and how many pieces have each."""
+        return np.unique(self.pieces.key, return_counts=True)
+
+    def shared(self, told: np.ndarray, told_hot: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces whose key several documents hold, here or (told) elsewhere: those of other keys, those of hot ones."""
         uniq, least, most, inverse = _first_order(self.pieces.key, self.order)
-        return np.flatnonzero(((least < most) | _among(uniq, told_keys))[inverse]) if len(uniq) else np.empty(0, np.int64)
-
-    def ask_spans(self, told_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(key, span) of the shared pieces, each span once."""
-        rows = self._shared(told_keys)
-        span, at = np.unique(self.pieces.spans(rows), return_index=True)
-        return self.pieces.key[rows][at], span
-
-    def _resolved(self, earlier, several) -> tuple[np.ndarray, np.ndarray]:
-        """(pieces that are wholly repeated, pieces to refine further). Told: spans in an earlier chunk, spans whose key has several."""
-        rows = np.arange(len(self.pieces.key))
-        uniq, least, _, inverse = _first_order(self.pieces.spans(rows), self.order)
         if not len(uniq):
-            return rows, rows
-        done = _among(uniq, earlier)[inverse] | (least[inverse] < self.order)
-        return rows[done], rows[~done & _among(uniq, several)[inverse]]
-
-    def ask_starts(self, earlier, several) -> np.ndarray:
-        """Depth-50 identifiers at every start of the pieces to refine, each once."""
-        return np.unique(self.pieces.starts(self._resolved(earlier, several)[1])[2])
+            return inverse, inverse
+        very = _among(uniq, told_hot) | (np.bincount(inverse, minlength=len(uniq)) > hot)
+        several = (least < most) | _among(uniq, told) | _among(uniq, told_hot)
+        return np.flatnonzero((several & ~very)[inverse]), np.flatnonzero((several & very)[inverse])
 
-    def removed(self, earlier, several, told_starts) -> list[np.ndarray]:
+    def removed(self, no: np.ndarray, mask: np.ndarray, hot_rows: np.ndarray, told: tuple) -> list[np.ndarray]:
         """By document, in ascending doc_id: a mask of the bytes to remove."""
         p = self.pieces
-        done, rest = self._resolved(earlier, several)
-        doc, at, _ = p.starts(done, names=False)
-        d2, a2, name = p.starts(rest)
-        uniq, least, _, inverse = _first_order(name, p.ordinal[d2])
-        if len(uniq):
-            hit = _among(uniq, told_starts)[inverse] | (least[inverse] < p.ordinal[d2])
+        bits = (mask[:, None] >> np.arange(INNER)) & 1
+        row, start = np.nonzero(bits)
+        doc, at = p.doc[no[row]], p.first[no[row]] + start
+        d2, a2, x, y = p.starts(hot_rows)
+        if len(d2):
+            pair = np.concatenate((x, told[0])), np.concatenate((y, told[1]))
+            # told names come first of their kind: order -1
+            order = np.concatenate((p.ordinal[d2], np.full(len(told[0]), -1)))
+            by = np.lexsort((order, pair[1], pair[0]))
+            new = np.concatenate(([True], (pair[0][by][1:] != pair[0][by][:-1]) | (pair[1][by][1:] != pair[1][by][:-1])))
+            head = order[by][np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
+            least = np.empty(len(by), np.int64)
+            least[by] = head
+            hit = least[: len(d2)] < p.ordinal[d2]
             doc, at = np.concatenate((doc, d2[hit])), np.concatenate((at, a2[hit]))
         by = np.argsort(doc, kind="stable")
         doc, at = doc[by], at[by]
         edge = np.searchsorted(doc, np.arange(len(self.texts) + 1))
         out = []
         for i, raw in enumerate(self.texts):
-            a = at[edge[i] : edge[i + 1]]
+            a = np.unique(at[edge[i] : edge[i + 1]])
             step = np.zeros(len(raw) + 1, np.int32)
             step[a] += 1
             step[a + DEPTH] -= 1
@@ -222,44 +294,86 @@ class Chunk:
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def _column(t: pa.Table, name: str, kind: int) -> np.ndarray:
-    """Sorted identifiers of one kind of answer, as unsigned."""
-    rows = t.column("kind").to_numpy() == kind
-    return np.sort(t.column(name).to_numpy()[rows].astype(np.int64).view(np.uint64))
-
-
 def _chunk(t: pa.Table) -> Chunk:
     unpack = zstandard.ZstdDecompressor().decompress
     return Chunk(t.column("doc_id").to_pylist(), [unpack(x) if x else b"" for x in t.column("text").to_pylist()])
 
 
-def _answers(t: pa.Table) -> list[np.ndarray]:
-    return [_column(t, "name", k) for k in (1, 2, 3)]
+def _of(t: pa.Table, name: str, dtype=np.int64) -> np.ndarray:
+    return t.column(name).to_numpy().astype(np.int64).view(dtype)
 
 
-def _rows(chunk: int, **columns) -> pa.Table:
-    n = len(next(iter(columns.values())))
-    return pa.table({"chunk": pa.array(np.full(n, chunk, np.int64))} | {k: pa.array(v.view(np.int64)) for k, v in columns.items()})
+def _told(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys: those told, those told to be hot."""
+    key, very = _of(t, "key", np.uint64), _of(t, "hot") > 0
+    return np.sort(key[~very]), np.sort(key[very])
 
 
 def _step_keys(key, docs):
-    return _rows(key[0].as_py(), name=_chunk(docs).ask_keys())
+    keys, n = _chunk(docs).ask_keys()
+    return pa.table({"chunk": pa.array(np.full(len(keys), key[0].as_py(), np.int64)), "key": pa.array(keys.view(np.int64)), "n": pa.array(n.astype(np.int32))})
+
+
+SENT = pa.schema([("slot", pa.int64()), ("chunk", pa.int64()), ("no", pa.int32()), ("place", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("span", pa.binary())])
+TOLD = pa.schema([("chunk", pa.int64()), ("no", pa.int32()), ("mask", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def _step_spans(key, docs, told):
-    k, s = _chunk(docs).ask_spans(_column(told, "name", 0))
-    return _rows(key[0].as_py(), key=k, name=s)
+def _ddl(schema: pa.Schema) -> str:
+    kinds = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
+    return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
 
-def _step_starts(key, docs, told):
-    return _rows(key[0].as_py(), name=_chunk(docs).ask_starts(*_answers(told)[:2]))
+def _step_send(slots: int, hot: int):
+    """Pieces with their bytes, to their key's owner; names of the starts of hot keys, each once, to theirs (no = -1)."""
+
+    def step(key, docs, told):
+        chunk = _chunk(docs)
+        p = chunk.pieces
+        cold, very = chunk.shared(*_told(told), hot)
+        _, _, x, y = p.starts(very)
+        by = np.lexsort((y, x))
+        x, y = x[by], y[by]
+        if len(x):
+            new = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+            x, y = x[new], y[new]
+        n, m = len(cold), len(x)
+        a = np.concatenate((p.key[cold], x))
+        spans = pa.concat_arrays([p.spans(cold), pa.nulls(m, pa.binary())]) if n else pa.nulls(m, pa.binary())
+        columns = {
+            "slot": (a * _D >> np.uint64(16)) % np.uint64(slots), "chunk": np.full(n + m, key[0].as_py(), np.int64), "no": np.concatenate((cold, np.full(m, -1))),
+            "place": np.concatenate((chunk.order[cold], np.zeros(m, np.int64))), "a": a, "b": np.concatenate((np.zeros(n, np.uint64), y)),
+        }
+        return pa.table([*(pa.array(v.view(np.int64)).cast(SENT.field(k).type) for k, v in columns.items()), spans], schema=SENT)
+
+    return step
 
 
-def _final(with_kept: bool):
+def _step_settle(key, sent):
+    no, chunk, a, b = _of(sent, "no"), _of(sent, "chunk"), _of(sent, "a", np.uint64), _of(sent, "b", np.uint64)
+    cold, names = np.flatnonzero(no >= 0), np.flatnonzero(no < 0)
+    mask = np.empty(0, np.int64)
+    if len(cold):
+        spans = sent.column("span").take(pa.array(cold)).combine_chunks()
+        mask = settle(a[cold], chunk[cold] << 32 | _of(sent, "place")[cold], spans)
+        cold, mask = cold[mask != 0], mask[mask != 0]
+    if len(names):  # a name's first chunk has it settled by itself
+        by = names[np.lexsort((chunk[names], b[names], a[names]))]
+        again = np.concatenate(([False], (a[by][1:] == a[by][:-1]) & (b[by][1:] == b[by][:-1])))
+        names = by[again]
+    rows = np.concatenate((cold, names))
+    columns = {"chunk": chunk[rows], "no": no[rows], "mask": np.concatenate((mask, np.zeros(len(names), np.int64))), "a": np.where(no[rows] < 0, a[rows].view(np.int64), 0), "b": b[rows].view(np.int64)}
+    return pa.table([pa.array(v).cast(TOLD.field(k).type) for k, v in columns.items()], schema=TOLD)
+
+
+def _final(with_kept: bool, hot: int):
     def step(key, docs, told):
         chunk = _chunk(docs)
+        kind, no = _of(told, "kind"), _of(told, "no")
+        keys, masks, names = (told.filter(pa.array(x)) for x in (kind == 0, (kind == 1) & (no >= 0), (kind == 1) & (no < 0)))
+        very = chunk.shared(*_told(keys), hot)[1]
+        masks_of = chunk.removed(_of(masks, "no"), _of(masks, "mask"), very, (_of(names, "a", np.uint64), _of(names, "b", np.uint64)))
         out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-        for d, raw, mask in zip(chunk.doc_ids, chunk.texts, chunk.removed(*_answers(told)), strict=True):
+        for d, raw, mask in zip(chunk.doc_ids, chunk.texts, masks_of, strict=True):
             kept = np.frombuffer(raw, np.uint8)[~mask].tobytes() if mask.any() else raw
             row = d, len(raw), int(mask.sum()), int(np.count_nonzero(mask[1:] & ~mask[:-1]) + (len(mask) and mask[0])), hashlib.sha256(kept).hexdigest(), kept if with_kept else None
             for k, v in zip(out, row, strict=True):
@@ -270,8 +384,8 @@ def _final(with_kept: bool):
     return step
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> tuple[DataFrame, int]:
-    """(doc_id, text, chunk): chunks are ranges of doc_id of about chunk_bytes of text, and at least as many as shuffle partitions.
+def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> tuple[DataFrame, int, int]:
+    """(doc_id, text, chunk), chunks, bytes: chunks are ranges of doc_id of about chunk_bytes of text, and at least as many as shuffle partitions.
 
     The bounds are exact-to-1/10,000 quantiles over all doc_ids (one number per chunk on the driver).
     """
@@ -290,31 +404,30 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> tu
             texts = [pack(x) if x else None for x in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.binary()), pa.array(at, pa.int64())], names=["doc_id", "text", "chunk"])
 
-    return rows.mapInArrow(place, "doc_id long, text binary, chunk long"), n
+    return rows.mapInArrow(place, "doc_id long, text binary, chunk long"), n, total
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 16 << 20, with_kept: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 16 << 20, slot_bytes: int = 1 << 20, hot: int = 4096, with_kept: bool = True) -> DataFrame:
     """Remove every byte covered by a 50-byte string that also starts in a document with a smaller id.
 
     Returns a row per input row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and kept (the
     remaining bytes; null unless with_kept). A null text counts as empty; a row with a null id loses nothing and makes no
-    other row lose anything; rows that share an id don't count against each other. Other columns are ignored.
+    other row lose anything; rows that share an id don't count against each other. Other columns are ignored. slot_bytes: text
+    for each owner of keys; hot: pieces of one key beyond which it isn't gathered. Neither changes the result.
     """
-    at, n = chunked(docs, id_col, text_col, chunk_bytes)
-    text = at.repartition(n, "chunk")
-    by_chunk = text.groupBy("chunk")
-    asked = by_chunk.applyInArrow(_step_keys, "chunk long, name long")
-    w = Window.partitionBy("name")
-    told = asked.withColumn("n", F.count(F.lit(1)).over(w)).filter("n > 1").select("chunk", F.lit(0).alias("kind"), "name")
-    spans = by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_step_spans, "chunk long, key long, name long")
-    k = Window.partitionBy("key")
-    seen = spans.withColumns({"several": F.min("name").over(k) != F.max("name").over(k), "earlier": F.min("chunk").over(Window.partitionBy("key", "name")) < F.col("chunk")})
-    # a span that an earlier chunk has is settled, so it needs no other answer
-    told = seen.filter("several or earlier").select("chunk", F.when(F.col("earlier"), 1).otherwise(2).alias("kind"), "name")
-    starts = by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_step_starts, "chunk long, name long")
-    found = starts.withColumn("least", F.min("chunk").over(w)).filter("least < chunk").select("chunk", F.lit(3).alias("kind"), "name")
-    told = told.unionByName(found)
-    return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_final(with_kept), SCHEMA)
+    at, n, total = chunked(docs, id_col, text_col, chunk_bytes)
+    by_chunk = at.repartition(n, "chunk").groupBy("chunk")
+    asked = by_chunk.applyInArrow(_step_keys, "chunk long, key long, n int")
+    w = Window.partitionBy("key")
+    seen = asked.withColumns({"chunks": F.count(F.lit(1)).over(w), "pieces": F.sum("n").over(w)}).filter("chunks > 1")
+    told = seen.select("chunk", "key", (F.col("pieces") > hot).cast("int").alias("hot"))
+    slots = max(n, -(-total // slot_bytes))
+    sent = by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_step_send(slots, hot), _ddl(SENT))
+    answers = sent.groupBy("slot").applyInArrow(_step_settle, _ddl(TOLD))
+    blank = lambda **c: [F.lit(0).cast(t).alias(k) for k, t in c.items()]
+    told = told.filter("hot = 1").select("chunk", F.lit(0).alias("kind"), "key", "hot", *blank(no="int", mask="int", a="long", b="long"))
+    answers = answers.select("chunk", F.lit(1).alias("kind"), *blank(key="long", hot="int"), "no", "mask", "a", "b")
+    return by_chunk.cogroup(told.unionByName(answers).groupBy("chunk")).applyInArrow(_final(with_kept, hot), SCHEMA)
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:

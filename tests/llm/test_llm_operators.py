@@ -58,11 +58,35 @@ def test_suffix_dedup(docs, texts, none):
                 gone[k : k + n] = True
         runs = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (len(gone) and gone[0]))
         want.append((i, len(b), int(gone.sum()), runs, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()))
-    got = [tuple(r)[:5] for r in suffix_dedup.dedup(docs, chunk_bytes=2000).collect()]
-    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    for hot in (4096, 3, 0):
+        got = [tuple(r)[:5] for r in suffix_dedup.dedup(docs, chunk_bytes=2000, slot_bytes=3000, hot=hot).collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, want)), hot
     assert suffix_dedup.dedup(none).count() == 0
 
 
+def test_bucket_pointer_refinement():
+    r = random.Random(9)
+    base = ["".join(r.choice("ab") for _ in range(90)) for _ in range(4)]
+    spans, order, key = [], [], []
+    for k in range(200):
+        b, at, n = r.choice(base), r.randint(0, 10), r.randint(50, 80)
+        x = list(b[at : at + n])
+        if r.random() < 0.5:
+            x[r.randrange(len(x))] = "c"
+        spans.append("".join(x).encode())
+        order.append(r.randint(0, 60))
+        key.append(r.randint(0, 1))
+    import pyarrow as pa
+
+    got = suffix_dedup.settle(np.array(key, np.uint64), np.array(order, np.int64), pa.array(spans, pa.binary()))
+    least = {}
+    for s, o in zip(spans, order, strict=True):
+        for k in range(len(s) - 49):
+            least[s[k : k + 50]] = min(o, least.get(s[k : k + 50], o))
+    want = [sum(1 << k for k in range(len(s) - 49) if least[s[k : k + 50]] < o) for s, o in zip(spans, order, strict=True)]
+    assert got.tolist() == want
+
+
 @pytest.mark.parametrize("hot", [24, 1])
 def test_jaccard_join(docs, texts, none, hot):
     def shingles(t):
