@@ -254,7 +254,7 @@ def _stars(pairs: DataFrame, sets: DataFrame, percent: int, most: int = 2) -> Da
     return best.select(F.explode("x.a").alias("a"), "b")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, hot: int = 24, most_hot: int = 1 << 20, most_ids: int = 1 << 20, carried: int = 64) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, hot: int = 24, most_hot: int = 1 << 20, most_ids: int = 1 << 20, carried: int = 64, block: int = 256) -> DataFrame:
     """Near-duplicate classes of documents: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; a text of fewer words than `width` has its whole
@@ -262,7 +262,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     are kept, each with its own set, and a row with a null id gets the class of its equals (null if it has none). Shingles are
     compared by 64-bit hashes. `most_hot` bounds what is broadcast of hot shingles: where more are found, the count from
     which one is hot is raised. `most_ids` bounds the ids broadcast to pick texts; beyond it they are joined. `carried` is how many hot shingles go with a
-    document to make each pair once; with more, a pair may be made in several buckets, and counts once all the same.
+    document to make each pair once (`block`: rows of a bucket paired by one task's key); with more, a pair may be made in several buckets, and counts once all the same.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -295,8 +295,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     pairs = x.join(y, "shingle").filter("grp1 < grp2").filter(_similar_size(percent)).groupBy("grp1", "grp2", "n1", "n2", "n_hot1", "n_hot2").agg(F.count(F.lit(1)).alias("common"))
     pairs = pairs.filter(F.expr(f"{100 + percent} * (common + {rest}) >= {percent} * (n1 + n2)"))
     member = sets.select("grp", "doc")
-    expanded = pairs.select("grp1", "grp2").join(member.toDF("grp1", "d1"), "grp1").join(member.toDF("grp2", "d2"), "grp2")
-    close = written(expanded.select(F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b")), "close")
+    pairs = written(pairs.select("grp1", "grp2"), "group-pairs")
+    # each member of a group with the first one of the other: as many rows as members, not their products
+    first = sets.groupBy("grp").agg(F.min("doc").alias("a"))
+    ways = [pairs.select(F.col(x).alias("grp"), F.col(y).alias("other")) for x, y in (("grp1", "grp2"), ("grp2", "grp1"))]
+    close = ways[0].union(ways[1]).join(first, "grp").select("a", F.col("other").alias("grp")).join(member, "grp").select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b"))
 
     # buckets that may be large: a hot shingle's groups, and a group's own members
     hots = written(rows.filter("is_hot = 1").groupBy("grp").agg(F.sort_array(F.collect_set("shingle")).alias("hots")).join(member, "grp").select("doc", "hots"), "hots")
@@ -333,22 +336,34 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         tries = placed.join(largest, "bucket").filter("c_doc != top.c_doc").select(F.explode(F.array_distinct(F.array("top.h1", "top.h2"))).alias("a"), F.col("doc").alias("b"), F.col("n").alias("n2"))
         merged = joined(_links(_stars(tries, sets, percent), docs, width, percent, most_ids))
         placed = mixed_rows()
-    left = label(label(close.join(spanning, ["a", "b"], "left_anti"), "a"), "b").filter("c_a != c_b").select("a", "b")
+    # of two groups, members are paired only where they aren't all in one class already
+    placed_members = label(member, "doc")
+    span = placed_members.groupBy("grp").agg(F.min("c_doc").alias("low"), F.max("c_doc").alias("high"))
+    apart = pairs.join(span.toDF("grp1", "low1", "high1"), "grp1").join(span.toDF("grp2", "low2", "high2"), "grp2").filter("least(low1, low2) < greatest(high1, high2)").select("grp1", "grp2")
+    left = apart.join(placed_members.select(F.col("grp").alias("grp1"), F.col("doc").alias("d1"), F.col("c_doc").alias("c1")), "grp1").join(placed_members.select(F.col("grp").alias("grp2"), F.col("doc").alias("d2"), F.col("c_doc").alias("c2")), "grp2").filter("c1 != c2")
+    left = left.select(F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b")).distinct().join(spanning, ["a", "b"], "left_anti")
     # pairs with a cold shingle in common are among the close ones if they can be links; the others need enough hot ones
     # each pair is made in one bucket: that of its group, or else of the first hot shingle that both have in common
     placed = placed.join(hots.select("doc", F.slice("hots", 1, carried).alias("first")), "doc", "left")
-    x, y = (placed.select("bucket", "own", *(F.col(c).alias(f"{c}{i}") for c in ("doc", "grp", "n", "c_doc", "most", "first"))) for i in (1, 2))
+    # a bucket is cut into blocks of about `block` rows, and each pair of blocks is a key of its own, so that no task gets a whole bucket
+    large = placed.groupBy("bucket", "own").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")).filter("blocks > 1")
+    placed = placed.join(F.broadcast(large) if large.count() <= most_ids else large, ["bucket", "own"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("doc", F.lit(3)), "blocks"))
+    side = lambda i, low, high: placed.select("bucket", "own", *(F.col(c).alias(f"{c}{i}") for c in ("doc", "grp", "n", "c_doc", "most", "first")), low.alias("low"), high.alias("high"))
+    x = side(1, F.col("block"), F.explode(F.sequence("block", F.col("blocks") - 1)))
+    y = side(2, F.explode(F.sequence(F.lit(0).cast("long"), "block")), F.col("block"))
     rest = f"greatest(ceil(n1 * {percent} / 100), ceil(n2 * {percent} / 100)) - 1"
     can = lambda common: F.expr(f"{100 + percent} * ({common} + {rest}) >= {percent} * (n1 + n2)")
     both = "array_intersect(first1, first2)"
-    pair = x.join(y, ["bucket", "own"]).filter("doc1 < doc2 and c_doc1 != c_doc2").filter(_similar_size(percent)).filter(can("least(most1, most2)"))
+    pair = x.join(y, ["bucket", "own", "low", "high"]).filter("(low < high or doc1 < doc2) and c_doc1 != c_doc2").filter(_similar_size(percent)).filter(can("least(most1, most2)"))
     once = F.expr(f"own or (grp1 != grp2 and coalesce(get({both}, 0) >= bucket, true))")
-    across = pair.filter(once).filter(F.expr(f"own or greatest(most1, most2) > {carried}") | can(f"size({both})")).select(F.col("doc1").alias("a"), F.col("doc2").alias("b"))
+    across = pair.filter(once).filter(F.expr(f"own or greatest(most1, most2) > {carried}") | can(f"size({both})")).select(F.least("doc1", "doc2").alias("a"), F.greatest("doc1", "doc2").alias("b"))
     left = written(left.union(across).distinct(), "left")
     if left.limit(1).count():
         merged = joined(_links(left, docs, width, percent, most_ids))
     by_set = sets.select("n", "name", "doc").join(merged.select(F.col("node").alias("doc"), "component"), "doc", "left").select("n", "name", F.coalesce("component", "doc").alias("component"))
-    return nodes.join(by_set, ["n", "name"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    linked = nodes.filter("n > 0").join(by_set, ["n", "name"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    return linked.union(nodes.filter("n = 0").select("doc_id", "n", "doc_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", most_broadcast: int = 1 << 20, **options) -> DataFrame:

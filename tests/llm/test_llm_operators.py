@@ -105,7 +105,7 @@ def test_jaccard_join(docs, texts, none, hot):
         if i is not None:
             least[g] = min(least.get(g, i), i)
     want = [(i, len(s), least.get(g) if s else i) for g, (i, s) in zip(group, sets, strict=True)]
-    got = [tuple(r) for r in jaccard_join.classes(docs.filter("doc_id is null or doc_id != 9"), hot=hot).collect()]
+    got = [tuple(r) for r in jaccard_join.classes(docs.filter("doc_id is null or doc_id != 9"), hot=hot, block=3).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
     assert jaccard_join.classes(docs, hot=hot).count() == len(texts)
     assert jaccard_join.classes(none).count() == 0
