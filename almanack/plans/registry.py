@@ -589,3 +589,7 @@ def t7_tumbling_windows(spark, d):
 @query(f"SELECT count(*) AS n, min(doc_id) AS first_id FROM {EV} WHERE date BETWEEN DATE '2024-01-30' - 6 AND DATE '2024-01-30'")
 def t6_past_days(spark, d):
     return D.event_entries(spark, d).filter(F.col("date").between(F.date_sub(F.lit("2024-01-30").cast("date"), 6), F.lit("2024-01-30").cast("date"))).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
+
+
+# further queries add themselves to the same tables
+from . import registry_search  # noqa: E402,F401
