@@ -7,13 +7,15 @@ two documents hold are refined:
    it) is the string's key. Keys only select: equal strings have equal keys. Strings that start at successive offsets mostly
    share a key: such a run (31 starts at most) is a *piece*, of at most 80 bytes. Pieces whose key no other document holds
    end here.
-2. The other pieces are sent, with their bytes, to the owner of their key. The owner sorts the suffixes of its pieces by
-   bucket-pointer refinement: the first buckets are those of 8-byte grams; a bucket is refined by sorting its suffixes on
-   the bucket pointers found at a later offset, 8 bytes on, then 16, then 18, where each sort reads the pointers that the
-   sort before has updated, so depth goes 8, 16, 32, 50. Suffixes alone in their bucket leave it. What is in one bucket at
-   depth 50 has the same 50 bytes: bytes are compared, not hashes. The least document of each bucket keeps its string.
-3. Keys with more than `hot` pieces aren't gathered: each chunk names their starts by 128 bits of the 50 bytes (n
-   starts: n * n / 2**129 expected errors), each name once, and names are settled one by one.
+2. Pieces whose key is shared are named by 128 bits of their bytes (n names: n * n / 2**129 expected errors), each name once
+   a chunk. A piece that an earlier document has whole is settled by that.
+3. Of the rest, pieces whose key has several different pieces are sent, with their bytes, to the owner of the key. The
+   owner sorts their suffixes by bucket-pointer refinement: the first buckets are those of 8-byte grams; a bucket is
+   refined by sorting its suffixes on the bucket pointers found at a later offset, 8 bytes on, then 16, then 18, where each
+   sort reads the pointers that the sort before has updated, so depth goes 8, 16, 32, 50. Suffixes alone in their bucket
+   leave it. What is in one bucket at depth 50 has the same 50 bytes. The least document of each bucket keeps its string.
+4. Keys with more than `hot` pieces aren't gathered: each start of theirs is named by itself (128 bits of its 50 bytes), and
+   each chunk asks about each name once.
 
 Documents lie in chunks, which are ranges of doc_id of about `chunk_bytes` of text, so a smaller chunk holds smaller doc_ids
 only. A passage in a third of all documents makes as many rows as there are chunks for each of its starts, not as there
@@ -50,10 +52,8 @@ def _grams(raw: bytes) -> np.ndarray:
     return x
 
 
-def _names(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits, as two numbers, of the 50 bytes at each offset of the bytes."""
-    v = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
-    words = [v[at + k] for k in (0, 8, 16, 24, 32, 40, 42)]
+def _names(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits, as two numbers, of rows of 64-bit words."""
     out = []
     for first, by in ((_A, _B), (_C, _D)):
         x = words[0] * first
@@ -66,6 +66,10 @@ def _names(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+#: Rows that are worked on at a time, so that a chunk's temporary arrays stay small.
+_BLOCK = 1 << 17
+
+
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     have = 1
     while 2 * have <= width:
@@ -123,11 +127,45 @@ class Pieces:
         offsets = np.append(0, np.cumsum(size)).astype(np.int32)
         return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
 
-    def starts(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Each start in pieces: document, offset, 128-bit name."""
+    def span_names(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128-bit names of whole pieces."""
+        raw, at = self.places(rows)
+        every = np.lib.stride_tricks.sliding_window_view(raw, SPAN)
+        x, y = np.empty(len(rows), np.uint64), np.empty(len(rows), np.uint64)
+        for k in range(0, len(rows), _BLOCK):
+            part = slice(k, k + _BLOCK)
+            size = self.count[rows[part]] + DEPTH - 1
+            wide = every[at[part]] * (np.arange(SPAN) < size[:, None])
+            x[part], y[part] = _names([size.astype(np.uint64), *np.ascontiguousarray(wide.astype(np.uint8, copy=False)).view("<u8").T])
+        return x, y
+
+    def start_names(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each start in pieces: the place of its piece among rows, 128-bit name of its 50 bytes."""
         n = self.count[rows]
         raw, place = self.places(rows)
-        return np.repeat(self.doc[rows], n), _spread(self.first[rows], n), *_names(raw, _spread(place, n))
+        of, at = np.repeat(np.arange(len(rows)), n), _spread(place, n)
+        v = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+        x, y = np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)
+        for k in range(0, len(at), _BLOCK):
+            part = at[k : k + _BLOCK]
+            x[k : k + _BLOCK], y[k : k + _BLOCK] = _names([v[part + i] for i in (0, 8, 16, 24, 32, 40, 42)])
+        return of, x, y
+
+
+def _distinct(x: np.ndarray, y: np.ndarray, *by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in order of (x, y, by) and which of these are the first of their (x, y)."""
+    at = np.lexsort((*reversed(by), y, x))
+    return at, np.concatenate(([True], (x[at][1:] != x[at][:-1]) | (y[at][1:] != y[at][:-1]))) if len(at) else np.empty(0, bool)
+
+
+def _held(x: np.ndarray, y: np.ndarray, told_x: np.ndarray, told_y: np.ndarray) -> np.ndarray:
+    """Which of the names (x, y) are told."""
+    both_x, both_y = np.concatenate((told_x, x)), np.concatenate((told_y, y))
+    at, new = _distinct(both_x, both_y, np.arange(len(both_x)) >= len(told_x))
+    first = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))] if len(at) else at
+    out = np.empty(len(at), bool)
+    out[at] = first < len(told_x)
+    return out[len(told_x) :]
 
 
 def _pointers(key: np.ndarray) -> np.ndarray:
@@ -260,24 +298,46 @@ class Chunk:
         several = (least < most) | _among(uniq, told) | _among(uniq, told_hot)
         return np.flatnonzero((several & ~very)[inverse]), np.flatnonzero((several & very)[inverse])
 
-    def removed(self, no: np.ndarray, mask: np.ndarray, hot_rows: np.ndarray, told: tuple) -> list[np.ndarray]:
-        """By document, in ascending doc_id: a mask of the bytes to remove."""
+    def first_spans(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Names of pieces (two numbers), which are the first in the chunk of their name, and which come after a document with the same."""
+        x, y = self.pieces.span_names(rows)
+        order = self.order[rows]
+        at, new = _distinct(x, y, order)
+        least = np.empty(len(rows), np.int64)
+        least[at] = order[at][np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))] if len(at) else 0
+        first = np.zeros(len(rows), bool)
+        first[at[new]] = True
+        return x, y, first, least < order
+
+    def hot_starts(self, rows: np.ndarray):
+        """Pieces of hot keys: different spans once. (which of rows holds each, each row's span, (span, x, y) of each start)."""
+        x, y = self.pieces.span_names(rows)
+        at, new = _distinct(x, y, self.order[rows])
+        code = np.empty(len(rows), np.int64)
+        code[at] = np.cumsum(new) - 1
+        return at[new], code, self.pieces.start_names(rows[at[new]])
+
+    def removed(self, whole: np.ndarray, no: np.ndarray, mask: np.ndarray, very: np.ndarray, told: tuple) -> list[np.ndarray]:
+        """By document, in ascending doc_id, a mask of the bytes to remove: pieces that go whole, masks of others, starts of hot ones."""
         p = self.pieces
         bits = (mask[:, None] >> np.arange(INNER)) & 1
         row, start = np.nonzero(bits)
-        doc, at = p.doc[no[row]], p.first[no[row]] + start
-        d2, a2, x, y = p.starts(hot_rows)
-        if len(d2):
-            pair = np.concatenate((x, told[0])), np.concatenate((y, told[1]))
-            # told names come first of their kind: order -1
-            order = np.concatenate((p.ordinal[d2], np.full(len(told[0]), -1)))
-            by = np.lexsort((order, pair[1], pair[0]))
-            new = np.concatenate(([True], (pair[0][by][1:] != pair[0][by][:-1]) | (pair[1][by][1:] != pair[1][by][:-1])))
-            head = order[by][np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
-            least = np.empty(len(by), np.int64)
-            least[by] = head
-            hit = least[: len(d2)] < p.ordinal[d2]
-            doc, at = np.concatenate((doc, d2[hit])), np.concatenate((at, a2[hit]))
+        docs, ats = [np.repeat(p.doc[whole], p.count[whole]), p.doc[no[row]]], [_spread(p.first[whole], p.count[whole]), p.first[no[row]] + start]
+        if len(very):
+            holder, code, (span, x, y) = self.hot_starts(very)
+            order = self.order[very]
+            at, new = _distinct(x, y, order[holder][span])
+            least = np.empty(len(x), np.int64)
+            least[at] = order[holder][span][at][np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+            least[_held(x, y, *told)] = -1
+            begin = np.append(0, np.cumsum(p.count[very[holder]]))
+            for k in range(0, len(very), _BLOCK // 16):
+                part = np.arange(k, min(k + _BLOCK // 16, len(very)))
+                n = p.count[very[part]]
+                hit = least[_spread(begin[code[part]], n)] < np.repeat(order[part], n)
+                docs.append(np.repeat(p.doc[very[part]], n)[hit])
+                ats.append(_spread(p.first[very[part]], n)[hit])
+        doc, at = np.concatenate(docs), np.concatenate(ats)
         by = np.argsort(doc, kind="stable")
         doc, at = doc[by], at[by]
         edge = np.searchsorted(doc, np.arange(len(self.texts) + 1))
@@ -300,7 +360,7 @@ def _chunk(t: pa.Table) -> Chunk:
 
 
 def _of(t: pa.Table, name: str, dtype=np.int64) -> np.ndarray:
-    return t.column(name).to_numpy().astype(np.int64).view(dtype)
+    return t.column(name).cast(pa.int64()).to_numpy().view(dtype) if len(t) else np.empty(0, dtype)
 
 
 def _told(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -314,8 +374,9 @@ def _step_keys(key, docs):
     return pa.table({"chunk": pa.array(np.full(len(keys), key[0].as_py(), np.int64)), "key": pa.array(keys.view(np.int64)), "n": pa.array(n.astype(np.int32))})
 
 
-SENT = pa.schema([("slot", pa.int64()), ("chunk", pa.int64()), ("no", pa.int32()), ("place", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("span", pa.binary())])
-TOLD = pa.schema([("chunk", pa.int64()), ("no", pa.int32()), ("mask", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+NAMED = pa.schema([("chunk", pa.int64()), ("key", pa.int64()), ("x", pa.int64()), ("y", pa.int64())])
+SENT = pa.schema([("slot", pa.int64()), ("chunk", pa.int64()), ("no", pa.int32()), ("place", pa.int32()), ("key", pa.int64()), ("span", pa.binary())])
+TOLD = pa.schema([("chunk", pa.int64()), ("no", pa.int32()), ("mask", pa.int32())])
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -323,55 +384,73 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
 
 
+def _table(schema: pa.Schema, n: int, **columns) -> pa.Table:
+    wide = lambda v: np.full(n, v, np.int64) if np.isscalar(v) else v.view(np.int64)
+    return pa.table([v if isinstance(v, pa.Array) else pa.array(wide(v)).cast(schema.field(k).type) for k, v in columns.items()], schema=schema)
+
+
+def _step_names(hot: int):
+    """Names of the chunk's shared pieces, and of the starts of its hot ones (a name is its own key), each once."""
+
+    def step(key, docs, told):
+        chunk = _chunk(docs)
+        cold, very = chunk.shared(*_told(told), hot)
+        x, y, first, _ = chunk.first_spans(cold)
+        _, _, (_, sx, sy) = chunk.hot_starts(very)
+        at, new = _distinct(sx, sy)
+        sx, sy = sx[at[new]], sy[at[new]]
+        n = int(first.sum()) + len(sx)
+        return _table(NAMED, n, chunk=key[0].as_py(), key=np.concatenate((chunk.pieces.key[cold][first], sx)), x=np.concatenate((x[first], sx)), y=np.concatenate((y[first], sy)))
+
+    return step
+
+
+def _kinds(told: pa.Table) -> tuple:
+    """What a chunk was told: keys (kind 0), names that an earlier chunk has (1), names whose key has several (2)."""
+    kind = _of(told, "kind")
+    keys, earlier, several = (told.filter(pa.array(kind == k)) for k in range(3))
+    names = lambda t: (_of(t, "x", np.uint64), _of(t, "y", np.uint64))
+    return _told(keys), names(earlier), names(several)
+
+
+def _resolved(chunk: Chunk, told: pa.Table, hot: int) -> tuple:
+    """(pieces that go whole, pieces to refine, pieces of hot keys, told names)."""
+    keys, earlier, several = _kinds(told)
+    cold, very = chunk.shared(*keys, hot)
+    x, y, first, after = chunk.first_spans(cold)
+    whole = after | _held(x, y, *earlier)
+    # a key that only this chunk holds is told nowhere: its pieces are refined if they differ
+    key = chunk.pieces.key[cold]
+    uniq, inverse = np.unique(key, return_inverse=True)
+    differs = np.bincount(inverse, weights=first, minlength=len(uniq))[inverse] > 1 if len(uniq) else np.empty(0, bool)
+    return cold[whole], cold[~whole & (differs | _held(x, y, *several))], very, earlier
+
+
 def _step_send(slots: int, hot: int):
-    """Pieces with their bytes, to their key's owner; names of the starts of hot keys, each once, to theirs (no = -1)."""
+    """Pieces to refine with their bytes, to their key's owner."""
 
     def step(key, docs, told):
         chunk = _chunk(docs)
         p = chunk.pieces
-        cold, very = chunk.shared(*_told(told), hot)
-        _, _, x, y = p.starts(very)
-        by = np.lexsort((y, x))
-        x, y = x[by], y[by]
-        if len(x):
-            new = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
-            x, y = x[new], y[new]
-        n, m = len(cold), len(x)
-        a = np.concatenate((p.key[cold], x))
-        spans = pa.concat_arrays([p.spans(cold), pa.nulls(m, pa.binary())]) if n else pa.nulls(m, pa.binary())
-        columns = {
-            "slot": (a * _D >> np.uint64(16)) % np.uint64(slots), "chunk": np.full(n + m, key[0].as_py(), np.int64), "no": np.concatenate((cold, np.full(m, -1))),
-            "place": np.concatenate((chunk.order[cold], np.zeros(m, np.int64))), "a": a, "b": np.concatenate((np.zeros(n, np.uint64), y)),
-        }
-        return pa.table([*(pa.array(v.view(np.int64)).cast(SENT.field(k).type) for k, v in columns.items()), spans], schema=SENT)
+        rows = _resolved(chunk, told, hot)[1]
+        return _table(SENT, len(rows), slot=((p.key[rows] * _D) >> np.uint64(16)) % np.uint64(slots), chunk=key[0].as_py(), no=rows, place=chunk.order[rows], key=p.key[rows], span=p.spans(rows))
 
     return step
 
 
 def _step_settle(key, sent):
-    no, chunk, a, b = _of(sent, "no"), _of(sent, "chunk"), _of(sent, "a", np.uint64), _of(sent, "b", np.uint64)
-    cold, names = np.flatnonzero(no >= 0), np.flatnonzero(no < 0)
-    mask = np.empty(0, np.int64)
-    if len(cold):
-        spans = sent.column("span").take(pa.array(cold)).combine_chunks()
-        mask = settle(a[cold], chunk[cold] << 32 | _of(sent, "place")[cold], spans)
-        cold, mask = cold[mask != 0], mask[mask != 0]
-    if len(names):  # a name's first chunk has it settled by itself
-        by = names[np.lexsort((chunk[names], b[names], a[names]))]
-        again = np.concatenate(([False], (a[by][1:] == a[by][:-1]) & (b[by][1:] == b[by][:-1])))
-        names = by[again]
-    rows = np.concatenate((cold, names))
-    columns = {"chunk": chunk[rows], "no": no[rows], "mask": np.concatenate((mask, np.zeros(len(names), np.int64))), "a": np.where(no[rows] < 0, a[rows].view(np.int64), 0), "b": b[rows].view(np.int64)}
-    return pa.table([pa.array(v).cast(TOLD.field(k).type) for k, v in columns.items()], schema=TOLD)
+    chunk = _of(sent, "chunk")
+    mask = settle(_of(sent, "key", np.uint64), chunk << 32 | _of(sent, "place"), sent.column("span").combine_chunks())
+    rows = np.flatnonzero(mask)
+    return _table(TOLD, len(rows), chunk=chunk[rows], no=_of(sent, "no")[rows], mask=mask[rows])
 
 
 def _final(with_kept: bool, hot: int):
     def step(key, docs, told):
         chunk = _chunk(docs)
-        kind, no = _of(told, "kind"), _of(told, "no")
-        keys, masks, names = (told.filter(pa.array(x)) for x in (kind == 0, (kind == 1) & (no >= 0), (kind == 1) & (no < 0)))
-        very = chunk.shared(*_told(keys), hot)[1]
-        masks_of = chunk.removed(_of(masks, "no"), _of(masks, "mask"), very, (_of(names, "a", np.uint64), _of(names, "b", np.uint64)))
+        masks = told.filter(pa.array(_of(told, "kind") == 3))
+        whole, _, very, names = _resolved(chunk, told, hot)
+        masks_of = chunk.removed(whole, _of(masks, "no"), _of(masks, "mask"), very, names)
         out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
         for d, raw, mask in zip(chunk.doc_ids, chunk.texts, masks_of, strict=True):
             kept = np.frombuffer(raw, np.uint8)[~mask].tobytes() if mask.any() else raw
@@ -420,14 +499,18 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     asked = by_chunk.applyInArrow(_step_keys, "chunk long, key long, n int")
     w = Window.partitionBy("key")
     seen = asked.withColumns({"chunks": F.count(F.lit(1)).over(w), "pieces": F.sum("n").over(w)}).filter("chunks > 1")
-    told = seen.select("chunk", "key", (F.col("pieces") > hot).cast("int").alias("hot"))
+    blank = lambda **c: [F.lit(None).cast(t).alias(k) for k, t in c.items()]
+    keys = seen.select("chunk", F.lit(0).alias("kind"), "key", (F.col("pieces") > hot).cast("int").alias("hot"), *blank(x="long", y="long", no="int", mask="int"))
+    named = by_chunk.cogroup(keys.groupBy("chunk")).applyInArrow(_step_names(hot), _ddl(NAMED))
+    # hot keys aside, a key has no more than `hot` rows, and a name no more than there are chunks
+    found = named.withColumns({"several": F.min("x").over(w) != F.max("x").over(w), "earlier": F.min("chunk").over(Window.partitionBy("key", "x", "y")) < F.col("chunk")})
+    names = found.filter("several or earlier").select("chunk", F.when(F.col("earlier"), 1).otherwise(2).alias("kind"), *blank(key="long", hot="int"), "x", "y", *blank(no="int", mask="int"))
+    told = keys.unionByName(names)
     slots = max(n, -(-total // slot_bytes))
     sent = by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_step_send(slots, hot), _ddl(SENT))
-    answers = sent.groupBy("slot").applyInArrow(_step_settle, _ddl(TOLD))
-    blank = lambda **c: [F.lit(0).cast(t).alias(k) for k, t in c.items()]
-    told = told.filter("hot = 1").select("chunk", F.lit(0).alias("kind"), "key", "hot", *blank(no="int", mask="int", a="long", b="long"))
-    answers = answers.select("chunk", F.lit(1).alias("kind"), *blank(key="long", hot="int"), "no", "mask", "a", "b")
-    return by_chunk.cogroup(told.unionByName(answers).groupBy("chunk")).applyInArrow(_final(with_kept, hot), SCHEMA)
+    masks = sent.groupBy("slot").applyInArrow(_step_settle, _ddl(TOLD))
+    told = told.unionByName(masks.select("chunk", F.lit(3).alias("kind"), *blank(key="long", hot="int", x="long", y="long"), "no", "mask"))
+    return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_final(with_kept, hot), SCHEMA)
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
