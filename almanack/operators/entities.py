@@ -170,7 +170,7 @@ def candidate_edges(entries: DataFrame) -> DataFrame:
         at = F.flatten(F.transform("v", lambda a, i: F.transform(F.slice("v", i + 2, F.size("v")), lambda b: F.struct(a.alias("source"), b.alias("target")))))
         return v.select(F.lit(kind).alias("type"), F.explode(at).alias("p"), "doc_id").select("type", "p.source", "p.target", "doc_id")
 
-    links = F.filter(F.transform(X
+    links = F.filter(F.transform(F.regexp_extract_all("body", F.lit(r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"), 1), lambda x: F.trim(x)), lambda x: x != "")
     one = lambda kind, values: e.select(F.lit(kind).alias("type"), F.col("title").alias("source"), F.explode(values).alias("target"), "doc_id")
     rows = pairs("people_cooccurrence", F.col("people")).unionByName(one("related_entry", F.col("related"))).unionByName(one("wikilink", links)).unionByName(pairs("body_cooccurrence", proper))
     n = rows.distinct().groupBy("type", "source", "target").agg(F.count(F.lit(1)).alias("n"))

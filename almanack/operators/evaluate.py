@@ -23,3 +23,13 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     """query_id, status of two runs with columns query_id, passed."""
     j = a.select("query_id", F.col("passed").alias("pa")).join(b.select("query_id", F.col("passed").alias("pb")), "query_id", "full")
     return j.select("query_id", F.when(F.col("pa").isNull(), "new_in_candidate").when(F.col("pb").isNull(), "missing_from_candidate").when(F.col("pa") & F.col("pb"), "still_passing").when(~F.col("pa") & F.col("pb"), "fixed").when(F.col("pa"), "regressed").otherwise("still_failing").alias("status"))
+
+
+def means(queries: DataFrame, run: DataFrame, relevant: DataFrame, k: int = 5) -> DataFrame:
+    """One row: n_queries (with a relevant document), n_skipped (without), mean MRR and recall at k; a query that the run lacks counts 0."""
+    first = run.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).filter(F.col("place") <= k)
+    size = relevant.distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("size"))
+    hits = first.join(relevant.distinct(), ["query_id", "doc_id"], "left_semi").groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.min("place").alias("f"))
+    j = queries.join(size, "query_id", "left").join(hits, "query_id", "left")
+    mean = lambda c: F.round(F.avg(F.when(F.col("size").isNotNull(), F.coalesce(c, F.lit(0.0)))), 4)
+    return j.agg(F.count("size").alias("n_queries"), (F.count(F.lit(1)) - F.count("size")).alias("n_skipped"), mean(1 / F.col("f")).alias("mean_mrr"), mean(F.col("hits") / F.col("size")).alias("mean_recall"))
