@@ -72,9 +72,31 @@ def safe_name(col):
     return F.regexp_replace(F.trim(col), r'[\\/:*?"<>|\s]+', "_")
 
 
+def decayed(n, k: float = 0.1):
+    """Weight of a term that n things share: 1 / (1 + k (n - 1)^2)."""
+    return 1 / (1 + k * (n - 1) * (n - 1))
+
+
+#: What may wrap a query, and punctuation at its ends.
+WRAPPERS, ENDS = "“”‘’「」『』《》〈〉【】（）［］｛｝", "!！?？,，.。;；:：、…·"
+
+
+def normalized(col):
+    """A query in compatibility form (NFKC), without wrappers and punctuation at its ends, white space folded. One batch of Arrow at a time."""
+    import unicodedata
+
+    @F.pandas_udf("string")
+    def compatible(s):
+        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+    clean = lambda c, chars: F.regexp_replace(c, f"^[{chars}]+|[{chars}]+$", "")
+    base = F.trim(F.regexp_replace(compatible(F.coalesce(col, F.lit(""))), r"^\s+|\s+$", ""))
+    return F.trim(F.regexp_replace(clean(clean(base, WRAPPERS), ENDS), r"\s+", " "))
+
+
 def json_list(col):
     """A JSON array of strings, or else the parts between commas."""
-    return F.coalesce(F.from_json(col, "array<string>", {"mode": "PERMISSIVE"}), F.transform(F.split(col, ","), F.trim))
+    return F.coalesce(F.from_json(col, "array<string>", {"mode": "PERMISSIVE"}), F.transform(F.split(col, ","), lambda x: F.trim(x)))
 
 
 #: Python's white space, and the digits that aren't decimal ones (superscripts, circled and so on), for classes of Java and RE2.
@@ -82,7 +104,8 @@ SPACE = r"\t-\r\x1c-\x20\x85\p{Z}"
 DIGIT = r"\p{Nd}\x{b2}-\x{b3}\x{b9}\x{1369}-\x{1371}\x{19da}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}\x{2460}-\x{2468}\x{2474}-\x{247c}\x{2488}-\x{2490}\x{24ea}\x{24f5}-\x{24fd}\x{24ff}\x{2776}-\x{277e}\x{2780}-\x{2788}\x{278a}-\x{2792}\x{10a40}-\x{10a43}\x{10e60}-\x{10e68}\x{11052}-\x{1105a}\x{1f100}-\x{1f10a}"
 NEGATIONS = ("不存在", "不相关", "完全不相关", "随机内容", "无关内容")
 OFF_TOPIC = ("菜谱", "健身", "减肥", "区块链", "养猫", "养狗", "宠物", "旅行攻略", "旅游攻略")
-CANONICAL = "life index"
+#: A product's own name, which near misses of count as noise.
+CANONICAL = "open almanack"
 
 
 def noise(col):

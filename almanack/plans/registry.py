@@ -136,11 +136,11 @@ def p16_noise_rules(spark, d):
 
 def _noise_sql(q: str, given: str) -> str:
     has = lambda signals: f"regexp_matches({q}, '{'|'.join(signals)}')"
-    alike = f"(1 - levenshtein(lower({q}), '{T.CANONICAL}') / greatest(length({q}), 10))"
+    alike = f"(1 - levenshtein(lower({q}), '{T.CANONICAL}') / greatest(length({q}), {len(T.CANONICAL)}))"
     solid, latin = f"replace({q}, ' ', '')", rf"NOT regexp_matches({q}, '[\x{{4e00}}-\x{{9fff}}]')"
     return rf"""SELECT *, CASE WHEN {q} = '' THEN 'empty_query' WHEN regexp_matches({q}, '^[\p{{P}}{T.SPACE}]+$') THEN 'pure_symbols' WHEN regexp_matches({q}, '^[{T.DIGIT}]+$') THEN 'pure_digits' WHEN replace({q}, substr({q}, 1, 1), '') = '' THEN 'repeated_char'
 WHEN length(regexp_replace({q}, '[\p{{P}}{T.SPACE}]', '', 'g')) < 3 THEN 'too_short' WHEN {latin} AND regexp_matches({solid}, '^[\p{{L}}\p{{N}}]+$') AND 2 * length(regexp_replace({solid}, '[^{T.DIGIT}]', '', 'g')) >= length({solid}) THEN 'alphanumeric_noise' WHEN {latin} AND NOT regexp_matches({q}, '[a-zA-Z]{{3}}') THEN 'no_dictionary_words'
-WHEN {has(T.NEGATIONS)} THEN 'negation_intent' WHEN {has(T.OFF_TOPIC)} THEN 'ood_topic' WHEN regexp_matches({q}, '^[\x00-\x7f]+$') AND abs(length({q}) - 10) <= 2 AND {alike} >= 0.65 AND {alike} < 0.85 THEN 'typo_near_noise' ELSE 'none' END AS noise FROM (SELECT * REPLACE (regexp_replace(coalesce({q}, ''), '^[{T.SPACE}]+|[{T.SPACE}]+$', '', 'g') AS {q}) FROM ({given}))"""
+WHEN {has(T.NEGATIONS)} THEN 'negation_intent' WHEN {has(T.OFF_TOPIC)} THEN 'ood_topic' WHEN regexp_matches({q}, '^[\x00-\x7f]+$') AND abs(length({q}) - {len(T.CANONICAL)}) <= 2 AND {alike} >= 0.65 AND {alike} < 0.85 THEN 'typo_near_noise' ELSE 'none' END AS noise FROM (SELECT * REPLACE (regexp_replace(coalesce({q}, ''), '^[{T.SPACE}]+|[{T.SPACE}]+$', '', 'g') AS {q}) FROM ({given}))"""
 
 
 @query(f"SELECT item_id, size, noise FROM ({_noise_sql('q', 'SELECT item_id, size, substr(text, 1, size) AS q FROM benchmark, (SELECT unnest([0, 2, 4, 10, 100000]) AS size)')})")
@@ -592,4 +592,4 @@ def t6_past_days(spark, d):
 
 
 # further queries add themselves to the same tables
-from . import registry_entities, registry_search, registry_upkeep  # noqa: E402,F401
+from . import registry_entities, registry_plans, registry_search, registry_upkeep  # noqa: E402,F401
