@@ -592,4 +592,4 @@ def t6_past_days(spark, d):
 
 
 # further queries add themselves to the same tables
-from . import registry_entities, registry_plans, registry_search, registry_upkeep  # noqa: E402,F401
+from . import registry_entities, registry_plans, registry_search, registry_stores, registry_upkeep  # noqa: E402,F401

@@ -80,7 +80,7 @@ def r23_t6_aggregate_intent(spark, d):
     return spark.createDataFrame(rows, "phrase string, unit string, since string, until string, predicate string")
 
 
-QUERIES_AS_GIVEN = [("  《読書》 ", "読書"), ("《読書》。", "読書》"), ("ＡＢＣ　１２３！", "ABC 123"), ("“two   words”…", "two words"), ("!?", ""), (None, ""), ("plain", "plain")]
+QUERIES_AS_GIVEN = [("  《読書》 ", "読書"), ("《読書》。", "読書》"), ("ＡＢＣ　１２３！", "ABC 123"), ("“two   words”", "two words"), ("“two   words”…", "two words”"), ("!?", ""), (None, ""), ("plain", "plain")]
 
 
 @query(f"SELECT * FROM {_values([(k, b) for k, (_, b) in enumerate(QUERIES_AS_GIVEN)])} t(id, normalized)")
