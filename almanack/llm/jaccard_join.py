@@ -246,6 +246,13 @@ def _links(pairs: DataFrame, docs: DataFrame, width: int, percent: int, most_ids
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(verify(width, percent), "a long, b long")
 
 
+def _spread(big: DataFrame, small: DataFrame, key: str, by: str, salts: int = 16) -> DataFrame:
+    """big with the row of small of its key (inner join): small's rows are copied to salts, over which big's are dealt, as one key may hold most of big."""
+    dealt = big.withColumn("salt", F.pmod(F.xxhash64(by, F.lit(5)), F.lit(salts)))
+    copies = small.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return dealt.join(copies, [key, "salt"]).drop("salt")
+
+
 def _stars(pairs: DataFrame, sets: DataFrame, percent: int, most: int = 2) -> DataFrame:
     """Of the pairs (a: a bucket's representative, b, n2) each b's `most` that share most buckets with it."""
     common = pairs.filter("a != b").groupBy("a", "b", "n2").agg(F.count(F.lit(1)).alias("common"))
@@ -309,7 +316,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     # most: prefix shingles that two members of the bucket can have in common
     buckets = written(hot_rows.union(own_rows).join(sets.select("doc", "n", "n_hot", "grp"), "doc").select("bucket", "own", "doc", "grp", "n", F.expr("if(own, n, n_hot)").alias("most")), "buckets")
     heads = buckets.groupBy("bucket").agg(F.min("doc").alias("h1"), F.min_by("doc", F.xxhash64("doc")).alias("h2"))
-    stars = _stars(buckets.join(heads, "bucket").select(F.explode(F.array_distinct(F.array("h1", "h2"))).alias("a"), F.col("doc").alias("b"), F.col("n").alias("n2")), sets, percent)
+    stars = _stars(_spread(buckets, heads, "bucket", "doc").select(F.explode(F.array_distinct(F.array("h1", "h2"))).alias("a"), F.col("doc").alias("b"), F.col("n").alias("n2")), sets, percent)
 
     spanning = close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = written(_links(spanning.union(stars).distinct(), docs, width, percent, most_ids), "links")
@@ -326,14 +333,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         """Rows of the buckets that hold several classes."""
         placed = label(buckets, "doc")
         mixed = placed.groupBy("bucket").agg((F.min("c_doc") != F.max("c_doc")).alias("mixed")).filter("mixed").select("bucket")
-        return written(placed.join(mixed, "bucket"), "mixed")
+        return written(_spread(placed, mixed, "bucket", "doc"), "mixed")
 
     placed = mixed_rows()
     if placed.limit(1).count():
         # those outside a bucket's largest class try two other members of it before all pairs are made
         sizes = placed.groupBy("bucket", "c_doc").agg(F.count(F.lit(1)).alias("k"), F.min_by("doc", F.xxhash64("doc", F.lit(1))).alias("h1"), F.min_by("doc", F.xxhash64("doc", F.lit(2))).alias("h2"))
         largest = sizes.groupBy("bucket").agg(F.max_by(F.struct("c_doc", "h1", "h2"), F.struct("k", -F.col("c_doc"))).alias("top"))
-        tries = placed.join(largest, "bucket").filter("c_doc != top.c_doc").select(F.explode(F.array_distinct(F.array("top.h1", "top.h2"))).alias("a"), F.col("doc").alias("b"), F.col("n").alias("n2"))
+        tries = _spread(placed, largest, "bucket", "doc").filter("c_doc != top.c_doc").select(F.explode(F.array_distinct(F.array("top.h1", "top.h2"))).alias("a"), F.col("doc").alias("b"), F.col("n").alias("n2"))
         merged = joined(_links(_stars(tries, sets, percent), docs, width, percent, most_ids))
         placed = mixed_rows()
     # of two groups, members are paired only where they aren't all in one class already
