@@ -7,9 +7,10 @@ the number of labels. The rules' interval ends are sorted and swept with a stack
 disjoint segments, each with its innermost rule. URLs and segment starts are sorted together and each URL takes the last
 segment start at or before its key.
 
-DataFrame functions only. Rows are dealt by a hash of the whole URL and page id over salts that each hold all segments, so a
-host with a third of all rows is spread evenly; one shuffle of URLs, without page contents. Rules number `most_rules` at
-most, as each salt holds a copy of the segments (more raise an error).
+DataFrame functions only. Rows are dealt by a hash of the whole URL and page id over salts that each hold the segments, so a
+host with a third of all rows is spread evenly; one shuffle of URLs, without page contents. With more than `bucket_rules`
+rules, segments and URLs are cut into ranges of keys first, at starts of segments, and each range has its salts, so that
+no task holds more than a range's segments; URLs are then shuffled once for each number of labels.
 """
 
 from __future__ import annotations
@@ -43,16 +44,19 @@ def _reversed(labels):
 
 def rule_segments(rules: DataFrame) -> DataFrame:
     """(labels, start, rule, prefix, verdict) of disjoint segments: from start on, up to the next start, rule is the innermost."""
+    rules = rules.select("verdict", F.translate("host", UPPER, LOWER).alias("host"), "path")
     r = rules.select(
+        "host",
         F.size(F.split("host", r"\.")).alias("labels"),
         F.concat(_reversed(F.split("host", r"\.")), F.lit("/"), F.col("path")).alias("prefix"),
         F.concat("host", "path").alias("rule"),
         "verdict",
     )
     # equal rules: block wins
-    r = r.groupBy("labels", "prefix").agg(F.max_by(F.struct("rule", "verdict"), F.col("verdict")).alias("r")).select("labels", "prefix", "r.rule", "r.verdict")
-    event = r.select("labels", F.explode(F.array(F.struct(F.col("prefix").alias("at"), F.lit(1).alias("opens"), F.struct("rule", "prefix", "verdict").alias("r")), F.struct(F.concat("prefix", F.lit(_END)).alias("at"), F.lit(0).alias("opens"), F.struct("rule", "prefix", "verdict").alias("r")))).alias("e"))
-    swept = event.groupBy("labels").agg(F.sort_array(F.collect_list("e")).alias("es"))
+    r = r.groupBy("labels", "host", "prefix").agg(F.max_by(F.struct("rule", "verdict"), F.col("verdict")).alias("r")).select("labels", "host", "prefix", "r.rule", "r.verdict")
+    # rules nest within one host only, so each host is swept by itself
+    event = r.select("labels", "host", F.explode(F.array(F.struct(F.col("prefix").alias("at"), F.lit(1).alias("opens"), F.struct("rule", "prefix", "verdict").alias("r")), F.struct(F.concat("prefix", F.lit(_END)).alias("at"), F.lit(0).alias("opens"), F.struct("rule", "prefix", "verdict").alias("r")))).alias("e"))
+    swept = event.groupBy("labels", "host").agg(F.sort_array(F.collect_list("e")).alias("es"))
     out = F.expr("""aggregate(es,
         named_struct('stack', slice(transform(es, e -> e.r), 1, 0), 'segments', slice(transform(es, e -> named_struct('start', e.at, 'r', if(e.opens > 1, null, e.r))), 1, 0)),
         (s, e) -> named_struct(
@@ -63,17 +67,15 @@ def rule_segments(rules: DataFrame) -> DataFrame:
     return swept.select("labels", F.explode(out).alias("s")).select("labels", "s.start", "s.r")
 
 
-def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url", most_rules: int = 20_000, salts: int | None = None) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url", bucket_rules: int = 20_000, salts: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of pages.
 
     rules: (verdict, host, path). The longest fitting rule (host and path) wins, `default` where none fits. Null urls and urls
     without :// have an empty host and path. Rows that repeat, or share an id, are judged each; other columns are ignored.
-    No rules: every verdict is the default.
+    No rules: every verdict is the default. Hosts of rules count in lower case; of equal rules, block wins.
     """
     spark = pages.sparkSession
     n_rules, deepest = rules.agg(F.count(F.lit(1)), F.max(F.size(F.split("host", r"\.")))).first()
-    if n_rules > most_rules:
-        raise ValueError(f"{n_rules} rules; at most {most_rules} are copied to each salt")
     deepest = deepest or 0
     salts = salts or 4 * partitions(spark)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("__u"))
@@ -81,13 +83,27 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     label = F.split("host", r"\.")
     keys = [F.when(F.size(label) >= k, F.concat(_reversed(F.slice(label, -k, k)), F.lit("/"), F.col("path"))) for k in range(1, deepest + 1)]
     rows = rows.select("*", *(x.alias(f"k{k}") for k, x in enumerate(keys, 1)))
+    bounds: dict[int, list[str]] = {}
     if deepest:
-        seg = F.broadcast(rule_segments(rules)).join(spark.range(salts).select(F.col("id").alias("salt")))
+        seg = rule_segments(rules)
+        if (buckets := -(-n_rules // bucket_rules)) > 1:  # some starts of segments, a sample of bounded size, as bounds of ranges
+            share = min(1.0, 64 * buckets / n_rules)
+            some = seg.filter(F.col("r").isNotNull() & (F.xxhash64("start") / F.lit(2.0**64) + 0.5 < share)).select("labels", "start").limit(256 * buckets).collect()
+            for k in range(1, deepest + 1):
+                starts = sorted({r.start for r in some if r.labels == k})
+                bounds[k] = [starts[len(starts) * i // buckets] for i in range(1, buckets)] if len(starts) >= buckets else starts
+        # a segment goes to every salt, URLs to one each
+        seg = seg.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
         seg = seg.select("salt", *(F.when(F.col("labels") == k, F.col("start")).alias(f"k{k}") for k in range(1, deepest + 1)), F.struct("r").alias("segment"))
         rows = rows.unionByName(seg, allowMissingColumns=True)
     for k in range(1, deepest + 1):
         own = F.when(F.col("segment").isNotNull() & F.col(f"k{k}").isNotNull(), F.col("segment"))
-        w = Window.partitionBy("salt").orderBy(F.col(f"k{k}"), F.col("segment").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+        by = ["salt"]
+        if bounds.get(k):
+            low = F.array(*map(F.lit, bounds[k]))
+            rows = rows.withColumn(f"b{k}", F.size(F.filter(low, lambda b: b <= F.col(f"k{k}"))))  # noqa: B023
+            by = [f"b{k}", "salt"]
+        w = Window.partitionBy(*by).orderBy(F.col(f"k{k}"), F.col("segment").isNull()).rowsBetween(Window.unboundedPreceding, 0)
         rows = rows.withColumn(f"r{k}", F.last(own, ignorenulls=True).over(w)["r"])
     rule, verdict = F.lit(None).cast("string"), F.lit(default)
     if deepest:

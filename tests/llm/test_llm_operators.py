@@ -427,11 +427,28 @@ def test_url_filter(spark):
     assert url_filter.judge(pages, rules.limit(0), default="block").filter("verdict = 'block'").count() == len(urls)
 
 
+def test_url_filter_many_rules(spark):
+    """Ranges of rules, equal rules, upper-case hosts, no pages."""
+    rules = [("allow" if k % 3 else "block", f"H{k % 9}.example.org" if k % 2 else "org", f"/{'ab'[k % 2]}{k % 13}/{'x' * (k % 5)}") for k in range(150)] + [("block", "h1.example.org", "/a/"), ("allow", "h1.example.org", "/a/")]
+    urls = [f"http://{h}h{k % 10}.example.org/{'ab'[k % 2]}{k % 14}/{'x' * (k % 7)}" for k in range(200) for h in ("", "deep.")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    table = spark.createDataFrame(rules, "verdict string, host string, path string")
+    a, b = ([tuple(r) for r in url_filter.judge(pages, table, bucket_rules=n, salts=3).orderBy("page_id").collect()] for n in (20_000, 10))
+    assert a == b
+    best: dict = {}
+    for v, h, p in rules:
+        best[h.lower() + p] = (h.lower(), p, "block" if "block" in (v, best.get(h.lower() + p, ("", "", ""))[2]) else v)
+    for (_, host, path, rule, verdict), _u in zip(a, urls, strict=True):
+        fit = [(len(r), r, v) for r, (h, p, v) in best.items() if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert (rule, verdict) == (max(fit)[1:] if fit else (None, "allow"))
+    assert url_filter.judge(pages.limit(0), table).count() == 0
+
+
 def test_warc(spark):
     given = [(i, f"http://h{i % 3}.example.com/{i}", ["same", None, "", f"x{i}\r\n\r\nWARC/1.1"][i % 4]) for i in range(40)] + [(100, None, "same")]
     pages = spark.createDataFrame(given, "page_id long, url string, html string")
     path = fresh_path(spark, "warc")
-    warc.write(pages, path, records_per_file=7)
+    warc.write(pages, path, file_bytes=1)
     got = warc.read(spark, path, rows_per_range=5).orderBy("range_no", "position").collect()
     assert len(got) == 41 and [(r.urlkey, r.ts, r.page_id) for r in got] == sorted((r.urlkey, r.ts, r.page_id) for r in got)
     first = {}
@@ -448,6 +465,21 @@ def test_warc(spark):
         list(warc.records(gzip.GzipFile(fileobj=__import__("io").BytesIO(gzip.compress(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort")))))
 
 
+def test_warc_order_of_odd_ids(spark):
+    """Null, negative and repeated ids, one key for all, long payloads, clashing columns; and no pages at all."""
+    ids = [5, -3, None, -100, None, 7, 7, -20, None, 0]
+    given = [(i, "http://one.example.org/", "p" * (40_000 if k == 3 else k % 2), "clash", k) for k, i in enumerate(ids)]
+    pages = spark.createDataFrame(given, "page_id long, url string, html string, digest string, n long")
+    path, when = fresh_path(spark, "warc"), __import__("pyspark").sql.functions.lit("2024-02-03 04:05:06").cast("timestamp")
+    warc.write(pages, path, when=when, file_bytes=50_000)
+    got = warc.read(spark, path, rows_per_range=2).orderBy("range_no", "position").collect()
+    assert [r.page_id for r in got] == [None] * 3 + [-100, -20, -3, 0, 5, 7, 7] and len({r.range_no for r in got}) > 1
+    assert len({(r.file, r.offset) for r in got}) == 10 and all(r.offset >= 0 for r in got)
+    path = fresh_path(spark, "warc")
+    warc.write(pages.limit(0), path)
+    assert not list(warc.captures(pages.limit(0), "page_id", "url", "html", 0).collect())
+
+
 def test_loser_tree():
     r = random.Random(1)
     for k in range(9):
