@@ -4,10 +4,14 @@ Writing: payload digests are taken where the rows are read; of equal payloads th
 response, all others revisit it. Records are made of column expressions and written by Spark's text writer with the
 record end as separator and gzip compression, so archives go to any store that Spark writes, and a lost task is redone.
 
+Archives are cut by bytes: captures are written by size classes, each with as many records a file as fit in `file_bytes`.
+
 Reading: each archive is read and parsed by one task, which checks every digest, and yields the file's captures as a
 sorted run, cut at the bounds of key ranges. For each range the runs' parts are merged k ways by a loser tree on (URL key,
-timestamp, id). The ranges in their order are the globally ordered capture history. Bounds come from a sample of
-`sample` keys at most, and include timestamp and id, so one URL with a third of all captures is cut as well.
+timestamp, id, file, number), null ids first. The ranges in their order are the globally ordered capture history. Bounds
+come from a sample of `sample` keys at most, and are whole keys, so one URL, or one key, time and id, with a third of all
+captures is cut as well. An index row has the record's number and its offset in the archive's uncompressed bytes (Spark's
+writer makes one gzip member of a file, so there are no offsets of members).
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from .common import fresh_path, partitions, table, written
 
 END = "\r\n\r\n"
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-INDEX = "urlkey string, ts string, page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, file string, number long, place long"
+INDEX = "urlkey string, ts string, page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, file string, number long, offset long, place long"
 
 
 def base32_of_hex(column: str) -> str:
@@ -71,7 +75,11 @@ def record_text(p: DataFrame):
     )
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, when=None, records_per_file: int = 20_000, most_broadcast: int = 300_000) -> None:
+#: Greatest payloads of the size classes; each gets files of its own.
+CLASSES = (32 << 10, 1 << 20, 32 << 20)
+
+
+def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, when=None, file_bytes: int = 256 << 20, most_broadcast: int = 300_000) -> None:
     """Write the captures' archives below path (gzip). when: a timestamp column; else seconds after 2024 by id.
 
     Every row becomes a record. A null payload is an empty one; a null id makes a record without id, always a response; a null
@@ -87,7 +95,11 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     marks = rows.filter(F.col("n") >= min_bytes).select("page_id", "digest", "n", "salt").join(heads, ["digest", "n", "salt"]).select("page_id", "digest", "n", "first").filter("first != page_id").distinct()
     marks = written(marks, "revisits")
     marks = F.broadcast(marks) if marks.count() <= most_broadcast else marks
-    p.join(marks, ["page_id", "digest", "n"], "left").select(record_text(p).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    size = F.coalesce(*(F.when(F.col("n") <= top, k) for k, top in enumerate(CLASSES)), F.lit(len(CLASSES)))
+    for k in sorted(r[0] for r in p.select(size).distinct().collect()):  # as many as there are classes at most
+        top = CLASSES[k] if k < len(CLASSES) else file_bytes
+        one = p.filter(size == k).join(marks, ["page_id", "digest", "n"], "left").select(record_text(p).alias("value"))
+        one.write.mode("append").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(1, file_bytes // (top + 1024))).text(path)
 
 
 def surt(url: str | None) -> str:
@@ -110,10 +122,12 @@ def _id(urn: str | None) -> int | None:
 
 
 def records(stream) -> object:
-    """(headers, block) of each record of an open archive."""
+    """(offset, headers, block) of each record of an open archive."""
     while True:
+        offset = stream.tell()
         line = stream.readline()
         while line in (b"\r\n", b"\n"):
+            offset = stream.tell()
             line = stream.readline()
         if not line:
             return
@@ -127,7 +141,7 @@ def records(stream) -> object:
         block = stream.read(n)
         if len(block) != n:
             raise Broken("short record")
-        yield head, block
+        yield offset, head, block
 
 
 def capture_of(head: dict, block: bytes) -> dict:
@@ -143,7 +157,8 @@ def capture_of(head: dict, block: bytes) -> dict:
 
 
 def _order(row: dict) -> tuple:
-    return row["urlkey"], row["ts"], -(1 << 63) if row["page_id"] is None else row["page_id"]
+    """Null ids come first."""
+    return row["urlkey"], row["ts"], row["page_id"] is not None, row["page_id"] or 0, row["file"], row["number"]
 
 
 def _parse(batches):
@@ -153,8 +168,8 @@ def _parse(batches):
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
             rows = []
             stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content)))
-            for number, (head, block) in enumerate(records(stream)):
-                rows.append(capture_of(head, block) | {"file": path.rpartition("/")[2], "number": number})
+            for number, (offset, head, block) in enumerate(records(stream)):
+                rows.append(capture_of(head, block) | {"file": path.rpartition("/")[2], "number": number, "offset": offset})
             rows.sort(key=_order)
             for place, row in enumerate(rows):
                 row["place"] = place
@@ -217,11 +232,13 @@ def read(spark, path: str, rows_per_range: int = 50_000, sample: int = 10_000) -
     kept = fresh_path(spark, "index")
     index.write.parquet(kept)
     index = spark.read.schema(INDEX).parquet(kept)
-    order = F.concat_ws("\t", "urlkey", "ts", F.lpad(F.coalesce(F.col("page_id"), F.lit(0)).cast("string"), 20, "0"))
+    # as text in the order of _order(): ids from 0 on in twenty digits, null before all
+    number = lambda c: F.lpad((F.col(c).cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    order = F.concat_ws("\x00", "urlkey", "ts", F.coalesce(number("page_id"), F.lit("")), "file", number("number"))
     total = index.count()
     n = max(partitions(spark), -(-total // rows_per_range))
     share = min(1.0, sample / max(total, 1))
-    keys = sorted(r[0] for r in index.select(order).filter((F.xxhash64("page_id", "url") / F.lit(2.0**64) + 0.5) < share).limit(2 * sample).collect())
+    keys = sorted(r[0] for r in index.select(order).filter((F.xxhash64("file", "number") / F.lit(2.0**64) + 0.5) < share).limit(2 * sample).collect())
     bounds = sorted({keys[len(keys) * i // n] for i in range(1, n)}) if keys else []
     marks = np.array(bounds, object)
 
