@@ -1,12 +1,13 @@
 """Quality classifier by co-training of two views.
 
-One logistic model sees the text's content (frequencies of hashed byte trigrams, shares of letter classes), the other the
-page's metadata (language, source, length, layout of lines). Both learn from a bounded sample of labelled documents; in
-each round each model labels those documents of a bounded unlabelled pool that it is surest of, and the other learns from
-these as well. Both are then calibrated on held-out labelled documents, and their calibrated scores are combined into
-one, for every document, in one pass without shuffle.
-
-Bounds: max_labelled and max_pool documents are turned to features on the executors and learnt from on the driver.
+One logistic model sees the text's content (frequencies of hashed byte trigrams, shares of letter classes; line breaks
+count as blanks), the other the page's metadata (language, source, length, layout of lines), so the views have no feature
+in common. Both learn from a bounded sample of labelled documents. In each round both score all unlabelled documents; the
+ones that a view is surest of, by its own calibration on labelled documents it hasn't learnt from, are labelled for the
+other view, which learns from these as well. After the last round both learn once more, are calibrated on held-out
+labelled documents, and their calibrated scores are combined into one, for every document, in one pass without shuffle.
+
+Bounds: max_labelled documents are learnt from, on the driver, and at most `each` pseudo-labels per class, view and round.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pieces, table
+from .jaccard_join import Words
 
 TRIGRAMS, CLASSES, META = 2048, 8, 64
 _LINE_END = re.compile(rb"[.!?:;\"')]\s*$")
@@ -29,10 +31,14 @@ _SIGN = np.zeros(256, bool)
 _SIGN[list(b"#*$%&|<>{}[]=+~^_\\@!")] = True
 
 
+#: Line breaks and tabs as blanks: the layout of lines is the other view's.
+_FLAT = bytes(32 if c in (9, 10, 11, 12, 13) else c for c in range(256))
+
+
 def text_features(raw: bytes) -> np.ndarray:
     """Roots of trigram frequencies, then shares of signs, capitals, digits, white space, and how varied trigrams are."""
     x = np.zeros(TRIGRAMS + CLASSES, np.float32)
-    b = np.frombuffer(raw, np.uint8)
+    b = np.frombuffer(raw.translate(_FLAT), np.uint8)
     if len(b) >= 3:
         v = b.astype(np.uint32)
         h = (v[:-2] * np.uint32(0x9E3779B1) + v[1:-1] * np.uint32(0x85EBCA77) + v[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(21)
@@ -122,14 +128,14 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 class Model:
     """Two fitted views, their calibrations and the threshold."""
 
-    def __init__(self, wa, wb, ca, cb, threshold: float = 0.5):
-        self.wa, self.wb, self.ca, self.cb, self.threshold = wa, wb, ca, cb, threshold
+    def __init__(self, wa, wb, ca, cb, threshold: float = 0.5, prior: float = 0.0):
+        self.wa, self.wb, self.ca, self.cb, self.threshold, self.prior = wa, wb, ca, cb, threshold, prior
 
     def scores(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Calibrated scores of the views, and their combination (mean log-odds)."""
+        """Calibrated scores of the views, and their combination: the log-odds that each adds to those of the class by itself."""
         za, zb = self.ca[0] * _raw(a, self.wa) + self.ca[1], self.cb[0] * _raw(b, self.wb) + self.cb[1]
         p = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        return p(za), p(zb), p((za + zb) / 2)
+        return p(za), p(zb), p(za + zb - self.prior)
 
     def of(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Scores of a batch's rows, and which are kept. A text without a word is not."""
@@ -142,47 +148,145 @@ class Model:
         return pa_, pb_, p, (p >= self.threshold) & np.array([bool(r[0].strip()) for r in rows], bool)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labelled: int = 3000, max_pool: int = 2000, rounds: int = 3, each: int = 100, sure: float = 0.9) -> Model:
-    """Fit by co-training. labels: doc_id and a 0/1 column; nulls and unknown ids are ignored. Without labels of both classes everything is kept."""
+def _surest(fitted: dict, each: int):
+    """Of a task's rows (doc_id, text, ...): the `each` surest of each view and class, rows of equal features once."""
+
+    def run(batches):
+        best: dict = {}
+        for batch in pieces(batches):
+            rows = list(_rows(batch))
+            ids = batch.column(batch.schema.names.index("doc_id")).to_pylist()
+            x = {"a": np.array([text_features(r[0]) for r in rows], np.float32).reshape(-1, TRIGRAMS + CLASSES), "b": np.array([meta_features(*r) for r in rows], np.float32).reshape(-1, META)}
+            for view, (w, scale) in fitted.items():
+                p = 1 / (1 + np.exp(-np.clip(scale[0] * _raw(x[view], w) + scale[1], -30, 30)))
+                for label, sure in ((1, p), (0, 1 - p)):
+                    seen = best.setdefault((view, label), {})
+                    for k in np.argsort(-sure, kind="stable")[:each]:
+                        seen[round(float(sure[k]), 6)] = min(ids[k], seen.get(round(float(sure[k]), 6), ids[k]))
+                    if len(seen) > 4 * each:
+                        best[view, label] = dict(sorted(seen.items(), reverse=True)[:each])
+        out = [(v, y, s, i) for (v, y), seen in best.items() for s, i in sorted(seen.items(), reverse=True)[:each]]
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.float64(), pa.int64()))], names=["view", "label", "sure", "doc_id"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labelled: int = 3000, rounds: int = 2, each: int = 100, sure: float = 0.9) -> Model:
+    """Fit by co-training. labels: doc_id and a 0/1 column; nulls, unknown ids and ids with both labels are ignored, repeats count once.
+
+    Without labels of both classes everything is kept. Of rows that share a labelled id at most 2 * max_labelled are learnt
+    from, those whose texts hash least.
+    """
+    spark = docs.sparkSession
     share = lambda n, most: F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5 < min(1.0, most / max(n, 1))
     known = labels.select(F.col("doc_id").cast("long"), F.col(label_col).cast("long").alias("label")).filter("doc_id is not null and label in (0, 1)")
-    known = known.filter(share(known.count(), max_labelled)).groupBy("doc_id").agg(F.max("label").alias("label")).limit(2 * max_labelled)
-    cols = [c for c in ("lang", "source", "n_chars") if c in docs.columns]
-    own = docs.select("doc_id", "text", *cols)
-    total = own.select("doc_id").count()
-    in_pool = F.xxhash64("doc_id", F.lit(1)) / F.lit(2.0**64) + 0.5 < min(1.0, max_pool / max(total, 1))
-    chosen = own.withColumn("pool", F.coalesce(in_pool, F.lit(False))).join(F.broadcast(known), "doc_id", "left").filter("label is not null or pool").drop("pool")
-    found = chosen.mapInArrow(_features, "doc_id long, label long, a binary, b binary").limit(2 * (max_labelled + max_pool)).toPandas()
-    found = found.sort_values("doc_id", kind="stable")
-    view = lambda c, k: np.array([np.frombuffer(x, np.float16) for x in found[c]], np.float32).reshape(-1, k)
-    a, b, y = view("a", TRIGRAMS + CLASSES), view("b", META), found["label"].to_numpy("float64", na_value=-1).astype(int)
-    marked = np.flatnonzero(y >= 0)
-    held, train, pool = marked[::5], np.setdiff1d(marked, marked[::5]), np.flatnonzero(y < 0)
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"), (F.min("label") == F.max("label")).alias("agreed")).filter("agreed").drop("agreed")
+    known = known.filter(share(known.count(), max_labelled)).orderBy(F.xxhash64("doc_id")).limit(2 * max_labelled)
+    own = _own(docs).filter("doc_id is not null")
+
+    def features(rows: DataFrame, most: int):
+        found = rows.orderBy(F.xxhash64("doc_id", "text")).limit(most).mapInArrow(_features, "doc_id long, label long, a binary, b binary").toPandas().sort_values(["doc_id", "a", "b"], kind="stable")
+        view = lambda c, k: np.array([np.frombuffer(x, np.float16) for x in found[c]], np.float32).reshape(-1, k)
+        return {"a": view("a", TRIGRAMS + CLASSES), "b": view("b", META)}, found["label"].to_numpy("int64"), found["doc_id"].to_numpy("int64")
+
+    x, y, ids = features(own.join(F.broadcast(known), "doc_id"), 2 * max_labelled)
+    order = np.arange(len(y))
+    held, probe, train = order[::5], order[1::5], order[(order % 5 > 1)]
     flat = lambda k: np.zeros(k + 1, np.float32)
-    if len(set(y[train])) < 2 or len(set(y[held])) < 2:
+    if any(len(set(y[part])) < 2 for part in (held, probe, train)):
         return Model(flat(TRIGRAMS + CLASSES), flat(META), (1.0, 0.0), (1.0, 0.0), 0.0)
-    more = {"a": {}, "b": {}}  # pseudo-labels that each view was given by the other
-    for _ in range(rounds + 1):
-        fitted = {}
-        for name, x in (("a", a), ("b", b)):
-            got = more[name]
-            rows = np.append(train, np.array(list(got), int))
-            fitted[name] = _logit(x[rows], np.append(y[train], np.array(list(got.values()), int)).astype(np.float32), 1e-4 if name == "a" else 1e-5)
-        for name, x, other in (("a", a, "b"), ("b", b, "a")):
-            scale = _platt(_raw(x[train], fitted[name]).astype(float), y[train])
-            p = 1 / (1 + np.exp(-np.clip(scale[0] * _raw(x[pool], fitted[name]) + scale[1], -30, 30)))
-            for label, order in ((1, np.argsort(-p, kind="stable")), (0, np.argsort(p, kind="stable"))):
-                fit_for = [k for k in order if (p[k] if label else 1 - p[k]) >= sure and pool[k] not in more[other]][:each]
-                more[other].update({int(pool[k]): label for k in fit_for})
-    ca, cb = (_platt(_raw(x[held], fitted[n]).astype(float), y[held]) for n, x in (("a", a), ("b", b)))
-    return Model(fitted["a"], fitted["b"], ca, cb)
-
-
-def _score(model):
+    more = {v: (x[v][:0], y[:0]) for v in x}  # what each view was given by the other
+    taken = set(ids.tolist())
+
+    def learnt() -> dict:
+        return {v: _logit(np.concatenate((x[v][train], more[v][0])), np.concatenate((y[train], more[v][1])).astype(np.float32), 1e-4 if v == "a" else 1e-5) for v in x}
+
+    for _ in range(rounds):
+        fitted = {v: (w, _platt(_raw(x[v][probe], w).astype(float), y[probe])) for v, w in learnt().items()}
+        gone = spark.createDataFrame([(i,) for i in sorted(taken)], "doc_id long")
+        top = own.join(F.broadcast(gone), "doc_id", "left_anti").mapInArrow(_surest(fitted, each), "view string, label long, sure double, doc_id long").filter(F.col("sure") >= sure)
+        place = F.row_number().over(Window.partitionBy("view", "label").orderBy(F.desc("sure"), "doc_id"))
+        chosen = top.withColumn("place", place).filter(F.col("place") <= each).select("view", "label", "doc_id").collect()  # 4 * each rows at most
+        for v, other in (("a", "b"), ("b", "a")):
+            told = {r.doc_id: r.label for r in chosen if r.view == v}
+            if not told:
+                continue
+            given = spark.createDataFrame(sorted(told.items()), "doc_id long, label long")
+            fx, fy, fi = features(own.join(F.broadcast(given), "doc_id"), 4 * each)
+            more[other] = np.concatenate((more[other][0], fx[other])), np.concatenate((more[other][1], fy))
+            taken.update(fi.tolist())
+    final = learnt()
+    ca, cb = (_platt(_raw(x[v][held], final[v]).astype(float), y[held]) for v in ("a", "b"))
+    good = (y == 1).mean()
+    return Model(final["a"], final["b"], ca, cb, prior=float(np.log(good / (1 - good))))
+
+
+#: Anything in ASCII but letters and digits as a blank.
+_LETTERS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+
+
+class Lexical:
+    """Score of a text by the word that tells most for the positive class. Words are compared by 64-bit hashes."""
+
+    def __init__(self, keys: np.ndarray, weights: np.ndarray, scale: tuple):
+        self.keys, self.weights, self.scale = keys, weights, scale
+
+    def most(self, words: np.ndarray) -> float:
+        if not len(words) or not len(self.keys):
+            return 0.0
+        at = np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)
+        return float(np.max(np.where(self.keys[at] == words, self.weights[at], 0.0)))
+
+    def scores(self, texts) -> np.ndarray:
+        cut = Words()
+        z = np.array([self.most(cut.hashes(t.translate(_LETTERS))) for t in texts], float)
+        return 1 / (1 + np.exp(-np.clip(self.scale[0] * z + self.scale[1], -30, 30)))
+
+
+def fit_lexical(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_labelled: int = 3000, least: int = 3) -> Lexical:
+    """Words' log-odds over a bounded sample of labelled documents (as in fit()), of words that `least` positive ones or more hold."""
+    known = labels.select(F.col("doc_id").cast("long"), F.col(label_col).cast("long").alias("label")).filter("doc_id is not null and label in (0, 1)")
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"), (F.min("label") == F.max("label")).alias("agreed")).filter("agreed").drop("agreed").orderBy(F.xxhash64("doc_id")).limit(max_labelled)
+
+    def words(batches):
+        cut = Words()
+        for batch in pieces(batches):
+            raw = batch.column(1).cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(cut.hashes((x or b"").translate(_LETTERS))).tobytes() for x in raw], pa.binary())], names=["label", "words"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").orderBy(F.xxhash64("doc_id", "text")).limit(max_labelled).select("label", "text")
+    found = rows.mapInArrow(words, "label long, words binary").toPandas()
+    y, sets = found["label"].to_numpy("int64"), [np.frombuffer(x, np.uint64) for x in found["words"]]
+    order = np.arange(len(y))
+    held, train = order[::4], order[order % 4 > 0]
+    none = np.empty(0, np.uint64)
+    if len(set(y[held])) < 2 or len(set(y[train])) < 2:
+        return Lexical(none, np.empty(0), (0.0, -30.0))
+    sides = []
+    for label in (1, 0):
+        sides.append(np.unique(np.concatenate([none, *(sets[k] for k in train if y[k] == label)]), return_counts=True))
+    (keys, n1), (other, n0) = sides
+    keys, n1 = keys[n1 >= least], n1[n1 >= least]
+    at = np.minimum(np.searchsorted(other, keys), max(len(other) - 1, 0))
+    n0 = np.where(other[at] == keys, n0[at], 0) if len(other) else np.zeros(len(keys))
+    pos, neg = (y[train] == 1).sum(), (y[train] == 0).sum()
+    weights = np.log((n1 + 0.5) / (pos + 1)) - np.log((n0 + 0.5) / (neg + 1))
+    model = Lexical(keys, weights, (1.0, 0.0))
+    z = np.array([model.most(sets[k]) for k in held])
+    model.scale = _platt(z, y[held])
+    return model
+
+
+def _score(models):
     def run(batches):
+        model, toxic = models.value
         for batch in pieces(batches):
-            x, y, p, kept = model.value.of(batch)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x), pa.array(y), pa.array(p), pa.array(kept)], names=["doc_id", "text_score", "meta_score", "score", "kept"])
+            x, y, p, kept = model.of(batch)
+            columns = {"doc_id": batch.column(0), "text_score": pa.array(x), "meta_score": pa.array(y), "score": pa.array(p), "kept": pa.array(kept)}
+            if toxic:
+                t = toxic.scores(r[0] for r in _rows(batch))
+                columns |= {"toxic_score": pa.array(t), "toxic": pa.array(t >= 0.5)}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
@@ -191,9 +295,13 @@ def _own(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c for c in ("lang", "source", "n_chars") if c in docs.columns))
 
 
-def judge(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, text_score, meta_score, score and kept of every row. Null and blank texts are not kept; other nulls are values of their own."""
-    return _own(docs).mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, text_score double, meta_score double, score double, kept boolean")
+def judge(docs: DataFrame, model: Model, toxic: Lexical | None = None) -> DataFrame:
+    """doc_id, text_score, meta_score, score and kept of every row, and toxic_score and toxic by a second model, if one is given.
+
+    Null and blank texts are not kept; other nulls are values of their own. Being toxic doesn't change kept.
+    """
+    more = ", toxic_score double, toxic boolean" if toxic else ""
+    return _own(docs).mapInArrow(_score(docs.sparkSession.sparkContext.broadcast((model, toxic))), "doc_id long, text_score double, meta_score double, score double, kept boolean" + more)
 
 
 def keep(docs: DataFrame, model: Model) -> DataFrame:
@@ -209,5 +317,5 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
 
 def op3_quality_classifier(spark, sf_dir: str) -> DataFrame:
     """Every document scored by a classifier fitted on the labels."""
-    docs = table(spark, sf_dir, "documents")
-    return judge(docs, fit(docs, table(spark, sf_dir, "labels")))
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return judge(docs, fit(docs, labels), fit_lexical(docs, labels))

@@ -493,6 +493,26 @@ def test_classifier_on_held_out_labels(spark):
     held = quality_classifier.judge(docs, m).join(labels.filter("hash(doc_id) % 2 != 0"), "doc_id").toPandas()
     good, bad = held[held.quality == 1].kept, held[held.quality == 0].kept
     assert good.mean() > 0.97 and bad.mean() < 0.25
+    toxic = quality_classifier.fit_lexical(docs, labels.filter("hash(doc_id) % 2 = 0"))
+    told = labels.filter("hash(doc_id) % 2 != 0").withColumnRenamed("toxic", "said")
+    held = quality_classifier.judge(docs, m, toxic).join(told, "doc_id").toPandas()
+    assert held[held.said == 1].toxic.mean() > 0.3 and held[held.said == 0].toxic.mean() < 0.03  # some 20 labelled examples
+
+
+def test_classifier_scores_like_a_plain_version(spark, docs):
+    """Scores of every row, by the fitted weights, in one process."""
+    base, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    m = quality_classifier.fit(base, labels)
+    again = quality_classifier.fit(base.repartition(7), labels.repartition(5))
+    assert np.allclose(m.wa, again.wa) and np.allclose(m.wb, again.wb)  # the order of rows doesn't matter
+    for r in quality_classifier.judge(base, m).join(base.select("doc_id", "text", "lang", "source", "n_chars"), "doc_id").collect():
+        raw = (r.text or "").encode()
+        z = [c[0] * float(x @ w[:-1] + w[-1]) + c[1] for x, w, c in ((quality_classifier.text_features(raw), m.wa, m.ca), (quality_classifier.meta_features(raw, r.lang, r.source, r.n_chars), m.wb, m.cb))]
+        p = 1 / (1 + np.exp(-np.clip(sum(z) - m.prior, -30, 30)))
+        assert abs(p - r.score) < 1e-4 and (r.kept == (p >= m.threshold and bool(raw.strip())) or abs(p - m.threshold) < 1e-4)
+    twice = labels.limit(1).union(labels.limit(1).selectExpr("doc_id", "1 - quality as quality", "toxic"))  # both labels: ignored
+    other = quality_classifier.fit(base, labels.join(twice.select("doc_id"), "doc_id", "left_anti").union(twice))
+    assert np.allclose(other.wa, quality_classifier.fit(base, labels.join(twice.select("doc_id"), "doc_id", "left_anti")).wa)
 
 
 def test_classifier_edges(spark, docs, none):
