@@ -1,6 +1,6 @@
 """BPE encoding and decoding with a lexicon of the corpus's frequent words as a minimal acyclic transducer.
 
-Words are counted over all documents, and the `lexicon_words` most frequent ones are merged once, on the driver, and
+Words are counted over all documents, and the most frequent ones (`lexicon_words` at most) are merged once, on the driver, and
 compiled with their ids (one or several) into a minimal acyclic automaton over bytes: equal suffixes share states, and
 counts along the arcs add up to a word's number, which leads to its ids. The automaton is a few flat arrays in a file,
 which Spark ships to each executor and every worker maps into memory. Words that it doesn't have are merged by the exact
@@ -27,7 +27,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, hadoop_path, pieces, table
+from .common import fresh_path, hadoop_path, pieces, table, written
 
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 
@@ -290,7 +290,7 @@ def decode(model: Model, ids) -> str:
 
 
 def frequent_words(texts: DataFrame, special, most_words: int, most_bytes: int = 64, most_held: int = 200_000) -> list[bytes]:
-    """The most_words most frequent words of a text column (ties in order of the word), counted over all its rows.
+    """The most frequent words of a text column, counted over all its rows: as many levels of counts as hold most_words words or fewer.
 
     A task holds at most most_held different strings before it hands its counts on; words of over most_bytes bytes are left out.
     """
@@ -315,8 +315,17 @@ def frequent_words(texts: DataFrame, special, most_words: int, most_bytes: int =
                     yield rows()
         yield rows()
 
-    counted = texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r.word) for r in counted.orderBy(F.desc("n"), "word").limit(most_words).collect()]
+    counted = written(texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # by eighths of powers of two of the count, some hundred rows: only words that are chosen come to the driver
+    level = F.floor(8 * F.log2("n"))
+    left, least = most_words, None
+    for r in sorted(counted.groupBy(level.alias("k")).count().collect(), key=lambda r: -r.k):
+        if r["count"] > left:
+            break
+        left, least = left - r["count"], r.k
+    if least is None:
+        return []
+    return [bytes(r.word) for r in sorted(counted.filter(level >= least).collect(), key=lambda r: (-r.n, bytes(r.word)))]
 
 
 def lexicon_file(spark, model: Model, words) -> str:
@@ -368,7 +377,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids.
 
     tokenizer: path of the tokenizer's file on the driver. A null text counts as empty: no tokens. Ids are carried only, so null
-    and repeated ids are fine; other columns are ignored. The lexicon holds the lexicon_words most frequent words of docs, or
+    and repeated ids are fine; other columns are ignored. The lexicon holds the most frequent words of docs, lexicon_words at most, or
     the given words (bytes); it changes the work only, never the ids.
     """
     spark = docs.sparkSession

@@ -14,21 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master, as in tests, may go without one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         found = f"file://{tempfile.gettempdir()}/almanack-shared"
     return found.rstrip("/")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Set the checkpoint folder, unless the cluster has named one already."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-
-
 def fresh_path(spark: SparkSession, what: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
@@ -58,8 +54,3 @@ def pieces(batches, rows: int = 256):
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def digits_sha(col) -> F.Column:
-    """Lowercase hex SHA-256 of a string column's UTF-8 bytes."""
-    return F.sha2(col, 256)
