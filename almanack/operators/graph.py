@@ -25,6 +25,29 @@ def neighbours(edges: DataFrame, start: str, hops: int = 3) -> DataFrame:
     return best.filter(F.col("id") != start)
 
 
+def paths(edges: DataFrame, start: str, hops: int = 1, relations: list[str] | None = None, most: int = 50) -> DataFrame:
+    """id, hops, relations, sources, targets, place of the `most` nearest nodes: of a node's paths the least by hops, relations, sources, targets.
+
+    Edges of the given relations (or all) are followed both ways. A hop joins the nodes that the last one reached first with
+    the edges; each node keeps one path, so a frontier has a row a node at most.
+    """
+    e = edges.filter(F.col("relation").isin(relations)) if relations else edges
+    e = e.select("source", "relation", "target").distinct()
+    way = lambda a, b: e.select(F.col(a).alias("at"), F.col(b).alias("to"), "relation", "source", "target")
+    both = way("source", "target").unionByName(way("target", "source"))
+    none = F.array().cast("array<string>")
+    front = edges.sparkSession.range(1).select(F.lit(start).alias("id"), none.alias("relations"), none.alias("sources"), none.alias("targets"))
+    reached, seen = None, front.select("id")
+    for h in range(1, hops + 1):
+        add = lambda c, x: F.concat(F.col(c), F.array(x))
+        near = both.join(front, both["at"] == front["id"]).select(F.col("to").alias("id"), add("relations", "relation").alias("relations"), add("sources", "source").alias("sources"), add("targets", "target").alias("targets"))
+        near = near.join(seen, "id", "left_anti").groupBy("id").agg(F.min(F.struct("relations", "sources", "targets")).alias("p")).select("id", "p.*")
+        found = near.withColumn("hops", F.lit(h).cast("long"))
+        reached, seen, front = (found if reached is None else reached.unionByName(found)), seen.union(near.select("id")), near
+    first = reached.orderBy("hops", "relations", "sources", "targets", "id").limit(most)
+    return first.withColumn("place", F.row_number().over(Window.orderBy("hops", "relations", "sources", "targets", "id")).cast("long"))
+
+
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose target is no node."""
     return edges.join(nodes.select(F.col("id").alias("target")), "target", "left_anti")

@@ -1,29 +1,25 @@
-"""Ranked text search: postings, BM25, bonuses, thresholds and labels."""
+"""Ranked text search: BM25, bonuses, thresholds and labels."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-
 #: Usual BM25 parameters; the share of the score scale.
 K1, B = 1.2, 0.75
 
 
-def postings(entries: DataFrame, column: str = "body", id_col: str = "doc_id") -> DataFrame:
-    """term, doc_id, tf."""
-    return entries.select(F.col(id_col).alias("doc_id"), F.explode(T.tokens(F.col(column))).alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def bm25(entries: DataFrame, terms: list[str], column: str = "body", id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_terms (distinct query terms), score. One scan: each text counts the query's terms and its own length.
 
-    No posting of a term outside the query is made or shuffled; the corpus statistics are one row.
+    Nothing is cut into words: lengths and terms are counted in place, terms only where the text holds them. No posting of
+    a term outside the query is made or shuffled; the corpus statistics are one row.
     """
-    t = entries.select(F.col(id_col).alias("doc_id"), T.tokens(F.col(column)).alias("w"))
-    t = t.select("doc_id", F.size("w").alias("dl"), F.filter("w", lambda x: x.isin(terms)).alias("m"))
-    t = t.select("doc_id", "dl", *(F.size(F.array_remove(F.transform("m", _same(q)), False)).alias(f"tf{i}") for i, q in enumerate(terms)))
+    low = F.lower(column)
+    count = lambda q: F.when(low.contains(q), F.regexp_count(low, F.lit(rf"(?<![\p{{L}}\p{{N}}]){re.escape(q)}(?![\p{{L}}\p{{N}}])"))).otherwise(0)
+    t = entries.select(F.col(id_col).alias("doc_id"), F.regexp_count(column, F.lit(r"[\p{L}\p{N}]+")).alias("dl"), *(count(q).alias(f"tf{i}") for i, q in enumerate(terms)))
     stats = t.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     one = F.broadcast(stats)
     rows = t.filter(" or ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(one)
@@ -35,10 +31,6 @@ def bm25(entries: DataFrame, terms: list[str], column: str = "body", id_col: str
     return rows.select("doc_id", n_terms.cast("long").alias("n_terms"), F.round(score, 4).alias("score"))
 
 
-def _same(q: str):
-    return lambda x: x == F.lit(q)
-
-
 def relevance(score):
     """0 to 100 from a positive BM25 score."""
     return F.greatest(F.lit(0), F.least(F.lit(100), F.floor(70 + 5 * score))).cast("long")
@@ -65,21 +57,15 @@ def ranked(scored: DataFrame, score: str = "score") -> DataFrame:
 
 
 def tukey(scored: DataFrame, score: str = "score", base: float = 25.0, least: int = 8) -> DataFrame:
-    """One row: n, q1, q3, fence (q1 - 1.5 IQR, base at least; base for fewer than `least` rows). Quartiles are values by rank."""
-    r = scored.filter(F.col(score) > 0).select(F.col(score).alias("s"), F.row_number().over(Window.orderBy(score)).alias("k"))
-    n = scored.filter(F.col(score) > 0).agg(F.count(F.lit(1)).alias("n"))
-    r = r.crossJoin(F.broadcast(n))
-    q = r.groupBy("n").agg(F.max(F.when(F.col("k") == F.floor(F.col("n") / 4) + 1, F.col("s"))).alias("q1"), F.max(F.when(F.col("k") == F.floor(3 * F.col("n") / 4) + 1, F.col("s"))).alias("q3"))
+    """One row: n, q1, q3, fence (q1 - 1.5 IQR, base at least; base for fewer than `least` rows). Quartiles are values by rank, read off the
+    counts of different scores, so that no task sorts all rows.
+    """
+    c = scored.filter(F.col(score) > 0).groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("c"))
+    c = c.withColumns({"upto": F.sum("c").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(Window.partitionBy())})
+    q = c.groupBy("n").agg(F.min(F.when(F.col("upto") > F.floor(F.col("n") / 4), F.col("s"))).alias("q1"), F.min(F.when(F.col("upto") > F.floor(3 * F.col("n") / 4), F.col("s"))).alias("q3"))
     fence = F.when(F.col("n") >= least, F.greatest(F.lit(base), F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")))).otherwise(F.lit(base))
     return q.select("n", "q1", "q3", F.round(fence, 4).alias("fence"))
 
 
 def confidence(score):
     return F.when(score >= 50, "medium").otherwise("low")
-
-
-def promoted(entries: DataFrame, query: str, share: float = 0.6):
-    """Score factor: 1.5 where the title holds at least `share` of the query's different letters."""
-    letters = sorted(set(query.lower().replace(" ", "")))
-    held = sum((F.when(F.lower("title").contains(c), 1).otherwise(0) for c in letters), F.lit(0))
-    return F.when(held >= share * len(letters), 1.5).otherwise(1.0) if len(letters) >= 3 else F.lit(1.0)

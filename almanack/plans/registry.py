@@ -128,12 +128,6 @@ def p14_facet_all(spark, d):
     return c.filter(F.size(F.array_except(F.array(F.lit("user"), F.lit("assistant")), "r")) == 0).select("conv_id")
 
 
-@query(r"""SELECT item_id, CASE WHEN length(trim(text)) < 3 THEN 'too_short' WHEN NOT regexp_matches(text, '[A-Za-z]') THEN 'no_letters' WHEN regexp_matches(text, '^[A-Z][a-z]* [a-z]+') THEN 'phrase' ELSE 'none' END AS noise FROM benchmark""")
-def p16_noise_rules(spark, d):
-    t = F.col("text")
-    return D.table(spark, d, "benchmark").select("item_id", F.when(F.length(F.trim(t)) < 3, "too_short").when(~t.rlike("[A-Za-z]"), "no_letters").when(t.rlike("^[A-Z][a-z]* [a-z]+"), "phrase").otherwise("none").alias("noise"))
-
-
 def _noise_sql(q: str, given: str) -> str:
     has = lambda signals: f"regexp_matches({q}, '{'|'.join(signals)}')"
     alike = f"(1 - levenshtein(lower({q}), '{T.CANONICAL}') / greatest(length({q}), {len(T.CANONICAL)}))"
@@ -287,12 +281,6 @@ def r13_w3_tukey_threshold(spark, d):
     return S.tukey(_bm(spark, d), base=0.01)
 
 
-@query(f"SELECT doc_id, CASE WHEN CAST(contains(lower(title), 'a') AS INT) + CAST(contains(lower(title), 'e') AS INT) + CAST(contains(lower(title), 'l') AS INT) + CAST(contains(lower(title), 'n') AS INT) + CAST(contains(lower(title), 'r') AS INT) >= 0.6 * 5 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS factor FROM {DOC}")
-def r16_o2_title_promotion(spark, d):
-    e = D.document_entries(spark, d)
-    return e.select("doc_id", S.promoted(e, "learn").alias("factor"))
-
-
 @query(f"""WITH {BM}, l2 AS (SELECT * FROM {BONUS} WHERE bonus > 30), l1 AS (SELECT doc_id, 10.0::DOUBLE AS s1 FROM documents WHERE source = 'src1')
 SELECT doc_id, CAST(CASE WHEN bm.score IS NOT NULL THEN 3 WHEN l2.bonus IS NOT NULL THEN 2 ELSE 1 END AS BIGINT) AS tier,
 round(CASE WHEN bm.score IS NOT NULL THEN bm.score + greatest(coalesce(l2.bonus - 30, 0), 0) ELSE coalesce(l2.bonus, s1) END, 4) AS score
@@ -374,11 +362,6 @@ def q13_duplicate_alias(spark, d):
     return G.duplicate_names(D.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
 
 
-@query("WITH p AS (SELECT c_custkey AS id, lower(c_name) AS name FROM customer) SELECT a.id AS id1, b.id AS id2 FROM p a JOIN p b ON a.id < b.id AND abs(length(a.name) - length(b.name)) <= 1 AND levenshtein(a.name, b.name) <= 1")
-def j10_near_names(spark, d):
-    return G.near_names(D.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")))
-
-
 @query(f"WITH d AS (SELECT DISTINCT user_id, date, topic FROM {EV}) SELECT a.topic AS a, b.topic AS b, count(*) AS n_groups, round(least(1.0::DOUBLE, count(*) / 5), 4) AS confidence, CASE WHEN count(*) >= 3 THEN 'confirm' WHEN count(*) = 2 THEN 'review' ELSE 'low' END AS action FROM d a JOIN d b ON a.user_id = b.user_id AND a.date = b.date AND a.topic < b.topic GROUP BY 1, 2")
 def j11_a14_cooccurrence(spark, d):
     return G.cooccurrence(D.event_entries(spark, d), ["user_id", "date"], "topic")
@@ -458,11 +441,6 @@ def a22_a23_a33_rates_by_category(spark, d):
     return j.groupBy(F.col("lang").alias("category")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("quality") == 1).alias("n_pass"), F.round(F.avg("quality"), 4).alias("pass_rate"))
 
 
-@query("SELECT event_type, CAST(count(*) FILTER (value IS NULL) AS BIGINT) AS degraded, count(*) AS n, CASE WHEN event_type = 'error' THEN 'degraded' ELSE 'fts_only' END AS signal FROM events GROUP BY 1")
-def r29_pipeline_signal(spark, d):
-    return D.table(spark, d, "events").groupBy("event_type").agg(F.count_if(F.col("value").isNull()).alias("degraded"), F.count(F.lit(1)).alias("n")).withColumn("signal", F.when(F.col("event_type") == "error", "degraded").otherwise("fts_only"))
-
-
 # functions ------------------------------------------------------------------------------------------------------------
 @query(f"SELECT doc_id, {TITLE} AS title, {ABSTRACT} AS abstract FROM documents")
 def f8_f10_title_abstract(spark, d):
@@ -510,17 +488,6 @@ def f12_month_series(spark, d):
 
 
 # data quality and ingestion -------------------------------------------------------------------------------------------
-@query("""SELECT doc_id, unnest(list_filter([CASE WHEN n_chars < 100 THEN 'short' END, CASE WHEN quality IS NULL THEN 'unlabelled' END, CASE WHEN toxic = 1 THEN 'toxic' END, CASE WHEN n_chars <> length(text) THEN 'wrong_length' END], lambda x: x IS NOT NULL)) AS issue FROM documents LEFT JOIN labels USING (doc_id)""")
-def q1_validation(spark, d):
-    r = D.table(spark, d, "documents").join(D.table(spark, d, "labels"), "doc_id", "left")
-    return Q.issues(r, {"short": F.col("n_chars") < 100, "unlabelled": F.col("quality").isNull(), "toxic": F.col("toxic") == 1, "wrong_length": F.col("n_chars") != F.length("text")})
-
-
-@query("""SELECT page_id, count(*) AS n_links, count(*) FILTER (starts_with(href, '/')) AS n_internal FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages) GROUP BY page_id""")
-def q6_j15_links(spark, d):
-    return Q.links(D.table(spark, d, "pages")).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"), F.count_if(F.startswith("href", F.lit("/"))).alias("n_internal"))
-
-
 @query(r"SELECT doc_id, starts_with(text, chr(65279)) AS has_bom, regexp_matches(text, 'Ã©|Ã¨|â€|ï¿½') AS mojibake, regexp_matches(text, '(/home/|/Users/|[A-Z]:\\)') AS local_path, regexp_matches(text, '(ghp_[A-Za-z0-9]{20}|sk-[A-Za-z0-9]{20})') AS key_like FROM documents")
 def q8_q9_q10_text_checks(spark, d):
     return Q.text_flags(D.table(spark, d, "documents"))
@@ -570,17 +537,6 @@ def t3_t4_idempotent_import(spark, d):
     return D.table(spark, d, "documents").groupBy(F.md5("text").alias("idempotency_key")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT lang AS version, count(*) AS n FROM documents GROUP BY lang")
-def a27_version_distribution(spark, d):
-    return D.table(spark, d, "documents").groupBy(F.col("lang").alias("version")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"SELECT month FROM (SELECT DISTINCT strftime(date, '%Y-%m') AS month FROM {OR}) WHERE month NOT LIKE '%-01'")
-def t5_q11_monthly_due(spark, d):
-    m = D.order_entries(spark, d).select(F.date_format("date", "yyyy-MM").alias("month")).distinct()
-    return m.join(m.filter(F.col("month").endswith("-01")), "month", "left_anti")
-
-
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def t7_tumbling_windows(spark, d):
     return I.windowed_counts(D.table(spark, d, "events"))
@@ -591,5 +547,31 @@ def t6_past_days(spark, d):
     return D.event_entries(spark, d).filter(F.col("date").between(F.date_sub(F.lit("2024-01-30").cast("date"), 6), F.lit("2024-01-30").cast("date"))).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
 
 
+def _paths_sql(relations: str, hops: int, most: int) -> str:
+    return f"""WITH RECURSIVE {EDGES}, b AS (SELECT source AS at, target AS to, relation, source, target FROM e0 WHERE {relations} UNION SELECT target, source, relation, source, target FROM e0 WHERE {relations}),
+w AS (SELECT 'nation-3' AS id, 0::BIGINT AS hops, []::VARCHAR[] AS rs, []::VARCHAR[] AS ss, []::VARCHAR[] AS ts UNION SELECT b.to, hops + 1, list_append(rs, relation), list_append(ss, source), list_append(ts, target) FROM w JOIN b ON b.at = w.id WHERE hops < {hops} AND b.to <> 'nation-3'),
+k AS (SELECT id, min({{'h': hops, 'r': rs, 's': ss, 't': ts}}) AS p FROM w WHERE id <> 'nation-3' GROUP BY id)
+SELECT id, p.h AS hops, array_to_string(p.r, '>') AS relations, array_to_string(p.s, '>') AS sources, array_to_string(p.t, '>') AS targets, row_number() OVER (ORDER BY p.h, p.r, p.s, p.t, id) AS place FROM k ORDER BY place LIMIT {most}"""
+
+
+def _shown(rows):
+    return rows.select("id", "hops", *(F.array_join(c, ">").alias(c) for c in ("relations", "sources", "targets")), "place")
+
+
+@query(_paths_sql("true", 3, 50))
+def j7_g2_nearest_by_path(spark, d):
+    return _shown(G.paths(D.edges(spark, d), "nation-3", 3))
+
+
+@query(_paths_sql("relation = 'member_of'", 2, 5))
+def j7_g2_nearest_of_a_relation(spark, d):
+    return _shown(G.paths(D.edges(spark, d), "nation-3", 2, ["member_of"], 5))
+
+
+@query(f"WITH s AS (SELECT user_id, max(date) AS last FROM {EV} GROUP BY 1), z AS (SELECT max(date) AS now FROM {EV}), m AS (SELECT DISTINCT strftime(date, '%Y-%m') AS month FROM {EV}) SELECT 'silence' AS event, CAST(user_id AS VARCHAR) AS key, CAST(now - last AS BIGINT) AS days FROM s, z WHERE now - last >= 7 UNION ALL SELECT 'audit_due', 'all', CAST(now - DATE '2023-12-15' AS BIGINT) FROM z WHERE now - DATE '2023-12-15' >= 30 UNION ALL SELECT 'monthly_review', month, 0 FROM m UNION ALL SELECT 'stale_index', 'all', CAST(now - DATE '2024-01-15' AS BIGINT) FROM z WHERE now > DATE '2024-01-15' UNION ALL SELECT 'schema', '2', 0 FROM z")
+def t5_w4_events_due(spark, d):
+    return I.events_due(D.event_entries(spark, d), "user_id", audited="2023-12-15", indexed="2024-01-15", reviewed=[], version=2, versions=spark.createDataFrame([(1,), (2,)], "version int"))
+
+
 # further queries add themselves to the same tables
 from . import registry_entities, registry_plans, registry_search, registry_stores, registry_upkeep  # noqa: E402,F401

@@ -33,3 +33,16 @@ def sessions(events: DataFrame, gap: str = "30 minutes", ts: str = "ts", user: s
     """Session windows per user."""
     e = events.withWatermark(ts, late) if events.isStreaming else events
     return e.groupBy(F.session_window(F.col(ts), gap).alias("s"), user).agg(F.count(F.lit(1)).alias("n")).select(user, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
+
+
+def events_due(entries: DataFrame, who: str, audited: str, indexed: str, reviewed: list[str], version: int, versions: DataFrame, silence: int = 7, audit: int = 30) -> DataFrame:
+    """event, key, days of what is due on the day of the newest entry: who was silent for `silence` days, an audit older than `audit` days, months
+    without a review, an index older than the newest entry, rows of a newest schema version (version, rows: version).
+    """
+    now = entries.agg(F.max("date").alias("now"))
+    row = lambda df, event, key, days: df.select(F.lit(event).alias("event"), key.cast("string").alias("key"), days.cast("long").alias("days"))
+    gap = lambda day: F.datediff("now", F.lit(day).cast("date"))
+    last = entries.groupBy(who).agg(F.max("date").alias("last")).crossJoin(F.broadcast(now)).withColumn("gap", F.datediff("now", "last")).filter(F.col("gap") >= silence)
+    months = entries.select(F.date_format("date", "yyyy-MM").alias("m")).distinct().filter(~F.col("m").isin(reviewed) if reviewed else F.lit(True))
+    out = row(last, "silence", F.col(who), F.col("gap")).unionByName(row(now.filter(gap(audited) >= audit), "audit_due", F.lit("all"), gap(audited))).unionByName(row(months, "monthly_review", F.col("m"), F.lit(0)))
+    return out.unionByName(row(now.filter(gap(indexed) > 0), "stale_index", F.lit("all"), gap(indexed))).unionByName(row(versions.filter(F.col("version") == version).distinct(), "schema", F.col("version"), F.lit(0)))
