@@ -21,13 +21,21 @@ from pyspark.sql import functions as F
 
 from .common import pieces, table
 
-KINDS = ("assign", "access", "hex", "der", "openssh", "token")
+KINDS = ("assign", "access", "hex", "der", "openssh", "token", "pem")
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _HINTS = ("passw", "secret", "token", "apikey", "api_key")
 #: Where an encoded candidate starts: not within a run of its characters, unless after a PEM label's dashes, an escaped line break or 0x.
-_START = re.compile(r"[eMb36](?:(?<![A-Za-z0-9+/_-].)|(?<=-----.)|(?<=\\[nrt].)|(?<=0[xX].))(?:(?P<token>(?<=e)yJ[A-Za-z0-9_-]+={0,2}\.[A-Za-z0-9_-]+={0,2}\.[A-Za-z0-9_-]*)|(?P<b64>(?<=M)[A-P][A-Za-z0-9+/_-]{10}|(?<=b)3BlbnNzaC1rZXktdjE)|(?P<hex>(?<=3)0[0-9A-Fa-f]{12}|(?<=6)(?i:f70656e7373682d6b65792d763100)))")
+#: A token's header starts as {" or { and white space do in base64; a PEM file in base64 as its dashes do. Neither starts within a run of its
+#: characters, so that no run is read from more than one place.
+_START = re.compile(
+    r"[eMb36L](?:(?<![A-Za-z0-9+/_-].)|(?<=-----.)|(?<=\\[nrt].)|(?<=0[xX].))"
+    r"(?:(?P<token>(?<=e)(?:(?<![A-Za-z0-9_-]e)|(?<=\\[nrt]e))(?:y[JA]|w[o0k])[A-Za-z0-9_-]++={0,2}\.[A-Za-z0-9_-]++={0,2}\.[A-Za-z0-9_-]*+)"
+    r"|(?P<b64>(?<=M)[A-P][A-Za-z0-9+/_-]{10}|(?<=b)3BlbnNzaC1rZXktdjE|(?<=L)S0tLS1CRUdJTi)"
+    r"|(?P<hex>(?<=3)0[0-9A-Fa-f]{12}|(?<=6)(?i:f70656e7373682d6b65792d763100)))"
+)
+_PEM = "LS0tLS1CRUdJTi"
 _RUN = {"b64": re.compile(r"[A-Za-z0-9+/_-]++"), "hex": re.compile(r"[0-9A-Fa-f]++")}
 #: What may stand between the lines of one key: blanks and line breaks, real or escaped, quotes of adjoining literals; JSON's \/ too.
 _JOIN = re.compile(r"""(?:[\x20\t\r\n]|\\+[nrt]|\\+(?=[/\r\n])|["'][\x20\t\r\n]*+\+[\x20\t\r\n]*+["']|["'])++""")
@@ -175,11 +183,32 @@ def _openssh_sizes(first) -> list[int]:
     return [at + 16, at] if cipher.endswith((b"gcm@openssh.com", b"poly1305@openssh.com")) else [at]
 
 
-def confirmed(text: str, m: re.Match) -> tuple[str, int, int] | None:
+def _pem(text: str, start: int) -> tuple[str, int, int] | None:
+    """A PEM file in base64: its lines, up to the next one's start, are decoded, and a key must be confirmed within."""
+    out, at, end = [], start, start
+    while m := _RUN["b64"].match(text, at):
+        nxt = text.find(_PEM, max(at, start + 1), m.end())
+        end = m.end() if nxt < 0 else nxt
+        out.append(text[at:end])
+        join = _JOIN.match(text, end)
+        if nxt >= 0 or not join:
+            break
+        at = join.end()
+    data = "".join(out)
+    try:
+        inner = _b64(data[: len(data) - len(data) % 4] if len(data) % 4 == 1 else data).decode("latin-1")
+    except (ValueError, binascii.Error):
+        return None
+    return ("pem", start, _PAD.match(text, end).end()) if any(k in ("der", "openssh") for k, _, _ in _structures(inner, False)) else None
+
+
+def confirmed(text: str, m: re.Match, nested: bool = True) -> tuple[str, int, int] | None:
     """(kind, start, end) of a key or token that starts at m, a match of _START; how far a key goes is told by its own lengths."""
     kind, start = m.lastgroup, m.start()
     if kind == "token":
         return ("token", *m.span()) if is_token(m.group()) else None
+    if m.group()[0] == "L":
+        return _pem(text, start) if nested else None
     try:
         if m.group()[0] in "M3":
             data, end = _first(text, start, _der_size(_first(text, start, 7, kind)[0]), kind)
@@ -199,10 +228,10 @@ def confirmed(text: str, m: re.Match) -> tuple[str, int, int] | None:
     return None
 
 
-def _structures(text: str) -> list[tuple[str, int, int]]:
+def _structures(text: str, nested: bool = True) -> list[tuple[str, int, int]]:
     out, at = [], 0
     while m := _START.search(text, at):
-        if s := confirmed(text, m):
+        if s := confirmed(text, m, nested):
             out.append(s)
         at = s[2] if s else m.end() if m.lastgroup == "token" else m.start() + 1
     return out
