@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,9 +26,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_owned: set[str] = set()
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, in a folder of this application's own, which goes when the driver ends."""
+    own = f"{shared_dir(spark)}/almanack-{spark.sparkContext.applicationId}"
+    if own not in _owned:
+        _owned.add(own)
+        fs, p = hadoop_path(spark, own)
+        atexit.register(_remove, fs, p)
+    return f"{own}/{what}-{uuid.uuid4().hex}"
+
+
+def _remove(fs, path) -> None:
+    try:
+        fs.delete(path, True)
+    except Exception:  # noqa: BLE001 - the JVM may have ended before; the folder's name tells whose it was
+        pass
 
 
 def hadoop_path(spark: SparkSession, path: str):
