@@ -262,3 +262,9 @@ def titles_to_ids(fragments: DataFrame, docs: DataFrame) -> DataFrame:
     rest = f.join(exact.select("query_id", "fragment").distinct(), ["query_id", "fragment"], "left_anti")
     within = docs.join(F.broadcast(rest), F.col("title").contains(F.col("fragment"))).select("query_id", "fragment", "doc_id")
     return exact.unionByName(within).select("query_id", "doc_id").distinct()
+
+
+def by_id(entities: list[tuple[str, str, list[str]]], wanted: str) -> list[str]:
+    """The terms that stand for an entity (id, name, aliases): its id, name and aliases, or the id as given if it is unknown; ids in any case."""
+    found = next(([e, n, *more] for e, n, more in entities if e.lower() == wanted.lower()), [wanted])
+    return [t for t in dict.fromkeys(found) if t]
