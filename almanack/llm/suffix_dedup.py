@@ -317,26 +317,34 @@ class Chunk:
         code[at] = np.cumsum(new) - 1
         return at[new], code, self.pieces.start_names(rows[at[new]])
 
-    def removed(self, whole: np.ndarray, no: np.ndarray, mask: np.ndarray, very: np.ndarray, told: tuple) -> list[np.ndarray]:
-        """By document, in ascending doc_id, a mask of the bytes to remove: pieces that go whole, masks of others, starts of hot ones."""
+    def hot_masks(self, very: np.ndarray, told: tuple) -> np.ndarray:
+        """Of pieces of hot keys a mask of the starts whose 50 bytes an earlier document has, here or (told names) in an earlier chunk."""
+        p, out = self.pieces, np.zeros(len(very), np.int64)
+        if not len(very):
+            return out
+        holder, code, (span, x, y) = self.hot_starts(very)
+        order = self.order[very]
+        at, new = _distinct(x, y, order[holder][span])
+        least = np.empty(len(x), np.int64)
+        least[at] = order[holder][span][at][np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        least[_held(x, y, *told)] = -1
+        begin = np.append(0, np.cumsum(p.count[very[holder]]))
+        for k in range(0, len(very), _BLOCK // 16):
+            part = np.arange(k, min(k + _BLOCK // 16, len(very)))
+            n = p.count[very[part]]
+            hit = least[_spread(begin[code[part]], n)] < np.repeat(order[part], n)
+            np.bitwise_or.at(out, np.repeat(part, n)[hit], np.int64(1) << _spread(np.zeros(len(n), np.int64), n)[hit])
+        return out
+
+    def removed(self, no: np.ndarray, mask: np.ndarray) -> list[np.ndarray]:
+        """By document, in ascending doc_id, a mask of the bytes to remove. no, mask: pieces and their starts that are repeats."""
         p = self.pieces
-        bits = (mask[:, None] >> np.arange(INNER)) & 1
-        row, start = np.nonzero(bits)
-        docs, ats = [np.repeat(p.doc[whole], p.count[whole]), p.doc[no[row]]], [_spread(p.first[whole], p.count[whole]), p.first[no[row]] + start]
-        if len(very):
-            holder, code, (span, x, y) = self.hot_starts(very)
-            order = self.order[very]
-            at, new = _distinct(x, y, order[holder][span])
-            least = np.empty(len(x), np.int64)
-            least[at] = order[holder][span][at][np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
-            least[_held(x, y, *told)] = -1
-            begin = np.append(0, np.cumsum(p.count[very[holder]]))
-            for k in range(0, len(very), _BLOCK // 16):
-                part = np.arange(k, min(k + _BLOCK // 16, len(very)))
-                n = p.count[very[part]]
-                hit = least[_spread(begin[code[part]], n)] < np.repeat(order[part], n)
-                docs.append(np.repeat(p.doc[very[part]], n)[hit])
-                ats.append(_spread(p.first[very[part]], n)[hit])
+        docs, ats = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for k in range(0, len(no), _BLOCK // 16):
+            part = no[k : k + _BLOCK // 16]
+            row, start = np.nonzero((mask[k : k + _BLOCK // 16, None] >> np.arange(INNER)) & 1)
+            docs.append(p.doc[part[row]])
+            ats.append(p.first[part[row]] + start)
         doc, at = np.concatenate(docs), np.concatenate(ats)
         by = np.argsort(doc, kind="stable")
         doc, at = doc[by], at[by]
@@ -363,12 +371,6 @@ def _of(t: pa.Table, name: str, dtype=np.int64) -> np.ndarray:
     return t.column(name).cast(pa.int64()).to_numpy().view(dtype) if len(t) else np.empty(0, dtype)
 
 
-def _told(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys: those told, those told to be hot."""
-    key, very = _of(t, "key", np.uint64), _of(t, "hot") > 0
-    return np.sort(key[~very]), np.sort(key[very])
-
-
 def _step_keys(key, docs):
     keys, n = _chunk(docs).ask_keys()
     return pa.table({"chunk": pa.array(np.full(len(keys), key[0].as_py(), np.int64)), "key": pa.array(keys.view(np.int64)), "n": pa.array(n.astype(np.int32))})
@@ -376,7 +378,7 @@ def _step_keys(key, docs):
 
 NAMED = pa.schema([("chunk", pa.int64()), ("key", pa.int64()), ("x", pa.int64()), ("y", pa.int64())])
 SENT = pa.schema([("slot", pa.int64()), ("chunk", pa.int64()), ("no", pa.int32()), ("place", pa.int32()), ("key", pa.int64()), ("span", pa.binary())])
-TOLD = pa.schema([("chunk", pa.int64()), ("no", pa.int32()), ("mask", pa.int32())])
+TOLD = pa.schema([("chunk", pa.int64()), ("no", pa.int32()), ("mask", pa.int32()), ("settled", pa.binary())])
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -394,7 +396,7 @@ def _step_names(hot: int):
 
     def step(key, docs, told):
         chunk = _chunk(docs)
-        cold, very = chunk.shared(*_told(told), hot)
+        cold, very = chunk.shared(*_kinds(told)[:2], hot)
         x, y, first, _ = chunk.first_spans(cold)
         _, _, (_, sx, sy) = chunk.hot_starts(very)
         at, new = _distinct(sx, sy)
@@ -406,17 +408,15 @@ def _step_names(hot: int):
 
 
 def _kinds(told: pa.Table) -> tuple:
-    """What a chunk was told: keys (kind 0), names that an earlier chunk has (1), names whose key has several (2)."""
-    kind = _of(told, "kind")
-    keys, earlier, several = (told.filter(pa.array(kind == k)) for k in range(3))
-    names = lambda t: (_of(t, "x", np.uint64), _of(t, "y", np.uint64))
-    return _told(keys), names(earlier), names(several)
+    """What a chunk was told: keys (kind 0), hot keys (1), names that an earlier chunk has (2), names whose key has several (3)."""
+    kind, a, b = _of(told, "kind"), _of(told, "a", np.uint64), _of(told, "b", np.uint64)
+    return np.sort(a[kind == 0]), np.sort(a[kind == 1]), (a[kind == 2], b[kind == 2]), (a[kind == 3], b[kind == 3])
 
 
 def _resolved(chunk: Chunk, told: pa.Table, hot: int) -> tuple:
-    """(pieces that go whole, pieces to refine, pieces of hot keys, told names)."""
-    keys, earlier, several = _kinds(told)
-    cold, very = chunk.shared(*keys, hot)
+    """(pieces that go whole, pieces to refine, pieces of hot keys, names that an earlier chunk has)."""
+    keys, hot_keys, earlier, several = _kinds(told)
+    cold, very = chunk.shared(keys, hot_keys, hot)
     x, y, first, after = chunk.first_spans(cold)
     whole = after | _held(x, y, *earlier)
     # a key that only this chunk holds is told nowhere: its pieces are refined if they differ
@@ -427,30 +427,49 @@ def _resolved(chunk: Chunk, told: pa.Table, hot: int) -> tuple:
 
 
 def _step_send(slots: int, hot: int):
-    """Pieces to refine with their bytes, to their key's owner."""
+    """Pieces to refine with their bytes, to their key's owner, and one row (no = -1) with what is settled already, which the owner hands back."""
 
     def step(key, docs, told):
         chunk = _chunk(docs)
         p = chunk.pieces
-        rows = _resolved(chunk, told, hot)[1]
-        return _table(SENT, len(rows), slot=((p.key[rows] * _D) >> np.uint64(16)) % np.uint64(slots), chunk=key[0].as_py(), no=rows, place=chunk.order[rows], key=p.key[rows], span=p.spans(rows))
+        whole, rows, very, earlier = _resolved(chunk, told, hot)
+        masks = chunk.hot_masks(very, earlier)
+        no = np.concatenate((whole, very[masks > 0])).astype("<i4")
+        mask = np.concatenate(((np.int64(1) << p.count[whole]) - 1, masks[masks > 0])).astype("<i4")
+        settled = zstandard.ZstdCompressor(level=3).compress(no.tobytes() + mask.tobytes())
+        one = lambda a, v: np.concatenate((a.astype(np.int64, copy=False), [v]))
+        slot = (((p.key[rows] * _D) >> np.uint64(16)) % np.uint64(slots)).astype(np.int64)
+        me = key[0].as_py()
+        return _table(SENT, len(rows) + 1, slot=one(slot, me % slots), chunk=me, no=one(rows, -1), place=one(chunk.order[rows], 0), key=one(p.key[rows].view(np.int64), 0), span=pa.concat_arrays([p.spans(rows), pa.array([settled], pa.binary())]))
 
     return step
 
 
 def _step_settle(key, sent):
-    chunk = _of(sent, "chunk")
-    mask = settle(_of(sent, "key", np.uint64), chunk << 32 | _of(sent, "place"), sent.column("span").combine_chunks())
-    rows = np.flatnonzero(mask)
-    return _table(TOLD, len(rows), chunk=chunk[rows], no=_of(sent, "no")[rows], mask=mask[rows])
-
-
-def _final(with_kept: bool, hot: int):
+    no, chunk = _of(sent, "no"), _of(sent, "chunk")
+    back = sent.filter(pa.array(no < 0))
+    open_ = sent.filter(pa.array(no >= 0))
+    n = len(back)
+    out = [_table(TOLD, n, chunk=_of(back, "chunk"), no=-1, mask=0, settled=back.column("span").combine_chunks())] if n else []
+    if len(open_):
+        chunk = _of(open_, "chunk")
+        mask = settle(_of(open_, "key", np.uint64), chunk << 32 | _of(open_, "place"), open_.column("span").combine_chunks())
+        rows = np.flatnonzero(mask)
+        out.append(_table(TOLD, len(rows), chunk=chunk[rows], no=_of(open_, "no")[rows], mask=mask[rows], settled=pa.nulls(len(rows), pa.binary())))
+    return pa.concat_tables(out)
+
+
+def _final(with_kept: bool):
     def step(key, docs, told):
         chunk = _chunk(docs)
-        masks = told.filter(pa.array(_of(told, "kind") == 3))
-        whole, _, very, names = _resolved(chunk, told, hot)
-        masks_of = chunk.removed(whole, _of(masks, "no"), _of(masks, "mask"), very, names)
+        no, mask = _of(told, "no"), _of(told, "mask")
+        no, mask = [no[no >= 0]], [mask[no >= 0]]
+        for blob in told.column("settled").to_pylist():
+            if blob:
+                pair = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<i4").reshape(2, -1).astype(np.int64)
+                no.append(pair[0])
+                mask.append(pair[1])
+        masks_of = chunk.removed(np.concatenate(no), np.concatenate(mask))
         out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
         for d, raw, mask in zip(chunk.doc_ids, chunk.texts, masks_of, strict=True):
             kept = np.frombuffer(raw, np.uint8)[~mask].tobytes() if mask.any() else raw
@@ -499,18 +518,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk
     asked = by_chunk.applyInArrow(_step_keys, "chunk long, key long, n int")
     w = Window.partitionBy("key")
     seen = asked.withColumns({"chunks": F.count(F.lit(1)).over(w), "pieces": F.sum("n").over(w)}).filter("chunks > 1")
-    blank = lambda **c: [F.lit(None).cast(t).alias(k) for k, t in c.items()]
-    keys = seen.select("chunk", F.lit(0).alias("kind"), "key", (F.col("pieces") > hot).cast("int").alias("hot"), *blank(x="long", y="long", no="int", mask="int"))
+    none = F.lit(0).cast("long")
+    keys = seen.select("chunk", (F.col("pieces") > hot).cast("int").alias("kind"), F.col("key").alias("a"), none.alias("b"))
     named = by_chunk.cogroup(keys.groupBy("chunk")).applyInArrow(_step_names(hot), _ddl(NAMED))
     # hot keys aside, a key has no more than `hot` rows, and a name no more than there are chunks
     found = named.withColumns({"several": F.min("x").over(w) != F.max("x").over(w), "earlier": F.min("chunk").over(Window.partitionBy("key", "x", "y")) < F.col("chunk")})
-    names = found.filter("several or earlier").select("chunk", F.when(F.col("earlier"), 1).otherwise(2).alias("kind"), *blank(key="long", hot="int"), "x", "y", *blank(no="int", mask="int"))
-    told = keys.unionByName(names)
+    names = found.filter("several or earlier").select("chunk", F.when(F.col("earlier"), 2).otherwise(3).alias("kind"), F.col("x").alias("a"), F.col("y").alias("b"))
     slots = max(n, -(-total // slot_bytes))
-    sent = by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_step_send(slots, hot), _ddl(SENT))
+    sent = by_chunk.cogroup(keys.unionByName(names).groupBy("chunk")).applyInArrow(_step_send(slots, hot), _ddl(SENT))
     masks = sent.groupBy("slot").applyInArrow(_step_settle, _ddl(TOLD))
-    told = told.unionByName(masks.select("chunk", F.lit(3).alias("kind"), *blank(key="long", hot="int", x="long", y="long"), "no", "mask"))
-    return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_final(with_kept, hot), SCHEMA)
+    return by_chunk.cogroup(masks.groupBy("chunk")).applyInArrow(_final(with_kept), SCHEMA)
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
