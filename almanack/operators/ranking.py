@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.store import written
 
 # Points and bounds of the score scale.
 TITLE_HIT, LINE_HIT, MOST_CONTENT, LEAST_CONTENT = 40, 10, 80, 15
@@ -137,6 +138,8 @@ def ranked(s: DataFrame, query: str, base: float = LEAST_RELEVANCE) -> DataFrame
     search_rank: score, tier, place of the phrase in the title, id. Promotion multiplies the score and sorts again, so that equal
     scores stay in the order they had. Confidence doesn't change by promotion.
     """
+    # texts are scored once: thresholds and places need the scores several times
+    s = written(s.select("doc_id", "title", "tier", "score", "relevance"), "scored")
     at = F.locate(query.lower(), F.lower("title"))
     rows = placed(passing(s, base).withColumn("at", F.when(at > 0, at - 1).otherwise(9999)), "score", "search_rank", F.desc("tier"), "at", "doc_id").drop("at")
     hit = F.when(F.col("tier") == 3, F.col("relevance")).otherwise(0)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ranking as R
 from ..sources import adapters as D
+from ..sources.store import written
 from .registry import ABSTRACT, TITLE, query
 
 ENT = f"(SELECT doc_id, {TITLE} AS title, {ABSTRACT} AS abstract, text AS body, CASE WHEN n_chars >= 1000 THEN [lang] ELSE [] END AS tags, source AS location, CASE WHEN lang IN ('en', 'fr') THEN source END AS topic, DATE '2024-01-01' + CAST(doc_id % 366 AS INTEGER) AS date FROM documents)"
@@ -66,7 +67,7 @@ def r9_r10_r12_tier_scores(spark, d):
 
 @query(f"WITH {FENCED} SELECT CAST(s0.tier AS BIGINT) AS tier, count(*) AS n_found, count(p0.doc_id) AS n_passing, max(f1.fence) AS fence FROM s0 LEFT JOIN p0 USING (doc_id), f1 GROUP BY 1")
 def r13_tier_thresholds(spark, d):
-    s = _scored(spark, d)
+    s = written(_scored(spark, d).select("doc_id", "tier", "score"), "scored")
     kept = R.passing(s).groupBy("tier").agg(F.count(F.lit(1)).alias("k"))
     found = s.groupBy("tier").agg(F.count(F.lit(1)).alias("n_found")).join(kept, "tier", "left").crossJoin(F.broadcast(R.fence(s.select("score")).select("fence")))
     return found.select("tier", "n_found", F.coalesce("k", F.lit(0)).alias("n_passing"), "fence")
@@ -129,7 +130,7 @@ def o3_dates_when_nothing_is_asked(spark, d):
 
 @query(f"WITH {RANKED}, z AS (SELECT doc_id, row_number() OVER (ORDER BY final_score DESC, search_rank) AS final_rank, count(*) OVER () AS total FROM p2) SELECT doc_id, final_rank, total AS total_matches, total > 40 AS has_more FROM z WHERE final_rank BETWEEN 21 AND 40")
 def o7_p19_page_of_results(spark, d):
-    r = R.ranked(_scored(spark, d), ASKED).select("doc_id", "final_rank")
+    r = written(R.ranked(_scored(spark, d), ASKED).select("doc_id", "final_rank"), "ranked")
     total = r.agg(F.count(F.lit(1)).alias("total_matches"))
     return r.filter(F.col("final_rank").between(21, 40)).crossJoin(F.broadcast(total)).withColumn("has_more", F.col("total_matches") > 40)
 

@@ -45,7 +45,7 @@ def k2_revisions(spark, d):
     return S.edited(e, e.filter("doc_id % 10 = 0").select("doc_id", F.lit("x").alias("field_topic"), F.lit("y").alias("body"), F.lit("replace").alias("mode")))[1].select("doc_id", "topic", F.md5("body").alias("body_md5"))
 
 
-@query("SELECT CAST(n_nationkey AS VARCHAR) || '.md' AS name, 'Title ' || n_name AS title, '2024-01-' || lpad(CAST(1 + n_nationkey AS VARCHAR), 2, '0') AS date, ['a', 'b: c'] AS tags, 'Heading' || chr(10) || '--- not an end' AS body FROM nation")
+@query("SELECT CAST(n_nationkey AS VARCHAR) || '.md' AS name, 'Title ' || n_name AS title, '2024-01-' || lpad(CAST(1 + n_nationkey AS VARCHAR), 2, '0') AS date, 'a|b: c' AS tags, 'Heading' || chr(10) || '--- not an end' AS body FROM nation")
 def s1_s2_entry_files(spark, d):
     """One Markdown file with a head for each nation, written and read back."""
     n, path = D.table(spark, d, "nation"), S.fresh(spark, "journal")
@@ -53,7 +53,7 @@ def s1_s2_entry_files(spark, d):
     n.select(F.col("n_nationkey").alias("k"), text.alias("value")).repartition("k").write.partitionBy("k").option("lineSep", "\x00").text(path)
     e = M.read_entries(spark, f"{path}/k=*/*.txt")
     name = F.concat(F.regexp_extract("rel_path", r"k=(\d+)/", 1), F.lit(".md"))
-    return e.select(name.alias("name"), "title", "date", "tags", F.regexp_replace("body", r"[\s\x00]+$", "").alias("body"))
+    return e.select(name.alias("name"), "title", "date", F.array_join("tags", "|").alias("tags"), F.regexp_replace("body", r"[\s\x00]+$", "").alias("body"))
 
 
 @query("SELECT doc_id, text AS content, true AS intact FROM documents WHERE text IS NOT NULL AND doc_id % 5 <> 4")
@@ -69,14 +69,14 @@ def k7_backup_and_restore(spark, d):
     return S.restore(spark, [a, b]).select(F.col("name").cast("long").alias("doc_id"), "content", "intact")
 
 
-@query("SELECT 'plan' AS adapter_id, CAST(item_id AS VARCHAR) AS source_record_id, sha256(text) AS content_hash, 'T' || item_id AS title, '2024-05-01' AS date, ['x', 'y'] AS tags, CAST(item_id % 3 AS INTEGER) AS n_attachments FROM benchmark")
+@query("SELECT 'plan' AS adapter_id, CAST(item_id AS VARCHAR) AS source_record_id, sha256(text) AS content_hash, 'T' || item_id AS title, '2024-05-01' AS date, 'x,y' AS tags, CAST(item_id % 3 AS INTEGER) AS n_attachments FROM benchmark")
 def s11_import_source(spark, d):
     n, path = F.col("item_id").cast("string"), S.fresh(spark, "import")
     files = F.filter(F.transform(F.array(F.lit(1), F.lit(2)), lambda k: F.struct(F.concat(n, F.lit("-"), k.cast("string")).alias("attachment_id"), k.alias("size_bytes"))), lambda a: a["size_bytes"] <= F.col("item_id") % 3)
     journal = F.struct(F.concat(F.lit("T"), n).alias("title"), F.lit("2024-05-01").alias("date"), F.array(F.lit("x"), F.lit("y")).alias("tags"), F.col("text").alias("content"))
     one = D.table(spark, d, "benchmark").groupBy((F.col("item_id") % 4).alias("part")).agg(F.collect_list(F.struct(n.alias("source_record_id"), F.sha2("text", 256).alias("content_hash"), journal.alias("journal"), files.alias("attachments"))).alias("records"))
     one.select(F.lit("plan").alias("adapter_id"), F.lit("in").alias("input_label"), "records").repartition("records").write.option("maxRecordsPerFile", 1).json(path)
-    return S.read_import(spark, path)
+    return S.read_import(spark, path).withColumn("tags", F.array_join("tags", ","))
 
 
 @query("SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 4 = 0 THEN 'second' ELSE 'first' END AS state, CASE WHEN o_orderkey % 4 = 0 THEN 2 ELSE 1 END AS version FROM orders WHERE o_orderkey % 7 <> 0")
@@ -92,12 +92,12 @@ def t1_t2_k3_pending_writes(spark, d):
     return S.consume_pending(spark, q, schema, to, mark)
 
 
-@query(f"SELECT doc_id, title, topic, list_sort(tags) AS tags FROM {ENT}")
+@query(f"SELECT doc_id, title, topic, array_to_string(tags, ',') AS tags FROM {ENT}")
 def s3_metadata_cache(spark, d):
     """A metadata cache with arrays as JSON, written and decoded."""
     path = S.fresh(spark, "cache")
     entries(spark, d).select("doc_id", "title", "topic", F.to_json("tags").alias("tags")).write.parquet(path)
-    return spark.read.parquet(path).select("doc_id", "title", "topic", F.from_json("tags", "array<string>").alias("tags"))
+    return spark.read.parquet(path).select("doc_id", "title", "topic", F.array_join(F.from_json("tags", "array<string>"), ",").alias("tags"))
 
 
 @query(f"SELECT 'topic' AS kind, topic AS value, doc_id FROM {OR} WHERE topic = '1-URGENT' UNION ALL SELECT 'project', location, doc_id FROM {OR} WHERE location = 'FRANCE' UNION ALL SELECT 'tag', tag, doc_id FROM {OR} WHERE tag = 'BUILDING'")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -19,8 +20,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_owned: set[str] = set()
+
+
 def fresh(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A new path in a folder of this application's own, which goes when the driver ends."""
+    own = f"{shared_dir(spark)}/almanack-store-{spark.sparkContext.applicationId}"
+    if own not in _owned:
+        _owned.add(own)
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+        atexit.register(_remove, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p)
+    return f"{own}/{what}-{uuid.uuid4().hex}"
+
+
+def _remove(fs, path) -> None:
+    try:
+        fs.delete(path, True)
+    except Exception:  # noqa: BLE001 - the JVM may have ended before
+        pass
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df, computed once: written to the shared folder and read again."""
+    path = fresh(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def append_log(rows: DataFrame, path: str) -> None:
