@@ -27,7 +27,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, hadoop_path, pieces, table, written
+from .common import frees, fresh_path, hadoop_path, pieces, table, written
 
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 
@@ -247,7 +247,7 @@ class Cutter:
 class Encoder:
     """Encodes texts; keeps the ids of recent strings between white space: up to `most` of them and `most_bytes` in all."""
 
-    def __init__(self, model: Model, lexicon: Lexicon, most: int = 250_000, most_bytes: int = 64 << 20):
+    def __init__(self, model: Model, lexicon: Lexicon, most: int = 150_000, most_bytes: int = 32 << 20):
         self.model, self.lexicon, self.most, self.most_bytes = model, lexicon, most, most_bytes
         self.packed: dict[str, bytes] = {}
         self.held = 0
@@ -289,7 +289,7 @@ def decode(model: Model, ids) -> str:
     return " ".join(model.names[i] for i in ids)
 
 
-def frequent_words(texts: DataFrame, special, most_words: int, most_bytes: int = 64, most_held: int = 200_000) -> list[bytes]:
+def frequent_words(texts: DataFrame, special, most_words: int, most_bytes: int = 64, most_held: int = 50_000) -> list[bytes]:
     """The most frequent words of a text column, counted over all its rows: as many levels of counts as hold most_words words or fewer.
 
     A task holds at most most_held different strings before it hands its counts on; words of over most_bytes bytes are left out.
@@ -315,7 +315,7 @@ def frequent_words(texts: DataFrame, special, most_words: int, most_bytes: int =
                     yield rows()
         yield rows()
 
-    counted = written(texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    counted = written(texts.mapInArrow(frees(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     # by eighths of powers of two of the count, some hundred rows: only words that are chosen come to the driver
     level = F.floor(8 * F.log2("n"))
     left, least = most_words, None
@@ -388,7 +388,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     if words is None:
         words = frequent_words(rows.select("text"), model.special, lexicon_words)
     name, spec = lexicon_file(spark, model, words), spark.sparkContext.broadcast(text)
-    return rows.mapInArrow(_encode(name, spec, with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(frees(_encode(name, spec, with_ids)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:

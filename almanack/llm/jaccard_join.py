@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, pieces, table, written
+from .common import frees, fresh_path, pieces, table, written
 from .components import components
 
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -243,7 +243,7 @@ def _links(pairs: DataFrame, docs: DataFrame, width: int, percent: int, most_ids
     texts_a = of_a.join(wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).select("a", "salt", "text_a")
     rows = pairs.join(of_a, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
     rows = rows.join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts_a, ["a", "salt"])
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(verify(width, percent), "a long, b long")
+    return rows.select("a", "b", "text_a", "text_b").mapInArrow(frees(verify(width, percent)), "a long, b long")
 
 
 def _spread(big: DataFrame, small: DataFrame, key: str, by: str, salts: int = 16) -> DataFrame:
@@ -275,7 +275,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def hottest(known) -> np.ndarray:
-        counted = docs.mapInArrow(count_prefixes(known, width, percent), "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).filter(F.col("n") > hot)
+        counted = docs.mapInArrow(frees(count_prefixes(known, width, percent)), "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).filter(F.col("n") > hot)
         path = fresh_path(spark, "hot")
         counted.write.parquet(path)
         counted, least = spark.read.schema("name long, n long").parquet(path), hot
@@ -290,10 +290,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         found = np.union1d(found, more) if len(found) + len(more) <= 2 * most_hot else found
     known = spark.sparkContext.broadcast(found)
 
-    nodes = written(docs.mapInArrow(describe(known, width, percent), "doc_id long, n long, name long, grp long, n_hot long"), "nodes")
+    nodes = written(docs.mapInArrow(frees(describe(known, width, percent)), "doc_id long, n long, name long, grp long, n_hot long"), "nodes")
     sets = nodes.filter("n > 0 and doc_id is not null").groupBy("n", "name", "grp", "n_hot").agg(F.min("doc_id").alias("doc"))
     sets = written(sets, "sets")
-    rows = docs.mapInArrow(prefixes(known, width, percent), "shingle long, grp long, n long, n_hot long, is_hot long")
+    rows = docs.mapInArrow(frees(prefixes(known, width, percent)), "shingle long, grp long, n long, n_hot long, is_hot long")
 
     # groups that share cold shingles
     cold = rows.filter("is_hot = 0").select("shingle", "grp", "n", "n_hot").repartition("shingle").distinct()

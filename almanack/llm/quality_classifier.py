@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import frees, pieces, table
 from .jaccard_join import Words
 
 TRIGRAMS, CLASSES, META = 2048, 8, 64
@@ -185,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labe
     own = _own(docs).filter("doc_id is not null")
 
     def features(rows: DataFrame, most: int):
-        found = rows.orderBy(F.xxhash64("doc_id", "text")).limit(most).mapInArrow(_features, "doc_id long, label long, a binary, b binary").toPandas().sort_values(["doc_id", "a", "b"], kind="stable")
+        found = rows.orderBy(F.xxhash64("doc_id", "text")).limit(most).mapInArrow(frees(_features), "doc_id long, label long, a binary, b binary").toPandas().sort_values(["doc_id", "a", "b"], kind="stable")
         view = lambda c, k: np.array([np.frombuffer(x, np.float16) for x in found[c]], np.float32).reshape(-1, k)
         return {"a": view("a", TRIGRAMS + CLASSES), "b": view("b", META)}, found["label"].to_numpy("int64"), found["doc_id"].to_numpy("int64")
 
@@ -204,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labe
     for _ in range(rounds):
         fitted = {v: (w, _platt(_raw(x[v][probe], w).astype(float), y[probe])) for v, w in learnt().items()}
         gone = spark.createDataFrame([(i,) for i in sorted(taken)], "doc_id long")
-        top = own.join(F.broadcast(gone), "doc_id", "left_anti").mapInArrow(_surest(fitted, each), "view string, label long, sure double, doc_id long").filter(F.col("sure") >= sure)
+        top = own.join(F.broadcast(gone), "doc_id", "left_anti").mapInArrow(frees(_surest(fitted, each)), "view string, label long, sure double, doc_id long").filter(F.col("sure") >= sure)
         place = F.row_number().over(Window.partitionBy("view", "label").orderBy(F.desc("sure"), "doc_id"))
         chosen = top.withColumn("place", place).filter(F.col("place") <= each).select("view", "label", "doc_id").collect()  # 4 * each rows at most
         for v, other in (("a", "b"), ("b", "a")):
@@ -312,7 +312,7 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
         for batch in pieces(batches):
             yield batch.filter(pa.array(shared.value.of(batch)[3]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frees(run), docs.schema)
 
 
 def op3_quality_classifier(spark, sf_dir: str) -> DataFrame:
