@@ -87,7 +87,22 @@ def write_entries(entries: DataFrame, path: str, mode: str = "append") -> None:
     entries.repartition("year", "month").write.mode(mode).partitionBy("year", "month").parquet(path)
 
 
+class BadGraph(ValueError):
+    """What is wrong with an entity graph, one line each."""
+
+
 def read_graph(spark: SparkSession, text: str) -> DataFrame:
-    """A YAML entity graph as nodes with nested relationships."""
-    rows = [{"id": e["id"], "type": e.get("type"), "primary_name": e.get("primary_name"), "aliases": list(e.get("aliases") or []), "relationships": [{"target": r["target"], "relation": r["relation"]} for r in e.get("relationships") or []]} for e in (yaml.safe_load(text) or {}).get("entities", [])]
+    """A YAML entity graph as nodes with nested relationships. Entities need an id and a name, ids and names are unique, targets exist."""
+    given = (yaml.safe_load(text) or {}).get("entities") or []
+    ids, names, wrong = [e.get("id") for e in given], {}, []
+    for k, e in enumerate(given):
+        wrong += [f"entities[{k}] has no {c}" for c in ("id", "primary_name") if not e.get(c)]
+        wrong += [f"{e.get('id')}: id is used twice"] if ids.count(e.get("id")) > 1 else []
+        for n in {str(n).lower() for n in (e.get("primary_name"), *(e.get("aliases") or [])) if n}:
+            if names.setdefault(n, e.get("id")) != e.get("id"):
+                wrong.append(f"{e.get('id')}: name {n} is that of {names[n]}")
+        wrong += [f"{e.get('id')}: target {r.get('target')} is unknown" for r in e.get("relationships") or [] if r.get("target") not in ids]
+    if wrong:
+        raise BadGraph("\n".join(wrong))
+    rows = [{"id": e["id"], "type": e.get("type"), "primary_name": e["primary_name"], "aliases": list(e.get("aliases") or []), "relationships": [{"target": r["target"], "relation": r["relation"]} for r in e.get("relationships") or []]} for e in given]
     return spark.createDataFrame(rows, "id string, type string, primary_name string, aliases array<string>, relationships array<struct<target:string,relation:string>>")

@@ -3,6 +3,7 @@
 import random
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from almanack.functions import text as T
@@ -152,3 +153,28 @@ def test_noise_rules_in_order(spark):
     }
     df = spark.createDataFrame([(k, v) for k, v in given.items()], "q string, want string").withColumn("got", T.noise(F.col("q")))
     assert [r for r in df.collect() if r.want != r.got] == []
+
+
+def test_graph_file_is_validated(spark):
+    from almanack.sources import frontmatter as M
+
+    if M.yaml is None:
+        pytest.skip("needs a YAML library")
+    good = "entities:\n- {id: a, type: person, primary_name: Ann, aliases: [Annie], relationships: [{target: b, relation: friend_of}]}\n- {id: b, primary_name: Bob}\n"
+    rows = {r.id: r for r in M.read_graph(spark, good).collect()}
+    assert rows["a"].relationships[0].target == "b" and rows["b"].aliases == []
+    with pytest.raises(M.BadGraph, match="id is used twice"):
+        M.read_graph(spark, good + "- {id: a, primary_name: Other}\n")
+    with pytest.raises(M.BadGraph, match="name annie is that of a"):
+        M.read_graph(spark, good + "- {id: c, primary_name: annie}\n")
+    with pytest.raises(M.BadGraph, match="target z is unknown"):
+        M.read_graph(spark, good + "- {id: c, primary_name: Cy, relationships: [{target: z, relation: x}]}\n")
+
+
+def test_heads_end_at_delimiter_lines():
+    from almanack.sources import frontmatter as M
+
+    assert M.parse("---\ntitle: 'a --- b'\n---\nbody\n--- more") == ({"title": "a --- b"}, "body\n--- more")
+    assert M.parse("---\ntitle: x\nno end") == ({}, "---\ntitle: x\nno end") and M.parse("plain") == ({}, "plain")
+    head, body = M.parse("---\ntitle: a: b: c\ntags: [x, y]\n---\n\ntext")
+    assert head["tags"] == ["x", "y"] and head["title"] and body == "text"
