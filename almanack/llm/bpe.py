@@ -27,7 +27,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frees, fresh_path, hadoop_path, pieces, table, written
+from .common import frees, fresh_path, hadoop_path, pieces, small_batches, table, written
 
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 
@@ -380,7 +380,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     and repeated ids are fine; other columns are ignored. The lexicon holds the most frequent words of docs, lexicon_words at most, or
     the given words (bytes); it changes the work only, never the ids.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     with open(tokenizer, encoding="utf-8") as f:
         text = f.read()
     model = Model(text)

@@ -12,6 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
+    """The session, with Arrow batches of a thousand texts at most (ten thousand by default): a batch is held by executor and worker at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, rows)
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder, read by Spark (any store that Spark reads)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

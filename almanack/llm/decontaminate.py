@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, table, written
+from .common import frees, pieces, small_batches, table, written
 
 WINDOW = 10
 _KEEP = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
@@ -154,7 +154,7 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int, w
 
 def _in_turn(rows: DataFrame, found, window: int, step) -> DataFrame:
     """rows through step(rows, broadcast automaton) for each block: one automaton alive at a time."""
-    sc = rows.sparkSession.sparkContext
+    sc = small_batches(rows.sparkSession).sparkContext
     block = next(found, [])
     while True:
         after = next(found, None)
@@ -192,7 +192,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id
 
         return run
 
-    return _in_turn(docs, blocks(benchmark, item_id, item_text, block_bytes, window, block_words), window, lambda rows, m: rows.mapInArrow(keep(m), docs.schema))
+    return _in_turn(docs, blocks(benchmark, item_id, item_text, block_bytes, window, block_words), window, lambda rows, m: rows.mapInArrow(frees(keep(m)), docs.schema))
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frees, fresh_path, pieces, table, written
+from .common import frees, fresh_path, pieces, small_batches, table, written
 from .components import components
 
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -271,7 +271,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     which one is hot is raised. `most_ids` bounds the ids broadcast to pick texts; beyond it they are joined. `carried` is how many hot shingles go with a
     document to make each pair once (`block`: rows of a bucket paired by one task's key); with more, a pair may be made in several buckets, and counts once all the same.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def hottest(known) -> np.ndarray:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import frees, pieces, table
+from .common import frees, pieces, small_batches, table
 from .jaccard_join import Words
 
 TRIGRAMS, CLASSES, META = 2048, 8, 64
@@ -177,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labe
     Without labels of both classes everything is kept. Of rows that share a labelled id at most 2 * max_labelled are learnt
     from, those whose texts hash least.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     share = lambda n, most: F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5 < min(1.0, most / max(n, 1))
     known = labels.select(F.col("doc_id").cast("long"), F.col(label_col).cast("long").alias("label")).filter("doc_id is not null and label in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"), (F.min("label") == F.max("label")).alias("agreed")).filter("agreed").drop("agreed")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import frees, pieces, small_batches, table
 
 KINDS = ("assign", "access", "hex", "der", "openssh", "token", "pem")
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -300,7 +300,8 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars",
                 batch = batch.set_column(names.index(length_col), batch.schema.field(length_col), pa.array(sizes, batch.schema.field(length_col).type))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(frees(run), docs.schema)
 
 
 def op4_secret_scan(spark, sf_dir: str) -> DataFrame:
