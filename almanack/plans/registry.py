@@ -574,4 +574,4 @@ def t5_w4_events_due(spark, d):
 
 
 # further queries add themselves to the same tables
-from . import registry_entities, registry_index, registry_more, registry_plans, registry_search, registry_stores, registry_upkeep  # noqa: E402,F401
+from . import registry_entities, registry_index, registry_more, registry_plans, registry_scale, registry_search, registry_stores, registry_upkeep  # noqa: E402,F401
