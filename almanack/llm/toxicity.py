@@ -1,7 +1,7 @@
 """Toxicity: Levenshtein automata over a trie of learnt terms, and scores of the words around each hit.
 
-1. Terms. Over all labelled documents that may be learnt from, Spark counts for each word the clean texts that hold it and
-   the different contexts in which toxic texts have it first (so copies and near copies count once). Words whose smoothed
+1. Terms. Over labelled documents that may be learnt from, Spark counts for each word the clean texts that hold it and the
+   different contexts in which toxic texts have it first (so copies and near copies count once). Words whose smoothed
    log-odds for toxic are high are the terms.
 2. Misspellings. The terms form a trie; it is intersected with Levenshtein automata (one error from five letters on, two
    from nine), and the product is made deterministic state by state as words are read. A word of the labelled texts that
@@ -12,14 +12,15 @@
 4. Score. A logistic model of the hits' figures. Terms are learnt on one half of the labelled texts for the other half
    (halves by the text's hash), so the model sees hits as they will be on unseen texts.
 
-Bounds: max_terms terms, max_known clean words near them, max_context context words, max_labelled texts for the logistic
-model. Counts cover all labelled documents, scores all documents.
+Bounds: some max_labelled labelled documents are learnt from (by hash of their ids), of these max_scored for the logistic
+model; max_terms terms, max_known clean words near them, max_context context words. Scores cover all documents.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -33,6 +34,8 @@ from .common import frees, pieces, small_batches, table, written
 #: Words, with signs that stand for letters only between letters; quotation marks are tokens of their own.
 TOKEN = re.compile(r"\w+(?:[@$*]+\w+)*|[\"“”„«»]")
 QUOTES = frozenset('"“”„«»')
+#: TOKEN finds the same in a text without any of these signs.
+_SIGNS, _PLAIN = re.compile("[@$*\"“”„«»]"), re.compile(r"\w+")
 WINDOW = 5
 BLOCK = 200_000  # characters that are tokens at a time
 FEATURES = 7
@@ -58,27 +61,30 @@ class Automaton:
 
     def __init__(self, terms: list[str]):
         self.terms = terms
-        self.children: list[dict[str, int]] = [{}]
+        self.children: list[dict[int, int]] = [{}]
         self.ends, self.most, self.depth = [-1], [0], max(map(len, terms), default=0)
+        alphabet = sorted({c for t in terms for c in t})
+        self.codes = np.zeros(0x110000, np.uint16)  # letters of no term are one letter, 0
+        self.codes[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
+        self.letters = len(alphabet) + 1
         for k, term in enumerate(terms):
             node = 0
-            for c in term:
+            for c in (0, *self.codes[list(map(ord, term))].tolist()):  # the first step is the root itself
+                if c:
+                    if c not in self.children[node]:
+                        self.children[node][c] = len(self.ends)
+                        self.children.append({})
+                        self.ends.append(-1)
+                        self.most.append(0)
+                    node = self.children[node][c]
                 self.most[node] = max(self.most[node], allowed(term))
-                if c not in self.children[node]:
-                    self.children[node][c] = len(self.ends)
-                    self.children.append({})
-                    self.ends.append(-1)
-                    self.most.append(0)
-                node = self.children[node][c]
-            self.most[node] = max(self.most[node], allowed(term))
             self.ends[node] = k
-        self.alphabet = {c for t in terms for c in t}
         self._forget()
 
     def _forget(self) -> None:
         self.numbers: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
-        self.steps: list[dict[str, int]] = []
+        self.steps = np.full((256, self.letters), -2, np.int32)  # -2: not worked out yet, -1: no state
         self.found: list = []
         self.start = self._number({0: 0}) if self.terms else -1
 
@@ -99,11 +105,12 @@ class Automaton:
             ends = [(e, self.ends[n]) for n, e in reached.items() if self.ends[n] >= 0 and e <= allowed(self.terms[self.ends[n]])]
             self.numbers[key] = len(self.sets)
             self.sets.append(key)
-            self.steps.append({})
             self.found.append(min(ends, default=None))
+            if len(self.sets) > len(self.steps):
+                self.steps = np.concatenate((self.steps, np.full_like(self.steps, -2)))
         return self.numbers[key]
 
-    def _step(self, state: int, c: str) -> int:
+    def _step(self, state: int, c: int) -> None:
         reached: dict[int, int] = {}
         for node, e in self.sets[state]:
             if e < self.most[node]:
@@ -112,33 +119,47 @@ class Automaton:
                 x = e if letter == c else e + 1
                 if x <= self.most[child] and x < reached.get(child, 99):
                     reached[child] = x
-        self.steps[state][c] = to = self._number(reached)
-        return to
+        to = self._number(reached)
+        self.steps[state, c] = to
 
-    def match(self, word: str):
-        """(errors, number of the term) of the nearest term within its errors, of equals the first; None if there is none."""
-        if len(word) > self.depth + 2:
-            return None
+    def matches(self, words: list[str]) -> dict[str, tuple[int, int]]:
+        """Of the words that some term is within its errors of: (errors, number of the nearest term, of equals the first). All words move in step."""
         if len(self.sets) > self.MOST_STATES:
             self._forget()
-        state = self.start
-        for c in word:
-            if state < 0:
-                return None
-            c = c if c in self.alphabet else ""
-            to = self.steps[state].get(c)
-            state = self._step(state, c) if to is None else to
-        return self.found[state] if state >= 0 else None
+        words = [w for w in words if 0 < len(w) <= self.depth + 2]
+        if not words or self.start < 0:
+            return {}
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        codes = self.codes[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        begin, state, live = np.cumsum(size) - size, np.full(len(words), self.start), np.arange(len(words))
+        for at in range(self.depth + 2):
+            live = live[size[live] > at]
+            if not len(live):
+                break
+            own, c = state[live], codes[begin[live] + at]
+            to = self.steps[own, c]
+            if (new := to == -2).any():
+                for key in np.unique(own[new] * self.letters + c[new]).tolist():
+                    self._step(*divmod(key, self.letters))
+                to = self.steps[own, c]
+            state[live] = to
+            live = live[to >= 0]
+        ended = np.flatnonzero(state >= 0)
+        return {words[k]: m for k in ended.tolist() if (m := self.found[state[k]])}
+
+    def match(self, word: str):
+        return self.matches([word]).get(word)
 
 
 def token_blocks(text: str):
     """Tokens of a lower-cased text in blocks of bounded size, cut at white space."""
     text, at = text.lower(), 0
+    token = TOKEN if _SIGNS.search(text) else _PLAIN
     while True:
         end = at + BLOCK
         while end < len(text) and not text[end].isspace():
             end += 1
-        yield TOKEN.findall(text, at, end)
+        yield token.findall(text, at, end)
         if end >= len(text):
             return
         at = end
@@ -164,64 +185,75 @@ class Lexicon:
         self.names = sorted(terms)
         self.weights = [terms[t] for t in self.names]
         self.known, self.contexts, self.decay = known, dict(PRIOR) | (contexts or {}), decay
-        self.automaton, self.seen = None, {}
+        self.automaton = None
 
     def __getstate__(self):
-        return self.__dict__ | {"automaton": None, "seen": {}}  # each worker makes its own states
+        return self.__dict__ | {"automaton": None}  # each worker makes its own states
 
-    def of(self, word: str):
-        """(weight, errors, term) of a word, or None."""
-        found = self.seen.get(word, 0)
-        if found != 0:
-            return found
+    def hot(self, words) -> dict[str, tuple[float, int, str]]:
+        """(weight, errors, term) of those of the words that are hits."""
         if self.automaton is None:
             self.automaton = Automaton(self.names)
-        m, found = self.automaton.match(word), None
-        if m:
-            e, k = m
-            weight = self.known.get(word, self.weights[k] * self.decay**e) if e else self.weights[k]
-            found = (weight, e, self.names[k]) if weight > 0 else None
-        if len(word) <= 64:
-            if len(self.seen) > 200_000:
-                self.seen.clear()
-            self.seen[word] = found
-        return found
+        out = {}
+        for w, (e, k) in self.automaton.matches(list(words)).items():
+            weight = self.known.get(w, self.weights[k] * self.decay**e) if e else self.weights[k]
+            if weight > 0:
+                out[w] = weight, e, self.names[k]
+        return out
 
-    def hits(self, text: str):
-        """(word, its weight, errors, term, context) of each hit, in order; at the end the number of words as an int."""
-        words, tail, open_ = 0, [], False
-        blocks = token_blocks(text)
-        block = next(blocks)
+    def hits(self, text: str, blocks=None, hot: dict | None = None):
+        """(word, its weight, errors, term, context) of each hit, in order; at the end the number of words as an int.
+
+        blocks and hot: the text's tokens and the hits among its words, where they are known.
+        """
+        words, tail, begin, open_ = 0, [], 0, 0
+        blocks = iter(blocks if blocks is not None else token_blocks(text))
+        block = next(blocks, [])
         while block is not None:
             following = next(blocks, None)
-            tokens, begin = tail + block, max(0, len(tail) - WINDOW)
+            tokens = tail + block
             stop = len(tokens) if following is None else max(begin, len(tokens) - WINDOW)
-            for k in range(begin, stop):
-                w = tokens[k]
-                if w in QUOTES:
-                    open_ = not open_
-                    continue
-                words += 1
-                found = self.of(w)
-                if found:
-                    yield (w, *found, context(tokens, k, open_))
+            own = tokens[begin:stop]
+            known = hot if hot is not None else self.hot(set(own))
+            marks = [k for k, w in enumerate(own) if w in QUOTES] if not QUOTES.isdisjoint(own) else []
+            words += len(own) - len(marks)
+            if not known.keys().isdisjoint(own):
+                for k in [k for k, w in enumerate(own) if w in known]:
+                    yield (own[k], *known[own[k]], context(tokens, begin + k, open_ != bisect_left(marks, k) % 2))
+            open_ = (open_ + len(marks)) % 2
             keep = max(0, stop - WINDOW)
-            tail, block = tokens[keep:], following
-            if block is not None and stop - keep < WINDOW:  # a short first block: as if the window before it were blank
-                tail = [""] * (WINDOW - (stop - keep)) + tail
+            tail, begin, block = tokens[keep:], stop - keep, following
         yield words
 
+    def many(self, texts: list[str]):
+        """hits() of each text. Words of short texts are looked up together, some hundred thousand characters at a time."""
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and len(texts[end]) < BLOCK and size < 4 * BLOCK:
+                size += len(texts[end])
+                end += 1
+            if end == at:
+                yield self.hits(texts[at])
+                at += 1
+                continue
+            tokens = [next(token_blocks(t)) for t in texts[at:end]]
+            hot = self.hot(set().union(*tokens))
+            for t, own in zip(texts[at:end], tokens, strict=True):
+                yield self.hits(t, (own,), hot)
+            at = end
+
     def abuse(self, around: set[str]) -> float:
         """The chance that a hit among these words is abuse."""
         z = 2.0 + sum(self.contexts.get(w, 0.0) for w in around)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
-    def figures(self, text: str) -> tuple[list[float], int, int, int]:
-        """Features of a text; hits, misspelt ones and quoted ones."""
+    def figures(self, found) -> tuple[list[float], int, int, int]:
+        """Features of a text, by its hits(); how many hits, misspelt ones and quoted ones."""
         best: dict[str, float] = {}
         n = exact = quoted = words = 0
         chance = 0.0
-        for hit in self.hits(text):
+        for hit in found:
             if isinstance(hit, int):
                 words = hit
                 continue
@@ -321,7 +353,9 @@ def _lexicon(counts: DataFrame, halves: tuple[int, ...], sizes: dict, max_terms:
     def near(batches):
         lexicon = shared.value
         for batch in batches:
-            yield batch.filter(pa.array([w not in chosen and lexicon.of(w) is not None for w in batch.column("word").to_pylist()], pa.bool_()))
+            words = batch.column("word").to_pylist()
+            close = lexicon.hot(words)
+            yield batch.filter(pa.array([w not in chosen and w in close for w in words], pa.bool_()))
 
     known = own.filter("c >= 1").select("word", "t", "c").mapInArrow(near, "word string, t long, c long").orderBy(F.desc("c"), "word").limit(max_known).collect()
     return Lexicon(chosen, {r.word: _log_odds(r.t, r.c, rate) for r in known})
@@ -331,22 +365,25 @@ def _texts(batch) -> list[str]:
     return [t or "" for t in batch.column("text").to_pylist()]
 
 
-def training(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> DataFrame:
-    """half, label, text and pick (0 to 1, by hash) of the labelled rows that may be learnt from.
+def training(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_labelled: int = 20_000) -> DataFrame:
+    """half, label, text and pick (0 to 1, by hash) of the labelled rows that are learnt from: ids by hash, some max_labelled, twice that at most.
 
-    Held-out ids, nulls, ids with both labels and texts without a character are left out; a repeated label counts once.
+    Held-out ids, nulls, ids with both labels and texts without a character are left out; a repeated label counts once. So
+    few ids are broadcast, and no text is shuffled.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("long").alias("label")).filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out())
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"), (F.min("label") == F.max("label")).alias("agreed")).filter("agreed").drop("agreed")
+    share = min(1.0, max_labelled / max(known.count(), 1))
+    known = known.filter(F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5 < share).orderBy(F.xxhash64("doc_id")).limit(2 * max_labelled)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("doc_id").isNotNull() & (F.length("text") > 0) & ~held_out())
     key = F.xxhash64("text")
-    return own.join(known, "doc_id").select(F.pmod(key, F.lit(2)).cast("int").alias("half"), F.col("label").cast("int"), "text", (F.pmod(F.xxhash64("doc_id", key), F.lit(2**30)) / 2.0**30).alias("pick"))
+    return own.join(F.broadcast(known), "doc_id").select(F.pmod(key, F.lit(2)).cast("int").alias("half"), F.col("label").cast("int"), "text", (F.pmod(F.xxhash64("doc_id", key), F.lit(2**30)) / 2.0**30).alias("pick"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_labelled: int = 6000, max_terms: int = 5000, max_known: int = 50_000, max_context: int = 2000, least: float = 2.0) -> Toxicity:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_labelled: int = 20_000, max_scored: int = 6000, max_terms: int = 5000, max_known: int = 50_000, max_context: int = 2000, least: float = 2.0) -> Toxicity:
     """Learn terms, context words and the logistic model. Without labels of both classes in both halves every score is 0."""
     spark = small_batches(docs.sparkSession)
-    rows = written(training(docs, labels, label_col), "toxicity-training")
+    rows = written(training(docs, labels, label_col, max_labelled), "toxicity-training")
     per_half = rows.select("half", "label", "text").mapInArrow(frees(_counted), "word string, half int, ctx long, clean long").groupBy("word", "half").agg(F.count_distinct("ctx").alias("t"), F.sum("clean").alias("c"))
     side = lambda c, h: F.sum(F.when(F.col("half") == h, F.col(c)).otherwise(0))
     wide = per_half.groupBy("word").agg(*(side(c, h).alias(f"{c}{h}") for c in "tc" for h in (0, 1)))
@@ -361,12 +398,22 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_labell
         return nothing
     shared = spark.sparkContext.broadcast(halves)
 
+    def _by_half(batch):
+        """(lexicon, hits) of each row, by the lexicon of the other half."""
+        texts, halves_ = _texts(batch), batch.column("half").to_pylist()
+        found: list = [None] * len(texts)
+        for h in (0, 1):
+            rows = [k for k, x in enumerate(halves_) if x == h]
+            for k, hits_ in zip(rows, shared.value[h].many([texts[k] for k in rows]), strict=True):
+                found[k] = shared.value[h], list(hits_)
+        return found
+
     def contexts(batches):
         seen: Counter = Counter()
         for batch in pieces(batches):
-            for half, label, text in zip(batch.column("half").to_pylist(), batch.column("label").to_pylist(), _texts(batch), strict=True):
+            for label, found in zip(batch.column("label").to_pylist(), _by_half(batch), strict=True):
                 around: set[str] = set()
-                for hit in shared.value[half].hits(text):
+                for hit in found[1]:
                     if not isinstance(hit, int):
                         around |= hit[4]
                 around.add("")
@@ -398,11 +445,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_labell
 
     def features(batches):
         for batch in pieces(batches):
-            x = [shared.value[half].figures(text)[0] for half, text in zip(batch.column("half").to_pylist(), _texts(batch), strict=True)]
+            x = [lexicon.figures(found)[0] for lexicon, found in _by_half(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(x, pa.list_(pa.float64()))], names=["label", "x"])
 
     n = sum(sum(s) for s in sizes.values())
-    sample = rows.filter(F.col("pick") < min(1.0, max_labelled / max(n, 1))).select("half", "label", "text").mapInArrow(frees(features), "label int, x array<double>").orderBy("label", "x").limit(4 * max_labelled).collect()
+    sample = rows.filter(F.col("pick") < min(1.0, max_scored / max(n, 1))).select("half", "label", "text").mapInArrow(frees(features), "label int, x array<double>").orderBy("label", "x").limit(4 * max_scored).collect()
     shared.destroy()
     y = np.array([r.label for r in sample])
     if len(set(y.tolist())) < 2:
@@ -416,7 +463,8 @@ def scored(docs: DataFrame, model: Toxicity) -> DataFrame:
 
     def run(batches):
         for batch in pieces(batches):
-            found = [shared.value.lexicon.figures(t) for t in _texts(batch)]
+            lexicon = shared.value.lexicon
+            found = [lexicon.figures(h) for h in lexicon.many(_texts(batch))]
             x = np.array([f[0] for f in found], float).reshape(-1, FEATURES)
             columns = [batch.column("doc_id"), pa.array(shared.value.score(x)), *(pa.array([f[k] for f in found], pa.int64()) for k in (1, 2, 3))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "n_hits", "n_misspelt", "n_quoted"])
@@ -431,7 +479,7 @@ def hits(docs: DataFrame, model: Toxicity) -> DataFrame:
 
     def run(batches):
         for batch in pieces(batches):
-            out = [(i, w, term, e, weight, shared.value.abuse(around), "<quoted>" in around) for i, t in zip(batch.column("doc_id").to_pylist(), _texts(batch), strict=True) for w, weight, e, term, around in (h for h in shared.value.hits(t) if not isinstance(h, int))]
+            out = [(i, w, term, e, weight, shared.value.abuse(around), "<quoted>" in around) for i, found in zip(batch.column("doc_id").to_pylist(), shared.value.many(_texts(batch)), strict=True) for w, weight, e, term, around in (h for h in found if not isinstance(h, int))]
             types = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(types)], names=[c.split()[0] for c in schema.split(", ")])
 
