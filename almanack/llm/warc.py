@@ -4,14 +4,16 @@ Writing: payload digests are taken where the rows are read; of equal payloads th
 response, all others revisit it. Records are made of column expressions and written by Spark's text writer with the
 record end as separator and gzip compression, so archives go to any store that Spark writes, and a lost task is redone.
 
-Archives are cut by bytes: captures are written by size classes, each with as many records a file as fit in `file_bytes`.
+The payloads are read twice: for their digests, which name the revisits, and to be written. Archives are cut by bytes:
+captures go to files by size class, each with as many records as fit in `file_bytes`.
 
 Reading: each archive is read and parsed by one task, which checks every digest, and yields the file's captures as a
-sorted run, cut at the bounds of key ranges. For each range the runs' parts are merged k ways by a loser tree on (URL key,
-timestamp, id, file, number), null ids first. The ranges in their order are the globally ordered capture history. Bounds
-come from a sample of `sample` keys at most, and are whole keys, so one URL, or one key, time and id, with a third of all
-captures is cut as well. An index row has the record's number and its offset in the archive's uncompressed bytes (Spark's
-writer makes one gzip member of a file, so there are no offsets of members).
+sorted run. Spark deals the runs out by ranges of (URL key, timestamp, id, file, number), null ids first, and hands each
+range's parts over run by run, each in its own order; they are merged k ways by a loser tree, which takes keys from the
+runs as it goes and sorts nothing. The ranges in their order are the globally ordered capture history. Bounds are whole
+keys, so one URL, or one key, time and id, with a third of all captures is cut as well. An index row has the record's
+number and its offset in the archive's uncompressed bytes (Spark's writer makes one gzip member of a file, so there are no
+offsets of members).
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import io
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +42,8 @@ def base32_of_hex(column: str) -> str:
     return f"array_join(transform(sequence(0, 7), i -> element_at(transform(array(cast(conv(substring({column}, 5 * i + 1, 5), 16, 10) as long)), v -> concat({letter(15)}, {letter(10)}, {letter(5)}, {letter(0)})), 1)), '')"
 
 
-def captures(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_bytes: int, when=None) -> DataFrame:
-    """page_id, url, ts, payload, n, digest and first: the least id with the same payload of min_bytes or more."""
+def captures(pages: DataFrame, id_col: str, url_col: str, html_col: str, when=None) -> DataFrame:
+    """page_id, url, at, ts, payload, n and digest of every row."""
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("payload"), (when if when is not None else F.timestamp_seconds(F.lit(1_704_067_200) + F.coalesce(F.col(id_col).cast("long"), F.lit(0)))).alias("at"))
     p = p.withColumns({"n": F.octet_length("payload").cast("long"), "digest": F.expr(base32_of_hex("sha1(encode(payload, 'UTF-8'))")), "ts": F.date_format("at", "yyyyMMddHHmmss")})
     return p
@@ -86,20 +89,22 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     URL one without target. Rows with one id and one payload are all responses. Revisits are marked by broadcast while
     there are at most most_broadcast of them, else by a join.
     """
-    p = captures(pages, id_col, url_col, html_col, min_bytes, when)
-    dup = revisits(p, min_bytes)
+    p = captures(pages, id_col, url_col, html_col, when)
+    named = written(p.select("page_id", "url", "digest", "n"), "digests")
+    dup = revisits(named, min_bytes)
     # equal payloads may be a third of all: the small side is copied to salts, the rows are dealt over them
     salts = 16
-    rows = p.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)))
+    rows = named.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)))
     heads = dup.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     marks = rows.filter(F.col("n") >= min_bytes).select("page_id", "digest", "n", "salt").join(heads, ["digest", "n", "salt"]).select("page_id", "digest", "n", "first").filter("first != page_id").distinct()
     marks = written(marks, "revisits")
     marks = F.broadcast(marks) if marks.count() <= most_broadcast else marks
-    size = F.coalesce(*(F.when(F.col("n") <= top, k) for k, top in enumerate(CLASSES)), F.lit(len(CLASSES)))
-    for k in sorted(r[0] for r in p.select(size).distinct().collect()):  # as many as there are classes at most
-        top = CLASSES[k] if k < len(CLASSES) else file_bytes
-        one = p.filter(size == k).join(marks, ["page_id", "digest", "n"], "left").select(record_text(p).alias("value"))
-        one.write.mode("append").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(1, file_bytes // (top + 1024))).text(path)
+    own = p.join(marks, ["page_id", "digest", "n"], "left")
+    # a task's rows are numbered as they come; so many of a class in a row share a folder, and so a file
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    share = [max(1, file_bytes // (top + 1024)) for top in (*CLASSES, file_bytes)]
+    part = F.coalesce(*(F.when(F.col("n") <= top, F.concat(F.lit(f"{k}-"), F.floor(number / share[k]))) for k, top in enumerate(CLASSES)), F.concat(F.lit(f"{len(CLASSES)}-"), F.floor(number / share[-1])))
+    own.select(record_text(p).alias("value"), part.alias("part")).write.partitionBy("part").option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def surt(url: str | None) -> str:
@@ -169,7 +174,7 @@ def _parse(batches):
             rows = []
             stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content)))
             for number, (offset, head, block) in enumerate(records(stream)):
-                rows.append(capture_of(head, block) | {"file": path.rpartition("/")[2], "number": number, "offset": offset})
+                rows.append(capture_of(head, block) | {"file": "/".join(path.split("/")[-2:]), "number": number, "offset": offset})
             rows.sort(key=_order)
             for place, row in enumerate(rows):
                 row["place"] = place
@@ -211,43 +216,46 @@ class LoserTree:
             self.winner = w
 
 
-def _merge(key, part):
-    """Merge the runs of a range, which are its files' parts."""
-    runs: dict[str, list] = {}
-    for row in part.to_pylist():
-        runs.setdefault(row["file"], []).append(row)
-    for run in runs.values():  # back in the order of the file's run, which the shuffle needn't keep
-        run.sort(key=lambda r: r["place"])
-    merged = [{**row, "position": i} for i, row in enumerate(LoserTree([runs[f] for f in sorted(runs)], _order))]
-    return pa.Table.from_pylist(merged, pa.schema([*part.schema, ("position", pa.int64())]))
+def _order_at(run: pa.Table, offset: int):
+    """(key, row number) of a run's rows in their order, taken from the columns a thousand at a time."""
+    for at in range(0, run.num_rows, 1000):
+        keys, times, ids, files, numbers = (run.column(c).slice(at, 1000).to_pylist() for c in ("urlkey", "ts", "page_id", "file", "number"))
+        for k, i in enumerate(ids):
+            yield (keys[k], times[k], i is not None, i or 0, files[k], numbers[k]), offset + at + k
 
 
-def read(spark, path: str, rows_per_range: int = 50_000, sample: int = 10_000) -> DataFrame:
-    """The captures of the archives below path as one history: the columns of INDEX, range_no and position.
+def merged(part: pa.Table) -> np.ndarray:
+    """The order of a range's rows, which come run by run, each run in its own order."""
+    files = part.column("file").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    edges = [0, *(np.flatnonzero(files[1:] != files[:-1]) + 1).tolist(), len(files)]
+    runs = [_order_at(part.slice(a, b - a), a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return np.fromiter((row for _, row in LoserTree(runs, lambda r: r[0])), np.int64, len(files))
 
-    Ordered by (range_no, position), captures are in order of URL key, timestamp and id.
+
+def _merge(batches):
+    """One range a task: its runs' parts merged."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    part = pa.Table.from_batches(held)
+    order, number = merged(part), TaskContext.get().partitionId()
+    for at in range(0, len(order), 10_000):
+        own = part.take(pa.array(order[at : at + 10_000])).drop_columns(["place"])
+        own = own.append_column("range_no", pa.array([number] * own.num_rows, pa.int64())).append_column("position", pa.array(range(at, at + own.num_rows), pa.int64()))
+        yield from own.combine_chunks().to_batches()
+
+
+def read(spark, path: str, rows_per_range: int = 50_000) -> DataFrame:
+    """The captures of the archives below path as one history: the columns of INDEX but place, range_no and position.
+
+    Ordered by (range_no, position), captures are in order of URL key, timestamp and id. An archive without a record, and a
+    folder without an archive, have no capture.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
-    index = files.mapInArrow(_parse, INDEX)
-    kept = fresh_path(spark, "index")
-    index.write.parquet(kept)
-    index = spark.read.schema(INDEX).parquet(kept)
-    # as text in the order of _order(): ids from 0 on in twenty digits, null before all
-    number = lambda c: F.lpad((F.col(c).cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
-    order = F.concat_ws("\x00", "urlkey", "ts", F.coalesce(number("page_id"), F.lit("")), "file", number("number"))
-    total = index.count()
-    n = max(partitions(spark), -(-total // rows_per_range))
-    share = min(1.0, sample / max(total, 1))
-    keys = sorted(r[0] for r in index.select(order).filter((F.xxhash64("file", "number") / F.lit(2.0**64) + 0.5) < share).limit(2 * sample).collect())
-    bounds = sorted({keys[len(keys) * i // n] for i in range(1, n)}) if keys else []
-    marks = np.array(bounds, object)
-
-    @F.pandas_udf("long")
-    def place(k):
-        return k.__class__(np.searchsorted(marks, k.to_numpy(object), side="right").astype("int64")) if len(marks) else k.__class__(np.zeros(len(k), "int64"))
-
-    merged = index.withColumn("range_no", place(order)).groupBy("range_no").applyInArrow(_merge, INDEX + ", range_no long, position long")
-    return merged.drop("place")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    index = written(files.mapInArrow(_parse, INDEX), "index")
+    n = max(partitions(spark), -(-index.count() // rows_per_range))
+    dealt = index.repartitionByRange(n, "urlkey", "ts", F.asc_nulls_first("page_id"), "file", "number").sortWithinPartitions("file", "place")
+    return dealt.mapInArrow(_merge, INDEX.removesuffix(", place long") + ", range_no long, position long")
 
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:
