@@ -225,12 +225,13 @@ class Cutter:
         self.split = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
 
     def chunks(self, text: str) -> list[str]:
-        """The strings between white space. No word crosses them."""
+        """The strings between white space. No word crosses them. A special token is marked by a blank before it, which no other
+        string has: lower-cased text may be spelt as one is."""
         parts = self.split.split(text) if self.split and "<|" in text else (text,)
         out: list[str] = []
         for k, part in enumerate(parts):
             if k % 2:
-                out.append(part)
+                out.append(f" {part}")
                 continue
             if not unicodedata.is_normalized("NFC", part):
                 part = unicodedata.normalize("NFC", part)
@@ -241,7 +242,7 @@ class Cutter:
         return out
 
     def words(self, chunk: str) -> list[str]:
-        return [chunk] if chunk in self.special else _WORDS.findall(chunk)
+        return [chunk] if chunk[0] == " " else _WORDS.findall(chunk)
 
 
 class Encoder:
@@ -258,7 +259,7 @@ class Encoder:
         if len(self.packed) + len(new) > self.most or self.held > self.most_bytes:
             self.packed.clear()
             self.held, new = 0, chunks
-        special = self.model.special
+        special = {f" {w}": [i] for w, i in self.model.special.items()}
         words = {c: self.cutter.words(c) for c in new}
         distinct = list({w for ws in words.values() for w in ws if w not in special})
         raw = [w.encode() for w in distinct]
@@ -266,7 +267,7 @@ class Encoder:
         rest = np.flatnonzero(number < 0)
         ids = {distinct[k]: x.tolist() for k, x in zip(rest, self.model.merge_many([raw[k] for k in rest]), strict=True)}
         ids |= {distinct[k]: self.lexicon.ids_of(number[k]) for k in np.flatnonzero(number >= 0)}
-        ids |= {w: [i] for w, i in special.items()}
+        ids |= special
         pack = struct.pack
         for c, ws in words.items():
             own = ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]]
@@ -305,7 +306,7 @@ def frequent_words(texts: DataFrame, special, most_words: int, most_bytes: int =
                 for w in cutter.words(c):
                     words[w] += n
             held.clear()
-            got = [(b, n) for w, n in words.items() if w not in special and len(b := w.encode()) <= most_bytes]
+            got = [(b, n) for w, n in words.items() if w[0] != " " and len(b := w.encode()) <= most_bytes]
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.binary()), pa.array([n for _, n in got], pa.int64())], names=["word", "n"])
 
         for batch in pieces(batches):
