@@ -142,3 +142,38 @@ def diagnosis(log: DataFrame, since: Column, slow: float = 200.0) -> DataFrame:
     out.append(row(w.filter(F.col("latency_ms") > slow).orderBy(F.desc("latency_ms"), "id").limit(20), "outlier", F.col("id"), F.lit(1), F.col("latency_ms")))
     out.append(row(w.filter("signal = 'degraded'").orderBy("id").limit(10), "degraded", F.col("id"), F.lit(1), none))
     return together(out)
+
+
+def doctor(tables: list) -> DataFrame:
+    """detector, severity, n_found, n_checked, verdict: one report over tables.
+
+    tables: (rows, flags, repeats, missing). flags: detector -> (severity, condition on a row), all in one pass; repeats: detector ->
+    (severity, columns), rows beyond the first of equal values, nulls apart; missing: detector -> (severity, column, keys), rows whose key the
+    other table's one column hasn't. Found by rule, nothing is repaired.
+    """
+    out = []
+    for rows, flags, repeats, missing in tables:
+        row = lambda df, name, severity: df.select(F.lit(name).alias("detector"), F.lit(severity).alias("severity"), F.col("n_found").cast("long").alias("n_found"), F.col("n_checked").cast("long").alias("n_checked"))
+        if flags:
+            one = rows.agg(F.count(F.lit(1)).alias("n_checked"), *(F.count_if(c).alias(f"f_{k}") for k, (_, c) in flags.items()))
+            out.extend(row(one.withColumn("n_found", F.col(f"f_{k}")), k, severity) for k, (severity, _) in flags.items())
+        for k, (severity, columns) in repeats.items():
+            n = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).withColumn("more", F.when(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in columns)), F.col("n") - 1).otherwise(0))
+            out.append(row(n.agg(F.coalesce(F.sum("more"), F.lit(0)).alias("n_found"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_checked")), k, severity))
+        for k, (severity, column, keys) in missing.items():
+            n = rows.groupBy(F.col(column).alias("_k")).agg(F.count(F.lit(1)).alias("n"))
+            held = n.join(keys.toDF("_k").distinct().withColumn("held", F.lit(True)), "_k", "left")
+            lost = F.when(F.col("held").isNull() & F.col("_k").isNotNull(), F.col("n")).otherwise(0)
+            out.append(row(held.agg(F.coalesce(F.sum(lost), F.lit(0)).alias("n_found"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_checked")), k, severity))
+    verdict = F.when(F.col("n_found") == 0, "ok").when(F.col("severity") == "high", "blocked").otherwise("review")
+    return together(out).withColumn("verdict", verdict)
+
+
+def switched(rows: DataFrame, signals: list[str], score: str, factor: float = 2.0) -> DataFrame:
+    """rows once for each combination of signals (columns of booleans) that is switched on, with combo and boosted: the score times factor for
+    each signal that is on and holds."""
+    states = F.array(*(F.struct(*(F.lit(bool(k >> i & 1)).alias(s) for i, s in enumerate(signals))) for k in range(2 ** len(signals))))
+    out = rows.withColumn("_on", F.explode(states))
+    name = F.concat(*(F.when(F.col(f"_on.{s}"), f"+{s}").otherwise(f"-{s}") for s in signals))
+    boost = reduce(lambda a, b: a * b, (F.when(F.col(f"_on.{s}") & F.col(s), factor).otherwise(1.0) for s in signals))
+    return out.withColumns({"combo": name, "boosted": F.col(score) * boost}).drop("_on")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import entities as N
 from ..sources import adapters as D
-from .registry import EDGES, EV, NODES, query
+from .registry import EDGES, EV, NODES, case, query
 from .registry_search import ENT, entries
 
 #: A small graph over words of the texts: (id, name, aliases, status, type).
@@ -70,7 +70,7 @@ def a25_g6_g13_profiles(spark, d):
     return p.withColumns({c: F.col(c).cast("string") for c in ("first_mention", "latest_mention")})
 
 
-@query("SELECT unnest(['confirmed', 'candidate']) AS status, unnest([4, 1])::BIGINT AS n, unnest(['written', 'skipped']) AS outcome")
+@case("SELECT unnest(['confirmed', 'candidate']) AS status, unnest([4, 1])::BIGINT AS n, unnest(['written', 'skipped']) AS outcome")
 def g13_profile_counts(spark, d):
     return _people(spark).groupBy("status").agg(F.count(F.lit(1)).alias("n")).withColumn("outcome", F.when(F.col("status") == "confirmed", "written").otherwise("skipped"))
 
@@ -92,7 +92,7 @@ _RELATION_SQL = "CASE WHEN label IN (" + ", ".join(map(_Q, N.RELATIONS)) + ") TH
 _SAID = [n for ns in N.RELATIONS.values() for n in ns] + ["Wife", "spouse_of", "BUDDY", "unheard of"]
 
 
-@query("SELECT label, " + _RELATION_SQL + " AS relation FROM (SELECT unnest([" + ", ".join(map(_Q, _SAID)) + "]) AS label)")
+@case("SELECT label, " + _RELATION_SQL + " AS relation FROM (SELECT unnest([" + ", ".join(map(_Q, _SAID)) + "]) AS label)")
 def f5_relation_synonyms(spark, d):
     return spark.createDataFrame([(x,) for x in _SAID], "label string").select("label", N.canonical_relation(F.col("label")).alias("relation"))
 
@@ -111,7 +111,7 @@ def j6_edge_traversal(spark, d):
 _ROLES = [("n1", "observer", "me", "grandma"), ("n1", "observer", "me", "nan"), ("n2", "observer", "me", "uncle"), ("n2", "perspective", "child", "grandma"), ("n3", "perspective", "child", "grandma"), ("n4", "perspective", "child", "aunt"), ("n5", "perspective", "parent", "aunt"), ("n7", "observer", "you", "grandma")]
 
 
-@query("SELECT unnest(['n1', 'n3', 'n5', 'n6', 'n7']) AS id")
+@case("SELECT unnest(['n1', 'n3', 'n5', 'n6', 'n7']) AS id")
 def g10_role_labels(spark, d):
     nodes = spark.createDataFrame([(f"n{k}",) for k in range(1, 8)], "id string")
     labels = spark.createDataFrame(_ROLES, "id string, scope string, by string, label string")
@@ -131,14 +131,14 @@ def j10_g3_duplicate_audit(spark, d):
     return N.duplicates(p, reviewed)
 
 
-@query("SELECT 'k1' AS id1, 'k2' AS id2, 'high' AS severity, 0.9::DOUBLE AS confidence, 'kinship' AS signal UNION ALL SELECT 'k3', 'k4', 'high', 1.0, 'alias_overlap'")
+@case("SELECT 'k1' AS id1, 'k2' AS id2, 'high' AS severity, 0.9::DOUBLE AS confidence, 'kinship' AS signal UNION ALL SELECT 'k3', 'k4', 'high', 1.0, 'alias_overlap'")
 def j10_kinship_and_reviewed(spark, d):
     rows = [("k1", "妈妈", []), ("k2", "mom", []), ("k3", "Ann", ["A."]), ("k4", "Anne", ["A."]), ("k5", "Bob", []), ("k6", "Rob", [])]
     nodes = spark.createDataFrame([(*r, "confirmed") for r in rows], "id string, name string, aliases array<string>, status string")
     return N.duplicates(nodes, N.keep_separate(spark.createDataFrame([], "a string, b string"), "k6", "k5"))
 
 
-@query("SELECT unnest(['x', 'p', 'q']) AS a, unnest(['y', 'q', 'p']) AS b")
+@case("SELECT unnest(['x', 'p', 'q']) AS a, unnest(['y', 'q', 'p']) AS b")
 def g12_keep_separate(spark, d):
     r = N.keep_separate(spark.createDataFrame([("x", "y"), ("u", "v"), ("v", "u")], "a string, b string"), "p", "q")
     return N.keep_separate(r, "v", "u", undo=True)

@@ -60,3 +60,12 @@ def s4_k3_search_after_updates(spark, d):
     index.update(last, docs.filter("project = 'src1'").select("doc_id"))
     index.compact()
     return index.search(TERMS, 100)
+
+
+@query(f"WITH {weighted_sql(f'(SELECT doc_id, title, abstract, CASE WHEN tag = {chr(39)}de{chr(39)} THEN upper(body) || {chr(39)} apache{chr(39)} ELSE body END AS body, tag, project FROM {DOC} WHERE coalesce(project, chr(0)) <> {chr(39)}src2{chr(39)})', TERMS, {'title': 1.0, 'body': 1.0})} SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT 100")
+def r25_search_behind_a_freshness_guard(spark, d):
+    """The documents changed (German texts are longer, one source's are gone) after they were indexed, and nobody told the index."""
+    docs = D.document_entries(spark, d)
+    index = _built(spark, d, docs, columns={"title": 1.0, "body": 1.0})
+    now = docs.filter("coalesce(project, chr(0)) <> 'src2'").withColumn("body", F.when(F.col("tag") == "de", F.concat(F.upper("body"), F.lit(" apache"))).otherwise(F.col("body")))
+    return index.refreshed(now).search(TERMS, 100)

@@ -101,11 +101,11 @@ def p11_p12_terms_of_an_entity(spark, d):
     return entries(spark, d).select("doc_id", said.alias("said"))
 
 
-@query(f"SELECT doc_id FROM {OR} WHERE list_has_any([lower(topic), lower(mood), lower(tag)], ['1-urgent', 'f']) AND contains(lower(location), 'an') AND NOT contains(lower(tag), 'machin')")
+@query(f"SELECT doc_id FROM {OR} WHERE list_has_any([lower(topic), lower(mood), lower(tag)], ['1-urgent', 'f']) AND contains(lower(location), 'ion_2') AND NOT contains(lower(tag), 'machin')")
 def p3_p4_p5_p13_lists_and_scalars(spark, d):
     """Any of the values, whatever the case, in a list; a part of a text in place and weather."""
     o = D.order_entries(spark, d).withColumn("labels", F.array("topic", "mood", "tag"))
-    return o.filter(F.exists("labels", lambda x: F.lower(x).isin("1-urgent", "f")) & F.lower("location").contains("an") & ~F.lower("tag").contains("machin")).select("doc_id")
+    return o.filter(F.exists("labels", lambda x: F.lower(x).isin("1-urgent", "f")) & F.lower("location").contains("ion_2") & ~F.lower("tag").contains("machin")).select("doc_id")
 
 
 @query(r"""WITH a AS (SELECT user_id, event_id, sha256('record' || chr(10) || event_id || chr(10) || props) AS f FROM events), p AS (SELECT user_id, sha256('source' || chr(10) || string_agg(f, ',' ORDER BY f)) AS f FROM a GROUP BY 1) SELECT CAST(user_id AS VARCHAR) AS node, f AS fingerprint FROM p UNION ALL SELECT 'plan', sha256('plan' || chr(10) || string_agg(f, ',' ORDER BY f)) FROM p""")

@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..sources import adapters as D
 from . import search_plan as P
 from . import time_grammar as G
-from .registry import query
+from .registry import case, query
 
 ON = date(2026, 3, 18)
 #: Phrases and what they mean on 18 March 2026 (a Wednesday), worked out by hand.
@@ -30,7 +30,7 @@ def _values(rows) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(_v, r)) + ")" for r in rows) + ")"
 
 
-@query(f"SELECT * FROM {_values(TIMES)} t(phrase, since, until)")
+@case(f"SELECT * FROM {_values(TIMES)} t(phrase, since, until)")
 def f11_f0_time_ranges(spark, d):
     found = [(p, *((str(g[0]), str(g[1])) if (g := G.find(p, ON)) else (None, None))) for p, _, _ in TIMES]
     return spark.createDataFrame(found, "phrase string, since string, until string")
@@ -42,7 +42,7 @@ READ = [
 ]
 
 
-@query(f"SELECT * FROM {_values(READ)} t(phrase, intent, ambiguities, hints)")
+@case(f"SELECT * FROM {_values(READ)} t(phrase, intent, ambiguities, hints)")
 def r21_r22_r28_query_reading(spark, d):
     rows = []
     for q, *_ in READ:
@@ -55,7 +55,7 @@ _KNOWN = {"ann": ["Ann", "Annie", "小安"], "bob": ["Bob"], "annb": ["Ann Bob"]
 WIDER = [("dinner with Ann", 'dinner AND with AND ("Ann" OR "Annie" OR "小安")', "ann"), ("Ann Bob met bob", '("Ann Bob") AND met AND ("Bob")', "annb,bob"), ("和小安散步", '和 AND ("Ann" OR "Annie" OR "小安") AND 散步', "ann"), ("annual bobsled", "annual AND bobsled", "")]
 
 
-@query(f"SELECT * FROM {_values(WIDER)} t(phrase, expanded, entities)")
+@case(f"SELECT * FROM {_values(WIDER)} t(phrase, expanded, entities)")
 def r19_r20_query_expansion(spark, d):
     return spark.createDataFrame([(q, e, ",".join(found)) for q, _, _ in WIDER for e, found in [P.expanded(q, _KNOWN)]], "phrase string, expanded string, entities string")
 
@@ -63,7 +63,7 @@ def r19_r20_query_expansion(spark, d):
 SPELT = [("jurnal of running", "journal of running"), ("runing fast", "running fast"), ("journal", "journal"), ("xyz abc", "xyz abc")]
 
 
-@query(f"SELECT * FROM {_values(SPELT)} t(phrase, respelt)")
+@case(f"SELECT * FROM {_values(SPELT)} t(phrase, respelt)")
 def r21_f4_typos(spark, d):
     return spark.createDataFrame([(q, P.respelt(q, ["journal", "running"])) for q, _ in SPELT], "phrase string, respelt string")
 
@@ -71,7 +71,7 @@ def r21_f4_typos(spark, d):
 ASKED = [("how many days in the past 7 days", "day", "2026-03-12", "2026-03-18", "journal_count"), ("多少天 after 22:30 过去30天", "day", "2026-02-17", "2026-03-18", "entry_time_after"), ("how often this month by week", "week", "2026-03-01", "2026-03-18", "journal_count"), ("walks", None, None, None, None)]
 
 
-@query(f"SELECT * FROM {_values(ASKED)} t(phrase, unit, since, until, predicate)")
+@case(f"SELECT * FROM {_values(ASKED)} t(phrase, unit, since, until, predicate)")
 def r23_t6_aggregate_intent(spark, d):
     rows = []
     for q, *_ in ASKED:
@@ -83,7 +83,7 @@ def r23_t6_aggregate_intent(spark, d):
 QUERIES_AS_GIVEN = [("  《読書》 ", "読書"), ("《読書》。", "読書》"), ("ＡＢＣ　１２３！", "ABC 123"), ("“two   words”", "two words"), ("“two   words”…", "two words”"), ("!?", ""), (None, ""), ("plain", "plain")]
 
 
-@query(f"SELECT * FROM {_values([(k, b) for k, (_, b) in enumerate(QUERIES_AS_GIVEN)])} t(id, normalized)")
+@case(f"SELECT * FROM {_values([(k, b) for k, (_, b) in enumerate(QUERIES_AS_GIVEN)])} t(id, normalized)")
 def f1_normalized_queries(spark, d):
     return spark.createDataFrame([(k, a) for k, (a, _) in enumerate(QUERIES_AS_GIVEN)], "id int, q string").select("id", T.normalized(F.col("q")).alias("normalized"))
 
@@ -112,7 +112,7 @@ def f14_minutes_of_day(spark, d):
 LISTS = [('["a", "b"]', "a|b"), ("a, b ,c", "a|b|c"), ('["é"]', "é")]
 
 
-@query(f"SELECT * FROM {_values(LISTS)} t(given, items)")
+@case(f"SELECT * FROM {_values(LISTS)} t(given, items)")
 def f18_f19_lists(spark, d):
     return spark.createDataFrame([(a,) for a, _ in LISTS], "given string").select("given", F.array_join(F.array_distinct(T.json_list(F.col("given"))), "|").alias("items"))
 
@@ -120,6 +120,6 @@ def f18_f19_lists(spark, d):
 WORDS = [("日本語 text 2 words", 6), ("plain words here", 3), ("한국 ok", 3), ("", 0)]
 
 
-@query(f"SELECT t, CAST(n AS BIGINT) AS n FROM {_values(WORDS)} t(t, n)")
+@case(f"SELECT t, CAST(n AS BIGINT) AS n FROM {_values(WORDS)} t(t, n)")
 def f22_word_count_cjk(spark, d):
     return spark.createDataFrame([(a,) for a, _ in WORDS], "t string").select("t", T.word_count(F.col("t")).alias("n"))

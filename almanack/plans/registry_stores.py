@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..sources import adapters as D
 from ..sources import frontmatter as M
 from ..sources import store as S
-from .registry import EV, OR, query
+from .registry import EV, OR, case, query
 from .registry_search import ENT, entries
 
 
@@ -100,12 +100,12 @@ def s3_metadata_cache(spark, d):
     return spark.read.parquet(path).select("doc_id", "title", "topic", F.array_join(F.from_json("tags", "array<string>"), ",").alias("tags"))
 
 
-@query(f"SELECT 'topic' AS kind, topic AS value, doc_id FROM {OR} WHERE topic = '1-URGENT' UNION ALL SELECT 'project', location, doc_id FROM {OR} WHERE location = 'FRANCE' UNION ALL SELECT 'tag', tag, doc_id FROM {OR} WHERE tag = 'BUILDING'")
+@query(f"SELECT 'topic' AS kind, topic AS value, doc_id FROM {OR} WHERE topic = '1-URGENT' UNION ALL SELECT 'project', location, doc_id FROM {OR} WHERE location = 'NATION_3' UNION ALL SELECT 'tag', tag, doc_id FROM {OR} WHERE tag = 'BUILDING'")
 def s5_link_index(spark, d):
     o = D.order_entries(spark, d)
     kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in (("topic", "topic"), ("project", "location"), ("tag", "tag"))))
     links = o.select("doc_id", F.explode(kinds).alias("x")).select("x.kind", "x.value", "doc_id")
-    return links.filter("(kind = 'topic' and value = '1-URGENT') or (kind = 'project' and value = 'FRANCE') or (kind = 'tag' and value = 'BUILDING')")
+    return links.filter("(kind = 'topic' and value = '1-URGENT') or (kind = 'project' and value = 'NATION_3') or (kind = 'tag' and value = 'BUILDING')")
 
 
 @query(f"SELECT 'batch' AS how, doc_id FROM {EV} WHERE doc_id IN (3, 5, 7, 1000000000) UNION ALL (SELECT 'recent', doc_id FROM {EV} ORDER BY date DESC, doc_id DESC LIMIT 10)")
@@ -125,7 +125,7 @@ def s15_unique_file_names(spark, d):
 RANGES = [("bytes=0-9", 0, 9), ("bytes=90-", 90, 99), ("bytes=-5", 95, 99), ("bytes=50-500", 50, 99), ("bytes=100-", None, None), ("bytes=9-3", None, None), ("items=1-2", None, None), ("bytes=-500", 0, 99)]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{h}', {'NULL' if a is None else a}::BIGINT, {'NULL' if b is None else b}::BIGINT)" for h, a, b in RANGES) + ") t(header, first, last)")
+@case("SELECT * FROM (VALUES " + ", ".join(f"('{h}', {'NULL' if a is None else a}::BIGINT, {'NULL' if b is None else b}::BIGINT)" for h, a, b in RANGES) + ") t(header, first, last)")
 def s14_byte_ranges(spark, d):
     r = spark.createDataFrame([(h,) for h, _, _ in RANGES], "header string").withColumn("r", S.byte_range(F.col("header"), F.lit(100)))
     return r.select("header", F.col("r.start").cast("long").alias("first"), F.col("r.end").cast("long").alias("last"))

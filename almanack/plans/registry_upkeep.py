@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import aggregate as A
 from ..operators import upkeep as U
 from ..sources import adapters as D
-from .registry import EV, NEW, OLD, OR, _versions, query
+from .registry import EV, NEW, OLD, OR, _versions, case, query
 from .registry_search import ENT, entries
 
 CARDS = "v0 AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '' ELSE 'Title ' || doc_id END AS title, CASE WHEN doc_id % 17 = 0 THEN '2024/01/02' WHEN doc_id % 19 = 0 THEN NULL ELSE '2024-01-02' END AS date, CAST(1 + doc_id % 5 // 4 AS INT) AS schema_version, [CASE WHEN doc_id % 7 = 0 THEN 'ftp://x' ELSE 'https://x' END, ''] AS links, list_transform(range(0, CAST(doc_id % 13 AS BIGINT)), lambda i: CASE WHEN i = 3 THEN 'else/' || i ELSE 'Journals/2024/' || i || '.md' END) AS related FROM documents)"
@@ -67,7 +67,7 @@ def q11_missing_indexes(spark, d):
 _FILES = ["a_2024-01-02_001.md", "a_2024-01-02_001_20240103_101010_123456.md", "a_2024-01-02_002_20240103_101010_123456_2.md", "b_2024-01-02_1_x.md"]
 
 
-@query("SELECT unnest(['a_2024-01-02_001_20240103_101010_123456.md', 'a_2024-01-02_002_20240103_101010_123456_2.md']) AS name, unnest(['a_2024-01-02_001.md', 'a_2024-01-02_002.md']) AS canonical, unnest([true, false]) AS repairable, unnest(['low', 'medium']) AS risk")
+@case("SELECT unnest(['a_2024-01-02_001_20240103_101010_123456.md', 'a_2024-01-02_002_20240103_101010_123456_2.md']) AS name, unnest(['a_2024-01-02_001.md', 'a_2024-01-02_002.md']) AS canonical, unnest([true, false]) AS repairable, unnest(['low', 'medium']) AS risk")
 def q12_loose_copies(spark, d):
     return U.loose_copies(spark.createDataFrame([(x,) for x in _FILES], "name string"))
 
@@ -251,3 +251,56 @@ def a24_calibration_layers(spark, d):
     one = one.withColumn("rate", F.round(F.col("applied") / F.col("queries"), 4))
     each = F.array(*(F.struct(F.lit(layer).alias("layer"), F.lit(m).alias("metric"), F.col(m).alias("value")) for layer, m in (("keyword", "queries"), ("keyword", "hit_rate"), ("expansion", "applied"), ("expansion", "rate"))))
     return one.select(F.explode(each).alias("r")).select("r.layer", "r.metric", "r.value")
+
+
+_FLAG = {"blank_text": ("high", "text IS NULL OR trim(text) = ''"), "byte_order_mark": ("low", "starts_with(text, chr(65279))"), "mojibake": ("medium", "regexp_matches(text, 'Ã©|Ã¨|â€|ï¿½')"), "local_path": ("low", r"regexp_matches(text, '(/home/|/Users/|[A-Z]:\\)')"),
+         "key_like": ("high", "regexp_matches(text, '(AKIA[A-Z0-9]{14}|ghp_[A-Za-z0-9]{20}|sk-[A-Za-z0-9]{20})')"), "length_mismatch": ("medium", "n_chars <> length(text)"), "no_source": ("medium", "source IS NULL OR source = ''"), "no_language": ("medium", "lang IS NULL OR lang = ''")}
+_DOCTOR = " UNION ALL ".join([*(f"SELECT '{k}' AS detector, '{v}' AS severity, count(*) FILTER ({c}) AS n_found, count(*) AS n_checked FROM documents" for k, (v, c) in _FLAG.items()),
+    "SELECT 'repeated_text', 'low', count(*) - count(DISTINCT text) - count(*) FILTER (text IS NULL), count(*) FROM documents",
+    "SELECT 'label_without_document', 'high', count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM documents)), count(*) FROM labels",
+    "SELECT 'two_labels', 'high', count(*) - count(DISTINCT doc_id), count(*) FROM labels",
+    "SELECT 'page_without_url', 'high', count(*) FILTER (url IS NULL), count(*) FROM pages", "SELECT 'repeated_url', 'low', count(url) - count(DISTINCT url), count(*) FROM pages",
+    "SELECT 'line_without_order', 'high', count(*) FILTER (l_orderkey NOT IN (SELECT o_orderkey FROM orders)), count(*) FROM lineitem",
+    "SELECT 'order_without_customer', 'high', count(*) FILTER (o_custkey NOT IN (SELECT c_custkey FROM customer)), count(*) FROM orders", "SELECT 'order_without_line', 'medium', count(*) FILTER (o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)), count(*) FROM orders"])
+
+
+@query(f"SELECT *, CASE WHEN n_found = 0 THEN 'ok' WHEN severity = 'high' THEN 'blocked' ELSE 'review' END AS verdict FROM ({_DOCTOR})")
+def q3_data_doctor(spark, d):
+    """One report of sixteen detectors over the tables: what was looked at, what was found, and how bad it is."""
+    t = F.col("text")
+    flags = {
+        "blank_text": ("high", t.isNull() | (F.trim("text") == "")), "byte_order_mark": ("low", t.startswith("\ufeff")), "mojibake": ("medium", t.rlike("Ã©|Ã¨|â€|ï¿½")), "local_path": ("low", t.rlike(r"(/home/|/Users/|[A-Z]:\\)")),
+        "key_like": ("high", t.rlike("(AKIA[A-Z0-9]{14}|ghp_[A-Za-z0-9]{20}|sk-[A-Za-z0-9]{20})")), "length_mismatch": ("medium", F.col("n_chars") != F.length("text")), "no_source": ("medium", F.col("source").isNull() | (F.col("source") == "")), "no_language": ("medium", F.col("lang").isNull() | (F.col("lang") == "")),
+    }
+    return U.doctor(
+        [
+            (D.table(spark, d, "documents"), flags, {"repeated_text": ("low", ["text"])}, {}),
+            (D.table(spark, d, "labels"), {}, {"two_labels": ("high", ["doc_id"])}, {"label_without_document": ("high", "doc_id", D.table(spark, d, "documents").select("doc_id"))}),
+            (D.table(spark, d, "pages"), {"page_without_url": ("high", F.col("url").isNull())}, {"repeated_url": ("low", ["url"])}, {}),
+            (D.table(spark, d, "lineitem"), {}, {}, {"line_without_order": ("high", "l_orderkey", D.table(spark, d, "orders").select("o_orderkey"))}),
+            (D.table(spark, d, "orders"), {}, {}, {"order_without_customer": ("high", "o_custkey", D.table(spark, d, "customer").select("c_custkey")), "order_without_line": ("medium", "o_orderkey", D.table(spark, d, "lineitem").select("l_orderkey"))}),
+        ]
+    )
+
+
+_SWITCH = {"language": "lang = 'en'", "license": "contains(text, 'License')", "short": "n_chars < 2000"}
+_ON = " || ".join(f"CASE WHEN {k} THEN '+{k}' ELSE '-{k}' END" for k in _SWITCH)
+_BOOST = " * ".join(f"CASE WHEN {k} AND s_{k} THEN 2 ELSE 1 END" for k in _SWITCH)
+
+
+@query(f"""WITH r AS (SELECT source AS query_id, doc_id, CAST(n_chars AS DOUBLE) AS s, {', '.join(f'coalesce({c}, false) AS s_{k}' for k, c in _SWITCH.items())} FROM documents WHERE source IS NOT NULL),
+c AS (SELECT {', '.join(_SWITCH)}, {_ON} AS combo FROM {' CROSS JOIN '.join(f'(SELECT unnest([true, false]) AS {k}) x_{k}' for k in _SWITCH)}),
+t AS (SELECT combo, query_id, doc_id, row_number() OVER (PARTITION BY combo, query_id ORDER BY s * {_BOOST} DESC, doc_id) AS rank FROM r, c QUALIFY rank <= 5),
+q AS (SELECT source AS query_id, doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1), n AS (SELECT query_id, count(*) AS size FROM q GROUP BY 1),
+h AS (SELECT combo, query_id, count(q.doc_id) AS hits, min(rank) FILTER (q.doc_id IS NOT NULL) AS f FROM t LEFT JOIN q USING (query_id, doc_id) GROUP BY 1, 2)
+SELECT combo, round(avg(hits / 5), 4) AS prec, round(avg(coalesce(hits / size, 0)), 4) AS recall, round(avg(coalesce(1 / f, 0)), 4) AS mrr FROM h LEFT JOIN n USING (query_id) GROUP BY combo""")
+def a21_ablation_of_three_signals(spark, d):
+    """All eight combinations of three signals of the texts, each on or off: what they do to the first five of a source."""
+    from pyspark.sql import Window
+
+    signals = {"language": F.col("lang") == "en", "license": F.contains("text", F.lit("License")), "short": F.col("n_chars") < 2000}
+    docs = D.table(spark, d, "documents").filter("source is not null").select(F.col("source").alias("query_id"), "doc_id", F.col("n_chars").cast("double").alias("s"), *(F.coalesce(c, F.lit(False)).alias(k) for k, c in signals.items()))
+    combos = U.switched(docs, list(signals), "s")
+    place = F.row_number().over(Window.partitionBy("combo", "query_id").orderBy(F.desc("boosted"), "doc_id"))
+    good = docs.join(D.table(spark, d, "labels").filter("quality = 1").select("doc_id"), "doc_id").select("query_id", "doc_id")
+    return U.ablation(combos.withColumn("rank", place).filter("rank <= 5"), good)

@@ -4,8 +4,8 @@ Layout below a path, a folder a generation:
 
 * postings/gen=g: a row a block: term, range_no, n, max_tf, min_dl, min_day, max_day and, by id, docs, days, tfs, dls. Files
   are cut by ranges of terms and sorted, so a query's terms are found by the row groups' statistics;
-* ranges/gen=g: range_no, n_docs, sum_dl of the ranges that the generation holds. It is written last and makes the
-  generation visible; of a range the newest generation counts.
+* ranges/gen=g: range_no, n_docs, sum_dl and a fingerprint of the ranges that the generation holds. It is written last and
+  makes the generation visible; of a range the newest generation counts.
 
 A block holds the postings of one term in one range of `width` ids, so at most `width` of them. Frequencies are weighted by
 column when indexed; lengths are those of all columns. As a score grows with the frequency and falls with the length, a
@@ -76,6 +76,13 @@ class TextIndex:
         (row,) = self.spark.read.text(f"{self.path}/settings").collect()
         return json.loads(row.value)
 
+    def _prints(self, entries: DataFrame, settings: dict) -> DataFrame:
+        """range_no, print: a sum of the entries' hashes, in any order."""
+        own = entries.filter("doc_id is not null")
+        day = [settings["day"]] if settings["day"] else []
+        h = F.xxhash64("doc_id", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [*settings["columns"], *day]))
+        return own.groupBy(F.floor(F.col("doc_id") / settings["width"]).cast("long").alias("range_no")).agg(F.sum(h.cast("decimal(38,0)")).alias("print"))
+
     def _write(self, entries: DataFrame, gen: int, settings: dict, ranges: DataFrame | None) -> None:
         columns, width, day = settings["columns"], settings["width"], settings["day"]
         own = entries.filter(F.col("doc_id").isNotNull())
@@ -88,8 +95,9 @@ class TextIndex:
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         blocks.repartitionByRange(n, "term", "range_no").sortWithinPartitions("term", "range_no").write.mode("overwrite").parquet(to)
         held = self.spark.read.parquet(to).filter("term = ''").select("range_no", F.col("n").cast("long").alias("n_docs"), F.col("sum_dl").cast("long").alias("sum_dl"))
+        held = held.join(self._prints(entries, settings), "range_no", "left")
         if ranges is not None:  # ranges that have lost all their entries are told too
-            held = ranges.join(held, "range_no", "left").select("range_no", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_docs", "sum_dl")))
+            held = ranges.join(held, "range_no", "left").select("range_no", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_docs", "sum_dl")), "print")
         held.coalesce(1 if gen else n).write.mode("overwrite").parquet(f"{self.path}/ranges/gen={gen}")
 
     def build(self, entries: DataFrame, columns: dict[str, float], width: int = 1024, day: str | None = None) -> TextIndex:
@@ -111,6 +119,24 @@ class TextIndex:
         self._write(entries.join(ranges, number == F.col("range_no"), "left_semi"), gen, settings, ranges)
         return gen
 
+    def stale(self, entries: DataFrame) -> DataFrame:
+        """range_no, reason (missing, gone or changed) of the ranges whose entries aren't as they were indexed."""
+        now = self._prints(entries, self._settings()).withColumnRenamed("print", "now")
+        both = now.join(self.current().filter("n_docs > 0").select("range_no", "print"), "range_no", "full")
+        reason = F.when(F.col("print").isNull(), "missing").when(F.col("now").isNull(), "gone").when(F.col("now") != F.col("print"), "changed")
+        return both.select("range_no", reason.alias("reason")).filter("reason is not null")
+
+    def refreshed(self, entries: DataFrame) -> TextIndex:
+        """The index as of these entries: a guard before a search. Ranges that are stale are indexed again, others aren't touched."""
+        settings = self._settings()
+        path = f"{self.path}/stale"
+        self.stale(entries).write.mode("overwrite").parquet(path)
+        ranges = self.spark.read.schema("range_no long, reason string").parquet(path).select("range_no")
+        if not ranges.isEmpty():
+            number = F.floor(F.col("doc_id") / settings["width"]).cast("long")
+            self._write(entries.join(ranges, number == F.col("range_no"), "left_semi"), self._generations()[-1] + 1, settings, ranges)
+        return self
+
     def compact(self) -> None:
         """Put all current blocks into one generation and drop the older ones."""
         gens = self._generations()
@@ -120,7 +146,7 @@ class TextIndex:
         blocks = self._postings().join(cur.select("range_no", "gen"), ["range_no", "gen"], "left_semi").drop("gen")
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         blocks.repartitionByRange(n, "term", "range_no").sortWithinPartitions("term", "range_no").write.mode("overwrite").parquet(f"{self.path}/postings/gen={gen}")
-        cur.filter("n_docs > 0").select("range_no", "n_docs", "sum_dl").write.mode("overwrite").parquet(f"{self.path}/ranges/gen={gen}")
+        cur.filter("n_docs > 0").select("range_no", "n_docs", "sum_dl", "print").write.mode("overwrite").parquet(f"{self.path}/ranges/gen={gen}")
         for g in gens:
             for part in ("ranges", "postings"):
                 self._fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}/gen={g}"), True)
@@ -130,9 +156,9 @@ class TextIndex:
         return self.spark.read.option("basePath", f"{self.path}/postings").parquet(*(f"{self.path}/postings/gen={g}" for g in self._generations()))
 
     def current(self) -> DataFrame:
-        """range_no, gen, n_docs, sum_dl: of each range the newest generation."""
+        """range_no, gen, n_docs, sum_dl, print: of each range the newest generation."""
         r = self.spark.read.option("basePath", f"{self.path}/ranges").parquet(*(f"{self.path}/ranges/gen={g}" for g in self._generations()))
-        return r.groupBy("range_no").agg(F.max_by(F.struct("gen", "n_docs", "sum_dl"), "gen").alias("r")).select("range_no", "r.*")
+        return r.groupBy("range_no").agg(F.max_by(F.struct("gen", "n_docs", "sum_dl", "print"), "gen").alias("r")).select("range_no", "r.*")
 
     def _blocks(self, terms: list[str]) -> DataFrame:
         return self._postings().filter(F.col("term").isin(terms)).join(self.current().select("range_no", "gen"), ["range_no", "gen"], "left_semi")
