@@ -57,11 +57,11 @@ def fingerprint(version: str, *cols):
     return F.sha2(F.concat_ws("\u0000", F.lit(version), *(F.coalesce(c.cast("string"), F.lit("")) for c in cols)), 256)
 
 
-def paged_digest(rows, groups: list[str], key: str, fanout: int = 1024, levels: int = 3):
-    """groups, n, digest: SHA-256 of each group's whole-number keys in their order, page by page: a page has `fanout` keys, a page above it
+def paged_digest(rows, groups: list[str], key: str, fanout: int = 1024, levels: int = 3, value: str | None = None):
+    """groups, n, digest: SHA-256 of each group's whole-number keys (or a value of each) in their order, page by page: a page has `fanout` keys, a page above it
     `fanout` pages, so lists stay short up to fanout ** levels keys in a row."""
     joined = lambda value: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("_k").alias("k"), value.alias("v")))), lambda x: x["v"]), ","), 256)
-    out = rows.select(*groups, F.col(key).cast("long").alias("_k"), F.col(key).cast("string").alias("_v"), F.lit(1).cast("long").alias("_n"))
+    out = rows.select(*groups, F.col(key).cast("long").alias("_k"), F.col(value or key).cast("string").alias("_v"), F.lit(1).cast("long").alias("_n"))
     for level in range(levels):
         page = [F.floor(F.col("_k") / fanout).cast("long").alias("_p")] if level < levels - 1 else []
         out = out.groupBy(*groups, *page).agg(joined(F.col("_v")).alias("_v"), F.sum("_n").alias("_n"))

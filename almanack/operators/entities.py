@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 # Synonyms of relations.
 RELATIONS = {
     "spouse_of": ["wife", "husband", "老婆", "丈夫", "妻子", "老公", "配偶", "爱人"],
@@ -85,8 +87,8 @@ def profiles(entities: DataFrame, edges: DataFrame, seen: DataFrame) -> DataFram
     about = seen.groupBy(F.col("entity_id").alias("id")).agg(F.min("date").alias("first_mention"), F.max("date").alias("latest_mention"), F.count(F.lit(1)).alias("mention_count"))
     out = edges.filter("status = 'confirmed'").join(entities.filter("status = 'confirmed'").select(F.col("id").alias("target")), "target", "left_semi").groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("relationship_count"))
     p = entities.filter("status = 'confirmed'").join(about, "id", "left").join(out, "id", "left")
-    place = F.row_number().over(Window.orderBy(F.lower("name"), "id")).cast("long")
-    return p.select("id", "name", "first_mention", "latest_mention", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("mention_count", "relationship_count")), place.alias("place"))
+    p = p.select("id", "name", "first_mention", "latest_mention", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("mention_count", "relationship_count")), F.lower("name").alias("_key"))
+    return numbered(p, "place", "_key", "id").drop("_key")
 
 
 def label_map(labels: DataFrame) -> DataFrame:
@@ -96,9 +98,9 @@ def label_map(labels: DataFrame) -> DataFrame:
 
 
 def canonical(rows: DataFrame, column: str, labels: DataFrame) -> DataFrame:
-    """Adds canonical: the value of column by label_map(); unknown and ambiguous values keep their own. Labels are a graph's, so they are broadcast."""
+    """Adds canonical: the value of column by label_map(); unknown and ambiguous values keep their own."""
     m = label_map(labels).withColumnRenamed("canonical", "__to")
-    return rows.withColumn("key", F.lower(F.trim(F.regexp_replace(column, r"\s+", " ")))).join(F.broadcast(m), "key", "left").withColumn("canonical", F.coalesce("__to", F.trim(F.regexp_replace(column, r"\s+", " ")))).drop("__to", "key")
+    return rows.withColumn("key", F.lower(F.trim(F.regexp_replace(column, r"\s+", " ")))).join(m, "key", "left").withColumn("canonical", F.coalesce("__to", F.trim(F.regexp_replace(column, r"\s+", " ")))).drop("__to", "key")
 
 
 def step(starts: DataFrame, edges: DataFrame, relation: str | None = None, direction: str = "out", nodes: DataFrame | None = None) -> DataFrame:
@@ -234,7 +236,7 @@ def review_queue(issues: DataFrame) -> DataFrame:
     actions = F.when(F.col("type") == "possible_duplicate", "merge_as_alias,keep_separate,skip").when(F.col("type") == "incomplete_relationship", "add_relationship,skip").when(F.col("type").isin("candidate_entity", "candidate_relationship"), "confirm_candidate,reject_candidate,skip").otherwise("skip")
     q = issues.select(F.concat(F.lit("review-"), F.col("no").cast("string")).alias("item_id"), risk.alias("risk"), F.col("type").alias("category"), "ids", actions.alias("actions"), "no")
     level = F.when(F.col("risk") == "high", 0).when(F.col("risk") == "medium", 1).otherwise(2)
-    return q.withColumn("place", F.row_number().over(Window.orderBy(level, "no")).cast("long")).drop("no")
+    return numbered(q.withColumn("_level", level), "place", "_level", "no").drop("_level", "no")
 
 
 def without_relation(pairs: DataFrame, names: DataFrame, edges: DataFrame, least: int = 3) -> DataFrame:

@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 
 def neighbours(edges: DataFrame, start: str, hops: int = 3) -> DataFrame:
     """id, hops, path (relations of the best path): edges are followed both ways, cycles are cut by the best hop count.
@@ -90,7 +92,7 @@ def issues(*frames: tuple[str, str, DataFrame]) -> DataFrame:
     """(category, risk, ids) frames as one queue, by risk, category and id."""
     all_of = reduce(DataFrame.unionByName, (f.select(F.lit(c).alias("category"), F.lit(r).alias("risk"), F.col("id")) for c, r, f in frames))
     level = F.when(F.col("risk") == "high", 1).when(F.col("risk") == "medium", 2).otherwise(3)
-    return all_of.withColumn("place", F.row_number().over(Window.orderBy(level, "category", "id")).cast("long"))
+    return numbered(all_of.withColumn("_level", level), "place", "_level", "category", "id").drop("_level")
 
 
 def related(entries: DataFrame, points: dict[str, int], days: int = 30, most: int = 5) -> DataFrame:

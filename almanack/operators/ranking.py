@@ -109,7 +109,7 @@ def placed(rows: DataFrame, score: str, name: str, *ties) -> DataFrame:
     before = F.coalesce(F.sum("c").over(Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = counts.select(score, before.alias("before"))
     own = F.row_number().over(Window.partitionBy(score).orderBy(*ties))
-    return rows.withColumn("own", own).join(F.broadcast(first), score).withColumn(name, (F.col("before") + F.col("own")).cast("long")).drop("own", "before")
+    return rows.withColumn("own", own).join(first, score).withColumn(name, (F.col("before") + F.col("own")).cast("long")).drop("own", "before")
 
 
 def promoted(query: str, title: str = "title") -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import entities as N
+from ..operators.order import numbered
 from ..sources import adapters as D
 from .registry import EDGES, EV, NODES, case, query
 from .registry_search import ENT, entries
@@ -225,12 +226,10 @@ def a13_g5_entity_totals(spark, d):
 SELECT 'review-' || no AS item_id, CASE WHEN severity IN ('high', 'medium', 'low') THEN severity ELSE 'medium' END AS risk, type AS category, id AS ids, CASE type WHEN 'possible_duplicate' THEN 'merge_as_alias,keep_separate,skip' WHEN 'incomplete_relationship' THEN 'add_relationship,skip' ELSE 'confirm_candidate,reject_candidate,skip' END AS actions,
 row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'low' THEN 2 ELSE 1 END, no) AS place FROM i""")
 def g11_review_queue(spark, d):
-    from pyspark.sql import Window
-
     n, e = D.entities(spark, d), D.edges(spark, d)
     row = lambda df, k, kind, severity: df.select(F.lit(k).alias("k"), F.lit(kind).alias("type"), F.lit(severity).alias("severity"), F.col("id").alias("ids"))
     found = row(n.filter("id = 'nation-7'"), 1, "possible_duplicate", "high").unionByName(row(n.join(e.select(F.col("source").alias("id")), "id", "left_anti"), 2, "incomplete_relationship", "low")).unionByName(row(n.filter("type = 'place'").join(e.select(F.col("target").alias("id")), "id", "left_anti"), 3, "candidate_entity", "unclear"))
-    return N.review_queue(found.withColumn("no", F.row_number().over(Window.orderBy("k", "ids"))).drop("k"))
+    return N.review_queue(numbered(found, "no", "k", "ids").drop("k"))
 
 
 _FRAGMENTS = [("q1", "The"), ("q2", "re"), ("q3", " "), ("q4", "Licensed under")]

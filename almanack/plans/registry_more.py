@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import extract as X
+from ..functions import text as T
 from ..operators import entities as N
 from ..sources import adapters as D
 from .registry import EV, OR, query
@@ -108,15 +109,23 @@ def p3_p4_p5_p13_lists_and_scalars(spark, d):
     return o.filter(F.exists("labels", lambda x: F.lower(x).isin("1-urgent", "f")) & F.lower("location").contains("ion_2") & ~F.lower("tag").contains("machin")).select("doc_id")
 
 
-@query(r"""WITH a AS (SELECT user_id, event_id, sha256('record' || chr(10) || event_id || chr(10) || props) AS f FROM events), p AS (SELECT user_id, sha256('source' || chr(10) || string_agg(f, ',' ORDER BY f)) AS f FROM a GROUP BY 1) SELECT CAST(user_id AS VARCHAR) AS node, f AS fingerprint FROM p UNION ALL SELECT 'plan', sha256('plan' || chr(10) || string_agg(f, ',' ORDER BY f)) FROM p""")
+def _paged_sql(name: str, source: str, group: str, key: str) -> str:
+    """name(group, h): pages of 1,024 keys, pages of pages, and one digest over those."""
+    g = f"{group}, " if group else ""
+    by = f"GROUP BY {group}" if group else ""
+    return f"""{name}0 AS (SELECT {g}{key} // 1024 AS page, sha256(string_agg(f, ',' ORDER BY {key})) AS h FROM {source} GROUP BY ALL), {name}1 AS (SELECT {g}{name}0.page // 1024 AS page, sha256(string_agg(h, ',' ORDER BY {name}0.page)) AS h FROM {name}0 GROUP BY {g}{name}0.page // 1024),
+{name} AS (SELECT {g}sha256(string_agg(h, ',' ORDER BY page)) AS h FROM {name}1 {by})"""
+
+
+@query(f"""WITH a AS (SELECT user_id, event_id, sha256('record' || chr(10) || event_id || chr(10) || props) AS f FROM events), {_paged_sql('s', 'a', 'user_id', 'event_id')}, p AS (SELECT user_id, sha256('source' || chr(10) || h) AS f FROM s), {_paged_sql('r', 'p', '', 'user_id')}
+SELECT CAST(user_id AS VARCHAR) AS node, f AS fingerprint FROM p UNION ALL SELECT 'plan', sha256('plan' || chr(10) || h) FROM r""")
 def a29_fingerprint_tree(spark, d):
-    """Fingerprints of records, of sources over theirs, and of the plan over the sources': a change anywhere shows at the root."""
+    """Fingerprints of records, of sources over theirs, and of the plan over the sources': a change anywhere shows at the root. Digests are taken page by page."""
     of = lambda kind, *parts: F.sha2(F.concat_ws("\n", F.lit(kind), *parts), 256)
-    joined = F.array_join(F.sort_array(F.collect_list("f")), ",")
-    a = D.table(spark, d, "events").select("user_id", of("record", F.col("event_id").cast("string"), F.col("props")).alias("f"))
-    p = a.groupBy("user_id").agg(joined.alias("fs")).select(F.col("user_id").cast("string").alias("node"), of("source", F.col("fs")).alias("f"))
-    root = p.agg(joined.alias("fs")).select(F.lit("plan").alias("node"), of("plan", F.col("fs")).alias("f"))
-    return p.unionByName(root).withColumnRenamed("f", "fingerprint")
+    a = D.table(spark, d, "events").select("user_id", "event_id", of("record", F.col("event_id").cast("string"), F.col("props")).alias("f"))
+    p = T.paged_digest(a, ["user_id"], "event_id", value="f").select("user_id", of("source", F.col("digest")).alias("f"))
+    root = T.paged_digest(p, [], "user_id", value="f").select(F.lit("plan").alias("node"), of("plan", F.col("digest")).alias("f"))
+    return p.select(F.col("user_id").cast("string").alias("node"), "f").unionByName(root).withColumnRenamed("f", "fingerprint")
 
 
 @query("SELECT key, doc_id, CASE WHEN key IN (SELECT md5(text) FROM documents WHERE doc_id % 10 = 0) THEN 'in_ledger' WHEN n = 1 THEN 'import' ELSE 'repeat' END AS outcome FROM (SELECT md5(text) AS key, doc_id, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS n FROM documents WHERE doc_id % 10 <> 0)")

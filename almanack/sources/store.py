@@ -114,17 +114,13 @@ def read_import(spark: SparkSession, path: str) -> DataFrame:
 def consume_pending(spark: SparkSession, queue: str, schema: str, target: str, checkpoint: str, key: str = "doc_id", version: str = "version") -> DataFrame:
     """Bring target up to date with all pending writes of queue and return its latest rows; deletes are rows with `deleted`.
 
-    Each batch is appended once, under its own number, so a replayed batch writes the same rows again; the latest row of
-    each key is found when reading (partial sums first), and no batch rewrites the table.
+    The table is kept as levelled runs (runs.py): no batch rewrites it, and reading takes in the few runs that are live.
     """
-    def apply(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
-
-    spark.readStream.schema(schema).parquet(queue).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.schema(schema).option("basePath", target).parquet(target)
-    latest = rows.groupBy(key).agg(F.max_by(F.struct(*(f.strip().split()[0] for f in schema.split(","))), F.col(version)).alias("r")).select("r.*")
-    return latest.filter(~F.coalesce(F.col("deleted"), F.lit(False))).drop("deleted")
+    from .runs import Runs
 
+    runs = Runs(spark, target, schema, key, version)
+    runs.consume(queue, checkpoint)
+    return runs.read()
 
 def unique_names(rows: DataFrame, name: str, by: str) -> DataFrame:
     """Adds file_name: a name that was taken before (in order of `by`) gets _2, _3, ... before its extension."""
