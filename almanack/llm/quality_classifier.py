@@ -12,15 +12,16 @@ Bounds: max_labelled documents are learnt from, on the driver, and at most `each
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frees, pieces, small_batches, table
+from .common import frees, pieces, small_batches, table, written
 from .jaccard_join import Words
 
 TRIGRAMS, CLASSES, META = 2048, 8, 64
@@ -81,7 +82,7 @@ def _features(batches):
             a.append(text_features(raw).astype(np.float16).tobytes())
             b.append(meta_features(raw, *meta).astype(np.float16).tobytes())
         names = batch.schema.names
-        yield pa.RecordBatch.from_arrays([batch.column(names.index("doc_id")), batch.column(names.index("label")), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["doc_id", "label", "a", "b"])
+        yield pa.RecordBatch.from_arrays([batch.column(names.index("key")), batch.column(names.index("doc_id")), batch.column(names.index("label")), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["key", "doc_id", "label", "a", "b"])
 
 
 def _logit(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 200) -> np.ndarray:
@@ -149,7 +150,7 @@ class Model:
 
 
 def _surest(fitted: dict, each: int):
-    """Of a task's rows (doc_id, text, ...): the `each` surest of each view and class, rows of equal features once."""
+    """Of a task's rows (doc_id, text, ...): the `each` surest of each view and class, by log-odds; rows of equal features in the view, told by a hash of them, once."""
 
     def run(batches):
         best: dict = {}
@@ -158,15 +159,17 @@ def _surest(fitted: dict, each: int):
             ids = batch.column(batch.schema.names.index("doc_id")).to_pylist()
             x = {"a": np.array([text_features(r[0]) for r in rows], np.float32).reshape(-1, TRIGRAMS + CLASSES), "b": np.array([meta_features(*r) for r in rows], np.float32).reshape(-1, META)}
             for view, (w, scale) in fitted.items():
-                p = 1 / (1 + np.exp(-np.clip(scale[0] * _raw(x[view], w) + scale[1], -30, 30)))
-                for label, sure in ((1, p), (0, 1 - p)):
+                # the fifth place evens out the order of a product's sums, which hangs on where a row stands in its batch
+                z = np.round((scale[0] * _raw(x[view], w) + scale[1]).astype(float), 5)
+                for label, sure in ((1, z), (0, -z)):
                     seen = best.setdefault((view, label), {})
-                    for k in np.argsort(-sure, kind="stable")[:each]:
-                        seen[round(float(sure[k]), 6)] = min(ids[k], seen.get(round(float(sure[k]), 6), ids[k]))
-                    if len(seen) > 4 * each:
-                        best[view, label] = dict(sorted(seen.items(), reverse=True)[:each])
-        out = [(v, y, s, i) for (v, y), seen in best.items() for s, i in sorted(seen.items(), reverse=True)[:each]]
-        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.float64(), pa.int64()))], names=["view", "label", "sure", "doc_id"])
+                    for k in np.argsort(-sure, kind="stable")[: 4 * each]:
+                        key = xxhash.xxh64_intdigest(x[view][k].tobytes()) >> 1
+                        seen[key] = max(seen.get(key, (-np.inf, 0)), (float(sure[k]), -ids[k]))
+                    if len(seen) > 16 * each:
+                        best[view, label] = dict(sorted(seen.items(), key=lambda s: s[1], reverse=True)[: 4 * each])
+        out = [(v, y, s, -i, h) for (v, y), seen in best.items() for h, (s, i) in sorted(seen.items(), key=lambda s: s[1], reverse=True)[:each]]
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["view", "label", "sure", "doc_id", "same"])
 
     return run
 
@@ -185,7 +188,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labe
     own = _own(docs).filter("doc_id is not null")
 
     def features(rows: DataFrame, most: int):
-        found = rows.orderBy(F.xxhash64("doc_id", "text")).limit(most).mapInArrow(frees(_features), "doc_id long, label long, a binary, b binary").toPandas().sort_values(["doc_id", "a", "b"], kind="stable")
+        # features first: whole texts don't go through the one task that orders the rows
+        made = rows.withColumn("key", F.xxhash64("doc_id", "text")).mapInArrow(frees(_features), "key long, doc_id long, label long, a binary, b binary")
+        found = made.orderBy("key").limit(most).drop("key").toPandas().sort_values(["doc_id", "a", "b"], kind="stable")
         view = lambda c, k: np.array([np.frombuffer(x, np.float16) for x in found[c]], np.float32).reshape(-1, k)
         return {"a": view("a", TRIGRAMS + CLASSES), "b": view("b", META)}, found["label"].to_numpy("int64"), found["doc_id"].to_numpy("int64")
 
@@ -204,9 +209,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labe
     for _ in range(rounds):
         fitted = {v: (w, _platt(_raw(x[v][probe], w).astype(float), y[probe])) for v, w in learnt().items()}
         gone = spark.createDataFrame([(i,) for i in sorted(taken)], "doc_id long")
-        top = own.join(F.broadcast(gone), "doc_id", "left_anti").mapInArrow(frees(_surest(fitted, each)), "view string, label long, sure double, doc_id long").filter(F.col("sure") >= sure)
-        place = F.row_number().over(Window.partitionBy("view", "label").orderBy(F.desc("sure"), "doc_id"))
-        chosen = top.withColumn("place", place).filter(F.col("place") <= each).select("view", "label", "doc_id").collect()  # 4 * each rows at most
+        top = own.join(F.broadcast(gone), "doc_id", "left_anti").mapInArrow(frees(_surest(fitted, each)), "view string, label long, sure double, doc_id long, same long").filter(F.col("sure") >= math.log(sure / (1 - sure)))
+        top = written(top.groupBy("view", "label", "same").agg(F.max("sure").alias("sure"), F.min("doc_id").alias("doc_id")), "surest")
+        chosen = [r for v in ("a", "b") for y in (0, 1) for r in top.filter((F.col("view") == v) & (F.col("label") == y)).orderBy(F.desc("sure"), "doc_id").limit(each).collect()]
         for v, other in (("a", "b"), ("b", "a")):
             told = {r.doc_id: r.label for r in chosen if r.view == v}
             if not told:
