@@ -42,6 +42,17 @@ def rolling_percentile(rows: DataFrame, share: float = 0.95, days: int = 7, day:
     return ranked.select(F.col("end").alias("day"), F.col("total").alias("n"), "value")
 
 
+def nearest_rank(rows: DataFrame, value: str, share: float = 0.95) -> DataFrame:
+    """One row: value, the ceil(share n)-th least of a column's non-null values, null if there are none. Counts by bin, then of the values of one bin."""
+    own = rows.select(F.col(value).cast("double").alias("value")).filter("value is not null and not isnan(value)").withColumn("bin", bin_of(F.col("value")))
+    counts = own.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    place = counts.withColumns({"upto": F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(Window.partitionBy())})
+    bracket = place.withColumn("rank", F.ceil(F.col("total") * share - 1e-9)).filter("upto >= rank and upto - n < rank").select("bin", (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank"))
+    inside = own.join(F.broadcast(bracket), "bin").groupBy("value", "rank").agg(F.count(F.lit(1)).alias("n"))  # one bin's row
+    upto = F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    return inside.withColumn("upto", upto).filter("upto >= rank").agg(F.min("value").alias("value"))
+
+
 def _summaries(most: int):
     """Misra and Gries: a task's counters, at most `most`; each is short of the truth by the task's `short` at most, as is a term without one."""
 

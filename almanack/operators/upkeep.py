@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sketches import nearest_rank
+
 # The format of entries.
 DATE, LINK, ENTRY_PATH = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2})?$", r"^https?://", r"^Journals/.+\.md$"
 LOOSE_COPY = r"^(.+_\d{4}-\d{2}-\d{2}_\d+)_\d{8}_\d{6}_\d{6}(?:_\d+)?\.md$"
@@ -134,9 +136,9 @@ def diagnosis(log: DataFrame, since: Column, slow: float = 200.0) -> DataFrame:
     """
     w = log.filter(F.col("ts") >= since)
     row = lambda df, kind, key, n, v: df.select(F.lit(kind).alias("kind"), key.cast("string").alias("key"), n.cast("long").alias("n"), v.cast("double").alias("value"))
-    one = w.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("latency_ms"), 4).alias("mean"), F.expr("percentile_disc(0.95) within group (order by latency_ms)").alias("p95"), F.countDistinct(F.when(F.col("result_count") == 0, F.col("query"))).alias("none"))
+    one = w.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("latency_ms"), 4).alias("mean"), F.countDistinct(F.when(F.col("result_count") == 0, F.col("query"))).alias("none"))
     none = F.lit(None)
-    out = [row(one, "mean", F.lit(""), F.col("n"), F.col("mean")), row(one, "p95", F.lit(""), F.col("n"), F.col("p95")), row(one, "zero_result_queries", F.lit(""), F.col("none"), none)]
+    out = [row(one, "mean", F.lit(""), F.col("n"), F.col("mean")), row(one.crossJoin(F.broadcast(nearest_rank(w, "latency_ms"))), "p95", F.lit(""), F.col("n"), F.col("value")), row(one, "zero_result_queries", F.lit(""), F.col("none"), none)]
     for kind, keyed in (("signal", w.select(F.col("signal").alias("k"))), ("warning", w.select(F.explode("warnings").alias("k")))):
         out.append(row(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")), kind, F.col("k"), F.col("n"), none))
     out.append(row(w.filter(F.col("latency_ms") > slow).orderBy(F.desc("latency_ms"), "id").limit(20), "outlier", F.col("id"), F.lit(1), F.col("latency_ms")))

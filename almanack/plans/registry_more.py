@@ -83,11 +83,15 @@ def a9_lens_of_signals(spark, d):
     return n.join(first, ["kind", "value"])
 
 
-@query(f"SELECT unnest(['weight', 'sleep', 'time']) AS signal, unnest([n, n, n]) AS in_scope, unnest([p1, p2, p3]) AS present, unnest([q1, q2, p3]) AS parseable FROM (SELECT count(*) AS n, count(*) FILTER (doc_id % 3 <> 0) AS p1, count(*) FILTER (doc_id % 3 = 1) AS q1, count(*) FILTER (doc_id % 5 <> 0) AS p2, count(*) FILTER (doc_id % 5 IN (1, 2)) AS q2, count(tm) AS p3 FROM {EV})")
+_SIGNALS = {"props_k": "json_extract_string(props, '$.k')", "hundred": "regexp_extract(CAST(value AS VARCHAR), '^[0-9]{3}', 0)", "time": "CAST(tm AS VARCHAR)", "topic": "topic"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS signal, count(*) AS in_scope, count(*) FILTER (nullif({c}, '') IS NOT NULL) AS present, count(TRY_CAST({c} AS DOUBLE)) AS parseable FROM {EV}" for k, c in _SIGNALS.items()))
 def a10_signals_parseable(spark, d):
-    k = F.col("doc_id")
-    e = D.event_entries(spark, d).select(F.when(k % 3 == 1, "70.5").when(k % 3 == 2, "heavy").alias("weight"), F.when(k % 5 < 3, F.when(k % 5 > 0, "7")).otherwise("long").alias("sleep"), F.col("time_minutes").cast("string").alias("time"))
-    sums = e.agg(F.count(F.lit(1)).alias("n"), *(x for c in e.columns for x in (F.count(c).alias(f"p_{c}"), F.count(F.col(c).try_cast("double")).alias(f"q_{c}"))))
+    """Of each signal of the events how many have it and how many have a number: a key of their properties, the hundreds of their values, their time of day, their topic."""
+    e = D.event_entries(spark, d).select(F.get_json_object("props", "$.k").alias("props_k"), F.regexp_extract(F.col("value").cast("string"), "^[0-9]{3}", 0).alias("hundred"), F.col("time_minutes").cast("string").alias("time"), "topic")
+    given = lambda c: F.when(F.col(c) != "", F.col(c))
+    sums = e.agg(F.count(F.lit(1)).alias("n"), *(x for c in e.columns for x in (F.count(given(c)).alias(f"p_{c}"), F.count(given(c).try_cast("double")).alias(f"q_{c}"))))
     return sums.select(F.explode(F.array(*(F.struct(F.lit(c).alias("signal"), F.col("n").alias("in_scope"), F.col(f"p_{c}").alias("present"), F.col(f"q_{c}").alias("parseable")) for c in e.columns))).alias("s")).select("s.*")
 
 

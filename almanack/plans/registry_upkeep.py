@@ -304,3 +304,47 @@ def a21_ablation_of_three_signals(spark, d):
     place = F.row_number().over(Window.partitionBy("combo", "query_id").orderBy(F.desc("boosted"), "doc_id"))
     good = docs.join(D.table(spark, d, "labels").filter("quality = 1").select("doc_id"), "doc_id").select("query_id", "doc_id")
     return U.ablation(combos.withColumn("rank", place).filter("rank <= 5"), good)
+
+
+_HEAD = r"""u0 AS (SELECT page_id AS doc_id, coalesce(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '') AS title, regexp_extract(html, '\d{4}[-/]\d{2}[-/]\d{2}') AS date, regexp_extract_all(html, 'href="([^"]*)"', 1) AS links, url IS NOT NULL AND starts_with(url, 'https') AS secure, list_filter(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda x: starts_with(x, '/')) AS related FROM pages),
+u1 AS (SELECT doc_id, title, date, CASE WHEN secure THEN 1 ELSE 0 END AS schema_version, len(list_filter(links, lambda x: x <> '' AND NOT regexp_matches(x, '^https?://'))) AS n_links, len(related) AS n_related, len(list_filter(related, lambda x: NOT regexp_matches(x, '^Journals/.+\.md$'))) AS n_paths FROM u0),
+u2 AS (SELECT doc_id, 'error' AS level, 'title' AS field, 1 AS n FROM u1 WHERE title = '' UNION ALL SELECT doc_id, 'error', 'date', 1 FROM u1 WHERE coalesce(date, '') = '' UNION ALL SELECT doc_id, 'warning', 'date', 1 FROM u1 WHERE date <> '' AND NOT regexp_matches(date, '^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2})?$')
+UNION ALL SELECT doc_id, 'warning', 'schema_version', 1 FROM u1 WHERE schema_version <> 1 UNION ALL SELECT doc_id, 'warning', 'links', n_links FROM u1 WHERE n_links > 0 UNION ALL SELECT doc_id, 'error', 'related_count', 1 FROM u1 WHERE n_related > 10 UNION ALL SELECT doc_id, 'error', 'related_entries', n_paths FROM u1 WHERE n_paths > 0)"""
+
+
+def _page_heads(spark, d):
+    """Pages as entries: their heading, the first date in them, their links, and those within the site as related entries."""
+    html = F.col("html")
+    links = F.regexp_extract_all(html, F.lit('href="([^"]*)"'), 1)
+    return D.table(spark, d, "pages").select(
+        F.col("page_id").alias("doc_id"), F.coalesce(F.regexp_extract(html, "<h1>([^<]*)</h1>", 1), F.lit("")).alias("title"), F.regexp_extract(html, r"\d{4}[-/]\d{2}[-/]\d{2}", 0).alias("date"),
+        F.when(F.coalesce(F.startswith("url", F.lit("https")), F.lit(False)), 1).otherwise(0).alias("schema_version"), links.alias("links"), F.filter(links, lambda x: x.startswith("/")).alias("related"),
+    )
+
+
+@query(f"WITH {_HEAD} SELECT doc_id, level, field, CAST(n AS BIGINT) AS n FROM u2")
+def q1_page_validation(spark, d):
+    """Headings, dates, links and related paths of real pages by the rules of entries."""
+    return U.validate(_page_heads(spark, d)).select("doc_id", "level", "field", F.col("n").cast("long").alias("n"))
+
+
+@query(f"WITH {_HEAD} SELECT level AS severity, field, count(*) AS n, CAST(sum(n) AS BIGINT) AS n_values FROM u2 GROUP BY 1, 2")
+def a26_page_faults_by_severity(spark, d):
+    return U.validate(_page_heads(spark, d)).groupBy(F.col("level").alias("severity"), "field").agg(F.count(F.lit(1)).alias("n"), F.sum("n").cast("long").alias("n_values"))
+
+
+@query(f"WITH {_HEAD} SELECT schema_version, count(*) AS n, schema_version <> 1 AS needs_migration FROM u1 GROUP BY 1")
+def a27_versions_of_pages(spark, d):
+    return _page_heads(spark, d).groupBy("schema_version").agg(F.count(F.lit(1)).alias("n")).withColumn("needs_migration", F.col("schema_version") != 1)
+
+
+@query("""WITH q AS (SELECT source AS query_id, count(*) FILTER (n_chars > 8000) AS n, count(*) AS total, count(*) > 40 AS more, count(*) FILTER (quality = 1 AND n_chars > 8000) AS conf FROM documents LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY 1) USING (doc_id) WHERE source IS NOT NULL GROUP BY 1),
+k AS (SELECT query_id, CASE WHEN n = 0 AND more THEN 'low_confidence_with_potential_under_recall' WHEN n = 0 AND total = 0 THEN 'no_matches_found' WHEN conf = 0 AND total <= n AND NOT more THEN 'all_items_low_confidence_full_recall' WHEN conf > 0 THEN 'confident_results_present' ELSE 'low_confidence_with_potential_under_recall' END AS outcome_reason FROM q)
+SELECT query_id, CASE outcome_reason WHEN 'no_matches_found' THEN 'zero_results' WHEN 'confident_results_present' THEN 'ok' ELSE 'weak_results' END AS retrieval_outcome, outcome_reason FROM k""")
+def r24_outcome_by_source(spark, d):
+    """Each source as a query: its long documents are what was shown, those of good quality the confident ones, all of them what there is."""
+    labels = D.table(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    docs = D.table(spark, d, "documents").filter("source is not null").join(labels, "doc_id", "left")
+    shown = F.col("n_chars") > 8000
+    rows = docs.groupBy(F.col("source").alias("query_id")).agg(F.count_if(shown).alias("n_items"), F.count(F.lit(1)).alias("total"), (F.count(F.lit(1)) > 40).alias("has_more"), F.count_if(shown & (F.col("quality") == 1)).alias("n_confident"))
+    return U.outcome(rows)

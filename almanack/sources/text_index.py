@@ -23,22 +23,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.segment import CJK, Lattice
+
 K1, B = 1.2, 0.75
 #: Bounds of a query: terms and characters.
 MOST_TERMS, MOST_CHARACTERS = 32, 1024
 _WORD = re.compile(r"[^\W_]+")
 _ROW = "term string, range_no long, doc_id long, day int, tf double, dl int"
+_CJK = re.compile(CJK)
+
 
+def words_of(text: str, lattice: Lattice | None = None) -> list[str]:
+    """Runs of letters and digits of a lower-cased text; with a lattice, CJK within them is cut into its words."""
+    words = _WORD.findall(text)
+    if lattice is None or not _CJK.search(text):
+        return words
+    return [x for w in words for part in (re.split(f"({CJK}+)", w) if _CJK.search(w) else (w,)) if part for x in (lattice.cut(part) if _CJK.match(part) else (part,))]
 
-def query_terms(text: str) -> list[str]:
+
+def query_terms(text: str, lattice: Lattice | None = None) -> list[str]:
     """The different terms of a query, of its first 1,024 characters the first 32."""
-    return list(dict.fromkeys(_WORD.findall(text[:MOST_CHARACTERS].lower())))[:MOST_TERMS]
+    return list(dict.fromkeys(words_of(text[:MOST_CHARACTERS].lower(), lattice)))[:MOST_TERMS]
 
 
-def _counted(weights: list[float], width: int):
+def _counted(weights: list[float], width: int, dictionary=None):
     """Of each entry a row a term, and one with an empty term for the entry itself."""
 
     def run(batches):
+        lattice = Lattice(dictionary.value) if dictionary else None
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch, out = whole.slice(at, 256), []
@@ -47,7 +59,7 @@ def _counted(weights: list[float], width: int):
                     tf: Counter = Counter()
                     dl = 0
                     for weight, text in zip(weights, texts, strict=True):
-                        words = _WORD.findall(text or "")
+                        words = words_of(text or "", lattice)
                         dl += len(words)
                         for w, n in Counter(words).items():
                             tf[w] += weight * n
@@ -88,7 +100,9 @@ class TextIndex:
         own = entries.filter(F.col("doc_id").isNotNull())
         days = F.datediff(F.col(day), F.lit("1970-01-01").cast("date")) if day else F.lit(None)
         texts = own.select(F.col("doc_id").cast("long").alias("doc_id"), days.cast("int").alias("day"), *(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in columns))
-        rows = texts.mapInArrow(_counted(list(columns.values()), width), _ROW)
+        words = self._dictionary()
+        shared = self.spark.sparkContext.broadcast(words) if words else None
+        rows = texts.mapInArrow(_counted(list(columns.values()), width, shared), _ROW)
         blocks = rows.groupBy("term", "range_no").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.sum("dl").alias("sum_dl"), F.min("day").alias("min_day"), F.max("day").alias("max_day"), F.sort_array(F.collect_list(F.struct("doc_id", "day", "tf", "dl"))).alias("p"))
         blocks = blocks.select("term", "range_no", "n", "max_tf", "min_dl", "min_day", "max_day", "sum_dl", F.col("p.doc_id").alias("docs"), F.col("p.day").alias("days"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"))
         to = f"{self.path}/postings/gen={gen}"
@@ -100,8 +114,17 @@ class TextIndex:
             held = ranges.join(held, "range_no", "left").select("range_no", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_docs", "sum_dl")), "print")
         held.coalesce(1 if gen else n).write.mode("overwrite").parquet(f"{self.path}/ranges/gen={gen}")
 
-    def build(self, entries: DataFrame, columns: dict[str, float], width: int = 1024, day: str | None = None) -> TextIndex:
-        """Index entries (doc_id and the columns, with their weights; day: a column of dates)."""
+    def _dictionary(self) -> dict[str, int]:
+        """The words that CJK text is cut into; none: it isn't cut. As bounded as the dictionary that was given."""
+        if not hasattr(self, "_words"):
+            self._words = {r.word: r.n for r in self.spark.read.schema("word string, n long").parquet(f"{self.path}/dictionary").collect()}
+        return self._words
+
+    def build(self, entries: DataFrame, columns: dict[str, float], width: int = 1024, day: str | None = None, dictionary: dict[str, int] | None = None) -> TextIndex:
+        """Index entries (doc_id and the columns, with their weights; day: a column of dates; dictionary: words of CJK text with counts, as
+        segment.free_strings() learns them)."""
+        self.spark.createDataFrame(list((dictionary or {}).items()), "word string, n long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/dictionary")
+        self._words = dict(dictionary or {})
         settings = {"columns": columns, "width": width, "day": day}
         self.spark.range(1).select(F.lit(json.dumps(settings))).coalesce(1).write.mode("overwrite").text(f"{self.path}/settings")
         self._write(entries, 0, settings, None)
@@ -186,14 +209,17 @@ class TextIndex:
         by = heads.groupBy("range_no", "gen").agg(F.sum("s").alias("bound"), F.count(F.lit(1)).alias("held"))
         return by.filter(F.col("held") == len(terms)) if all_terms else by
 
-    def _scored(self, ranges: DataFrame, terms, idf, avgdl, since, until, all_terms: bool) -> DataFrame:
+    def _scored(self, ranges: DataFrame, terms, idf, avgdl, since, until, all_terms: bool, without=()) -> DataFrame:
         """doc_id, n_terms, score of the entries of these ranges."""
         rows = self._postings().filter(F.col("term").isin(terms)).join(ranges.select("range_no", "gen"), ["range_no", "gen"], "left_semi").select("term", F.inline(F.arrays_zip("docs", "days", "tfs", "dls")))
         rows = rows.filter(self._days(since, until, "days", "days")).select(F.col("docs").alias("doc_id"), self._score(F.col("tfs"), F.col("dls"), idf, avgdl).alias("s"))
         out = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("s"), 4).alias("score"))
+        if without:
+            gone = self._postings().filter(F.col("term").isin(list(without))).join(ranges.select("range_no", "gen"), ["range_no", "gen"], "left_semi")
+            out = out.join(gone.select(F.explode("docs").alias("doc_id")), "doc_id", "left_anti")
         return out.filter(F.col("n_terms") == len(terms)) if all_terms else out
 
-    def _chosen(self, terms: list[str], k: int, since, until, all_terms: bool):
+    def _chosen(self, terms: list[str], k: int, since, until, all_terms: bool, without=()):
         """(ranges that may hold one of the k best, idf, mean length); None where no entry can match.
 
         The ranges of greatest bound, some that hold four times k ids, are scored first; the k-th score among them is one that
@@ -204,25 +230,33 @@ class TextIndex:
             return None
         bounds = self._bounds(terms, idf, avgdl, since, until, all_terms)
         first = bounds.orderBy(F.desc("bound"), "range_no").limit(max(4, -(-4 * k // self._settings()["width"])))
-        top = self._scored(first, terms, idf, avgdl, since, until, all_terms).orderBy(F.desc("score"), "doc_id").limit(k).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).collect()[0]
+        top = self._scored(first, terms, idf, avgdl, since, until, all_terms, without).orderBy(F.desc("score"), "doc_id").limit(k).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).collect()[0]
         if top.n >= k:  # scores are rounded, so bounds get half a place more
             bounds = bounds.filter(F.col("bound") + 1e-4 >= top.least)
         return bounds, idf, avgdl
 
-    def search(self, terms: list[str], k: int = 100, since: str | None = None, until: str | None = None, all_terms: bool = False) -> DataFrame:
-        """doc_id, n_terms, score of the k best entries by (score, smaller id) with any term, or with all. Exact: blocks that can't matter aren't read."""
+    def search(self, terms: list[str], k: int = 100, since: str | None = None, until: str | None = None, all_terms: bool = False, without: list[str] = ()) -> DataFrame:
+        """doc_id, n_terms, score of the k best entries by (score, smaller id) with any term, or with all, and with none of `without`. Exact:
+        blocks that can't matter aren't read."""
         terms = list(dict.fromkeys(t.lower() for t in terms))[:MOST_TERMS]
-        found = self._chosen(terms, k, since, until, all_terms) if terms else None
+        without = [t.lower() for t in without]
+        found = self._chosen(terms, k, since, until, all_terms, without) if terms else None
         if found is None:
             return self.spark.createDataFrame([], "doc_id long, n_terms long, score double")
         ranges, idf, avgdl = found
-        return self._scored(ranges, terms, idf, avgdl, since, until, all_terms).orderBy(F.desc("score"), "doc_id").limit(k)
+        return self._scored(ranges, terms, idf, avgdl, since, until, all_terms, without).orderBy(F.desc("score"), "doc_id").limit(k)
 
     def and_then_or(self, terms: list[str], k: int = 100, least: int = 3, since: str | None = None, until: str | None = None) -> DataFrame:
         """search() for all terms if at least `least` entries have them all, else for any."""
         both = self.search(terms, max(k, least), since, until, True)
         return both.orderBy(F.desc("score"), "doc_id").limit(k) if both.limit(least).count() >= least else self.search(terms, k, since, until)
 
+    def ask(self, text: str, k: int = 100, stop_words: frozenset = frozenset(), since: str | None = None, until: str | None = None) -> DataFrame:
+        """search() for a question: CJK is cut into words, any of which will do; of other words all, else any, without stop words unless there are no others."""
+        terms = query_terms(text, Lattice(self._dictionary()) if self._dictionary() else None)
+        terms = [t for t in terms if t not in stop_words] or terms
+        return self.search(terms, k, since, until) if _CJK.search(text) else self.and_then_or(terms, k, since=since, until=until)
+
     def reads(self, terms: list[str], k: int = 100) -> dict[str, int]:
         """How many blocks and postings the terms have, and how many of them search() reads."""
         held = self._blocks(terms)

@@ -89,6 +89,22 @@ def test_index_of_dates(spark):
     assert [x.doc_id for x in index.search(["beta"], 6, "2024-01-10", "2024-01-20").collect()] == want[:6]
 
 
+def test_index_of_cjk_and_questions(spark):
+    r = random.Random(14)
+    words = ["今天", "北京", "下雨", "我们", "学习", "中文", "图书馆", "很好"]
+    rows = [(i, "".join(r.choices(words, k=6)) + (" the Rain x2北京" if i % 7 == 0 else "")) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    known = {w: n for w, n in segment.free_strings(df).items() if w in words or len(w) == 1}
+    index = TextIndex(spark, fresh(spark, "index")).build(df, {"text": 1.0}, width=16, dictionary=known)
+    again = TextIndex(spark, index.path)  # as another session would open it
+    got = {x.doc_id for x in again.ask("北京下雨", 500).collect()}
+    assert got == {i for i, t in rows if "北京" in t or "下雨" in t}
+    assert again.search(["京下"], 5).collect() == []  # no word
+    assert {x.doc_id for x in again.ask("the rain", 500, frozenset({"the"})).collect()} == {i for i, t in rows if "Rain" in t}
+    assert {x.doc_id for x in again.search(["rain"], 500, without=["图书馆"]).collect()} == {i for i, t in rows if "Rain" in t and "图书馆" not in t}
+    assert {x.doc_id for x in again.search(["x2"], 3, without=["图书馆"]).collect()} == set(sorted(i for i, t in rows if "x2" in t and "图书馆" not in t)[:3]) or len(again.search(["x2"], 3, without=["图书馆"]).collect()) == 3
+
+
 # runs -----------------------------------------------------------------------------------------------------------------
 def test_runs_stay_few_and_replays_change_nothing(spark):
     r = random.Random(4)
