@@ -55,16 +55,13 @@ def rule_segments(rules: DataFrame) -> DataFrame:
     # equal rules: block wins
     r = r.groupBy("labels", "host", "prefix").agg(F.max_by(F.struct("rule", "verdict"), F.col("verdict")).alias("r")).select("labels", "host", "prefix", "r.rule", "r.verdict")
     # rules nest within one host only, so each host is swept by itself
-    event = r.select("labels", "host", F.explode(F.array(F.struct(F.col("prefix").alias("at"), F.lit(1).alias("opens"), F.struct("rule", "prefix", "verdict").alias("r")), F.struct(F.concat("prefix", F.lit(_END)).alias("at"), F.lit(0).alias("opens"), F.struct("rule", "prefix", "verdict").alias("r")))).alias("e"))
-    swept = event.groupBy("labels", "host").agg(F.sort_array(F.collect_list("e")).alias("es"))
-    out = F.expr("""aggregate(es,
-        named_struct('stack', slice(transform(es, e -> e.r), 1, 0), 'segments', slice(transform(es, e -> named_struct('start', e.at, 'r', if(e.opens > 1, null, e.r))), 1, 0)),
-        (s, e) -> named_struct(
-            'stack', if(e.opens = 1, concat(s.stack, array(e.r)), slice(s.stack, 1, size(s.stack) - 1)),
-            'segments', concat(s.segments, array(named_struct('start', e.at, 'r',
-                if(e.opens = 1, e.r, if(size(s.stack) > 1, element_at(s.stack, if(size(s.stack) > 1, size(s.stack) - 1, 1)), null)))))),
-        s -> s.segments)""")
-    return swept.select("labels", F.explode(out).alias("s")).select("labels", "s.start", "s.r")
+    one = lambda at, opens: F.struct(at.alias("at"), F.lit(opens).alias("opens"), F.struct("rule", "prefix", "verdict").alias("r"))
+    event = r.select("labels", "host", F.inline(F.array(one(F.col("prefix"), 1), one(F.concat("prefix", F.lit(_END)), -1))))
+    # the height of the stack after each event; what is open at a height is the rule that came to it last
+    upto = lambda *by: Window.partitionBy(*by).orderBy("at", "opens").rowsBetween(Window.unboundedPreceding, 0)
+    swept = event.withColumn("height", F.sum("opens").over(upto("labels", "host")))
+    top = F.last(F.when(F.col("opens") == 1, F.col("r")), ignorenulls=True).over(upto("labels", "host", "height"))
+    return swept.select("labels", F.col("at").alias("start"), F.when(F.col("height") > 0, top).alias("r"))
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url", bucket_rules: int = 20_000, salts: int | None = None) -> DataFrame:

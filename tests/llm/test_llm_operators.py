@@ -500,6 +500,19 @@ def test_url_filter_many_rules(spark):
     assert url_filter.judge(pages.limit(0), table).count() == 0
 
 
+def test_url_filter_very_many_rules_of_one_host(spark):
+    """Siblings by the ten thousand, each with a rule within, and a nest three hundred deep; a very long URL."""
+    rules = [("allow" if k % 2 else "block", "one.org", f"/p{k:05d}/") for k in range(10_000)] + [("block" if k % 2 else "allow", "one.org", f"/p{k:05d}/in") for k in range(10_000)]
+    rules += [("allow" if k % 2 else "block", "one.org", "/deep/" + "x" * k) for k in range(300)]
+    urls = [f"http://www.one.org/p{k:05d}/{w}" for k in range(0, 10_100, 77) for w in ("", "in", "inside", "out")] + [f"http://one.org/deep/{'x' * k}y" for k in range(0, 320, 7)] + ["http://one.org/deep/" + "x" * 100_000]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), spark.createDataFrame(rules, "verdict string, host string, path string")).collect()}
+    by = {p: v for v, _, p in rules}
+    for i, u in enumerate(urls):
+        path = "/" + u.split("/", 3)[3]
+        fit = next((path[:n] for n in range(min(len(path), 400), 0, -1) if path[:n] in by), None)
+        assert got[i] == (("one.org" + fit, by[fit]) if fit else (None, "allow"))
+
+
 def test_warc(spark):
     given = [(i, f"http://h{i % 3}.example.com/{i}", ["same", None, "", f"x{i}\r\n\r\nWARC/1.1"][i % 4]) for i in range(40)] + [(100, None, "same")]
     pages = spark.createDataFrame(given, "page_id long, url string, html string")
