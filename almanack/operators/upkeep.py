@@ -119,13 +119,13 @@ def evidence(roles: DataFrame, bucket: Column, most: int = 20) -> DataFrame:
     return m.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_matched")).join(first, "bucket").select("bucket", "n_matched", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("paths"))
 
 
-def ablation(results: DataFrame, relevant: DataFrame, k: int = 5) -> DataFrame:
+def ablation(results: DataFrame, relevant: DataFrame, k: int = 5, digits: int = 4) -> DataFrame:
     """combo, precision, recall, mrr at k: means over queries. results: combo, query_id, doc_id, rank; relevant: query_id, doc_id."""
     r = relevant.distinct().withColumn("hit", F.lit(1))
     size = r.groupBy("query_id").agg(F.count(F.lit(1)).alias("size"))
     top = results.filter(F.col("rank") <= k).join(r, ["query_id", "doc_id"], "left").groupBy("combo", "query_id").agg(F.count("hit").alias("hits"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"))
     j = top.join(size, "query_id", "left")
-    mean = lambda c: F.round(F.avg(F.coalesce(c, F.lit(0.0))), 4)
+    mean = lambda c: F.round(F.avg(F.coalesce(c, F.lit(0.0))), digits)
     return j.groupBy("combo").agg(mean(F.col("hits") / k).alias("prec"), mean(F.col("hits") / F.col("size")).alias("recall"), mean(1 / F.col("first")).alias("mrr"))
 
 

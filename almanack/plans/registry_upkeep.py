@@ -293,7 +293,7 @@ c AS (SELECT {', '.join(_SWITCH)}, {_ON} AS combo FROM {' CROSS JOIN '.join(f'(S
 t AS (SELECT combo, query_id, doc_id, row_number() OVER (PARTITION BY combo, query_id ORDER BY s * {_BOOST} DESC, doc_id) AS rank FROM r, c QUALIFY rank <= 5),
 q AS (SELECT source AS query_id, doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1), n AS (SELECT query_id, count(*) AS size FROM q GROUP BY 1),
 h AS (SELECT combo, query_id, count(q.doc_id) AS hits, min(rank) FILTER (q.doc_id IS NOT NULL) AS f FROM t LEFT JOIN q USING (query_id, doc_id) GROUP BY 1, 2)
-SELECT combo, round(avg(hits / 5), 4) AS prec, round(avg(coalesce(hits / size, 0)), 4) AS recall, round(avg(coalesce(1 / f, 0)), 4) AS mrr FROM h LEFT JOIN n USING (query_id) GROUP BY combo""")
+SELECT combo, round(avg(hits / 5), 6) AS prec, round(avg(coalesce(hits / size, 0)), 6) AS recall, round(avg(coalesce(1 / f, 0)), 6) AS mrr FROM h LEFT JOIN n USING (query_id) GROUP BY combo""")
 def a21_ablation_of_three_signals(spark, d):
     """All eight combinations of three signals of the texts, each on or off: what they do to the first five of a source."""
     from pyspark.sql import Window
@@ -303,7 +303,7 @@ def a21_ablation_of_three_signals(spark, d):
     combos = U.switched(docs, list(signals), "s")
     place = F.row_number().over(Window.partitionBy("combo", "query_id").orderBy(F.desc("boosted"), "doc_id"))
     good = docs.join(D.table(spark, d, "labels").filter("quality = 1").select("doc_id"), "doc_id").select("query_id", "doc_id")
-    return U.ablation(combos.withColumn("rank", place).filter("rank <= 5"), good)
+    return U.ablation(combos.withColumn("rank", place).filter("rank <= 5"), good, digits=6)
 
 
 _HEAD = r"""u0 AS (SELECT page_id AS doc_id, coalesce(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '') AS title, regexp_extract(html, '\d{4}[-/]\d{2}[-/]\d{2}') AS date, regexp_extract_all(html, 'href="([^"]*)"', 1) AS links, url IS NOT NULL AND starts_with(url, 'https') AS secure, list_filter(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda x: starts_with(x, '/')) AS related FROM pages),

@@ -7,8 +7,8 @@ from almanack.plans import registry
 from .oracle import connect, python_rows
 
 SF = "/root/testdata/sf0.001"
-#: Checks that find no fault in the smallest tables.
-EMPTY: set[str] = set()
+#: The smallest tables have ten suppliers, no two of one nation that could be merged.
+EMPTY = {"g8_merge_chains_with_undo"}
 
 
 @pytest.fixture(scope="module")
