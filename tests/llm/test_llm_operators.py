@@ -587,6 +587,33 @@ def test_classifier_scores_like_a_plain_version(spark, docs):
     assert np.allclose(other.wa, quality_classifier.fit(base, labels.join(twice.select("doc_id"), "doc_id", "left_anti")).wa)
 
 
+def test_surest_candidates_like_a_plain_choice():
+    """Rows of equal features once, unlike ones apart however near their scores; the surest first, of equals the least id."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    texts = ["same text here"] * 5 + [" ".join(r.choice(["the", "of", "and", "tion", "###", "!"], 12)) for _ in range(60)] + [None, ""]
+    ids = r.permutation(len(texts)).tolist()
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "text": texts, "lang": ["en"] * len(texts), "source": [f"s{i % 3}" for i in range(len(texts))], "n_chars": pa.array([len(t or "") for t in texts], pa.int64())})
+    qc = quality_classifier
+    w = {"a": r.normal(size=qc.TRIGRAMS + qc.CLASSES + 1).astype(np.float32) * 1e-3, "b": r.normal(size=qc.META + 1).astype(np.float32) * 1e-3}
+    fitted = {v: (x, (2.0, 0.5)) for v, x in w.items()}
+    (out,) = qc._surest(fitted, 7)([batch.slice(0, 20), batch.slice(20)])
+    found = out.to_pylist()
+    rows = list(qc._rows(batch))
+    x = {"a": np.array([qc.text_features(t[0]) for t in rows], np.float32), "b": np.array([qc.meta_features(*t) for t in rows], np.float32)}
+    for v in ("a", "b"):
+        z = np.round((2.0 * qc._raw(x[v], w[v]) + 0.5).astype(float), 5)
+        for label, sign in ((1, 1), (0, -1)):
+            best: dict = {}
+            for k, i in enumerate(ids):
+                key = x[v][k].tobytes()
+                best[key] = max(best.get(key, (-np.inf, 0)), (sign * z[k], -i))
+            want = [(s, -i) for s, i in sorted(best.values(), reverse=True)[:7]]
+            got = [(f["sure"], f["doc_id"]) for f in found if (f["view"], f["label"]) == (v, label)]
+            assert [i for _, i in got] == [i for _, i in want] and np.allclose([s for s, _ in got], [s for s, _ in want], atol=2e-5)
+
+
 def test_classifier_edges(spark, docs, none):
     labels = spark.createDataFrame([(None, 1), (1, None), (999, 0)], "doc_id long, quality long")
     m = quality_classifier.fit(docs, labels)
