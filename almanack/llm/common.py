@@ -78,17 +78,22 @@ def pieces(batches, rows: int = 256):
             yield batch.slice(k, rows)
 
 
+def give_back() -> None:
+    """Give free memory of this Python process back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def frees(run):
     """A worker's function that gives memory back to the system at its end: workers serve one stage after another."""
 
     def wrapped(batches):
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):  # not glibc
-            pass
+        give_back()
 
     return wrapped
 

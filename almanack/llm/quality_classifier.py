@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frees, pieces, small_batches, table, written
+from .common import frees, give_back, pieces, small_batches, table, written
 from .jaccard_join import Words
 
 TRIGRAMS, CLASSES, META = 2048, 8, 64
@@ -87,7 +87,7 @@ def _features(batches):
 
 def _logit(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 200) -> np.ndarray:
     """Weights (the last one is the offset) of a logistic model, classes weighted alike."""
-    x = np.hstack((x, np.ones((len(x), 1), np.float32)))
+    x = np.hstack((x, np.ones((len(x), 1), np.float32)), dtype=np.float32)
     w, m, v = (np.zeros(x.shape[1], np.float32) for _ in range(3))
     share = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)).astype(np.float32)
     for t in range(1, steps + 1):
@@ -99,7 +99,7 @@ def _logit(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 200) -> np
 
 
 def _raw(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return x @ w[:-1] + w[-1]
+    return x.astype(np.float32, copy=False) @ w[:-1] + w[-1]
 
 
 def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -191,8 +191,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labe
         # features first: whole texts don't go through the one task that orders the rows
         made = rows.withColumn("key", F.xxhash64("doc_id", "text")).mapInArrow(frees(_features), "key long, doc_id long, label long, a binary, b binary")
         found = made.orderBy("key").limit(most).drop("key").toPandas().sort_values(["doc_id", "a", "b"], kind="stable")
-        view = lambda c, k: np.array([np.frombuffer(x, np.float16) for x in found[c]], np.float32).reshape(-1, k)
-        return {"a": view("a", TRIGRAMS + CLASSES), "b": view("b", META)}, found["label"].to_numpy("int64"), found["doc_id"].to_numpy("int64")
+        view = lambda c, k: np.frombuffer(b"".join(found[c]), np.float16).reshape(-1, k)
+        out = {"a": view("a", TRIGRAMS + CLASSES), "b": view("b", META)}, found["label"].to_numpy("int64"), found["doc_id"].to_numpy("int64")
+        del found
+        give_back()  # the driver's Python holds no more than the features
+        return out
 
     x, y, ids = features(own.join(F.broadcast(known), "doc_id"), 2 * max_labelled)
     order = np.arange(len(y))
@@ -223,6 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labe
     final = learnt()
     ca, cb = (_platt(_raw(x[v][held], final[v]).astype(float), y[held]) for v in ("a", "b"))
     good = (y == 1).mean()
+    give_back()
     return Model(final["a"], final["b"], ca, cb, prior=float(np.log(good / (1 - good))))
 
 
