@@ -114,6 +114,7 @@ def json_list(col):
 #: Python's white space, and the digits that aren't decimal ones (superscripts, circled and so on), for classes of Java and RE2.
 SPACE = r"\t-\r\x1c-\x20\x85\p{Z}"
 DIGIT = r"\p{Nd}\x{b2}-\x{b3}\x{b9}\x{1369}-\x{1371}\x{19da}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}\x{2460}-\x{2468}\x{2474}-\x{247c}\x{2488}-\x{2490}\x{24ea}\x{24f5}-\x{24fd}\x{24ff}\x{2776}-\x{277e}\x{2780}-\x{2788}\x{278a}-\x{2792}\x{10a40}-\x{10a43}\x{10e60}-\x{10e68}\x{11052}-\x{1105a}\x{1f100}-\x{1f10a}"
+# What tells a query of negation or of a topic outside, in this order.
 NEGATIONS = ("不存在", "不相关", "完全不相关", "随机内容", "无关内容")
 OFF_TOPIC = ("菜谱", "健身", "减肥", "区块链", "养猫", "养狗", "宠物", "旅行攻略", "旅游攻略")
 #: A product's own name, which near misses of count as noise.
