@@ -28,7 +28,8 @@ class Runs:
     # which runs count -------------------------------------------------------------------------------------------------
     def _batches(self) -> list[int]:
         p = self._path(f"{self.path}/live")
-        return sorted(int(s.getPath().getName()[6:]) for s in self._fs.listStatus(p) if s.getPath().getName().startswith("batch=")) if self._fs.exists(p) else []
+        told = [s.getPath() for s in self._fs.listStatus(p)] if self._fs.exists(p) else []
+        return sorted(int(x.getName()[6:]) for x in told if x.getName().startswith("batch=") and self._fs.exists(self._path(x, "_SUCCESS")))
 
     def live(self, batch: int | None = None) -> list[tuple[int, str]]:
         """(level, name) of the runs that count after the last batch, or after `batch`, newest first."""

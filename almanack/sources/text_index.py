@@ -82,7 +82,9 @@ class TextIndex:
     # writing ----------------------------------------------------------------------------------------------------------
     def _generations(self) -> list[int]:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/ranges")
-        return sorted(int(s.getPath().getName()[4:]) for s in self._fs.listStatus(p) if s.getPath().getName().startswith("gen=")) if self._fs.exists(p) else []
+        done = [s.getPath() for s in self._fs.listStatus(p)] if self._fs.exists(p) else []
+        marked = lambda x: self._fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))
+        return sorted(int(x.getName()[4:]) for x in done if x.getName().startswith("gen=") and marked(x))
 
     def _settings(self) -> dict:
         (row,) = self.spark.read.text(f"{self.path}/settings").collect()
