@@ -8,6 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import written
 from .order import numbered
 
 
@@ -95,24 +96,65 @@ def issues(*frames: tuple[str, str, DataFrame]) -> DataFrame:
     return numbered(all_of.withColumn("_level", level), "place", "_level", "category", "id").drop("_level")
 
 
-def related(entries: DataFrame, points: dict[str, int], days: int = 30, most: int = 5) -> DataFrame:
+def related(entries: DataFrame, points: dict[str, int], days: int = 30, most: int = 5, small: int = 64) -> DataFrame:
     """doc_id, related, score, place: for each entry the `most` others of highest score, then the nearest, then the greater id.
 
     entries: doc_id (unique), date (not null) and the columns of `points`. A column with the same value in both adds its
     points, nulls are never the same; a distance of up to `days` adds 10 less the days, 1 at least; at score 0 there is no
-    relation. Exact without making all pairs: of the entries that share just some set of columns with one, only the `most`
-    nearest can be among its best, so each set of columns is a block, in which an entry sees the greatest ids of its own
-    date and of the `most` dates before and after.
+    relation. Exact without making all pairs. Values of at most `small` entries are blocks compared in whole. Of the entries that
+    share just some set of more frequent values with one, only the `most` nearest can be among its best: such a block shows an
+    entry the greatest ids of its own date and of the `most` dates before and after. An entry sees the block of all its frequent
+    values first, and those of fewer only where their points could still reach its last place.
     """
-    sets = [c for n in range(len(points) + 1) for c in combinations(points, n)]
-    block = lambda c: F.when(reduce(lambda x, y: x & y, (F.col(k).isNotNull() for k in c), F.lit(True)), F.struct(F.lit(sum(points[k] for k in c)).alias("points"), F.to_json(F.struct(F.lit(",".join(c)).alias("of"), *c)).alias("key")))
-    rows = entries.select("doc_id", "date", F.explode(F.array_compact(F.array(*map(block, sets)))).alias("b")).select("doc_id", "date", "b.points", "b.key")
-    top = rows.withColumn("n", F.row_number().over(Window.partitionBy("key", "date").orderBy(F.desc("doc_id")))).filter(F.col("n") <= most + 1)
-    dates = top.groupBy("key", "date").agg(F.collect_list("doc_id").alias("ids"))
-    near = dates.select("key", "date", F.collect_list(F.struct("date", "ids")).over(Window.partitionBy("key").orderBy("date").rowsBetween(-most, most)).alias("near"))
-    seen = F.flatten(F.transform("near", lambda d: F.transform(d["ids"], lambda i: F.struct(F.abs(F.datediff(F.col("date"), d["date"])).alias("dist"), (-i).alias("minus")))))
-    best = F.slice(F.array_sort(F.filter(seen, lambda x: x["minus"] != -F.col("doc_id"))), 1, most)
-    pairs = rows.join(near, ["key", "date"]).select("doc_id", "points", F.explode(best).alias("x")).groupBy("doc_id", (-F.col("x.minus")).alias("related"), F.col("x.dist").alias("dist")).agg(F.max("points").alias("points"))
-    score = F.col("points") + F.when(F.col("dist") <= days, F.greatest(F.lit(1), 10 - F.least("dist", F.lit(9)))).otherwise(0)
-    w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "dist", F.desc("related"))
-    return pairs.select("doc_id", "related", score.cast("long").alias("score"), "dist").filter("score > 0").withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= most).drop("dist")
+    cols = list(points)
+    e = written(entries.select("doc_id", "date", *cols), "related")
+    for k in cols:
+        often = written(e.filter(F.col(k).isNotNull()).groupBy(k).count().filter(F.col("count") > small).select(k, F.lit(True).alias(f"_{k}")), "often")
+        e = e.join(often, k, "left").withColumn(f"_{k}", F.coalesce(f"_{k}", F.lit(False)))
+    e = written(e, "related")
+    score = lambda p, dist: (p + F.when(dist <= days, F.greatest(F.lit(1), 10 - F.least(dist, F.lit(9)))).otherwise(0)).cast("int")
+    place = lambda s, dist, i: F.struct((-s).alias("s"), dist.alias("dist"), (-i).alias("minus"))
+    sets = [c for n in range(len(cols), -1, -1) for c in combinations(cols, n)]
+    worth = lambda c: sum(points[k] for k in c)
+    of = F.concat_ws(",", *(F.when(F.col(f"_{k}"), F.lit(k)) for k in cols))
+    holds = lambda c: reduce(lambda x, y: x & y, (F.col(f"_{k}") for k in c), F.lit(True))
+    block = lambda c: F.when(holds(c), F.struct(F.lit(worth(c)).alias("points"), F.to_json(F.struct(F.lit(",".join(c)).alias("of"), *c)).alias("key")))
+
+    def rare(k: str) -> DataFrame:
+        """The best of those with the same rare value of a column."""
+        g = e.filter(F.col(k).isNotNull() & ~F.col(f"_{k}")).groupBy(k).agg(F.collect_list(F.struct("doc_id", "date", *cols)).alias("g")).filter("size(g) > 1")
+        g = g.select(F.explode("g").alias("a"), "g")
+        same = lambda x: reduce(lambda p, q: p + q, (F.when(x[c] == F.col("a")[c], points[c]).otherwise(0) for c in cols))
+        dist = lambda x: F.abs(F.datediff(F.col("a")["date"], x["date"]))
+        others = F.transform(F.filter("g", lambda x: x["doc_id"] != F.col("a")["doc_id"]), lambda x: place(score(same(x), dist(x)), dist(x), x["doc_id"]))
+        return g.select("a.doc_id", F.slice(F.sort_array(others), 1, most).alias("best"))
+
+    def frequent(asks: DataFrame, shown: list) -> DataFrame:
+        """The nearest in the blocks that are asked for (doc_id, date, points, key), which are of the sets shown."""
+        rows = e.select("doc_id", "date", F.explode(F.array_compact(F.array(*map(block, shown)))).alias("b")).select("doc_id", "date", "b.key")
+        top = rows.withColumn("n", F.row_number().over(Window.partitionBy("key", "date").orderBy(F.desc("doc_id")))).filter(F.col("n") <= most + 1)
+        dates = top.groupBy("key", "date").agg(F.collect_list("doc_id").alias("ids"))
+        near = dates.select("key", "date", F.collect_list(F.struct("date", "ids")).over(Window.partitionBy("key").orderBy("date").rowsBetween(-most, most)).alias("near"))
+        seen = F.flatten(F.transform("near", lambda d: F.transform(d["ids"], lambda i: F.struct(F.abs(F.datediff(F.col("date"), d["date"])).alias("dist"), (-i).alias("minus")))))
+        near = near.select("key", "date", F.slice(F.sort_array(seen), 1, most + 1).alias("near"))  # one of them may be the entry itself
+        best = F.slice(F.filter("near", lambda x: x["minus"] != -F.col("doc_id")), 1, most)
+        return asks.join(near, ["key", "date"]).select("doc_id", F.transform(best, lambda x: place(score(F.col("points"), x["dist"]), x["dist"], -x["minus"])).alias("best"))
+
+    def joined(parts: list[DataFrame]) -> DataFrame:
+        """Lists of one entry as one; of one id the highest score."""
+        ordered = reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("best")))).alias("all"))
+        return ordered.select("doc_id", F.slice(F.filter("all", lambda x, i: F.array_position(F.col("all")["minus"], x["minus"]) == i + 1), 1, most).alias("best"))
+
+    present = [tuple(x for x in r.of.split(",") if x) for r in e.select(of.alias("of")).distinct().collect()]  # no more than there are sets
+    if not present:
+        return e.select("doc_id", F.col("doc_id").alias("related"), F.lit(0).cast("long").alias("score"), F.lit(0).cast("long").alias("place"))
+    own = F.coalesce(*(F.when(of == ",".join(c), block(c)) for c in present))
+    asks = e.select("doc_id", "date", own.alias("b")).select("doc_id", "date", "b.points", "b.key")
+    first = written(joined([*(rare(k) for k in cols), frequent(asks, present)]), "best")
+    last = F.when(F.size("best") >= most, -F.col("best")[most - 1]["s"]).otherwise(0)
+    open_ = e.join(first.select("doc_id", last.alias("last")), "doc_id", "left").filter(F.coalesce("last", F.lit(0)) <= max((worth(c) for c in sets if c not in present or len(present) > 1), default=-11) + 10)
+    may = lambda c: F.when((of != ",".join(c)) & (F.coalesce("last", F.lit(0)) <= worth(c) + 10), block(c))
+    asks = written(open_.select("doc_id", "date", F.explode(F.array_compact(F.array(*map(may, sets)))).alias("b")).select("doc_id", "date", "b.points", "b.key"), "asks")
+    shown = [c for c in sets if not asks.filter(F.get_json_object("key", "$.of") == ",".join(c)).isEmpty()]
+    found = joined([first, frequent(asks, shown)]) if shown else first
+    return found.select("doc_id", F.posexplode("best").alias("k", "x")).filter("x.s < 0").select("doc_id", (-F.col("x.minus")).alias("related"), (-F.col("x.s")).cast("long").alias("score"), (F.col("k") + 1).cast("long").alias("place"))

@@ -345,3 +345,27 @@ def test_silence_of_a_stream_with_late_rows_and_restarts(spark):
     kept = [r for rows in files for r in rows if r != (2, at(12.5))]
     want = sorted((r.user_id, r["last"]) for r in silence.batch_silences(spark.createDataFrame(kept, schema), 6 * 3600, "2 hours").collect())
     assert got == want and (1, at(2)) in got and (2, at(11)) in got and (4, at(34)) in got and (3, at(60)) not in got
+
+
+@pytest.mark.parametrize("small", [0, 3, 64])
+def test_related_entries_by_rare_and_frequent_values(spark, small):
+    """Both ways against all pairs, with nulls; with rare values compared in whole fewer rows are made than one a set of columns."""
+    import random
+    from datetime import date, timedelta
+
+    from almanack.operators.graph import related
+
+    rnd = random.Random(7)
+    rows = [(i, date(2024, 1, 1) + timedelta(rnd.randrange(90)), rnd.choice([None, "a", "b", "c", "d"]), rnd.choice([None, "x", "y"]), i % 40) for i in range(120)]
+    points = {"p": 40, "q": 30, "r": 20}
+    found = related(spark.createDataFrame(rows, "doc_id long, date date, p string, q string, r int"), points, small=small)
+    expected = set()
+    for a in rows:
+        own = []
+        for b in rows:
+            gap = abs((a[1] - b[1]).days)
+            score = sum(n for k, n in enumerate(points.values()) if a[2 + k] is not None and a[2 + k] == b[2 + k]) + (max(1, 10 - min(gap, 9)) if gap <= 30 else 0)
+            if a[0] != b[0] and score > 0:
+                own.append((-score, gap, -b[0]))
+        expected |= {(a[0], -i, -s, k + 1) for k, (s, _, i) in enumerate(sorted(own)[:5])}
+    assert {(r.doc_id, r.related, r.score, r.place) for r in found.collect()} == expected
