@@ -369,3 +369,20 @@ def test_related_entries_by_rare_and_frequent_values(spark, small):
                 own.append((-score, gap, -b[0]))
         expected |= {(a[0], -i, -s, k + 1) for k, (s, _, i) in enumerate(sorted(own)[:5])}
     assert {(r.doc_id, r.related, r.score, r.place) for r in found.collect()} == expected
+
+
+def test_names_that_begin_alike_meet_only_their_own_places(spark):
+    """Rows that the joins make grow with the places, not with the names that begin as they do."""
+    texts = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("by Unit#"), "id", F.lit(" and Unit#"), F.col("id") + 1).alias("text"))
+    dictionary = spark.range(1000).select(F.concat(F.lit("e"), "id").alias("entity_id"), F.concat(F.lit("unit#"), "id").alias("name"))
+    hits = names._hits(texts, names._forms(dictionary)[0], "text", "doc_id")
+    assert hits.count() == 400
+    seen = {(r.doc_id, r.entity_id, r.n) for r in names.embedded_names(texts, dictionary).collect()}
+    assert seen == {(i, f"e{k}", 1) for i in range(200) for k in (i, i + 1)}
+
+
+def test_mentions_of_entities_with_a_name_in_common(spark):
+    entries = spark.createDataFrame([(i, dt.date(2024, 1, 1) + dt.timedelta(i // 2), "Ann Ann" if i % 3 else "Bo, ann") for i in range(60)], "doc_id long, date date, body string")
+    dictionary = spark.createDataFrame([("x", "ann"), ("y", "Ann"), ("y", "bo"), ("z", "bo")], "entity_id string, name string")
+    found = {(r.entity_id, r.place): r.doc_id for r in names.mentions_of(entries, dictionary, 5).collect()}
+    assert found == {(e, k + 1): i for e, ids in (("x", range(59, -1, -1)), ("y", range(59, -1, -1)), ("z", range(57, -1, -3))) for k, i in enumerate(list(ids)[:5])}
