@@ -2,8 +2,9 @@
 
 Layout below a path, a folder a generation:
 
-* postings/gen=g: a row a block: term, range_no, n, max_tf, min_dl, min_day, max_day and, by id, docs, days, tfs, dls. Files
-  are cut by ranges of terms and sorted, so a query's terms are found by the row groups' statistics;
+* postings/gen=g: a row a block: term, range_no, n, max_tf, min_dl, min_day, max_day and, by id, docs, days, tfs, dls. Each
+  file is sorted by term, so a query's terms are found by the statistics of row groups and pages. Postings are shuffled once, as
+  parts of blocks; compact() shuffles none;
 * ranges/gen=g: range_no, n_docs, sum_dl and a fingerprint of the ranges that the generation holds. It is written last and
   makes the generation visible; of a range the newest generation counts.
 
@@ -18,6 +19,7 @@ import json
 import math
 import re
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +31,8 @@ K1, B = 1.2, 0.75
 #: Bounds of a query: terms and characters.
 MOST_TERMS, MOST_CHARACTERS = 32, 1024
 _WORD = re.compile(r"[^\W_]+")
-_ROW = "term string, range_no long, doc_id long, day int, tf double, dl int"
+_LISTS = "docs array<long>, days array<int>, tfs array<double>, dls array<int>"
+_PART = "term string, range_no long, " + _LISTS
 _CJK = re.compile(CJK)
 
 
@@ -47,13 +50,13 @@ def query_terms(text: str, lattice: Lattice | None = None) -> list[str]:
 
 
 def _counted(weights: list[float], width: int, dictionary=None):
-    """Of each entry a row a term, and one with an empty term for the entry itself."""
+    """Parts of blocks: the postings of a term and a range in 256 entries; each entry is also one of the empty term."""
 
     def run(batches):
         lattice = Lattice(dictionary.value) if dictionary else None
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
-                batch, out = whole.slice(at, 256), []
+                batch, out = whole.slice(at, 256), {}
                 columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
                 for doc_id, day, *texts in zip(*columns, strict=True):
                     tf: Counter = Counter()
@@ -64,9 +67,13 @@ def _counted(weights: list[float], width: int, dictionary=None):
                         for w, n in Counter(words).items():
                             tf[w] += weight * n
                     tf[""] = 0.0
-                    out.extend((w, doc_id // width, doc_id, day, x, dl) for w, x in tf.items())
-                types = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(types)], names=[c.split()[0] for c in _ROW.split(", ")])
+                    for w, x in tf.items():
+                        out.setdefault((w, doc_id // width), []).append((doc_id, day, x, dl))
+                keys = [pa.array([k[0] for k in out], pa.string()), pa.array([k[1] for k in out], pa.int64())]
+                ends = pa.array([0, *accumulate(map(len, out.values()))], pa.int32())
+                flat = list(zip(*(r for rows in out.values() for r in rows))) or [()] * 4
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x, t)) for x, t in zip(flat, (pa.int64(), pa.int32(), pa.float64(), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*keys, *lists], names=[c.split()[0] for c in _PART.split(", ")])
 
     return run
 
@@ -104,12 +111,16 @@ class TextIndex:
         texts = own.select(F.col("doc_id").cast("long").alias("doc_id"), days.cast("int").alias("day"), *(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in columns))
         words = self._dictionary()
         shared = self.spark.sparkContext.broadcast(words) if words else None
-        rows = texts.mapInArrow(_counted(list(columns.values()), width, shared), _ROW)
-        blocks = rows.groupBy("term", "range_no").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.sum("dl").alias("sum_dl"), F.min("day").alias("min_day"), F.max("day").alias("max_day"), F.sort_array(F.collect_list(F.struct("doc_id", "day", "tf", "dl"))).alias("p"))
-        blocks = blocks.select("term", "range_no", "n", "max_tf", "min_dl", "min_day", "max_day", "sum_dl", F.col("p.doc_id").alias("docs"), F.col("p.day").alias("days"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"))
+        parts = texts.mapInArrow(_counted(list(columns.values()), width, shared), _PART)
+        names = ("docs", "days", "tfs", "dls")
+        lists = parts.groupBy("term", "range_no").agg(*(F.collect_list(c).alias(c) for c in names))  # of one row these are in the same order
+        by_id = F.sort_array(F.arrays_zip(*(F.flatten(c).alias(c) for c in names)))
+        blocks = lists.select("term", "range_no", by_id.alias("p")).select("term", "range_no", *(F.col("p")[c].alias(c) for c in names))
+        total = F.when(F.col("term") == "", F.aggregate("dls", F.lit(0).cast("long"), lambda x, y: x + y))
+        blocks = blocks.select("term", "range_no", F.size("docs").alias("n"), F.array_max("tfs").alias("max_tf"), F.array_min("dls").alias("min_dl"), F.array_min("days").alias("min_day"), F.array_max("days").alias("max_day"), total.alias("sum_dl"), *names)
         to = f"{self.path}/postings/gen={gen}"
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        blocks.repartitionByRange(n, "term", "range_no").sortWithinPartitions("term", "range_no").write.mode("overwrite").parquet(to)
+        blocks.sortWithinPartitions("term", "range_no").write.mode("overwrite").parquet(to)
         held = self.spark.read.parquet(to).filter("term = ''").select("range_no", F.col("n").cast("long").alias("n_docs"), F.col("sum_dl").cast("long").alias("sum_dl"))
         held = held.join(self._prints(entries, settings), "range_no", "left")
         if ranges is not None:  # ranges that have lost all their entries are told too
@@ -140,7 +151,9 @@ class TextIndex:
         settings = self._settings()
         gen = self._generations()[-1] + 1 if gen is None else gen
         number = F.floor(F.col("doc_id") / settings["width"]).cast("long")
-        ranges = changed.filter("doc_id is not null").select(number.alias("range_no")).distinct()
+        path = f"{self.path}/changed"  # a small file, so that Spark knows that it is and moves no texts to join it
+        changed.filter("doc_id is not null").select(number.alias("range_no")).distinct().write.mode("overwrite").parquet(path)
+        ranges = self.spark.read.schema("range_no long").parquet(path)
         self._write(entries.join(ranges, number == F.col("range_no"), "left_semi"), gen, settings, ranges)
         return gen
 
@@ -169,8 +182,7 @@ class TextIndex:
             return
         gen, cur = gens[-1] + 1, self.current()
         blocks = self._postings().join(cur.select("range_no", "gen"), ["range_no", "gen"], "left_semi").drop("gen")
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        blocks.repartitionByRange(n, "term", "range_no").sortWithinPartitions("term", "range_no").write.mode("overwrite").parquet(f"{self.path}/postings/gen={gen}")
+        blocks.sortWithinPartitions("term", "range_no").write.mode("overwrite").parquet(f"{self.path}/postings/gen={gen}")
         cur.filter("n_docs > 0").select("range_no", "n_docs", "sum_dl", "print").write.mode("overwrite").parquet(f"{self.path}/ranges/gen={gen}")
         for g in gens:
             for part in ("ranges", "postings"):

@@ -386,3 +386,17 @@ def test_mentions_of_entities_with_a_name_in_common(spark):
     dictionary = spark.createDataFrame([("x", "ann"), ("y", "Ann"), ("y", "bo"), ("z", "bo")], "entity_id string, name string")
     found = {(r.entity_id, r.place): r.doc_id for r in names.mentions_of(entries, dictionary, 5).collect()}
     assert found == {(e, k + 1): i for e, ids in (("x", range(59, -1, -1)), ("y", range(59, -1, -1)), ("z", range(57, -1, -3))) for k, i in enumerate(list(ids)[:5])}
+
+
+def test_index_shuffles_parts_of_blocks_once(spark, tmp_path):
+    """A word of all entries goes through the shuffle a few times a range, and compaction keeps what a search finds."""
+    from almanack.sources import text_index
+
+    entries = spark.range(512).select(F.col("id").alias("doc_id"), F.concat(F.lit("all w"), F.col("id") % 8).alias("text"))
+    parts = entries.coalesce(1).mapInArrow(text_index._counted([1.0], 256), text_index._PART)
+    assert parts.filter("term = 'all'").count() <= 4 and parts.filter("term = 'all'").agg(F.sum(F.size("docs"))).collect()[0][0] == 512
+    index = TextIndex(spark, fresh(spark, "index")).build(entries, {"text": 1.0}, width=256)
+    index.update(entries.filter("doc_id <> 5"), spark.range(5, 6).select(F.col("id").alias("doc_id")))
+    before = [tuple(r) for r in index.search(["all", "w5"], 20).collect()]
+    index.compact()
+    assert [tuple(r) for r in index.search(["all", "w5"], 20).collect()] == before and before[0][0] == 13
