@@ -393,10 +393,21 @@ def test_index_shuffles_parts_of_blocks_once(spark, tmp_path):
     from almanack.sources import text_index
 
     entries = spark.range(512).select(F.col("id").alias("doc_id"), F.concat(F.lit("all w"), F.col("id") % 8).alias("text"))
-    parts = entries.coalesce(1).mapInArrow(text_index._counted([1.0], 256), text_index._PART)
+    parts = entries.select("doc_id", F.lit(None).cast("int").alias("day"), "text").coalesce(1).mapInArrow(text_index._counted([1.0], 256), text_index._PART)
     assert parts.filter("term = 'all'").count() <= 4 and parts.filter("term = 'all'").agg(F.sum(F.size("docs"))).collect()[0][0] == 512
     index = TextIndex(spark, fresh(spark, "index")).build(entries, {"text": 1.0}, width=256)
     index.update(entries.filter("doc_id <> 5"), spark.range(5, 6).select(F.col("id").alias("doc_id")))
     before = [tuple(r) for r in index.search(["all", "w5"], 20).collect()]
     index.compact()
     assert [tuple(r) for r in index.search(["all", "w5"], 20).collect()] == before and before[0][0] == 13
+
+
+def test_duplicates_make_each_pair_once_and_shuffle_none(spark):
+    from almanack.operators.entities import duplicates
+
+    rows = [(i, ["Anna", "Ana", "Bob"][i % 3], [f"a{i % 4}", f"b{i % 4}"], "confirmed") for i in range(36)]
+    found = duplicates(spark.createDataFrame(rows, "id long, name string, aliases array<string>, status string"), spark.createDataFrame([(4, 0)], "a long, b long"))
+    rank = lambda a, b: "alias_overlap" if a[1] == b[1] or set(a[2]) & set(b[2]) else "edit_distance" if {a[1], b[1]} == {"Anna", "Ana"} else None
+    expected = sorted((a[0], b[0], rank(a, b)) for a, b in itertools.combinations(rows, 2) if rank(a, b) and (a[0], b[0]) != (0, 4))
+    assert sorted((r.id1, r.id2, r.signal) for r in found.collect()) == expected
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
