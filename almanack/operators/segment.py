@@ -12,7 +12,9 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,26 +76,40 @@ class Lattice:
         self.costs = {w: math.log(total) - math.log(n) for w, n in counts.items()}
         self.longest = max(map(len, counts), default=1)
         self.unknown = math.log(total) + math.log(100)  # of a character that is no word
+        # a node is the cost of the word that ends there (of none: infinite) and the nodes behind it
+        self.root: dict[str, tuple[float, dict]] = {}
+        none: dict = {}
+        for word in sorted(self.costs):  # so a word comes after those that it begins with
+            nodes = self.root
+            for end in range(1, len(word)):
+                c, after = nodes.get(word[end - 1]) or (self.cost(word[:end]), none)
+                if after is none:
+                    after = {}
+                    nodes[word[end - 1]] = c, after
+                nodes = after
+            if word:
+                nodes[word[-1]] = self.costs[word], none
 
     def cost(self, word: str) -> float:
         return self.costs.get(word, self.unknown if len(word) == 1 else math.inf)
 
     def cut(self, run: str) -> list[str]:
-        """Of equally likely cuts the one with the longer last word."""
-        best, back, get = [0.0], [0], self.costs.get
-        for end in range(1, len(run) + 1):
-            low, at = math.inf, end - 1
-            for begin in range(max(0, end - self.longest), end):
-                c = get(run[begin:end])
-                if c is None:
-                    if begin < end - 1:
-                        continue
-                    c = self.unknown
-                if best[begin] + c < low:
-                    low, at = best[begin] + c, begin
-            best.append(low)
-            back.append(at)
-        out, end = [], len(run)
+        """Of equally likely cuts the one with the longer last word. From each place only beginnings of words are followed."""
+        size, root, longest, unknown = len(run), self.root, self.longest, self.unknown
+        best, back = [0.0] + [math.inf] * size, [0] * (size + 1)
+        for begin in range(size):
+            low, nodes, end = best[begin], root, begin
+            for letter in run[begin : begin + longest]:
+                node = nodes.get(letter)
+                if node is None:
+                    break
+                end += 1
+                c, nodes = node
+                if low + c < best[end]:
+                    best[end], back[end] = low + c, begin
+            if end == begin and low + unknown < best[end + 1]:
+                best[end + 1], back[end + 1] = low + unknown, begin
+        out, end = [], size
         while end:
             out.append(run[back[end] : end])
             end = back[end]
@@ -118,12 +134,21 @@ def segmented(texts: DataFrame, counts: dict[str, int], column: str = "text", id
 def cut_quality(found: DataFrame, true: DataFrame, by: str, id_col: str = "doc_id") -> DataFrame:
     """by, n_true, n_found, n_right, f1 of words compared by their places in the text without spaces. found and true: id_col, words; true also has `by`."""
 
-    def spans(words):
-        """A word as its end and its length."""
-        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-        step = lambda acc, w: F.struct((acc["at"] + F.length(w)).alias("at"), F.concat(acc["out"], F.array(F.concat_ws(":", (acc["at"] + F.length(w)).cast("string"), F.length(w).cast("string")))).alias("out"))
-        return F.aggregate(words, none, step)["out"]
-
-    both = true.select(id_col, by, spans(F.col("words")).alias("t")).join(found.select(id_col, spans(F.col("words")).alias("f")), id_col)
+    def spans(batches):
+        """A word as its end and its length, in one number; in time in proportion to the words."""
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):
+                batch = whole.slice(k, 256)
+                words = batch.column(1)
+                flat, at = words.flatten(), np.cumsum([0, *words.value_lengths().fill_null(0).to_pylist()])
+                size = pc.fill_null(pc.utf8_length(flat), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                ends = np.cumsum(np.append(0, size))
+                own = ends[1:] - np.repeat(ends[at[:-1]], np.diff(at))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(own << 32 | size, pa.int64())), *batch.columns[2:]], names=batch.schema.names)
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    t = true.select(id_col, F.col("words").alias("t"), by).mapInArrow(spans, f"{id_col} {kind(true, id_col)}, t array<long>, {by} {kind(true, by)}")
+    f = found.select(id_col, F.col("words").alias("f")).mapInArrow(spans, f"{id_col} {kind(found, id_col)}, f array<long>")
+    both = t.join(f, id_col)
     sums = both.groupBy(by).agg(F.sum(F.size("t")).alias("n_true"), F.sum(F.size("f")).alias("n_found"), F.sum(F.size(F.array_intersect("t", "f"))).alias("n_right"))
     return sums.withColumn("f1", F.round(2 * F.col("n_right") / (F.col("n_true") + F.col("n_found")), 4))

@@ -156,8 +156,10 @@ def a8_term_menu_of_summaries(spark, d):
 @query()
 def r1_segmentation(spark, d):
     """Documents without their spaces, cut again by a dictionary of their words: how many words come out right, by language."""
-    docs = D.table(spark, d, "documents").select("doc_id", "lang", "text")
-    true = written(docs.select("doc_id", "lang", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0).alias("words")).filter("size(words) > 0"), "words")
+    # dealt out first: a file's parts may be few and unlike, and the cutting takes long
+    docs = D.table(spark, d, "documents").select("doc_id", "lang", "text").repartition("doc_id")
+    docs = written(docs.withColumn("words", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0)), "words")
+    true = docs.select("doc_id", "lang", "words").filter("size(words) > 0")
     counts = G.word_counts(docs) | G.free_strings(docs)
     found = G.segmented(true.select("doc_id", F.array_join("words", "").alias("text")), counts, pattern=r"\S+")
     return G.cut_quality(found, true, "lang")

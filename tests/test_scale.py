@@ -4,6 +4,7 @@ import datetime as dt
 import itertools
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -323,6 +324,32 @@ def test_words_of_unspaced_text_by_branching_entropy(spark):
     assert all("".join(got[i]) == t for i, t in texts[:200]) and set(got[0]) <= set(words) and got[900] == []
 
 
+def test_cutting_follows_beginnings_of_words_only():
+    counts = {"a": 5, "ab": 4, "b" * 6000: 2, "cab": 3}
+    t = time.monotonic()
+    lattice = segment.Lattice(counts)
+    assert lattice.cut("cabab" * 6000) == ["cab", "ab"] * 6000 and lattice.cut("b" * 6000 + "xab") == ["b" * 6000, "x", "ab"]
+    assert time.monotonic() - t < 30  # trying each length at each place takes minutes
+
+
+def test_quality_of_cuts_of_long_texts(spark):
+    r = random.Random(21)
+    texts = [(i, r.choice(["en", None]), [r.choice(["a", "bc", "日本", "def", "𝒳y"]) for _ in range(n)]) for i, n in enumerate([0, 1, 5, 40, 200_000])]
+    again = lambda ws: [x for w in ws for x in ([w[:1], w[1:]] if len(w) > 1 and r.random() < 0.3 else [w])]
+    cuts = [(i, again(ws)) for i, _, ws in texts] + [(77, ["other"])]
+    ends = lambda ws: set(zip(itertools.accumulate(map(len, ws)), map(len, ws), strict=True))
+    want = {}
+    for (_, lang, t), (_, f) in zip(texts, cuts, strict=False):
+        n = want.setdefault(lang, [0, 0, 0])
+        for k, x in enumerate((len(t), len(f), len(ends(t) & ends(f)))):
+            n[k] += x
+    true, found = spark.createDataFrame(texts, "doc_id long, lang string, words array<string>"), spark.createDataFrame(cuts, "doc_id long, words array<string>")
+    rows = segment.cut_quality(found, true, "lang")
+    # words are placed in time in proportion to them, not by arrays that grow word by word
+    assert "aggregate(" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert {x.lang: [x.n_true, x.n_found, x.n_right] for x in rows.collect()} == want
+
+
 # streams --------------------------------------------------------------------------------------------------------------
 def test_silence_of_a_stream_with_late_rows_and_restarts(spark):
     day = dt.datetime(2024, 5, 1)
