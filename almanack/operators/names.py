@@ -36,8 +36,8 @@ def _hits(texts: DataFrame, forms: DataFrame, text_col: str, *keep: str) -> Data
     heads = written(forms.groupBy(F.col("own")[0].alias("head")).agg(F.collect_set("n").alias("ns")), "heads")
     most = forms.agg(F.max("n").alias("most"))  # one row
     t = texts.select(*keep, pieces(text_col).alias("all")).filter("size(all) > 0").crossJoin(F.broadcast(most)).filter("most is not null")
-    at = F.posexplode(F.transform("all", lambda w, i: F.slice("all", i + 1, F.col("most")))).alias("start", "ahead")
-    rows = t.select(*keep, at).withColumn("head", F.col("ahead")[0]).join(heads, "head")
+    # a place carries no more pieces than the longest form has, and these are copied only where a form begins
+    rows = t.select(*keep, "all", "most", F.posexplode("all").alias("start", "head")).select(*keep, "start", "head", F.slice("all", F.col("start") + 1, F.col("most")).alias("ahead")).join(heads, "head")
     rows = rows.select(*keep, "start", "ahead", F.explode("ns").alias("n")).filter(F.col("n") <= F.size("ahead")).select(*keep, "start", F.slice("ahead", F.lit(1), F.col("n")).alias("own"))
     found = rows.withColumn("key", F.xxhash64("own")).join(forms.withColumnRenamed("own", "_own").withColumn("key", F.xxhash64("_own")), "key")
     return found.filter("own = _own").select(*keep, "start", "form", "n", "size")

@@ -408,6 +408,13 @@ def test_names_that_begin_alike_meet_only_their_own_places(spark):
     assert seen == {(i, f"e{k}", 1) for i in range(200) for k in (i, i + 1)}
 
 
+def test_places_without_a_name_carry_no_pieces(spark):
+    texts = spark.range(20).select(F.col("id").alias("doc_id"), F.lit("from Acme Works; by Bolt").alias("text"))
+    found = names.occurrences(texts, spark.createDataFrame([("a", "acme works"), ("b", "bolt"), ("c", "works of acme ltd")], "entity_id string, name string"))
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()  # no array of windows for all places of a text
+    assert {(x.start, x.n, x.entity_id) for x in found.collect()} == {(1, 2, "a"), (5, 1, "b")} and found.count() == 40
+
+
 def test_mentions_of_entities_with_a_name_in_common(spark):
     entries = spark.createDataFrame([(i, dt.date(2024, 1, 1) + dt.timedelta(i // 2), "Ann Ann" if i % 3 else "Bo, ann") for i in range(60)], "doc_id long, date date, body string")
     dictionary = spark.createDataFrame([("x", "ann"), ("y", "Ann"), ("y", "bo"), ("z", "bo")], "entity_id string, name string")
