@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.store import written
 
 SALTS = 8
+LEAF_SALTS = 32
 
 
 def all_neighbours(edges: DataFrame, starts: DataFrame, hops: int = 3, hub: int = 1000) -> DataFrame:
@@ -15,29 +16,45 @@ def all_neighbours(edges: DataFrame, starts: DataFrame, hops: int = 3, hub: int
 
     edges: source, relation, target, followed both ways; starts: id. The frontier has a row a start and node that the last hop
     reached first. Nodes with more than `hub` edges have them dealt over salts, and only their frontier rows are copied. Each hop is
-    written, so a lost executor costs a hop; it stops where nothing new is reached.
+    written, so a lost executor costs a hop; it stops where nothing new is reached. All least paths of a start with one edge begin
+    with it, so such a start isn't followed: it has what its neighbour reaches in a hop less, by one join whose rows go out as they are.
     """
     e = edges.select("source", "relation", "target").distinct()
     way = lambda a, b: e.select(F.col(a).alias("at"), F.col(b).alias("to"), "relation", "source", "target")
     both = way("source", "target").unionByName(way("target", "source"))
-    hubs = written(both.groupBy("at").count().filter(F.col("count") > hub).select(F.col("at"), F.lit(True).alias("hub")), "hubs")
+    degrees = written(both.groupBy("at").count(), "degrees")
+    hubs = degrees.filter(F.col("count") > hub).select(F.col("at"), F.lit(True).alias("hub"))
     both = written(both.join(hubs, "at", "left").withColumn("salt", F.when(F.col("hub"), F.pmod(F.xxhash64("to"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hub"), "ways")
     none = F.array().cast("array<string>")
-    front = written(starts.filter("id is not null").select(F.col("id").alias("start"), "id", none.alias("relations"), none.alias("sources"), none.alias("targets")).distinct(), "front")
+    own = starts.filter("id is not null").select(F.col("id").alias("at")).distinct().join(degrees, "at", "left")
+    leaves = written(own.filter("count = 1").select("at").join(both, "at").select(F.col("at").alias("leaf"), "to", "relation", "source", "target"), "leaves")
+    # `most`: hops of starts that are followed for themselves, one less for those that are followed for leaves only
+    followed = own.filter("count is null or count > 1").select("at", F.lit(hops).alias("most")).unionByName(leaves.select(F.col("to").alias("at"), F.lit(hops - 1).alias("most")))
+    front = written(followed.groupBy("at").agg(F.max("most").alias("most")).select(F.col("at").alias("start"), F.col("at").alias("id"), "most", none.alias("relations"), none.alias("sources"), none.alias("targets")), "front")
     seen, reached = front.select("start", "id"), None
     add = lambda c, x: F.concat(F.col(c), F.array(x))
     for h in range(1, hops + 1):
         copies = F.explode(F.when(F.col("hub"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
-        at = front.withColumnRenamed("id", "at").join(hubs, "at", "left").withColumn("salt", copies).drop("hub")
-        near = at.join(both, ["at", "salt"]).select("start", F.col("to").alias("id"), add("relations", "relation").alias("relations"), add("sources", "source").alias("sources"), add("targets", "target").alias("targets"))
-        near = near.join(seen, ["start", "id"], "left_anti").groupBy("start", "id").agg(F.min(F.struct("relations", "sources", "targets")).alias("p")).select("start", "id", "p.*")
+        at = front.filter(F.col("most") >= h).withColumnRenamed("id", "at").join(hubs, "at", "left").withColumn("salt", copies).drop("hub")
+        near = at.join(both, ["at", "salt"]).select("start", "most", F.col("to").alias("id"), add("relations", "relation").alias("relations"), add("sources", "source").alias("sources"), add("targets", "target").alias("targets"))
+        near = near.join(seen, ["start", "id"], "left_anti").groupBy("start", "most", "id").agg(F.min(F.struct("relations", "sources", "targets")).alias("p")).select("start", "id", "most", "p.*")
         front = written(near, "front")
         found = front.withColumn("hops", F.lit(h).cast("long"))
         reached = found if reached is None else reached.unionByName(found)
         seen = seen.unionByName(front.select("start", "id"))
         if h < hops and front.isEmpty():
             break
-    return reached.select("start", "id", "hops", "relations", "sources", "targets")
+    columns = ("start", "id", "hops", "relations", "sources", "targets")
+    first = leaves.select(F.col("leaf").alias("start"), F.col("to").alias("id"), F.lit(1).cast("long").alias("hops"), *(F.array(c).alias(f"{c}s") for c in ("relation", "source", "target")))
+    # leaves of a hub are dealt over salts, and what the hub reaches is copied to each; small as both sides are, their product isn't,
+    # so neither is sent to all tasks and partitions aren't put together
+    n = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deal = lambda df, salt: df.withColumn("salt", salt).repartition(n, "to", "salt")
+    dealt = deal(leaves, F.pmod(F.xxhash64("leaf"), F.lit(LEAF_SALTS)).cast("int"))
+    beyond = deal(reached.filter(F.col("hops") < hops).withColumnRenamed("start", "to"), F.explode(F.sequence(F.lit(0), F.lit(LEAF_SALTS - 1)))).hint("merge")
+    before = lambda c: F.concat(F.array(c), F.col(f"{c}s")).alias(f"{c}s")
+    rest = dealt.join(beyond, ["to", "salt"]).filter("id <> leaf").select(F.col("leaf").alias("start"), "id", (F.col("hops") + 1).alias("hops"), before("relation"), before("source"), before("target"))
+    return reached.filter(F.col("most") == hops).select(*columns).unionByName(first).unionByName(rest)
 
 
 def active_merges(log: DataFrame) -> DataFrame:

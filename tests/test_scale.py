@@ -234,6 +234,24 @@ def test_neighbours_of_all_starts_like_walks(spark, hub):
     assert got == best
 
 
+def test_neighbours_of_leaves_without_their_pairs(spark, monkeypatch):
+    edges = [(f"s{i}", "in", f"n{i % 2}") for i in range(120)] + [("n0", "of", "r"), ("n1", "of", "r"), ("p", "with", "q")]
+    rows = []
+
+    def counted(df, what):
+        rows.append(df.count())
+        return kept(df, what)
+
+    kept = reach.written
+    monkeypatch.setattr(reach, "written", counted)
+    starts = spark.createDataFrame([(x,) for x in {v for a, _, b in edges for v in (a, b)}], "id string")
+    found = reach.all_neighbours(spark.createDataFrame(edges, "source string, relation string, target string"), starts, 3, 50)
+    assert sum(rows) < 15 * len(edges)  # in all; pairs of leaves are 7,080 and are in the result only
+    got = {(x.start, x.id): (x.hops, *x.relations) for x in found.collect()}
+    assert found.count() == len(got) == 2 * 60 * 59 + 3 * 120 + (2 * 120 + 4) + (2 + 120) + 2
+    assert got["s0", "s2"] == (2, "in", "in") and got["s0", "n1"] == (3, "in", "of", "of") and got["n0", "s1"] == (3, "of", "of", "in") and got["p", "q"] == (1, "with")
+
+
 def test_merges_through_chains_rings_and_undo(spark):
     log = [(1, "a", "b", None), (2, "b", "c", None), (3, "c", "d", None), (4, "x", "y", None), (5, "y", "z", None), (6, "z", "x", None), (7, "p", "x", None), (8, "b", "q", None), (9, "s", "s", None), (10, "u", "v", None), (11, None, None, 10), (12, None, "a", None), (13, "k0", "k1", None)]
     log += [(100 + i, f"k{i}", f"k{i + 1}", None) for i in range(1, 40)] + [(200, "m", "n", None), (201, "n", "m", None)]
