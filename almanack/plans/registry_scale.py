@@ -29,11 +29,11 @@ def t1_t2_k3_levelled_runs(spark, d):
     """A history made from orders, in four batches: all; finished ones dearer; pending ones deleted; urgent ones cheaper, deleted ones among them."""
     o = D.table(spark, d, "orders")
     row = lambda rows, price, version, gone=False: rows.select("o_orderkey", F.col("o_orderstatus").alias("status"), (F.col("o_totalprice") + price).alias("price"), F.lit(version).cast("long").alias("version"), F.lit(gone).alias("deleted"))
-    queue = fresh(spark, "queue")
-    for part in (row(o, 0.0, 1), row(o.filter("o_orderstatus = 'F'"), 1.0, 2), row(o.filter("o_orderstatus = 'P'"), 0.0, 3, True), row(o.filter("o_orderpriority = '1-URGENT'"), -1.0, 4)):
-        part.coalesce(1).write.mode("append").parquet(queue)
+    queue, checkpoint = fresh(spark, "queue"), fresh(spark, "runs-checkpoint")
     runs = Runs(spark, fresh(spark, "runs"), _ROW, "o_orderkey", fanout=2)
-    runs.consume(queue, fresh(spark, "runs-checkpoint"), files=1)
+    for part in (row(o, 0.0, 1), row(o.filter("o_orderstatus = 'F'"), 1.0, 2), row(o.filter("o_orderstatus = 'P'"), 0.0, 3, True), row(o.filter("o_orderpriority = '1-URGENT'"), -1.0, 4)):
+        part.write.mode("append").parquet(queue)
+        runs.consume(queue, checkpoint)  # all files that came are a batch
     return runs.read()
 
 

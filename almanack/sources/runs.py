@@ -48,12 +48,16 @@ class Runs:
         return self.spark.read.schema(self.stored).parquet(*(f"{self.path}/run={n}" for n in names)) if names else self.spark.createDataFrame([], self.stored)
 
     def _latest(self, rows: DataFrame) -> DataFrame:
-        """The row of the greatest version of each key, of equal versions that of the later batch."""
+        """The row of the greatest version of each key, of equal versions that of the later batch.
+
+        Rows are dealt out by key before they are grouped: they are sorted for it, and a part of a file may be more than a task can sort.
+        """
         kept = F.max_by(F.struct(*self.stored.names), F.struct(self.version, "_batch"))
-        return rows.groupBy(F.col(self.key).alias("_k")).agg(kept.alias("_r")).select("_r.*")
+        return rows.repartition(self.key).groupBy(F.col(self.key).alias("_k")).agg(kept.alias("_r")).select("_r.*")
 
     def _save(self, rows: DataFrame, name: str) -> None:
-        rows.repartition(self.key).sortWithinPartitions(self.key).write.mode("overwrite").parquet(f"{self.path}/run={name}")
+        """Rows of _latest(), so dealt out by key."""
+        rows.sortWithinPartitions(self.key).write.mode("overwrite").parquet(f"{self.path}/run={name}")
 
     def apply(self, batch: DataFrame, number: int) -> None:
         """Take in one batch. Rows without a key are left out; a null `deleted` is false."""

@@ -318,6 +318,17 @@ def test_top_terms_with_few_counters(spark):
         assert [(x.term, x.df) for x in sketches.top_terms(df, k, most=most).collect()] == want[:k]
 
 
+def test_runs_sort_no_rows_before_they_are_dealt_out(spark):
+    runs = Runs(spark, fresh(spark, "runs"), "k long, v string, version long, deleted boolean", "k", fanout=2)
+    for n in range(3):
+        runs.apply(spark.createDataFrame([(k, f"{n}", n, k == 7) for k in range(n, 20)], "k long, v string, version long, deleted boolean"), n)
+    found = runs.read()
+    assert {(r.k, r.v) for r in found.collect()} == {(0, "0"), (1, "1"), *((k, "2") for k in range(2, 20) if k != 7)}
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    ready = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert ready.count("Exchange") == 1 and "Sort" not in ready.split("Exchange")[1], plan
+
+
 # segmentation ---------------------------------------------------------------------------------------------------------
 def test_lattice_takes_the_likeliest_cut():
     r = random.Random(12)
