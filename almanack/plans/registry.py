@@ -15,6 +15,7 @@ from ..operators import graph as G
 from ..operators import quality as Q
 from ..operators import search as S
 from ..sources import adapters as D
+from ..sources.store import dealt
 from ..streaming import incremental as I
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -381,7 +382,8 @@ def j11_a14_cooccurrence(spark, d):
 @query(f"""WITH o AS (SELECT * FROM {OR}), p AS (SELECT a.doc_id, b.doc_id AS related, 40 + CASE WHEN a.topic = b.topic THEN 20 ELSE 0 END + CASE WHEN a.tag = b.tag THEN 15 ELSE 0 END + greatest(1, 10 - least(abs(a.date - b.date), 9)) AS score, abs(a.date - b.date) AS dist FROM o a JOIN o b ON a.person_id = b.person_id AND a.doc_id <> b.doc_id)
 SELECT doc_id, related, CAST(score AS BIGINT) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, dist, related) AS place FROM p QUALIFY place <= 5""")
 def j9_o9_related_entries(spark, d):
-    o = D.order_entries(spark, d).select("doc_id", "person_id", "topic", "tag", "date")
+    # pairs are ranked where they are made, so their number tells how much a task sorts
+    o = dealt(D.order_entries(spark, d).select("doc_id", "person_id", "topic", "tag", "date"), "person_id")
     a, b = o.alias("a"), o.withColumnRenamed("doc_id", "related").alias("b")
     gap = F.abs(F.datediff("a.date", "b.date"))
     p = a.join(b, (F.col("a.person_id") == F.col("b.person_id")) & (F.col("doc_id") != F.col("related")))
@@ -511,8 +513,8 @@ NEW = "(SELECT l_orderkey AS doc_id, md5(CASE WHEN min(l_linestatus) <> max(l_li
 def _versions(spark, d):
     """Orders' states as recorded, and as their lines have them."""
     low, high = F.min("l_linestatus"), F.max("l_linestatus")
-    lines = D.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.md5(F.when(low != high, "P").otherwise(low)).alias("hash"))
-    return D.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.md5("o_orderstatus").alias("hash")), lines
+    lines = dealt(D.table(spark, d, "lineitem").select("l_orderkey", "l_linestatus"), "l_orderkey").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.md5(F.when(low != high, "P").otherwise(low)).alias("hash"))
+    return dealt(D.table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey").select(F.col("o_orderkey").alias("doc_id"), F.md5("o_orderstatus").alias("hash")), lines
 
 
 @query(f"SELECT doc_id, CASE WHEN a.hash IS NULL THEN 'added' WHEN b.hash IS NULL THEN 'removed' WHEN a.hash <> b.hash THEN 'updated' ELSE 'same' END AS change FROM {OLD} a FULL JOIN {NEW} b USING (doc_id)")

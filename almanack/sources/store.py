@@ -47,6 +47,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """df dealt out by hash to twice as many partitions as a shuffle has. They stay apart: what is made of them takes more memory than
+    their size tells. With as many, Spark would leave this out where rows lie so already, and put partitions together."""
+    return df.repartition(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     """Rows as JSON lines."""
     rows.write.mode("append").json(path)

@@ -26,6 +26,15 @@ def test_matches_sql(spark, con, name):
     assert rows or name in EMPTY
 
 
+@pytest.mark.parametrize("name", ["u4_k3_change_set", "q14_q5_freshness", "k7_u7_backup_diff", "j13_q2_index_consistency", "j9_o9_related_entries"])
+def test_rows_are_dealt_out_before_they_are_sorted(spark, name):
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan, plan
+    if name != "j9_o9_related_entries":  # no groups are made in the tasks that read
+        lines = plan.splitlines()
+        assert not any("Exchange hashpartitioning" in a and ("Aggregate" in b or "Sort" in b) for a, b in zip(lines, lines[1:], strict=False)), plan
+
+
 @pytest.mark.parametrize("name", sorted(registry.CASES))
 def test_cases(spark, con, name):
     mine, theirs = registry.CASES[name](spark, SF), con.execute(registry.CASE_SQL[name])
