@@ -35,15 +35,21 @@ class _Silence(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         times = sorted(int(t) for frame in rows for t in frame["us"])
-        merged: list[tuple[int, int]] = []
-        for first, last in sorted([*self._stretches(), *((t, t) for t in times)]):
+        before, merged = self._stretches(), []
+        for first, last in sorted([*before, *((t, t) for t in times)]):
             if merged and first - merged[-1][1] < self.gap:
                 merged[-1] = merged[-1][0], max(last, merged[-1][1])
             else:
                 merged.append((first, last))
-        self._keep(merged)
-        for _, last in merged:
-            self.handle.registerTimer((last + self.gap) // 1000 + 1)
+        if merged != before:
+            self._keep(merged)
+        # only timers of ends that changed: each is a message to the state store
+        old, new = {last for _, last in before}, {last for _, last in merged}
+        due = lambda ends: {(last + self.gap) // 1000 + 1 for last in ends}
+        for t in due(old) - due(new):
+            self.handle.deleteTimer(t)
+        for t in due(new) - due(old):
+            self.handle.registerTimer(t)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):

@@ -474,3 +474,34 @@ def test_duplicates_make_each_pair_once_and_shuffle_none(spark):
     expected = sorted((a[0], b[0], rank(a, b)) for a, b in itertools.combinations(rows, 2) if rank(a, b) and (a[0], b[0]) != (0, 4))
     assert sorted((r.id1, r.id2, r.signal) for r in found.collect()) == expected
     assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_timers_of_silence_only_where_ends_change():
+    import pandas as pd
+
+    class Handle:
+        rows, calls = [], []
+
+        def getListState(self, *_):
+            return self
+
+        def exists(self):
+            return bool(self.rows)
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows = rows
+
+        def registerTimer(self, t):
+            self.calls.append(("set", t))
+
+        def deleteTimer(self, t):
+            self.calls.append(("drop", t))
+
+    handle, own = Handle(), silence._Silence(10_000_000)
+    own.init(handle)
+    for us in ([0, 50_000_000], [1_000_000, 50_000_000], [50_000_000]):
+        own.handleInputRows((1,), iter([pd.DataFrame({"us": us})]), None)
+    assert sorted(handle.calls) == [("drop", 10_001), ("set", 10_001), ("set", 11_001), ("set", 60_001)]
