@@ -5,12 +5,14 @@ compiled with their ids (one or several) into a minimal acyclic automaton over b
 counts along the arcs add up to a word's number, which leads to its ids. The automaton is a few flat arrays in a file,
 which Spark ships to each executor and every worker maps into memory. Words that it doesn't have are merged by the exact
 BPE rule, long ones by a heap of pairs (n log n). A per-worker table, bounded in entries and bytes, keeps recent strings, so
-that a word is looked up or merged once in a while, not at each occurrence. Decoding starts from the ids. The counts are
-the only shuffle (one row per distinct word and task); each document is encoded where it is read.
+that a word is looked up or merged once in a while, not at each occurrence. New strings are cut, looked up, merged and
+packed many at once, as arrays of their bytes: most strings of a corpus are rare. Decoding starts from the ids. The counts
+are the only shuffle (one row per distinct word and task); each document is encoded where it is read.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import io
@@ -32,6 +34,36 @@ from .common import frees, fresh_path, hadoop_path, pieces, small_batches, table
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 
 
+_LONG = 1 << 16  # letters from which a string is cut into words by itself, which bounds the arrays of a block
+_OTHER, _LETTER, _NUMBER, _SPACE = range(4)
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """Of each code point: whether _WORDS takes it as a letter, a number, white space or neither."""
+    points = np.delete(np.arange(0x110000, dtype="<u4"), slice(0xD800, 0xE000))  # without surrogates
+    every, found = points.tobytes().decode("utf-32-le"), np.full(0x110000, _OTHER, np.uint8)
+    for kind, runs in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\p{White_Space}+")):
+        for m in regex.finditer(runs, every):
+            found[points[m.start() : m.end()]] = kind
+    return found
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions of spans, one span after another."""
+    end = np.cumsum(size)
+    return np.repeat(start - end + size, size) + np.arange(end[-1] if len(end) else 0)
+
+
+def _blocks(chunks: list[str], letters: int):
+    """The strings in lists of so many letters, up to one string more."""
+    at = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks))) // letters
+    edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(chunks)]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if a < b:
+            yield chunks[a:b]
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: printable ones for themselves, the rest from U+0100 on."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -57,7 +89,10 @@ class Model:
         self.pair_keys, self.pair_ranks = np.array([k for k, _ in by], np.int64), np.array([v[0] for _, v in by], np.int64)
         self.rank_ids, self.none = np.array([v[1] for v in self.merges.values()], np.int64), len(by)
         self.inner_ids, self.last_ids = np.array(self.inner, np.int64), np.array(self.last, np.int64)
-        self.shown = {i: t.encode() for i, t in self.names.items()}
+        self.nothing = max(self.names) + 1  # no token's id
+        shown = [(self.names.get(i, "") + " ").encode() for i in range(self.nothing)]
+        self.shown, self.shown_size = np.frombuffer(b"".join(shown), np.uint8), np.array([*map(len, shown)], np.int64)
+        self.shown_at = np.cumsum(self.shown_size) - self.shown_size
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word: the pair of the lowest rank is merged, the leftmost first, until there is none."""
@@ -81,57 +116,67 @@ class Model:
         return [x for x in ids if x >= 0]
 
     def merge_many(self, words: list[bytes]) -> list[np.ndarray]:
-        """merge() of many words at once: in each step every word merges its best pair; words of over 256 bytes one by one."""
-        out: list[np.ndarray] = [None] * len(words)  # type: ignore[list-item]
+        """merge() of many words at once."""
+        if not words:
+            return []
         size = np.fromiter(map(len, words), np.int64, len(words))
-        for low, high in ((0, 8), (8, 14), (14, 24), (24, 64), (64, 256)):
+        ids, count = self.merge_spans(np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size)
+        return np.split(ids, np.cumsum(count)[:-1])
+
+    def merge_spans(self, text: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """merge() of many spans of text at once: their ids, one span after another, and how many each has.
+
+        In each step every span merges its best pair; spans of over 256 bytes are merged one by one.
+        """
+        count, parts = np.zeros(len(size), np.int64), []
+        for low, high in ((0, 8), (8, 11), (11, 14), (14, 24), (24, 64), (64, 256)):
             rows = np.flatnonzero((size > low) & (size <= high))
-            most = (1 << 21) // high
+            most = (1 << 16) // high
             for k in range(0, len(rows), most):
                 part = rows[k : k + most]
-                for r, ids in zip(part, self._merge_rows([words[r] for r in part], size[part], high), strict=True):
-                    out[r] = ids
+                ids, count[part] = self._merge_rows(text, start[part], size[part], high)
+                parts.append((part, ids))
         for r in np.flatnonzero(size > 256):
-            out[r] = np.array(self.merge(words[r]), np.int64)
-        return out
+            ids = np.array(self.merge(text[start[r] : start[r] + size[r]].tobytes()), np.int32)
+            count[r] = len(ids)
+            parts.append((np.array([r]), ids))
+        at, out = np.cumsum(count) - count, np.empty(count.sum(), np.int32)
+        for part, ids in parts:
+            out[_spread(at[part], count[part])] = ids
+        return out, count
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Place of the pairs among the sorted merges; ranks of those that aren't there are `none`."""
-        key = a << 20 | b
+        key = a.astype(np.int64) << 20 | b
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == key, self.pair_ranks[at], self.none)
 
-    def _merge_rows(self, words: list[bytes], size: np.ndarray, width: int) -> list[np.ndarray]:
-        n = len(words)
-        text = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
-        ids = self.inner_ids[text]
-        ids[np.arange(n), size - 1] = self.last_ids[text[np.arange(n), size - 1]]
-        left = size.copy()
-        place = np.arange(width)
-        ranks = np.where(place[1:] < size[:, None], self._rank(ids[:, :-1], ids[:, 1:]), self.none)
-        live = np.arange(n)
-        while len(live):
-            i = ranks[live].argmin(1)
-            best = ranks[live, i]
-            ok = best < self.none
-            live, i, best = live[ok], i[ok], best[ok]
-            if not len(live):
-                break
-            own = ids[live]
-            own[np.arange(len(live)), i] = self.rank_ids[best]
-            keep = np.minimum(place + (place > i[:, None]), width - 1)  # the right part of the pair goes
-            own = np.take_along_axis(own, keep, 1)
-            r = np.take_along_axis(ranks[live], np.minimum(keep[:, :-1], width - 2), 1)
-            left[live] -= 1
-            last = left[live] - 1
-            k = np.arange(len(live))
-            r[place[None, 1:] > last[:, None]] = self.none
-            has = i > 0
-            r[k[has], i[has] - 1] = self._rank(own[k[has], i[has] - 1], own[k[has], i[has]])
-            has = i < last
-            r[k[has], i[has]] = self._rank(own[k[has], i[has]], own[k[has], i[has] + 1])
-            ids[live], ranks[live] = own, r
-        return [ids[k, : left[k]] for k in range(n)]
+    def _merge_rows(self, text: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of spans of width bytes at most. A column holds a span's tokens, with `nothing` before and after them, and links to those
+        beside each; a pair is its rank and its place in one number, so the least of a column is the pair to merge."""
+        n, none = len(size), self.none << 9
+        place, column = np.arange(width + 2, dtype=np.int32)[:, None], np.arange(n)
+        ids = np.full((width + 2, n), self.nothing, np.int32)
+        inside = (place[1:-1] <= size).nonzero()
+        ids[1:-1][inside] = self.inner_ids[text[start[inside[1]] + inside[0]]]
+        ids[size, column] = self.last_ids[text[start + size - 1]]
+        pairs = np.full((width + 2, n), none, np.int32)
+        inside = (place[1:-1] < size).nonzero()
+        pairs[1:-1][inside] = self._rank(ids[1:-1][inside], ids[2:][inside]) << 9 | inside[0] + 1
+        after, before = (place + 1).repeat(n, 1), (place - 1).repeat(n, 1)
+        while len(live := np.flatnonzero((best := pairs.min(0)) < none)):
+            best = best[live]
+            i = best & 511
+            h, j = before[i, live], after[i, live]
+            k = after[j, live]
+            merged = self.rank_ids[best >> 9]
+            ids[i, live], ids[j, live], pairs[j, live] = merged, -1, none  # the right part of the pair goes
+            after[i, live], before[k, live] = k, i
+            pairs[i, live] = self._rank(merged, ids[k, live]) << 9 | i
+            pairs[h, live] = self._rank(ids[h, live], merged) << 9 | h
+        own = ids[1:-1].T
+        left = (own >= 0) & (own < self.nothing)
+        return own[left], left.sum(1)
 
 
 def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
@@ -184,17 +229,20 @@ class Lexicon:
     """A compiled lexicon, mapped from its file."""
 
     def __init__(self, path: str):
-        flat = np.memmap(path, np.int64, "r")
+        flat = np.asarray(np.memmap(path, np.int64, "r"))
         edges = np.cumsum([7, *flat[:7]])
         root, self.keys, self.targets, self.skips, self.final, self.at, self.ids = (flat[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True))
         self.root = int(root[0])
 
     def find(self, words: list[bytes]) -> np.ndarray:
-        """The number of each word, -1 if it isn't there; all words move through the automaton in step."""
-        n = len(words)
+        """The number of each word, -1 if it isn't there."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        return self.find_spans(np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size)
+
+    def find_spans(self, text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """find() of spans of text; all of them move through the automaton in step."""
+        n = len(size)
         number, state = np.zeros(n, np.int64), np.full(n, self.root)
-        size = np.fromiter(map(len, words), np.int64, n)
-        text, start = np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size
         live = np.flatnonzero(size > 0)
         number[size == 0] = -1
         step = 0
@@ -241,38 +289,76 @@ class Cutter:
             out += _WORDS.findall(part) if any(c in part for c in "\x1c\x1d\x1e\x1f") else part.split()
         return out
 
-    def words(self, chunk: str) -> list[str]:
-        return [chunk] if chunk[0] == " " else _WORDS.findall(chunk)
+    def spans(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words of strings between white space, none of them a special token: the strings' bytes, each word's start and size there,
+        and each string's number of words. As _WORDS would cut, by the kinds of code points."""
+        joined = "\n".join([*chunks, ""])
+        code = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        kind = _kinds()[code]
+        new = np.ones(len(code), bool)
+        new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _NUMBER) | (kind[1:] == _SPACE)
+        mark = np.flatnonzero((code == ord("'")) & new)  # 's, 't, 'm, 'd, 're, 've and 'll are words, where no such mark is before
+        a, b = code[mark + 1], code[np.minimum(mark + 2, len(code) - 1)]
+        two, three = np.isin(a, [*map(ord, "stmd")]), np.isin(a, [*map(ord, "rv")]) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))
+        new[mark[two | three] + 1] = False
+        new[mark[two] + 2] = new[mark[three] + 3] = True
+        at = np.flatnonzero(new)
+        word = kind[at] != _SPACE
+        ends = np.flatnonzero(~word)
+        if len(joined) != len(raw := joined.encode()):
+            length = 1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF)
+            at = (np.cumsum(length) - length)[at]
+        size = np.diff(at, append=len(raw))
+        return np.frombuffer(raw, np.uint8), at[word], size[word], np.diff(ends, prepend=-1) - 1
 
 
 class Encoder:
-    """Encodes texts; keeps the ids of recent strings between white space: up to `most` of them and `most_bytes` in all."""
+    """Encodes texts; keeps the ids of recent strings between white space: up to `most` of them and `most_bytes` in all.
+
+    They stand in two tables, each for half of that: when the newer is full it takes the older one's place, and a string that is met
+    again moves to the newer one.
+    """
 
     def __init__(self, model: Model, lexicon: Lexicon, most: int = 150_000, most_bytes: int = 32 << 20):
         self.model, self.lexicon, self.most, self.most_bytes = model, lexicon, most, most_bytes
-        self.packed: dict[str, bytes] = {}
+        self.special = {f" {w}": struct.pack("<I", i) for w, i in model.special.items()}
+        self.packed: dict[str, bytes] = dict(self.special)
+        self.older: dict[str, bytes] = {}
         self.held = 0
         self.cutter = Cutter(model.special)
 
     def learn(self, chunks: set[str]) -> None:
         new = chunks.difference(self.packed)
-        if len(self.packed) + len(new) > self.most or self.held > self.most_bytes:
-            self.packed.clear()
-            self.held, new = 0, chunks
-        special = {f" {w}": [i] for w, i in self.model.special.items()}
-        words = {c: self.cutter.words(c) for c in new}
-        distinct = list({w for ws in words.values() for w in ws if w not in special})
-        raw = [w.encode() for w in distinct]
-        number = self.lexicon.find(raw) if raw else np.empty(0, np.int64)
-        rest = np.flatnonzero(number < 0)
-        ids = {distinct[k]: x.tolist() for k, x in zip(rest, self.model.merge_many([raw[k] for k in rest]), strict=True)}
-        ids |= {distinct[k]: self.lexicon.ids_of(number[k]) for k in np.flatnonzero(number >= 0)}
-        ids |= special
-        pack = struct.pack
-        for c, ws in words.items():
-            own = ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]]
-            self.packed[c] = pack(f"<{len(own)}I", *own)
-            self.held += 2 * len(c) + 4 * len(own)
+        if 2 * (len(self.packed) + len(new)) > self.most or 2 * self.held > self.most_bytes:
+            self.older, self.packed, self.held = self.packed, dict(self.special), 0
+            new = chunks.difference(self.packed)
+        again = set(filter(self.older.__contains__, new))
+        self._keep(again, list(map(self.older.__getitem__, again)))
+        new = new - again
+        long = [c for c in new if len(c) > _LONG] if max(map(len, new), default=0) > _LONG else []
+        for c in long:
+            self._keep([c], [b"".join(x for part in _blocks(_WORDS.findall(c), 1 << 18) for x in self._packed(part))])
+        for part in _blocks(list(new.difference(long)), 1 << 18):
+            self._keep(part, self._packed(part))
+
+    def _keep(self, chunks, packed: list[bytes]) -> None:
+        self.packed.update(zip(chunks, packed, strict=True))
+        self.held += 2 * sum(map(len, chunks)) + sum(map(len, packed))
+
+    def _packed(self, chunks: list[str]) -> list[bytes]:
+        """Of each string: ids as little-endian unsigned 32-bit integers."""
+        text, start, size, words = self.cutter.spans(chunks)
+        number = self.lexicon.find_spans(text, start, size)
+        hit, miss = np.flatnonzero(number >= 0), np.flatnonzero(number < 0)
+        first, count = self.lexicon.at[number[hit]], np.empty(len(size), np.int64)
+        count[hit] = self.lexicon.at[number[hit] + 1] - first
+        merged, count[miss] = self.model.merge_spans(text, start[miss], size[miss])
+        end = np.cumsum(count)
+        at, ids = end - count, np.empty(end[-1], "<u4")
+        ids[_spread(at[hit], count[hit])] = self.lexicon.ids[_spread(first, count[hit])]
+        ids[_spread(at[miss], count[miss])] = merged
+        flat, ends = ids.tobytes(), (4 * end[np.cumsum(words) - 1]).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905 - the last end begins none
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text: ids as little-endian unsigned 32-bit integers."""
@@ -282,7 +368,8 @@ class Encoder:
 
     def decode(self, packed: bytes) -> bytes:
         """Ids, packed as by encode(), to text in UTF-8: this tokenizer has no decoder, so tokens are joined by spaces."""
-        return b" ".join(map(self.model.shown.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+        ids, m = np.frombuffer(packed, "<u4"), self.model
+        return m.shown[_spread(m.shown_at[ids], m.shown_size[ids])].tobytes()[:-1]
 
 
 def decode(model: Model, ids) -> str:
@@ -301,20 +388,31 @@ def frequent_words(texts: DataFrame, special, most_words: int, most_bytes: int =
         cutter, held = Cutter(special), Counter()
 
         def rows():
-            words: Counter = Counter()
-            for c, n in held.items():
-                for w in cutter.words(c):
-                    words[w] += n
+            for c in [c for c in held if len(c) > _LONG]:
+                times = held.pop(c)
+                for w, n in Counter(_WORDS.findall(c)).items():
+                    held[w] += n * times
+            for chunks in _blocks([c for c in held if c[0] != " "], 1 << 20):
+                yield block(chunks, np.fromiter(map(held.__getitem__, chunks), np.int64, len(chunks)))
             held.clear()
-            got = [(b, n) for w, n in words.items() if w[0] != " " and len(b := w.encode()) <= most_bytes]
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.binary()), pa.array([n for _, n in got], pa.int64())], names=["word", "n"])
+
+        def block(chunks, times):
+            text, start, size, words = cutter.spans(chunks)
+            times = np.repeat(times, words)
+            fits = size <= most_bytes
+            start, size = start[fits], size[fits]
+            ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            found = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(text[_spread(start, size)])]).dictionary_encode()
+            n = np.zeros(len(found.dictionary), np.int64)
+            np.add.at(n, found.indices.to_numpy(), times[fits])
+            return pa.RecordBatch.from_arrays([found.dictionary, pa.array(n)], names=["word", "n"])
 
         for batch in pieces(batches):
             for text in batch.column(0).to_pylist():
                 held.update(cutter.chunks(text or ""))
                 if len(held) > most_held:
-                    yield rows()
-        yield rows()
+                    yield from rows()
+        yield from rows()
 
     counted = written(texts.mapInArrow(frees(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     # by eighths of powers of two of the count, some hundred rows: only words that are chosen come to the driver

@@ -6,6 +6,8 @@ import hashlib
 import json
 import random
 import re
+import sys
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -304,6 +306,71 @@ def test_bpe_lexicon_of_frequent_words(spark):
     assert enc.decode(packed).decode() == bpe.decode(model, np.frombuffer(packed, "<u4").tolist())
 
 
+def _bpe_parts(tmp_path, words=(b"the", b"of", b",", b"tion")):
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        model = bpe.Model(f.read())
+    (tmp_path / "lexicon").write_bytes(bpe.compile_lexicon({w: model.merge(w) for w in words}))
+    return model, bpe.Lexicon(str(tmp_path / "lexicon"))
+
+
+def test_bpe_takes_new_strings_many_at_once(tmp_path):
+    """Most strings of a corpus are rare: cutting, looking up, merging and packing them makes no calls for each."""
+    model, lexicon = _bpe_parts(tmp_path)
+    r = random.Random(7)
+    chunks = {"".join(r.choices("etaoinshrdlué", k=r.randint(3, 14))) + r.choice(["", ",", ".", "'s", "###"]) for _ in range(20_000)}
+    enc, calls = bpe.Encoder(model, lexicon), Counter()
+    enc.learn({"warm"})
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        enc.learn(chunks)
+    finally:
+        sys.setprofile(None)
+    assert calls["call"] + calls["c_call"] < len(chunks) // 4
+    for c in list(chunks)[:2000]:
+        plain = [i for w in bpe._WORDS.findall(c) for i in model.merge(w.encode())]
+        assert enc.packed[c] == np.array(plain, "<u4").tobytes()
+        assert enc.decode(enc.packed[c]).decode() == bpe.decode(model, plain)
+
+
+def test_bpe_cuts_by_kinds_as_the_pattern_does():
+    r = random.Random(8)
+    letters = list("aé日'''stmdrevl!—1²Ⅷ٣̀👍🏽\x1c\u200d\U00010330")
+    chunks = ["".join(r.choices(letters, k=r.randint(1, 12))) for _ in range(5000)] + [chr(c) for c in range(0x21, 0x3100) if not chr(c).isspace()]
+    text, start, size, words = bpe.Cutter({}).spans(chunks)
+    found = [text[a : a + n].tobytes().decode() for a, n in zip(start, size, strict=True)]
+    plain = [bpe._WORDS.findall(c) for c in chunks]
+    assert found == [w for ws in plain for w in ws] and words.tolist() == [*map(len, plain)]
+    assert [len(x) for x in bpe.Cutter({}).spans([])] == [0, 0, 0, 0]
+
+
+def test_bpe_tables_are_bounded_and_keep_what_is_met_again(tmp_path):
+    model, lexicon = _bpe_parts(tmp_path)
+    enc, made = bpe.Encoder(model, lexicon, most=100), Counter()
+    inner = enc._packed
+    enc._packed = lambda chunks: made.update(chunks) or inner(chunks)
+    for k in range(60):
+        (got,) = enc.encode([f"the of often{k % 2} <|endoftext|> " + " ".join(f"word{k}x{i}" for i in range(10))])
+        assert len(enc.packed) + len(enc.older) <= 100 + 2 * len(enc.special)
+        assert got == bpe.Encoder(model, lexicon).encode([f"the of often{k % 2} <|endoftext|> " + " ".join(f"word{k}x{i}" for i in range(10))])[0]
+    assert made["the"] == made["often0"] == made["often1"] == 1
+
+
+def test_bpe_long_strings_are_cut_in_blocks(tmp_path, spark):
+    """A string longer than a block has the ids and counts of its words."""
+    model, lexicon = _bpe_parts(tmp_path)
+    long = "the,of'll1" * 8000 + "x" * 70_000
+    plain = [i for w in bpe._WORDS.findall(long) for i in model.merge(w.encode())]
+    sizes, enc = [], bpe.Encoder(model, lexicon)
+    inner = enc._packed
+    enc._packed = lambda chunks: sizes.append(sum(map(len, chunks[:-1]))) or inner(chunks)
+    got = enc.encode([f"a {long} the", long])
+    assert got[1] == np.array(plain, "<u4").tobytes() and got[0][4:-4] == got[1] and max(sizes) <= 1 << 18
+    docs = spark.createDataFrame([(f"zq {long} zq",), (long,)], "text string")
+    assert bpe.frequent_words(docs, model.special, 6) == [b"'ll", b",", b"1", b"of", b"the", b"zq"]
+
+
 def test_lexicon_is_exact_and_shares_suffixes(tmp_path):
     words = {w.encode(): [k, k + 1] for k, w in enumerate(["walking", "talking", "walk", "talk", "king", "é"])}
     (tmp_path / "x").write_bytes(bpe.compile_lexicon(words))
