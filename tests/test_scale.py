@@ -476,6 +476,23 @@ def test_duplicates_make_each_pair_once_and_shuffle_none(spark):
     assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("most", [2, 5, 2048])
+def test_duplicates_by_blocks_and_no_side_broadcast(spark, most):
+    """Entities of a key in one block or several, and with the same keys in two; what is paired is never sent to all tasks."""
+    from almanack.operators.entities import duplicates
+
+    rows = [(f"i{i:02}", ["Anna", "Ana", "mom", "妈妈"][i % 4], [f"a{i % 3}", None] if i % 5 else None, "confirmed") for i in range(40)]
+    seen = {("i08", "i00"), ("i01", "i04"), ("i02", "i07")}
+    found = duplicates(spark.createDataFrame(rows, "id string, name string, aliases array<string>, status string"), spark.createDataFrame(list(seen), "a string, b string"), most=most)
+    keys = lambda r: {r[1], *(r[2] or [])} - {None}
+    rank = lambda a, b: "alias_overlap" if keys(a) & keys(b) else "kinship" if (a[1], b[1]) == ("妈妈", "mom") else "edit_distance" if {a[1], b[1]} == {"Anna", "Ana"} else None
+    expected = sorted((a[0], b[0], rank(a, b)) for a, b in itertools.combinations(rows, 2) if rank(a, b) and not {(a[0], b[0]), (b[0], a[0])} & seen)
+    assert sorted((r.id1, r.id2, r.signal) for r in found.collect()) == expected
+    assert {x[2] for x in expected} == {"alias_overlap", "kinship", "edit_distance"}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan, plan
+
+
 def test_timers_of_silence_only_where_ends_change():
     import pandas as pd
 
