@@ -3,8 +3,8 @@
 Layout below a path, a folder a generation:
 
 * postings/gen=g: a row a block: term, range_no, n, max_tf, min_dl, min_day, max_day and, by id, docs, days, tfs, dls. Each
-  file is sorted by term, so a query's terms are found by the statistics of row groups and pages. Postings are shuffled once, as
-  parts of blocks; compact() shuffles none;
+  file is sorted by term, so a query's terms are found by the statistics of row groups and pages. Texts are shuffled once, by
+  range; a range's blocks are made whole by the task that has its texts, so postings aren't shuffled, nor are they by compact();
 * ranges/gen=g: range_no, n_docs, sum_dl and a fingerprint of the ranges that the generation holds. It is written last and
   makes the generation visible; of a range the newest generation counts.
 
@@ -18,10 +18,10 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections import Counter
-from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +31,9 @@ K1, B = 1.2, 0.75
 #: Bounds of a query: terms and characters.
 MOST_TERMS, MOST_CHARACTERS = 32, 1024
 _WORD = re.compile(r"[^\W_]+")
-_LISTS = "docs array<long>, days array<int>, tfs array<double>, dls array<int>"
-_PART = "term string, range_no long, " + _LISTS
+_PART = "term string, range_no long, n int, max_tf double, min_dl int, min_day int, max_day int, sum_dl long, print decimal(38,0), docs array<long>, days array<int>, tfs array<double>, dls array<int>"
+#: Entries whose texts are taken apart at once; ranges stay whole.
+_AT_ONCE = 256
 _CJK = re.compile(CJK)
 
 
@@ -49,31 +50,118 @@ def query_terms(text: str, lattice: Lattice | None = None) -> list[str]:
     return list(dict.fromkeys(words_of(text[:MOST_CHARACTERS].lower(), lattice)))[:MOST_TERMS]
 
 
+def _number(width: int):
+    """The range of an id."""
+    return F.expr(f"(cast(doc_id as long) - pmod(cast(doc_id as long), {width}L)) div {width}L")
+
+
+_letters: list = []
+
+
+def _is_letter(points: np.ndarray) -> np.ndarray:
+    """Which code points are letters or digits, as _WORD has them."""
+    if not _letters:
+        _letters.append(np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000))
+    return _letters[0][np.minimum(points, 0x10FFFF)]
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts and the number of the text that each is of: words_of() without a lattice, told by the bytes of UTF-8."""
+    n, blank = len(texts), (pa.array([], pa.string()), np.zeros(0, np.int64))
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int32)
+    if ends[-1] == ends[0]:
+        return blank
+    data, ends = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+    last, own = len(data) - 1, _is_letter(np.arange(128))
+    held = np.append(own, np.zeros(128, bool))[data]
+    at = np.flatnonzero(data >= 0xC0)  # first bytes of the other characters
+    first, more = data[at].astype(np.int32), [data[np.minimum(at + k, last)].astype(np.int32) & 0x3F for k in range(4)]
+    two, three = (first & 0x1F) << 6 | more[1], (first & 0xF) << 12 | more[1] << 6 | more[2]
+    points = np.where(first < 0xE0, two, np.where(first < 0xF0, three, (first & 7) << 18 | more[1] << 12 | more[2] << 6 | more[3]))
+    size = np.where(first < 0xE0, 2, np.where(first < 0xF0, 3, 4))
+    letter = _is_letter(points)
+    for k in range(4):
+        held[np.minimum(at[letter & (size > k)] + k, last)] = True
+    begins = np.zeros(len(data) + 1, bool)
+    begins[ends] = True
+    starts = np.flatnonzero(held & (begins[:-1] | ~np.append(False, held[:-1])))
+    if not len(starts):
+        return blank
+    before = np.cumsum(held)  # bytes of words so far
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(before[starts] - 1, before[-1]).astype(np.int32)), pa.py_buffer(data[held]))
+    return words, np.searchsorted(ends, starts, "right") - 1
+
+
+def _blocks(batch: pa.RecordBatch, weights: list[float], width: int, lattice: Lattice | None) -> pa.RecordBatch:
+    """The blocks of whole ranges, given by id. Each entry is also one of the empty term."""
+    n, kinds = batch.num_rows, len(weights) + 1
+    words, rows, kind = [pa.array([""] * n, pa.string())], [np.arange(n)], [np.full(n, kinds - 1)]
+    for k in range(len(weights)):
+        texts = pc.fill_null(batch.column(2 + k).cast(pa.string()), "")
+        if lattice is None:
+            found, of = _words(texts)
+        else:
+            cut = [words_of(x, lattice) for x in texts.to_pylist()]
+            found, of = pa.array([w for ws in cut for w in ws], pa.string()), np.repeat(np.arange(n), [len(ws) for ws in cut])
+        words.append(found), rows.append(of), kind.append(np.full(len(of), k))
+    coded, row = pa.concat_arrays(words).dictionary_encode(), np.concatenate(rows)
+    terms, ids = coded.dictionary, batch.column(0).to_numpy()
+    numbers, of_range = np.unique(ids // width, return_inverse=True)
+    lengths = (np.bincount(row, minlength=n) - 1).astype(np.int32)
+    # in one number: range, term, entry and column; equal ones are counted
+    key = np.sort(((of_range[row] * len(terms) + coded.indices.to_numpy()) * n + row) * kinds + np.concatenate(kind))
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    values = np.append(weights, 0.0)[key[starts] % kinds] * np.diff(np.append(starts, len(key)))
+    key = key[starts] // kinds
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    tfs, key = np.add.reduceat(values, starts), key[starts]
+    row, key = key % n, key // n
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    ends, key = np.append(starts, len(row)), key[starts]
+    code, number = key % len(terms), numbers[key // len(terms)]
+    dls = lengths[row]
+    day = batch.column(1).cast(pa.int32())
+    known, days = ~day.is_null().to_numpy(zero_copy_only=False)[row], pc.fill_null(day, 0).to_numpy()[row]
+    none = ~np.logical_or.reduceat(known, starts)
+    whole = np.flatnonzero(code == coded.indices[0].as_py())  # the blocks of the empty term, one a range
+    sums, prints = [None] * len(starts), [None] * len(starts)
+    hashes = batch.column(1 + kinds).to_pylist() if batch.num_columns > 1 + kinds else None
+    for b in whole.tolist():
+        sums[b] = int(dls[ends[b] : ends[b + 1]].sum(dtype=np.int64))
+        prints[b] = sum(hashes[r] for r in row[ends[b] : ends[b + 1]]) if hashes else None
+    lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (pa.array(ids[row], pa.int64()), pa.array(days, pa.int32(), mask=~known), pa.array(tfs), pa.array(dls))]
+    of_days = [pa.array(f.reduceat(np.where(known, days, far), starts), pa.int32(), mask=none) for f, far in ((np.minimum, 2**31 - 1), (np.maximum, -(2**31)))]
+    heads = [pa.array(np.diff(ends), pa.int32()), pa.array(np.maximum.reduceat(tfs, starts)), pa.array(np.minimum.reduceat(dls, starts)), *of_days, pa.array(sums, pa.int64()), pa.array(prints, pa.decimal128(38, 0))]
+    return pa.RecordBatch.from_arrays([terms.take(pa.array(code)), pa.array(number, pa.int64()), *heads, *lists], names=[c.split()[0] for c in _PART.split(", ")])
+
+
 def _counted(weights: list[float], width: int, dictionary=None):
-    """Parts of blocks: the postings of a term and a range in 256 entries; each entry is also one of the empty term."""
+    """Blocks of entries in order of their ids, all those of a range in one task: doc_id, day, texts and, if given, a hash of the entry."""
 
     def run(batches):
         lattice = Lattice(dictionary.value) if dictionary else None
+
+        def made(held):
+            (batch,) = pa.Table.from_batches(held).combine_chunks().to_batches()
+            number = batch.column(0).to_numpy() // width
+            cuts, at = np.append(np.flatnonzero(np.diff(number)) + 1, len(number)), 0
+            while at < len(number):
+                end = int(cuts[np.searchsorted(cuts, min(at + _AT_ONCE, len(number)))])
+                yield _blocks(batch.slice(at, end - at), weights, width, lattice)
+                at = end
+
+        held, last = [], None  # the last range so far
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch, out = whole.slice(at, 256), {}
-                columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
-                for doc_id, day, *texts in zip(*columns, strict=True):
-                    tf: Counter = Counter()
-                    dl = 0
-                    for weight, text in zip(weights, texts, strict=True):
-                        words = words_of(text or "", lattice)
-                        dl += len(words)
-                        for w, n in Counter(words).items():
-                            tf[w] += weight * n
-                    tf[""] = 0.0
-                    for w, x in tf.items():
-                        out.setdefault((w, doc_id // width), []).append((doc_id, day, x, dl))
-                keys = [pa.array([k[0] for k in out], pa.string()), pa.array([k[1] for k in out], pa.int64())]
-                ends = pa.array([0, *accumulate(map(len, out.values()))], pa.int32())
-                flat = list(zip(*(r for rows in out.values() for r in rows))) or [()] * 4
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x, t)) for x, t in zip(flat, (pa.int64(), pa.int32(), pa.float64(), pa.int32()), strict=True)]
-                yield pa.RecordBatch.from_arrays([*keys, *lists], names=[c.split()[0] for c in _PART.split(", ")])
+            if not whole.num_rows:
+                continue
+            number = whole.column(0).to_numpy() // width
+            if held and number[-1] != last:
+                at = int(np.searchsorted(number, number[-1]))
+                yield from made([*held, whole.slice(0, at)])
+                held, whole = [], whole.slice(at)
+            held, last = [*held, whole], number[-1]
+        if held:
+            yield from made(held)
 
     return run
 
@@ -97,32 +185,28 @@ class TextIndex:
         (row,) = self.spark.read.text(f"{self.path}/settings").collect()
         return json.loads(row.value)
 
+    def _hash(self, settings: dict):
+        """A number for an entry's content."""
+        day = [settings["day"]] if settings["day"] else []
+        return F.xxhash64("doc_id", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [*settings["columns"], *day]))
+
     def _prints(self, entries: DataFrame, settings: dict) -> DataFrame:
         """range_no, print: a sum of the entries' hashes, in any order."""
         own = entries.filter("doc_id is not null")
-        day = [settings["day"]] if settings["day"] else []
-        h = F.xxhash64("doc_id", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [*settings["columns"], *day]))
-        return own.groupBy(F.floor(F.col("doc_id") / settings["width"]).cast("long").alias("range_no")).agg(F.sum(h.cast("decimal(38,0)")).alias("print"))
+        return own.groupBy(_number(settings["width"]).alias("range_no")).agg(F.sum(self._hash(settings).cast("decimal(38,0)")).alias("print"))
 
     def _write(self, entries: DataFrame, gen: int, settings: dict, ranges: DataFrame | None) -> None:
         columns, width, day = settings["columns"], settings["width"], settings["day"]
         own = entries.filter(F.col("doc_id").isNotNull())
         days = F.datediff(F.col(day), F.lit("1970-01-01").cast("date")) if day else F.lit(None)
-        texts = own.select(F.col("doc_id").cast("long").alias("doc_id"), days.cast("int").alias("day"), *(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in columns))
+        texts = own.select(F.col("doc_id").cast("long").alias("doc_id"), days.cast("int").alias("day"), *(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in columns), self._hash(settings).alias("_hash"))
         words = self._dictionary()
         shared = self.spark.sparkContext.broadcast(words) if words else None
-        parts = texts.mapInArrow(_counted(list(columns.values()), width, shared), _PART)
-        names = ("docs", "days", "tfs", "dls")
-        lists = parts.groupBy("term", "range_no").agg(*(F.collect_list(c).alias(c) for c in names))  # of one row these are in the same order
-        by_id = F.sort_array(F.arrays_zip(*(F.flatten(c).alias(c) for c in names)))
-        blocks = lists.select("term", "range_no", by_id.alias("p")).select("term", "range_no", *(F.col("p")[c].alias(c) for c in names))
-        total = F.when(F.col("term") == "", F.aggregate("dls", F.lit(0).cast("long"), lambda x, y: x + y))
-        blocks = blocks.select("term", "range_no", F.size("docs").alias("n"), F.array_max("tfs").alias("max_tf"), F.array_min("dls").alias("min_dl"), F.array_min("days").alias("min_day"), F.array_max("days").alias("max_day"), total.alias("sum_dl"), *names)
-        to = f"{self.path}/postings/gen={gen}"
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        blocks.sortWithinPartitions("term", "range_no").write.mode("overwrite").parquet(to)
-        held = self.spark.read.parquet(to).filter("term = ''").select("range_no", F.col("n").cast("long").alias("n_docs"), F.col("sum_dl").cast("long").alias("sum_dl"))
-        held = held.join(self._prints(entries, settings), "range_no", "left")
+        texts = texts.repartition(n, _number(width)).sortWithinPartitions("doc_id")
+        to = f"{self.path}/postings/gen={gen}"
+        texts.mapInArrow(_counted(list(columns.values()), width, shared), _PART).sortWithinPartitions("term", "range_no").write.mode("overwrite").parquet(to)
+        held = self.spark.read.parquet(to).filter("term = ''").select("range_no", F.col("n").cast("long").alias("n_docs"), "sum_dl", "print")
         if ranges is not None:  # ranges that have lost all their entries are told too
             held = ranges.join(held, "range_no", "left").select("range_no", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_docs", "sum_dl")), "print")
         held.coalesce(1 if gen else n).write.mode("overwrite").parquet(f"{self.path}/ranges/gen={gen}")
@@ -150,7 +234,7 @@ class TextIndex:
         """
         settings = self._settings()
         gen = self._generations()[-1] + 1 if gen is None else gen
-        number = F.floor(F.col("doc_id") / settings["width"]).cast("long")
+        number = _number(settings["width"])
         path = f"{self.path}/changed"  # a small file, so that Spark knows that it is and moves no texts to join it
         changed.filter("doc_id is not null").select(number.alias("range_no")).distinct().write.mode("overwrite").parquet(path)
         ranges = self.spark.read.schema("range_no long").parquet(path)
@@ -171,7 +255,7 @@ class TextIndex:
         self.stale(entries).write.mode("overwrite").parquet(path)
         ranges = self.spark.read.schema("range_no long, reason string").parquet(path).select("range_no")
         if not ranges.isEmpty():
-            number = F.floor(F.col("doc_id") / settings["width"]).cast("long")
+            number = _number(settings["width"])
             self._write(entries.join(ranges, number == F.col("range_no"), "left_semi"), self._generations()[-1] + 1, settings, ranges)
         return self
 

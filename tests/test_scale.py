@@ -465,6 +465,31 @@ def test_index_shuffles_parts_of_blocks_once(spark, tmp_path):
     assert [tuple(r) for r in index.search(["all", "w5"], 20).collect()] == before and before[0][0] == 13
 
 
+def test_index_makes_whole_blocks_and_shuffles_no_postings(spark, tmp_path):
+    """A range of more entries than a batch has is one block, with its figures and print; words are those of words_of()."""
+    import pyarrow as pa
+
+    from almanack.sources import text_index
+
+    texts = ["Größe, αβγ_δ x1²  世界和平 e\u0301a", "", "--", "Ⅷ a_b a", None, "𐐀𝟘 😀 ok", "end"]
+    words, of = text_index._words(pa.array([(x or "").lower() for x in ["cut", *texts]], pa.string()).slice(1))
+    assert list(zip(of.tolist(), words.to_pylist(), strict=True)) == [(i, w) for i, x in enumerate(texts) for w in text_index.words_of((x or "").lower())]
+    rows = [(i, None if i % 3 else i, " ".join(["all"] * (1 + i % 2)) + f" w{i % 8}", "all" if i % 2 else "", i) for i in range(1400)]
+    schema = pa.schema([("doc_id", pa.int64()), ("day", pa.int32()), ("a", pa.string()), ("b", pa.string()), ("h", pa.int64())])
+    batches = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema).to_batches(100)
+    found = [r for b in text_index._counted([1.0, 0.5], 700)(iter(batches)) for r in b.to_pylist()]
+    for no in (0, 1):
+        (block,) = [r for r in found if (r["term"], r["range_no"]) == ("all", no)]
+        own = [r for r in rows if r[0] // 700 == no]
+        assert block["docs"] == [r[0] for r in own] and block["days"] == [r[1] for r in own]
+        assert block["tfs"] == [1.0 + i % 2 * 1.5 for i, *_ in own] and block["dls"] == [2 + i % 2 * 2 for i, *_ in own]
+        assert (block["n"], block["max_tf"], block["min_dl"], block["sum_dl"]) == (700, 2.5, 2, None)
+        assert (block["min_day"], block["max_day"]) == (min(r[1] for r in own if r[1] is not None), max(r[1] for r in own if r[1] is not None))
+        (block,) = [r for r in found if (r["term"], r["range_no"]) == ("", no)]
+        assert (block["n"], block["sum_dl"], block["print"]) == (700, 2100, sum(r[4] for r in own))
+    assert len(found) == 2 * 10
+
+
 def test_duplicates_make_each_pair_once_and_shuffle_none(spark):
     from almanack.operators.entities import duplicates
 
