@@ -32,6 +32,8 @@ K1, B = 1.2, 0.75
 MOST_TERMS, MOST_CHARACTERS = 32, 1024
 _WORD = re.compile(r"[^\W_]+")
 _PART = "term string, range_no long, n int, max_tf double, min_dl int, min_day int, max_day int, sum_dl long, print decimal(38,0), docs array<long>, days array<int>, tfs array<double>, dls array<int>"
+#: Blocks of a page at most: what a search reads of a file beside its terms' own blocks.
+_PAGE = 1000
 #: Entries whose texts are taken apart at once; ranges stay whole.
 _AT_ONCE = 256
 _CJK = re.compile(CJK)
@@ -205,7 +207,7 @@ class TextIndex:
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         texts = texts.repartition(n, _number(width)).sortWithinPartitions("doc_id")
         to = f"{self.path}/postings/gen={gen}"
-        texts.mapInArrow(_counted(list(columns.values()), width, shared), _PART).sortWithinPartitions("term", "range_no").write.mode("overwrite").parquet(to)
+        texts.mapInArrow(_counted(list(columns.values()), width, shared), _PART).sortWithinPartitions("term", "range_no").write.option("parquet.page.row.count.limit", _PAGE).mode("overwrite").parquet(to)
         held = self.spark.read.parquet(to).filter("term = ''").select("range_no", F.col("n").cast("long").alias("n_docs"), "sum_dl", "print")
         if ranges is not None:  # ranges that have lost all their entries are told too
             held = ranges.join(held, "range_no", "left").select("range_no", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_docs", "sum_dl")), "print")
@@ -266,7 +268,7 @@ class TextIndex:
             return
         gen, cur = gens[-1] + 1, self.current()
         blocks = self._postings().join(cur.select("range_no", "gen"), ["range_no", "gen"], "left_semi").drop("gen")
-        blocks.sortWithinPartitions("term", "range_no").write.mode("overwrite").parquet(f"{self.path}/postings/gen={gen}")
+        blocks.sortWithinPartitions("term", "range_no").write.option("parquet.page.row.count.limit", _PAGE).mode("overwrite").parquet(f"{self.path}/postings/gen={gen}")
         cur.filter("n_docs > 0").select("range_no", "n_docs", "sum_dl", "print").write.mode("overwrite").parquet(f"{self.path}/ranges/gen={gen}")
         for g in gens:
             for part in ("ranges", "postings"):

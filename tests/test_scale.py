@@ -490,6 +490,19 @@ def test_index_makes_whole_blocks_and_shuffles_no_postings(spark, tmp_path):
     assert len(found) == 2 * 10
 
 
+def test_search_reads_pages_of_its_terms(spark):
+    """Pages of a file are small beside it, when indexed and after compaction, so a term's blocks are found without reading the others."""
+    entries = spark.range(64).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(999)), lambda k: F.concat(F.lit("w"), (F.col("id") * 1000 + k).cast("string")))).alias("text"))
+    index = TextIndex(spark, fresh(spark, "index")).build(entries, {"text": 1.0}, width=64)
+    for _ in range(2):
+        rows = index._postings().filter("term = 'w777'")
+        assert [r.docs for r in rows.select("docs").collect()] == [[0]]
+        plan = rows.select("docs")._jdf.queryExecution().executedPlan()
+        assert plan.executeCollect() and plan.collectLeaves().apply(0).metrics().apply("numOutputRows").value() <= 2000
+        index.update(entries, spark.range(1).select(F.col("id").alias("doc_id")))
+        index.compact()
+
+
 def test_duplicates_make_each_pair_once_and_shuffle_none(spark):
     from almanack.operators.entities import duplicates
 
