@@ -27,6 +27,8 @@ def word_counts(texts: DataFrame, column: str = "text", least: int = 2, most: in
     """The `most` most frequent words of spaced texts (lower case) that occur `least` times or more, counted over all texts; summed in the
     tasks first. Strings of more than `longest` characters are no words."""
 
+    short = re.compile(rf"(?<![^\W_])[^\W_]{{1,{longest}}}(?![^\W_])")  # whole words only
+
     def count(batches):
         held: Counter = Counter()
 
@@ -38,7 +40,8 @@ def word_counts(texts: DataFrame, column: str = "text", least: int = 2, most: in
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 for text in whole.column(0).slice(at, 256).to_pylist():
-                    held.update(w for w in _WORD.findall((text or "").lower()) if len(w) <= longest and not _RUN.search(w))
+                    words = short.findall(text := (text or "").lower())
+                    held.update([w for w in words if not _RUN.search(w)] if _RUN.search(text) else words)
                 if len(held) > 200_000:
                     yield rows()
         yield rows()
@@ -68,14 +71,19 @@ def free_strings(texts: DataFrame, column: str = "text", longest: int = 4, least
     return {r.word: r.total for r in good.orderBy(F.desc("total"), "word").limit(most).collect()}
 
 
+def _cost(share: float) -> float:
+    """A logarithm as a multiple of 2 ** -20, so that sums are exact and equally likely cuts are equal in any order of adding."""
+    return round(math.log(share) * (1 << 20)) / (1 << 20)
+
+
 class Lattice:
     """The likeliest cut of a string into words of a dictionary and single characters."""
 
     def __init__(self, counts: dict[str, int]):
         total = sum(counts.values()) or 1
-        self.costs = {w: math.log(total) - math.log(n) for w, n in counts.items()}
+        self.costs = {w: _cost(total / n) for w, n in counts.items()}
         self.longest = max(map(len, counts), default=1)
-        self.unknown = math.log(total) + math.log(100)  # of a character that is no word
+        self.unknown = _cost(total * 100)  # of a character that is no word
         # a node is the cost of the word that ends there (of none: infinite) and the nodes behind it
         self.root: dict[str, tuple[float, dict]] = {}
         none: dict = {}
@@ -116,17 +124,157 @@ class Lattice:
         return out[::-1]
 
 
-def segmented(texts: DataFrame, counts: dict[str, int], column: str = "text", id_col: str = "doc_id", pattern: str = r"[^\W_]+") -> DataFrame:
-    """id_col and words: each run of `pattern` in the lower-cased text cut by the lattice of the dictionary (bounded, so it goes to all tasks)."""
-    shared = texts.sparkSession.sparkContext.broadcast(counts)
+class Cutter:
+    """A lattice's cuts of many strings at once, over arrays: the words that begin at each place, told by steps through the dictionary's
+    beginnings, and the likeliest path through each piece. Pieces end where no word reaches over, so their paths don't depend on each other;
+    of equally likely paths through a piece the one with the longer last word."""
+
+    few = 64  # words that are too few to be worth a step over arrays
+
+    def __init__(self, counts: dict[str, int]):
+        total = sum(counts.values()) or 1
+        self.unknown = _cost(total * 100)
+        words = [w for w in counts if w]
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        points = self._points("".join(words))
+        self.letters = np.unique(points)
+        places = np.searchsorted(self.letters, points) + 1
+        begin = np.cumsum(size) - size
+        costs = np.fromiter((_cost(total / counts[w]) for w in words), float, len(words))
+        # node 0 is the root; a step from a node with a letter leads to another one
+        node, n, self.longest = np.zeros(len(words), np.int64), 1, int(size.max(initial=0))
+        keys, ends, of = [], [], np.arange(len(words))
+        for k in range(self.longest):
+            of = of[size[of] > k]
+            steps, at = np.unique(node[of] * (len(self.letters) + 1) + places[begin[of] + k], return_inverse=True)
+            node[of] = n + at
+            keys.append(steps)
+            ends.append(np.full(len(steps), self.unknown if k == 0 else math.inf))
+            ends[-1][at[size[of] == k + 1]] = costs[of[size[of] == k + 1]]
+            n += len(steps)
+        self.cost = np.concatenate([[math.inf], *ends])  # of the word that ends at a node
+        keys = np.concatenate([np.zeros(0, np.int64), *keys])
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.keys, self.next = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):  # each in the first free slot from its own on
+            free = left[self.keys[slot[left]] < 0]
+            self.keys[slot[free]] = keys[free]  # one of those that want it has it
+            had = self.keys[slot[left]] == keys[left]
+            self.next[slot[left[had]]] = left[had] + 1
+            left = left[~had]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    @staticmethod
+    def _points(text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _step(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The node that a letter leads to, 0: none."""
+        keys = node.astype(np.int64) * (len(self.letters) + 1) + letter
+        slot = self._slot(keys)
+        found = self.keys[slot]
+        out = np.where(found == keys, self.next[slot], 0)
+        left = np.flatnonzero((found != keys) & (found >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            found = self.keys[slot[left]]
+            out[left] = np.where(found == keys[left], self.next[slot[left]], 0)
+            left = left[(found != keys[left]) & (found >= 0)]
+        return out
+
+    def starts(self, points: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where words begin: the strings lie one after the other, ends has the end of a place's string."""
+        n = len(points)
+        if not n:
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.letters, points), max(len(self.letters) - 1, 0))
+        letter = np.where(self.letters[at] == points, at + 1, 0) if len(self.letters) else np.zeros(n, np.int64)
+        letter, ends = letter.astype(np.int32), ends.astype(np.int32)  # places of half the size are gathered faster
+        begin, node = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
+        reach, words = np.arange(1, n + 1, dtype=np.int32), []
+        for k in range(max(self.longest, 1)):
+            inside = begin + k < ends[begin]
+            begin, node = begin[inside], node[inside]
+            node = self._step(node, letter[begin + k])
+            if k == 0:
+                none = begin[node == 0]
+                words.append((none, none + 1, np.full(len(none), self.unknown)))
+            begin, node = begin[node > 0], node[node > 0]
+            cost = self.cost[node]
+            word = cost < math.inf
+            words.append((begin[word], begin[word] + k + 1, cost[word]))
+            reach[begin[word]] = begin[word] + k + 1
+            if not len(begin):
+                break
+        cut = np.append(True, np.maximum.accumulate(reach)[:-1] <= np.arange(1, n))
+        cut = np.append(cut, True)
+        piece = np.maximum.accumulate(np.where(cut[:-1], np.arange(n, dtype=np.int32), np.int32(0)))
+        begin, end, cost = (np.concatenate(x) for x in zip(*words, strict=True))
+        far = end - piece[begin]  # ends that are as far into their pieces are settled together
+        order = np.argsort(far.astype(np.uint16) if far.max() < 1 << 16 else far, kind="stable")  # shorter words first
+        begin, end, cost = begin[order], end[order], cost[order]
+        best, back, low = np.full(n + 1, math.inf), np.zeros(n + 1, np.int32), 0
+        # a place that begins a piece has cost 0 on the right side; as the end of the piece before it, it is kept apart
+        ahead = np.where(cut, 0.0, math.inf)
+        for high in np.cumsum(np.bincount(far))[1:].tolist():
+            if high - low < self.few:  # what is left are a few long pieces
+                break
+            b, e = begin[low:high], end[low:high]
+            c = ahead[b] + cost[low:high]
+            np.minimum.at(best, e, c)
+            least = c == best[e]
+            back[e[least]] = b[least]  # of several the last, the longest word
+            inner = e[~cut[e]]
+            ahead[inner] = best[inner]
+            low = high
+        places = np.unique(np.concatenate([begin[low:], end[low:]]))
+        inner, costs, least, of = (~cut[places]).tolist(), ahead[places].tolist(), [math.inf] * len(places), [-1] * len(places)
+        for b, e, c in zip(*(np.searchsorted(places, x[low:]).tolist() for x in (begin, end)), cost[low:].tolist(), strict=True):
+            c += costs[b]
+            if c <= least[e]:
+                least[e], of[e] = c, b
+                if inner[e]:
+                    costs[e] = c
+        had = np.array(of, np.int64) >= 0
+        back[places[had]] = places[np.array(of, np.int64)[had]]
+        path = np.flatnonzero(cut)[1:]
+        while len(path):
+            path = back[path]
+            path = path[~cut[path]]
+            cut[path] = True
+        return np.flatnonzero(cut[:-1])
+
+    def cut(self, texts: list[list[str]]) -> pa.Array:
+        """The words of each list of strings."""
+        joined = "".join(r for runs in texts for r in runs)
+        sizes = np.fromiter((len(r) for runs in texts for r in runs), np.int64)
+        starts = self.starts(points := self._points(joined), np.repeat(np.cumsum(sizes), sizes))
+        width = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
+        ends = np.append(0, np.cumsum(width, dtype=np.int64))[np.append(starts, len(points))]
+        words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(joined.encode("utf-8", "surrogatepass")))
+        texts_at = np.cumsum([0, *(sum(map(len, runs)) for runs in texts)])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, texts_at), pa.int32()), words)
+
+
+def segmented(texts: DataFrame, counts: dict[str, int], column: str = "text", id_col: str = "doc_id", pattern: str = r"[^\W_]+", at_once: int = 1 << 17) -> DataFrame:
+    """id_col and words: each run of `pattern` in the lower-cased text cut by the lattice of the dictionary (bounded, so it goes to all tasks).
+    Texts are cut together until they have `at_once` characters."""
+    shared = texts.sparkSession.sparkContext.broadcast(Cutter(counts))
 
     def run(batches):
-        lattice, runs = Lattice(shared.value), re.compile(pattern)
+        cutter, runs = shared.value, re.compile(pattern)
         for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                batch = whole.slice(at, 64)
-                words = [[w for r in runs.findall((t or "").lower()) for w in lattice.cut(r)] for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], names=[id_col, "words"])
+            held, low, size = [], 0, 0
+            for k in range(whole.num_rows):
+                held.append(runs.findall((whole.column(1)[k].as_py() or "").lower()))
+                size += sum(map(len, held[-1]))
+                if size >= at_once or k == whole.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([whole.column(0).slice(low, len(held)), cutter.cut(held)], names=[id_col, "words"])
+                    held, low, size = [], k + 1, 0
 
     return texts.select(F.col(id_col).cast("long").alias(id_col), F.col(column).cast("string").alias(column)).mapInArrow(run, f"{id_col} long, words array<string>")
 

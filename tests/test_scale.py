@@ -361,6 +361,23 @@ def test_cutting_follows_beginnings_of_words_only():
     assert time.monotonic() - t < 30  # trying each length at each place takes minutes
 
 
+@pytest.mark.parametrize("few", [1, 64])
+def test_cuts_over_arrays_like_the_lattice(few, monkeypatch):
+    """Many strings cut at once: the same words as one by one, ties and characters of no word among them, whatever lies beside a string."""
+    import random
+
+    from almanack.operators.segment import Cutter, Lattice
+
+    monkeypatch.setattr(Cutter, "few", few)
+    rng = random.Random(7)
+    for letters, n in (("ab", 12), ("abcdé世😀", 60), ("abcdefgh", 400), ("ab", 0)):
+        counts = {"".join(rng.choices(letters, k=rng.randint(1, 5))): rng.choice([1, 2, 2, 8]) for _ in range(n)}
+        texts = [["".join(rng.choices(letters + "?", k=rng.choice([0, 1, 3, 40, 300]))) for _ in range(rng.randint(0, 3))] for _ in range(60)] + [[letters * 500]]
+        lattice = Lattice(counts)
+        assert Cutter(counts).cut(texts).to_pylist() == [[w for r in runs for w in lattice.cut(r)] for runs in texts]
+    assert Cutter({"a": 1}).cut([]).to_pylist() == [] and Cutter({"a": 1}).cut([[], [""]]).to_pylist() == [[], []]
+
+
 def test_quality_of_cuts_of_long_texts(spark):
     r = random.Random(21)
     texts = [(i, r.choice(["en", None]), [r.choice(["a", "bc", "日本", "def", "𝒳y"]) for _ in range(n)]) for i, n in enumerate([0, 1, 5, 40, 200_000])]
